@@ -3,14 +3,15 @@
 A text longer than one chunk is cut into overlapping chunks. Each chunk is pre-tokenised on its
 own, in parallel. Two neighbours agree from any boundary that both find inside their overlap, as
 a pre-token depends on nothing before its start; there the text is cut. Where no boundary is
-shared (one pre-token spans the overlap) the neighbours stay together in one piece. The pieces
-are then encoded independently and their ids joined in order.
+shared (one pre-token spans the overlap) the rest of the text stays in one piece. The pieces are
+then encoded independently and their ids joined in order.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -83,21 +84,24 @@ def _split(chunk: int, overlap: int):
 def boundaries(text: str, at_end: bool) -> list[int]:
     """Starts of the pre-tokens of a chunk that hold whatever follows the chunk.
 
-    The last match may go on behind the chunk, so its end isn't one unless the text ends there.
+    The last match may go on behind the chunk, so its end isn't one unless the text ends there; a
+    contraction of three characters may be cut by the chunk's end, so starts within it don't count.
     """
     import public_tokenizers
     import regex
 
     starts = [m.start() for m in regex.finditer(public_tokenizers.PATTERN, text)]
-    return starts + [len(text)] if at_end else starts
+    return starts + [len(text)] if at_end else [b for b in starts if b <= len(text) - 3]
 
 
 def _pretokenise(chunk: int, overlap: int):
     step = chunk - overlap
 
     def sure(text: str, at: int) -> bool:
-        # only between ASCII characters: libraries differ in the classes of newer characters
-        return 0 < at < len(text) and text[at - 1] < "\x80" and text[at] < "\x80"
+        # white space in front of a cut would be matched as at the end of a text, and libraries
+        # differ in the classes of newer characters
+        old = unicodedata.ucd_3_2_0.category
+        return 0 < at < len(text) and not text[at - 1].isspace() and "Cn" not in (old(text[at - 1]), old(text[at]))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -144,10 +148,13 @@ def encode(
     )
     order = Window.partitionBy("key").orderBy("i")
     shared = F.array_intersect("tails", F.lead("heads").over(order))
-    # the agreed boundary nearest the overlap's middle; null: none, or the last chunk
+    # the middle one of the agreed boundaries; null: none, or the last chunk
     cut = F.when(F.size(shared) > 0, F.get(shared, (F.size(shared) / 2).cast("int")))
+    # a chunk's boundaries hold from its cut on; behind a missing cut they may not
+    so_far = F.bool_and(F.col("cut").isNotNull()).over(order.rowsBetween(Window.unboundedPreceding, 0))
     stitched = (
         marked.withColumn("cut", cut)
+        .withColumn("cut", F.when(so_far, F.col("cut")))
         .withColumn("from", F.coalesce(F.lag("cut").over(order), F.col("start")))
         .withColumn("to", F.coalesce("cut", F.lead("start").over(order), F.col("start") + F.length("text")))
         .withColumn("piece", F.coalesce(F.sum(F.col("cut").isNotNull().cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -182,12 +189,15 @@ def decode(coded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path:
     return rows.mapInPandas(_decode(path), f"id {kind}, ids binary, bytes binary").withColumnRenamed("id", id_col)
 
 
-def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """Counts and hashes of the encoded and decoded texts."""
-    both = decode(encode(docs, id_col, text_col, path), id_col, "ids", path)
-    return both.select(
-        id_col,
+def digests() -> list:
+    """Columns of the counts and hashes of ``ids`` and ``bytes``."""
+    return [
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("bytes", 256).alias("decoded_sha256"),
-    )
+    ]
+
+
+def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+    """Counts and hashes of the encoded and decoded texts."""
+    return decode(encode(docs, id_col, text_col, path), id_col, "ids", path).select(id_col, *digests())

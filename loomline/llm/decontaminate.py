@@ -284,7 +284,7 @@ def remove_spans(
     spark = docs.sparkSession
     for block in _blocks(items, item_col, item_text_col, block_words):
         auto = spark.sparkContext.broadcast(SuffixAutomaton(block, window))
-        docs = docs.withColumn(text_col, F.pandas_udf(_excise(auto, longest, coverage), "string", F.PandasUDFType.SCALAR_ITER)(F.col(f"`{text_col}`")))
+        docs = docs.withColumn(text_col, F.pandas_udf(_excise(auto, longest, coverage), "string")(F.col(f"`{text_col}`")))
     return docs
 
 
@@ -298,7 +298,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
     hits: list[Column] = []
     for block in _blocks(items, "item_id", "text", BLOCK_WORDS):
         auto = spark.sparkContext.broadcast(SuffixAutomaton(block))
-        hits.append(F.pandas_udf(_row_spans(auto), "struct<n:bigint,spans:array<struct<a:bigint,b:bigint>>>", F.PandasUDFType.SCALAR_ITER)(F.col(f"`{text_col}`")))
+        hits.append(F.pandas_udf(_row_spans(auto), "struct<n:bigint,spans:array<struct<a:bigint,b:bigint>>>")(F.col(f"`{text_col}`")))
     names = [f"_hits{i}" for i in range(len(hits))]
     out = docs.select("*", *[h.alias(n) for h, n in zip(hits, names, strict=True)])
     spans = F.concat(*[F.col(f"{n}.spans") for n in names])

@@ -1,0 +1,176 @@
+"""Chat formatting, secrets, byte-level BPE and decontamination on small fixtures."""
+
+import hashlib
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from loomline.llm import bpe, chat, decontaminate, secrets
+
+SCHEMA = "doc_id long, text string, lang string, key string, n int, id int, row string, spans string"
+
+
+def docs(spark, texts, first=0):
+    return spark.createDataFrame([(first + i, t, "x", "x", 1, 2, "x", "x") for i, t in enumerate(texts)], SCHEMA)
+
+
+EDGE = [None, "", " ", "a", "same text here", "same text here", "naïve café 東京 " * 3, "x" * 5000, " \n\t" * 700, "it's 123 " * 900]
+
+
+def test_bpe_round_trip_over_chunks(spark):
+    rng = random.Random(1)
+    alphabet = ["a", "bc", "'s", "'ll", " ", "  ", "\n", "9", "42", "!?", "é", "漢字", "🙂", " "]
+    texts = EDGE + ["".join(rng.choice(alphabet) for _ in range(n)) for n in (10, 100, 500, 3000)]
+    rows = docs(spark, texts)
+    encoding = bpe._encoding(bpe.vocabulary_path())
+    for chunk, overlap in ((16_384, 1_024), (64, 16), (200, 100)):
+        out = bpe.decode(bpe.encode(rows, chunk_chars=chunk, overlap_chars=overlap)).toPandas().set_index("doc_id")
+        assert len(out) == len(texts)
+        for i, t in enumerate(texts):
+            import numpy as np
+
+            assert np.frombuffer(out.loc[i, "ids"], "<u4").tolist() == encoding.encode_ordinary(t or ""), (chunk, i)
+            assert bytes(out.loc[i, "bytes"]) == (t or "").encode()
+
+
+def test_bpe_repeated_and_empty(spark):
+    rows = docs(spark, ["word " * 40])
+    assert bpe.digest(rows.unionByName(rows)).count() == 2
+    assert bpe.encode(rows.unionByName(rows), chunk_chars=64, overlap_chars=16).count() == 2
+    assert bpe.digest(rows.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        bpe.encode(rows, chunk_chars=10, overlap_chars=6)
+
+
+def test_chat_folds_events(spark):
+    log = spark.createDataFrame(
+        [
+            (1, 0, "message", "a", "user", "hi"),
+            (1, 1, "message", "b", "assistant", "He"),
+            (1, 2, "delta", "b", None, "llo"),
+            (1, 3, "regenerate", "b", None, "Good"),
+            (1, 4, "delta", "b", None, " day"),
+            (1, 5, "edit", "a", None, "hi there"),
+            (1, 6, "delta", "c", "assistant", "late"),
+            (2, 0, "message", "a", None, None),
+            (2, 0, "message", "a", None, None),
+        ],
+        "conv_id long, seq long, kind string, message_id string, role string, text string",
+    )
+    got = {(r.conv_id, r.message_id, r.role, r.text) for r in chat.fold_messages(log).collect()}
+    assert got == {(1, "a", "user", "hi there"), (1, "b", "assistant", "Good day"), (1, "c", "assistant", "late"), (2, "a", "", "")}
+    out = {r.conv_id: r for r in chat.format_log(log).collect()}
+    assert out[1].formatted == "<|turn|>user<|body|>hi there<|end|><|turn|>assistant<|body|>Good day<|end|><|turn|>assistant<|body|>late<|end|>"
+    assert "".join(s.text for s in out[1].segments) == out[1].formatted
+    assert len([s for s in out[2].segments]) == 6  # repeated rows stay
+
+
+@pytest.mark.parametrize("text", ["", "\\", "\\b\\l\\i", "</s>[INST] ok [/INST]", "<|turn|>user<|body|>x<|end|>", "<<SYS>>a<</SYS>> <s>", "a<b [c] <|", "\\\\<|end|>", None])
+def test_chat_escape_is_reversible(spark, text):
+    turns = spark.createDataFrame([(7, 0, "user", text), (7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    row = chat.digest(chat.log_of_turns(turns)).first()
+    t = text or ""
+    assert row.n_turns == 2 and row.loss_chars == len(t)
+    assert row.turns_sha256 == hashlib.sha256(f"user\n{t}\nassistant\n{t}\n".encode()).hexdigest()
+    assert row.loss_sha256 == hashlib.sha256(t.encode()).hexdigest()
+
+
+def test_chat_empty(spark):
+    turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat.digest(chat.log_of_turns(turns)).count() == 0
+
+
+def brute_spans(text):
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    out = [(m.start(), 0, "assign", m.end()) for m in assign.finditer(text) if len(m[2]) >= 8]
+    out += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    out += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    return ",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(out))
+
+
+def test_secrets_match_brute_force(spark):
+    rng = random.Random(3)
+    bits = ["password", "TOKEN", "api_key", "apikey", "=", ": ", '"', "'", " ", "abcdef12", "token: abcdefghij", "AKIA", "ABCD1234EFGH5678", "é🙂", "0123456789abcdef" * 2, "\n", "x"]
+    texts = EDGE + ["".join(rng.choice(bits) for _ in range(rng.randint(1, 60))) for _ in range(200)]
+    out = secrets.digest(docs(spark, texts)).toPandas().set_index("doc_id")
+    for i, t in enumerate(texts):
+        want = brute_spans(t or "")
+        assert out.loc[i, "base_sha256"] == hashlib.sha256(want.encode()).hexdigest(), t
+        assert set(filter(None, want.split(","))) <= set(out.loc[i, "spans"].split(","))
+
+
+def test_secrets_link_parts(spark):
+    key, value, host = "AKIA" + "Z9" * 8, "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "https://b.s3.amazonaws.com/x"
+    near = f"{key} {value} {host}"
+    far = f"{key}{' ' * 600}{value}"
+    out = {r.doc_id: r.spans for r in secrets.digest(docs(spark, [near, far, value, f"{key} {host}"])).collect()}
+    assert "weak_secret" in out[0] and "endpoint" in out[0]
+    assert "weak_secret" not in out[1] and "weak" not in out[2]
+    assert "endpoint" not in out[3]  # no secret value
+    masked = secrets.redact(docs(spark, [near, None, "clean"]))
+    assert masked.columns == docs(spark, []).columns
+    got = [r.text for r in masked.orderBy("doc_id").collect()]
+    assert got == ["[SECRET] [SECRET] [SECRET]", None, "clean"]
+
+
+def test_secrets_empty_and_native(spark):
+    rows = docs(spark, [])
+    assert secrets.digest(rows).count() == 0
+    plan = secrets.digest(docs(spark, ["a"]))._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def words(s):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), s or ""))
+
+
+def test_decontamination_matches_brute_force(spark):
+    rng = random.Random(5)
+    vocab = [f"w{i}" for i in range(12)] + ["É", "ß", "UP"]
+    some = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    long_items = [some(rng.randint(13, 40)) for _ in range(12)]
+    items = [*long_items, long_items[0], "w1 w2 w3", "zq", "", None]
+    texts = EDGE + [some(rng.randint(0, 60)) for _ in range(60)]
+    texts += [some(30) + " " + it[5:120] + " " + some(200) for it in long_items]
+    bench = spark.createDataFrame([(i, t, "x") for i, t in enumerate(items)], "item_id long, text string, doc_id string")
+    windows = {}
+    for i, t in enumerate(items):
+        w = words(t)
+        for k in [tuple(w)] if 0 < len(w) < 13 else [tuple(w[j : j + 13]) for j in range(len(w) - 12)] if w else []:
+            windows.setdefault(k, set()).add(str(i))
+    for block in (200_000, 20):
+        got = decontaminate.judge(decontaminate.match(docs(spark, texts), bench, block_words=block)).toPandas().set_index("doc_id")
+        for d, t in enumerate(texts):
+            w, hit, found = words(t), set(), set()
+            for k, names in windows.items():
+                for j in range(len(w) - len(k) + 1):
+                    if tuple(w[j : j + len(k)]) == k:
+                        hit.update(range(j, j + len(k)))
+                        found |= names
+            row = got.loc[d]
+            assert (row.n_words, row.n_hit, sorted(row["items"])) == (len(w), len(hit), sorted(found))
+            assert row.contaminated == (bool(hit) and 20 * len(hit) >= len(w))
+    kept = decontaminate.drop_contaminated(docs(spark, texts), bench)
+    assert {r.doc_id for r in kept.collect()} == set(got.index[~got.contaminated])
+    assert kept.columns == docs(spark, []).columns
+
+
+def test_decontamination_removes_spans(spark):
+    item = " ".join(f"q{i}" for i in range(60))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    text = "before " * 10 + item + " after" * 3000
+    out = [r.text for r in decontaminate.remove_spans(docs(spark, [text, "clean", None]), bench).orderBy("doc_id").collect()]
+    assert "q30" not in out[0] and out[0].startswith("before") and out[0].endswith("after")
+    assert out[1:] == ["clean", None]
+
+
+def test_decontamination_empty_tables(spark):
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate.digest(docs(spark, []), none).count() == 0
+    row = decontaminate.digest(docs(spark, ["a b"]), none).first()
+    assert (row.n_words, row.n_hit, row.n_items, row.contaminated) == (2, 0, 0, False)
+    assert row.items_sha256 == hashlib.sha256(b"").hexdigest()
+    assert decontaminate.drop_contaminated(docs(spark, ["a b"]), none).count() == 1
+    assert docs(spark, ["a"]).select(F.lit(1)).count() == 1
