@@ -6,5 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomline.plans import activity_queries, graph_queries, history_queries
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+for _area in (graph_queries, history_queries, activity_queries):
+    QUERIES |= _area.QUERIES
+    ORACLES |= _area.ORACLES
