@@ -17,8 +17,10 @@ NEAR_MS = 200
 TERMINAL = ("session.ended",)
 
 
-def millis(c: str = "ts") -> Column:
-    return F.unix_millis(F.col(c))
+def millis(c: str | Column = "ts") -> Column:
+    """Milliseconds since 1970 of a time with or without a zone."""
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_diff("MILLISECOND", epoch, F.col(c) if isinstance(c, str) else c)
 
 
 # Each rule: code, condition that a valid row fails. The first that holds rejects the row.
@@ -124,7 +126,7 @@ def tool_spans(events: DataFrame) -> DataFrame:
     own = F.col("start.seq").isNotNull() & (F.col("last_end").isNull() | (F.col("start.seq") > F.col("last_end")))
     return rows.select(
         "session", "tool_call", F.col("seq").alias("end_seq"), F.when(own, F.col("start.seq")).alias("start_seq"),
-        F.when(own, F.greatest(F.lit(0), millis() - F.unix_millis("start.ts"))).alias("duration_ms"), F.col("step").alias("outcome"),
+        F.when(own, F.greatest(F.lit(0), millis() - millis("start.ts"))).alias("duration_ms"), F.col("step").alias("outcome"),
     )
 
 
@@ -140,7 +142,7 @@ def session_states(events: DataFrame, now: Column) -> DataFrame:
         F.max(F.when(F.col("status") == "failed", F.col("ts"))).alias("failed_at"), F.max_by("type", "seq").alias("last_type"), F.count_if(F.col("status") == "failed").alias("failures"),
     )
     open_ = F.col("opened").isNotNull() & (F.col("closed").isNull() | (F.col("opened") > F.col("closed")))
-    age = lambda c: F.unix_millis(now) - F.unix_millis(c)
+    age = lambda c: millis(now) - millis(c)
     status = F.when(F.coalesce(age("failed_at") <= FAILED_MS, F.lit(False)), "failed").when(open_ & (age("last_at") > STALLED_MS), "stalled").when(open_, "active").otherwise("idle")
     return out.select("session", "events", "started", "last_at", "failures", "last_type", open_.alias("turn_open"), status.alias("status"))
 
@@ -157,7 +159,7 @@ def artifacts(events: DataFrame, now: Column) -> DataFrame:
     # whatever has ended before the longest lifetime can't be alive: the filter reaches the scan
     recent = events.where(F.col("ts") > now - F.expr(f"INTERVAL {FAILED_PULSE_MS // 1000} SECONDS"))
     out = recent.select("seq", "session", F.explode(made).alias("m")).select("m.kind", "seq", "session", "m.expires_ms")
-    return out.where(F.col("expires_ms") > F.unix_millis(now))
+    return out.where(F.col("expires_ms") > millis(now))
 
 
 def capped_markers(events: DataFrame, group: str = "session", each: int = MARKERS_PER_GROUP, total: int = MARKERS) -> DataFrame:

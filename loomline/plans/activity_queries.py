@@ -97,11 +97,12 @@ def turn_windows(spark: SparkSession, d: str) -> DataFrame:
     + """, t AS (SELECT * FROM activity WHERE type LIKE 'tool%' AND tool_call IS NOT NULL),
 m AS (SELECT e.session, e.tool_call, e.seq AS end_seq, e.ts, (SELECT max(s.seq) FROM t s WHERE s.session = e.session AND s.tool_call = e.tool_call AND s.type = 'tool.started' AND s.seq < e.seq) AS s,
   (SELECT max(x.seq) FROM t x WHERE x.session = e.session AND x.tool_call = e.tool_call AND x.type <> 'tool.started' AND x.seq < e.seq) AS p FROM t e WHERE type <> 'tool.started')
-SELECT m.session, m.tool_call, end_seq, b.seq AS start_seq, greatest(0, epoch_ms(m.ts) - epoch_ms(b.ts)) AS duration_ms, 'completed' AS outcome
-FROM m LEFT JOIN t b ON b.seq = m.s AND (m.p IS NULL OR m.s > m.p)""".replace("greatest(0, epoch_ms(m.ts) - epoch_ms(b.ts))", "CASE WHEN b.seq IS NOT NULL THEN greatest(0, epoch_ms(m.ts) - epoch_ms(b.ts)) END")
+SELECT m.session, m.tool_call, end_seq, coalesce(b.seq, -1) AS start_seq, greatest(0, (epoch_us(m.ts) // 1000) - (epoch_us(b.ts) // 1000)) AS duration_ms, 'completed' AS outcome
+FROM m LEFT JOIN t b ON b.seq = m.s AND (m.p IS NULL OR m.s > m.p)""".replace("greatest(0, (epoch_us(m.ts) // 1000) - (epoch_us(b.ts) // 1000))", "CASE WHEN b.seq IS NOT NULL THEN greatest(0, (epoch_us(m.ts) // 1000) - (epoch_us(b.ts) // 1000)) ELSE -1 END")
 )
 def tool_spans(spark: SparkSession, d: str) -> DataFrame:
-    return act.tool_spans(src.activity(spark, d))
+    """Ends without a start have -1 for it and for their duration."""
+    return act.tool_spans(src.activity(spark, d)).fillna(-1, ["start_seq", "duration_ms"])
 
 
 @query(
@@ -110,7 +111,7 @@ def tool_spans(spark: SparkSession, d: str) -> DataFrame:
 s AS (SELECT session, count(*) AS events, min(ts) AS started, max(ts) AS last_at, max(seq) FILTER (type = 'prompt.submitted') AS o, max(seq) FILTER (type = 'turn.completed') AS c,
   max(ts) FILTER (status = 'failed') AS f, count(*) FILTER (status = 'failed') AS failures, arg_max(type, seq) AS last_type FROM activity GROUP BY session),
 z AS (SELECT *, o IS NOT NULL AND (c IS NULL OR o > c) AS turn_open FROM s, n)
-SELECT session, events, started, last_at, failures, last_type, turn_open, CASE WHEN epoch_ms(now) - epoch_ms(f) <= 60000 THEN 'failed' WHEN turn_open AND epoch_ms(now) - epoch_ms(last_at) > 180000 THEN 'stalled' WHEN turn_open THEN 'active' ELSE 'idle' END AS status FROM z"""
+SELECT session, events, started, last_at, failures, last_type, turn_open, CASE WHEN (epoch_us(now) // 1000) - (epoch_us(f) // 1000) <= 60000 THEN 'failed' WHEN turn_open AND (epoch_us(now) // 1000) - epoch_ms(last_at) > 180000 THEN 'stalled' WHEN turn_open THEN 'active' ELSE 'idle' END AS status FROM z"""
 )
 def session_states(spark: SparkSession, d: str) -> DataFrame:
     e = src.activity(spark, d)
@@ -120,10 +121,10 @@ def session_states(spark: SparkSession, d: str) -> DataFrame:
 @query(
     BASE
     + """, n AS (SELECT max(ts) AS now FROM activity), a AS (
-  SELECT 'pulse' AS kind, seq, session, epoch_ms(ts) + CASE WHEN status = 'failed' THEN 120000 ELSE 60000 END AS expires_ms FROM activity
-  UNION ALL SELECT 'ray', seq, session, epoch_ms(ts) + CASE WHEN status = 'failed' THEN 60000 ELSE 30000 END FROM activity
-  UNION ALL SELECT 'marker', seq, session, epoch_ms(ts) + 30000 FROM activity)
-SELECT kind, seq, session, expires_ms FROM a, n WHERE expires_ms > epoch_ms(now)"""
+  SELECT 'pulse' AS kind, seq, session, (epoch_us(ts) // 1000) + CASE WHEN status = 'failed' THEN 120000 ELSE 60000 END AS expires_ms FROM activity
+  UNION ALL SELECT 'ray', seq, session, (epoch_us(ts) // 1000) + CASE WHEN status = 'failed' THEN 60000 ELSE 30000 END FROM activity
+  UNION ALL SELECT 'marker', seq, session, (epoch_us(ts) // 1000) + 30000 FROM activity)
+SELECT kind, seq, session, expires_ms FROM a, n WHERE expires_ms > (epoch_us(now) // 1000)"""
 )
 def live_artifacts(spark: SparkSession, d: str) -> DataFrame:
     e = src.activity(spark, d)
@@ -135,7 +136,7 @@ def marker_caps(spark: SparkSession, d: str) -> DataFrame:
     return act.capped_markers(src.activity(spark, d)).select("session", "seq")
 
 
-_FRAMES = ", r AS (SELECT session, seq, epoch_ms(ts) - first_value(epoch_ms(ts)) OVER (PARTITION BY session ORDER BY seq) AS rel FROM activity), frames AS (SELECT session, seq, greatest(0, max(rel) OVER (PARTITION BY session ORDER BY seq)) AS virtual_ms FROM r)"
+_FRAMES = ", r AS (SELECT session, seq, (epoch_us(ts) // 1000) - first_value((epoch_us(ts) // 1000)) OVER (PARTITION BY session ORDER BY seq) AS rel FROM activity), frames AS (SELECT session, seq, greatest(0, max(rel) OVER (PARTITION BY session ORDER BY seq)) AS virtual_ms FROM r)"
 
 
 @query(BASE + _FRAMES + " SELECT * FROM frames")

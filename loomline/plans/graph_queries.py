@@ -31,10 +31,10 @@ def query(sql: str | None = None):
     return add
 
 
-def longs(df: DataFrame) -> DataFrame:
+def longs(df: DataFrame, digits: int = 6) -> DataFrame:
     """Counts as bigint and doubles rounded, for comparison."""
     kinds = {"int": "bigint", "smallint": "bigint"}
-    return df.select(*[F.round(c, 6).alias(c) if k == "double" else F.col(c).cast(kinds[k]).alias(c) if k in kinds else F.col(c) for c, k in df.dtypes])
+    return df.select(*[F.round(c, digits).alias(c) if k == "double" else F.col(c).cast(kinds[k]).alias(c) if k in kinds else F.col(c) for c, k in df.dtypes])
 
 
 @query(BASE + " SELECT id, kind, label, namespace, external, file FROM nodes")
@@ -246,12 +246,12 @@ def namespace_metrics(spark: SparkSession, d: str) -> DataFrame:
     return out.select("ns", "fan_in", "fan_out", "cycle_size", "connectedness", "overdependency")
 
 
-def _arcs(spark: SparkSession, d: str, kinds=("requires",)) -> DataFrame:
+def _arcs(spark: SparkSession, d: str, kinds=("requires", "calls")) -> DataFrame:
     e = src.edges(spark, d).where(F.col("kind").isin(*kinds))
     return e.select(F.concat_ws(">", "source", "target").alias("arc"), F.col("source").alias("a"), F.col("target").alias("b")).distinct()
 
 
-_ARCS = ", arcs AS (SELECT DISTINCT source AS a, target AS b, source || '>' || target AS arc FROM edges WHERE kind = 'requires')"
+_ARCS = ", arcs AS (SELECT DISTINCT source AS a, target AS b, source || '>' || target AS arc FROM edges WHERE kind <> 'mentions')"
 
 
 def _levels(direction: str) -> str:
@@ -298,10 +298,10 @@ def invalidated(spark: SparkSession, d: str) -> DataFrame:
     + BETWEEN
     + """, ends AS (SELECT min(ns) AS x, max(ns) AS y FROM spaces), want AS (SELECT d FROM short, ends WHERE s = x AND t = y),
 walks AS (
-  SELECT x AS at, x AS path, 0 AS d FROM ends
-  UNION ALL SELECT b, path || '>' || b, w.d + 1 FROM walks w JOIN arcs ON a = at, want, ends WHERE w.d < want.d
-    AND EXISTS (SELECT 1 FROM short z WHERE z.s = b AND z.t = y AND z.d = want.d - w.d - 1))
-SELECT path, d::BIGINT AS distance FROM walks, ends WHERE at = y ORDER BY string_split(path, '>') LIMIT 5"""
+  SELECT x AS spot, x AS path, 0 AS d FROM ends
+  UNION ALL SELECT b, path || '>' || b, w.d + 1 FROM walks w JOIN arcs ON a = spot CROSS JOIN want CROSS JOIN ends JOIN short z ON z.s = b AND z.t = y AND z.d = want.d - w.d - 1
+    WHERE w.d < want.d)
+SELECT path, d::BIGINT AS distance FROM walks, ends WHERE spot = y ORDER BY string_split(path, '>') LIMIT 5"""
 )
 def connection_paths(spark: SparkSession, d: str) -> DataFrame:
     n = src.nodes(spark, d)

@@ -36,17 +36,17 @@ def _static(spark: SparkSession, d: str) -> DataFrame:
     return history.static_pairs(src.edges(spark, d).where("kind = 'requires'"), src.symbols(spark, d))
 
 
-_PICK = " SELECT a, b, co_changes, round(support, 6) AS support, round(conf_a, 6) AS conf_a, round(conf_b, 6) AS conf_b, round(confidence, 6) AS confidence, round(jaccard, 6) AS jaccard, round(lift, 6) AS lift, is_static, NOT is_static AND co_changes >= 2 AND confidence >= 0.5 AS hidden FROM coupled"
+_PICK = " SELECT a, b, co_changes, round(support, 9) AS support, round(conf_a, 9) AS conf_a, round(conf_b, 9) AS conf_b, round(confidence, 9) AS confidence, round(jaccard, 9) AS jaccard, round(lift, 9) AS lift, is_static, NOT is_static AND co_changes >= 2 AND confidence >= 0.5 AS hidden FROM coupled"
 
 
 @query(BASE + SEEN + _PICK)
 def temporal_coupling(spark: SparkSession, d: str) -> DataFrame:
-    return longs(history.temporal_coupling(history.observations(src.changes(spark, d)), _static(spark, d)))
+    return longs(history.temporal_coupling(history.observations(src.changes(spark, d)), _static(spark, d)), 9)
 
 
 @query(BASE + SEEN + _PICK + " ORDER BY co_changes DESC, coupled.lift DESC, coupled.confidence DESC, a, b LIMIT 48")
 def top_coupling(spark: SparkSession, d: str) -> DataFrame:
-    return longs(history.temporal_coupling(history.observations(src.changes(spark, d)), _static(spark, d), max_pairs=48))
+    return longs(history.temporal_coupling(history.observations(src.changes(spark, d)), _static(spark, d), max_pairs=48), 9)
 
 
 @query(BASE + SEEN + " SELECT ns, k AS commits FROM each")

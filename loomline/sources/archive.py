@@ -5,19 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-LINE = "recordingSequence bigint, capturedAt timestamp, event string"
+LINE = "recordingSequence bigint, capturedAt timestamp_ntz, event string"
+TIMES = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
 def to_recordings(events: DataFrame) -> DataFrame:
     """(recording_id, recordingSequence, capturedAt, event): a session as a recording, numbered from 1."""
     number = F.row_number().over(Window.partitionBy("session").orderBy("seq"))
-    body = F.to_json(F.struct(*[c for c in events.columns if c != "session"]))
-    return events.select(F.col("session").alias("recording_id"), number.cast("bigint").alias("recordingSequence"), F.col("ts").alias("capturedAt"), body.alias("event"))
+    body = F.to_json(F.struct(*[c for c in events.columns if c != "session"]), TIMES)
+    return events.select(F.col("session").alias("recording_id"), number.cast("bigint").alias("recordingSequence"), F.col("ts").cast("timestamp_ntz").alias("capturedAt"), body.alias("event"))
 
 
 def append(recordings: DataFrame, path: str) -> None:
     """Add lines, in folders by recording."""
-    recordings.write.mode("append").partitionBy("recording_id").json(path)
+    recordings.write.mode("append").partitionBy("recording_id").options(**TIMES).json(path)
 
 
 def manifest(recordings: DataFrame) -> DataFrame:
@@ -30,7 +31,7 @@ def manifest(recordings: DataFrame) -> DataFrame:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Lines as they are; what isn't JSON is in ``_corrupt_record``."""
-    return spark.read.schema(f"{LINE}, recording_id string, _corrupt_record string").option("mode", "PERMISSIVE").json(path)
+    return spark.read.schema(f"{LINE}, recording_id string, _corrupt_record string").options(mode="PERMISSIVE", **TIMES).json(path)
 
 
 def recover(lines: DataFrame) -> DataFrame:
