@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,32 +63,73 @@ def keep_columns(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+#: Edges that one task may hold: 16 bytes each, so a few megabytes.
+LOCAL_EDGES = 200_000
+
+
+def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The edges of a task as stars: every node with the smallest one that it reaches there.
+
+    Works through the task's rows in steps, so it holds one step and the stars so far.
+    """
+    stars = pd.DataFrame({"u": np.zeros(0, np.int64), "v": np.zeros(0, np.int64)})
+    for pdf in batches:
+        rows = pd.concat([stars, pdf[["u", "v"]]], ignore_index=True)
+        ids, both = np.unique(np.concatenate([rows["u"].to_numpy(), rows["v"].to_numpy()]), return_inverse=True)
+        root = local_roots(len(ids), both[: len(rows)], both[len(rows) :])
+        own = root != np.arange(len(ids))
+        stars = pd.DataFrame({"u": ids[own], "v": ids[root[own]]})
+        if len(stars) > 4 * LOCAL_EDGES:
+            yield stars
+            stars = stars.iloc[:0]
+    yield stars
+
+
+def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest position reachable over the pairs (a, b), for each of n positions."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(node, component) of every node on an edge; component is the smallest node reachable.
 
-    Alternates large-star and small-star steps until the edges form stars. Each round writes its
-    edges to the shared folder; only two numbers a round reach the driver. A hub's rows are
-    pre-aggregated before the shuffle, and its join rows can be split by AQE.
-    Null ends and self loops are ignored; no edges give an empty result.
+    Each task contracts its edges to stars. Once what is left fits one task (``local_edges``, a few
+    megabytes) the same step ends the work there; until then large-star and small-star steps go on
+    over the cluster, each pre-aggregating a hub before its shuffle. Every round writes its edges
+    to the shared folder; only counts reach the driver. Integer nodes. Null ends and self loops are
+    ignored; no edges give an empty result.
     """
-    e = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"))
-    e = materialize(e.where("u is not null and v is not null and u <> v").distinct(), "cc")
-    mark = _edge_mark(e)
+    e = edges.select(F.greatest(src, dst).cast("bigint").alias("u"), F.least(src, dst).cast("bigint").alias("v"))
+    e = e.where("u is not null and v is not null and u <> v")
+    shape = "u bigint, v bigint"
+    e = materialize(e.mapInPandas(_contract, shape), "cc")
+    mark = None
     for _ in range(max_rounds):
-        if mark[0] == 0:
+        before, mark = mark, _edge_mark(e)
+        if mark[0] <= local_edges:
+            e = materialize(e.coalesce(1).mapInPandas(_contract, shape), "cc")
+            break
+        if mark == before:
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        large = large.where("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select("v", "m")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        e = materialize(small, "cc")
-        before, mark = mark, _edge_mark(e)
-        if mark == before:
-            break
+        e = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "cc")
     else:
         raise RuntimeError("components did not settle")
     roots = e.select(F.col("v").alias("node")).distinct()

@@ -2,10 +2,12 @@
 
 Vectors are scaled to length one, so a cosine of ``c`` is a distance of ``sqrt(2 - 2 c)``. Each is
 put in the list of its nearest coarse centre; what it differs from the centre is coded in
-subspaces. As a query, a vector probes every list that can hold a vector within that distance (a
-bound by the plane between two centres, so no list is left out), compares
-table-lookup distances there, less each code's own error, and reranks what remains by the exact
-cosine. Recall is therefore that of brute force.
+subspaces. As a query, a vector probes every list whose plane it is near enough to: a copy that
+differs in a random direction crosses a plane at ``k`` standard deviations of that difference with
+the normal distribution's tail probability. It compares table-lookup distances there, less each
+code's own error (so the lookup loses nothing), and reranks what remains by the exact cosine. The
+probes alone bound recall: over 0.998 at the threshold by default, and measured as 1 on the test
+tables.
 
 Exact copies are one class before the search. Lists larger than a block are split into blocks, as
 are their queries, so no task gets more than a block of either; only link counts and the edges of
@@ -30,6 +32,8 @@ SAMPLE_ROWS = 20_000
 MAX_LISTS = 4_096
 SUBSPACES, CODES = 8, 32
 BLOCK_ROWS = 2_048
+#: Standard deviations of a random difference at the threshold within which planes are crossed.
+PROBE_SIGMAS = 3.0
 #: Slack of the distance bounds against rounding.
 SLACK = 1e-6
 
@@ -86,18 +90,22 @@ def encode(rest: np.ndarray, books: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return codes.astype(np.uint8), np.sqrt((miss**2).sum((1, 2)))
 
 
-def probes(x: np.ndarray, q: Quantiser, reach: float) -> np.ndarray:
-    """(rows, lists): whether a list can hold a vector within ``reach`` of the row.
+def probe_margin(cosine: float, dims: int, sigmas: float = PROBE_SIGMAS) -> float:
+    """Distance from a plane within which the list behind it is probed."""
+    return (2 - 2 * cosine) ** 0.5 * min(1.0, sigmas / dims**0.5)
 
-    A member of a list is no farther from its centre than from the row's own, so it lies beyond the
-    plane between them; the row's distance from that plane bounds its distance from the member.
+
+def probes(x: np.ndarray, q: Quantiser, margin: float) -> np.ndarray:
+    """(rows, lists): whether a row lies within ``margin`` of the plane between its list and another.
+
+    Its own list is always probed. With a margin of the whole distance no link can be lost.
     """
     norms = (q.centres**2).sum(1)
     d2 = (x**2).sum(1)[:, None] + norms - 2 * x @ q.centres.T
     own = d2.argmin(1)
     rows = np.arange(len(x))
     gap = np.sqrt(np.maximum(norms[own][:, None] + norms - 2 * q.centres[own] @ q.centres.T, 1e-30))
-    out = d2 - d2[rows, own][:, None] <= 2 * gap * (reach + SLACK)
+    out = d2 - d2[rows, own][:, None] <= 2 * gap * (margin + SLACK)
     out[rows, own] = True
     return out
 
@@ -107,7 +115,7 @@ def _unit(values: pd.Series) -> np.ndarray:
     return x / np.sqrt((x**2).sum(1))[:, None]
 
 
-def _index(shared, reach: float):
+def _index(shared, margin: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         q: Quantiser = shared.value
         for pdf in batches:
@@ -120,7 +128,7 @@ def _index(shared, reach: float):
                     {"list": own, "rep": part["rep"].to_numpy(), "copies": part["copies"].to_numpy(), "embedding": part["embedding"].to_numpy(), "code": [c.tobytes() for c in codes], "miss": miss, "query": False}
                 )
                 for rows in np.array_split(np.arange(len(x)), max(1, len(x) // 128)):
-                    r, c = np.nonzero(probes(x[rows], q, reach))
+                    r, c = np.nonzero(probes(x[rows], q, margin))
                     r = rows[r]
                     for s in range(0, len(r), 4096):
                         t = r[s : s + 4096]
@@ -155,20 +163,6 @@ def block_links(base: pd.DataFrame, queries: pd.DataFrame, q: Quantiser, at: int
     return np.concatenate(left), np.concatenate(right)
 
 
-def _block_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest row reachable by the pairs, for each of n rows."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def _search(shared, cosine: float):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"rep": pd.Series(dtype="int64"), "links": pd.Series(dtype="int64"), "low": pd.Series(dtype="int64")})
@@ -185,12 +179,12 @@ def _search(shared, cosine: float):
         a, b = both[: len(i)], both[len(i) :]
         links = np.bincount(a, base["copies"].to_numpy()[j], len(ids)).astype(np.int64)
         # ids are sorted, so the smallest row is the smallest id
-        return pd.DataFrame({"rep": ids, "links": links, "low": ids[_block_roots(len(ids), a, b)]})
+        return pd.DataFrame({"rep": ids, "links": links, "low": ids[common.local_roots(len(ids), a, b)]})
 
     return run
 
 
-def classes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def classes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, block_rows: int = BLOCK_ROWS, probe_sigmas: float = PROBE_SIGMAS) -> DataFrame:
     """(id_col, n_links, component_id) of every row.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and those of another
@@ -218,9 +212,9 @@ def classes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     sample = _unit(sample["embedding"]) if len(sample) else _unit(reps.limit(1).toPandas()["embedding"])
     quantiser = fit(sample, int(min(MAX_LISTS, max(1, 2 * n**0.5, n / 65_536), max(1, len(sample) // 4))))
     shared = spark.sparkContext.broadcast(quantiser)
-    reach = float(np.sqrt(2 - 2 * cosine))
+    margin = probe_margin(cosine, sample.shape[1], probe_sigmas)
     indexed = common.spread(reps, "rep").mapInPandas(
-        _index(shared, reach), "list bigint, rep bigint, copies bigint, embedding array<float>, code binary, miss double, query boolean"
+        _index(shared, margin), "list bigint, rep bigint, copies bigint, embedding array<float>, code binary, miss double, query boolean"
     )
     indexed = common.materialize(indexed, "embed-index")
     # how many blocks a list's members and queries make: one row a list, of which there are a bounded number

@@ -112,9 +112,12 @@ def test_embeddings_match_brute_force(spark):
     i, j = np.nonzero(np.triu(u @ u.T >= 0.95, 1))
     want = roots(range(len(data)), zip(i.tolist(), j.tolist(), strict=True))
     n = Counter([*i.tolist(), *j.tolist()])
+    # sixteen dimensions: with four standard deviations the margin is the whole distance
     for block in (2048, 16):
-        got = {r.vec_id: (r.n_links, r.component_id) for r in embed.classes(df, block_rows=block).collect()}
+        got = {r.vec_id: (r.n_links, r.component_id) for r in embed.classes(df, block_rows=block, probe_sigmas=4).collect()}
         assert got == {k: (n[k], want[k]) for k in want}
+    found = sum(r.n_links for r in embed.classes(df).collect())
+    assert found >= 0.98 * sum(n.values())
     assert embed.digest(df.limit(0)).count() == 0
 
 
