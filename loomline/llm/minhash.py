@@ -5,15 +5,18 @@ of that rate, every arrival falls into a register drawn at random, and a registe
 arrival. Two texts agree in a register with a probability equal to the probability Jaccard of their
 weighted shingles. An element stops once its next arrival is later than every register's.
 
-Bands of registers give candidate pairs, which are verified by the exact probability Jaccard. The
-result is one class per document. To find the classes no bucket is expanded into all its pairs:
-members are compared with one member of their bucket first, and only pairs that still lie in
-different classes are compared further, until none is left.
+Bands of registers give candidate pairs. Those whose signatures agree well enough are verified by
+the exact probability Jaccard. The result is one class per document. To find the classes no bucket
+is expanded into all its pairs. A few bands come first, where members are compared with one member
+of their bucket. Of all bands only those buckets go on whose members still lie in different classes:
+their signatures are compared block by block inside the tasks, and pairs leave a task only if they
+agree well enough and join two classes; first the best ones (a spanning forest), then what is left.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,14 +29,18 @@ from .decontaminate import words_of
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
-BANDS, BAND_ROWS = 32, 5
+BANDS, BAND_ROWS = 40, 7
 REGISTERS = BANDS * BAND_ROWS
+#: Bands in which members are first compared with a leader.
+LEAD_BANDS = 4
+#: Members of a bucket that are compared in one block; larger buckets are split into pairs of blocks.
+BLOCK_TEXTS = 512
+#: Standard deviations below the threshold at which an agreement of signatures still counts.
+SIGMAS = 6
+#: Texts whose shingles a round may ask for by a broadcast of their ids (8 bytes each).
+BROADCAST_IDS = 1_000_000
 #: Shingles of a batch in a task; a longer text is a batch of its own.
 BATCH_SHINGLES = 400_000
-#: Pairs for each text that are left to compare when leaders give way to all remaining pairs.
-PAIRS_PER_TEXT = 10
-LEADER_ROUNDS = 6
-
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _MULTIPLIER = np.uint64(0x100000001B3C6D9 | 1)
 
@@ -124,7 +131,9 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def flush() -> pd.DataFrame:
         doc = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
         winners = prob_minhash(doc, np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), len(parts))
-        return pd.DataFrame({"id": ids, "digest": digests, "bands": list(bands_of(winners))})
+        # one byte of each register is enough to compare signatures
+        sketch = (winners >> np.uint64(56)).astype(np.uint8)
+        return pd.DataFrame({"id": ids, "digest": digests, "bands": list(bands_of(winners)), "sketch": [s.tobytes() for s in sketch]})
 
     for pdf in batches:
         for key, text in zip(pdf["id"], pdf["text"], strict=True):
@@ -190,12 +199,16 @@ def _verify(similarity: float):
     return run
 
 
-def _members(signed: DataFrame, reps: DataFrame) -> DataFrame:
-    """(key, rep) of every bucket with two members or more."""
-    one = signed.join(reps, (signed["id"] == reps["rep"]) & (signed["digest"] == reps["digest"]), "left_semi")
-    rows = one.select(F.col("id").alias("rep"), F.explode("bands").alias("key")).distinct()
-    shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    return rows.join(shared, "key").select("key", "rep")
+def _alike(similarity: float):
+    """Pairs whose signatures agree as texts of that similarity may; others can't reach it."""
+    least = _least_agreement(similarity)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            x, y = (np.frombuffer(b"".join(pdf[c]), np.uint8).reshape(len(pdf), REGISTERS) for c in ("sa", "sb"))
+            yield pdf.loc[(x == y).mean(1) >= least, ["a", "b"]]
+
+    return run
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -203,78 +216,143 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
 
     Words are runs of letters and digits, A-Z lower-cased. Texts without words (null, empty) and
     rows without id are classes of their own. Rows that share an id are one document. Integer ids;
-    an empty table gives no rows; other columns are ignored. Pairs are found with the probability
-    of the bands: 0.999997 at the threshold, more above it.
+    an empty table gives no rows; other columns are ignored. A pair is found with the probability
+    of the bands: 0.9999 at the threshold, more above it.
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text"))
     usable = rows.where("id is not null and text is not null")
-    signed = common.materialize(usable.mapInPandas(_sign, "id bigint, digest binary, bands array<bigint>"), "minhash-signed")
-    reps = signed.groupBy("digest").agg(F.min("id").alias("rep"))
-    members = common.materialize(_members(signed, reps), "minhash-members")
-    ids = members.select(F.col("rep").alias("id")).distinct()
-    shingles = usable.join(ids, "id", "left_semi").mapInPandas(_shingle, "id bigint, shingles binary, counts binary")
-    # an id on several rows: every text of it is compared
-    shingles = common.materialize(shingles, "minhash-shingles")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        a = shingles.select(F.col("id").alias("a"), F.col("shingles").alias("sa"), F.col("counts").alias("ca"))
-        b = shingles.select(F.col("id").alias("b"), F.col("shingles").alias("sb"), F.col("counts").alias("cb"))
-        both = pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "ca", "sb", "cb")
-        return both.mapInPandas(_verify(similarity), "a bigint, b bigint")
-
-    n_texts = reps.count()
-    lead = members.groupBy("key").agg(F.min("rep").alias("a"))
-    pairs = members.join(lead, "key").where("a <> rep").select("a", F.col("rep").alias("b")).distinct()
-    tested = [common.materialize(pairs, "minhash-pairs")]
-    links = common.materialize(verify(tested[0]), "minhash-links")
-    last = False
-    for turn in range(1, LEADER_ROUNDS + 2):
-        comps = common.connected_components(links, "a", "b")
-        open_ = common.materialize(_open_buckets(members, comps), "minhash-open")
-        sizes = open_.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key")
-        sizes = sizes.agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"))
-        left = sizes.agg(F.sum("pairs")).first()[0] or 0
-        if not left:
-            break
-        last = last or turn > LEADER_ROUNDS or left <= PAIRS_PER_TEXT * n_texts + 10_000
-        pairs = _all_pairs(open_) if last else _leader_pairs(open_, turn)
+    signed = usable.mapInPandas(_sign, "id bigint, digest binary, bands array<bigint>, sketch binary")
+    signed = common.materialize(signed, "minhash-signed")
+    # exact copies are one text from here on; copies are met before the shuffle
+    first = F.min(F.struct("id", "bands", "sketch"))
+    reps = signed.groupBy("digest").agg(first.alias("r")).select("digest", F.col("r.id").alias("rep"), "r.bands", "r.sketch")
+    reps = common.materialize(reps, "minhash-reps")
+    side = lambda t, x, cols: t.select(F.col(t.columns[0]).alias(x), *[F.col(c).alias(c[0] + x) for c in cols])
+
+    def agreeing(pairs: DataFrame) -> DataFrame:
+        sketches = reps.select("rep", "sketch")
+        both = pairs.join(side(sketches, "a", ["sketch"]), "a").join(side(sketches, "b", ["sketch"]), "b")
+        return common.materialize(both.mapInPandas(_alike(similarity), "a bigint, b bigint"), "minhash-alike")
+
+    def verify(both: DataFrame) -> DataFrame:
+        ids = common.materialize(both.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "minhash-ids")
+        few = ids.count() <= BROADCAST_IDS
+        shingles = usable.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+        shingles = common.materialize(shingles.mapInPandas(_shingle, "id bigint, shingles binary, counts binary"), "minhash-shingles")
+        both = both.join(side(shingles, "a", ["shingles", "counts"]), "a").join(side(shingles, "b", ["shingles", "counts"]), "b")
+        return common.materialize(both.mapInPandas(_verify(similarity), "a bigint, b bigint"), "minhash-links")
+
+    tested = [common.materialize(_leader_pairs(_open_buckets(reps, None, LEAD_BANDS)), "minhash-pairs")]
+    links = verify(agreeing(tested[0]))
+    comps = common.connected_components(links, "a", "b")
+    open_ = _open_buckets(reps, comps, BANDS).join(reps.select("rep", "sketch"), "rep")
+    open_ = common.materialize(open_, "minhash-open")
+    for forest in (True, False):
+        pairs = _block_pairs(open_, comps, similarity, forest)
         for done in tested:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         tested.append(common.materialize(pairs, "minhash-pairs"))
-        new = common.materialize(verify(tested[-1]), "minhash-links")
-        links = links.unionByName(new)
-        if last:
-            comps = common.connected_components(links, "a", "b")
-            break
-        last = new.isEmpty()
-    of_rep = reps.join(comps.withColumnRenamed("node", "rep"), "rep", "left")
+        links = links.unionByName(verify(tested[-1]))
+        comps = common.connected_components(links, "a", "b")
+    of_rep = reps.select("digest", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     of_rep = of_rep.select("digest", F.coalesce("component", "rep").alias("class_id"))
     of_id = signed.select("id", "digest").join(of_rep, "digest").groupBy("id").agg(F.min("class_id").alias("class_id"))
     out = rows.select("id").join(of_id, "id", "left")
     return out.select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"))
 
 
-def _open_buckets(members: DataFrame, comps: DataFrame) -> DataFrame:
-    """(key, rep, comp) of the buckets whose members lie in more classes than one."""
-    placed = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-    placed = placed.select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    return placed.join(mixed, "key", "left_semi")
+def _open_buckets(reps: DataFrame, comps: DataFrame | None, bands: int) -> DataFrame:
+    """(key, rep, comp, n) of the buckets of the first bands whose members lie in more classes than one."""
+    rows = reps.select("rep", F.slice("bands", 1, bands).alias("bands"))
+    if comps is None:
+        rows = rows.withColumn("comp", F.col("rep"))
+    else:
+        rows = rows.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
+    placed = rows.select("rep", "comp", F.explode("bands").alias("key"))
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
+    return placed.join(mixed.select("key", "n"), "key").select("key", "rep", "comp", "n")
 
 
-def _leader_pairs(open_: DataFrame, turn: int) -> DataFrame:
-    """Each member with a leader of another class of its bucket, drawn anew each turn."""
-    mark = F.struct(F.xxhash64(F.col("comp"), F.lit(turn)).alias("h"), F.xxhash64(F.col("rep"), F.lit(turn)).alias("g"), F.col("comp").alias("c"), F.col("rep").alias("r"))
-    ends = open_.groupBy("key").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi"))
-    both = open_.join(ends, "key").withColumn("lead", F.when(F.col("lo.c") != F.col("comp"), F.col("lo.r")).otherwise(F.col("hi.r")))
+def _leader_pairs(open_: DataFrame) -> DataFrame:
+    """Each member with the leader of its bucket."""
+    mark = F.struct(F.xxhash64("rep").alias("h"), "rep")
+    lead = open_.groupBy("key").agg(F.min(mark).alias("lead"))
+    both = open_.join(lead, "key").select("rep", F.col("lead.rep").alias("lead")).where("rep <> lead")
     return both.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
 
 
-def _all_pairs(open_: DataFrame) -> DataFrame:
-    """The pairs of different classes that share a bucket."""
-    other = open_.select("key", F.col("rep").alias("r2"), F.col("comp").alias("c2"))
-    both = open_.join(other, "key").where("comp < c2")
-    return both.select(F.least("rep", "r2").alias("a"), F.greatest("rep", "r2").alias("b")).distinct()
+def _least_agreement(similarity: float) -> float:
+    return similarity - SIGMAS * (similarity * (1 - similarity) / REGISTERS) ** 0.5
+
+
+def _compare(similarity: float, forest: bool):
+    least = _least_agreement(similarity)
+
+    def pairs_of(rep: np.ndarray, comp: np.ndarray, part: np.ndarray, sketch: np.ndarray, split: bool) -> list[tuple[int, int]]:
+        found = []
+        for s in range(0, len(rep), 64):
+            t = slice(s, s + 64)
+            differ = (comp[t][:, None] != comp[None]) & ((part[t][:, None] < part[None]) if split else (rep[t][:, None] < rep[None]))
+            i, j = np.nonzero(differ)
+            if not len(i):
+                continue
+            agree = np.concatenate([(sketch[s + i[k : k + 30_000]] == sketch[j[k : k + 30_000]]).mean(1) for k in range(0, len(i), 30_000)])
+            keep = agree >= least
+            found.append((agree[keep], s + i[keep], j[keep]))
+        if not found:
+            return []
+        agree, i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+        if not forest:
+            return list(zip(np.minimum(rep[i], rep[j]).tolist(), np.maximum(rep[i], rep[j]).tolist(), strict=True))
+        up: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while up.get(c, c) != c:
+                c = up[c]
+            return c
+
+        out = []
+        for k in np.argsort(-agree, kind="stable").tolist():
+            a, b = root(int(comp[i[k]])), root(int(comp[j[k]]))
+            if a != b:
+                up[max(a, b)] = min(a, b)
+                out.append((min(int(rep[i[k]]), int(rep[j[k]])), max(int(rep[i[k]]), int(rep[j[k]]))))
+        return out
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come sorted by block, so a block is whole once the next one begins."""
+        held = None
+        for pdf in itertools.chain(batches, [None]):
+            rows = pd.concat([x for x in (held, pdf) if x is not None], ignore_index=True) if held is not None or pdf is not None else None
+            if rows is None or rows.empty:
+                continue
+            block = rows[["key", "i", "j"]].to_numpy()
+            starts = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]).any(1)])
+            ends = np.r_[starts[1:], len(rows)]
+            if pdf is not None:  # the last block may go on
+                held = rows.iloc[starts[-1] :]
+                starts, ends = starts[:-1], ends[:-1]
+            rep, comp, part = (rows[c].to_numpy() for c in ("rep", "comp", "part"))
+            sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(len(rows), REGISTERS)
+            out: set[tuple[int, int]] = set()
+            for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+                if b - a > 1 and (comp[a:b] != comp[a]).any():
+                    out.update(pairs_of(rep[a:b], comp[a:b], part[a:b], sketch[a:b], block[a][1] != block[a][2]))
+            if out:
+                yield pd.DataFrame(sorted(out), columns=["a", "b"])
+
+    return run
+
+
+def _block_pairs(open_: DataFrame, comps: DataFrame, similarity: float, forest: bool) -> DataFrame:
+    """(a, b): agreeing pairs of different classes that share a bucket, compared block by block."""
+    now = open_.drop("comp").join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
+    parts = F.ceil(F.col("n") / BLOCK_TEXTS).cast("int")
+    part = F.pmod(F.xxhash64("rep", "key"), parts).cast("int")
+    rows = now.select("key", "rep", "comp", "sketch", part.alias("part"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    rows = rows.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "rep", "comp", "sketch")
+    dealt = common.spread(rows, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInPandas(_compare(similarity, forest), "a bigint, b bigint").distinct()
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
