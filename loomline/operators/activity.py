@@ -225,3 +225,49 @@ def resolve_targets(paths: DataFrame, nodes: DataFrame) -> DataFrame:
     exact = paths.select("path").distinct().join(files.withColumnRenamed("file", "path"), "path").select("path", "node", F.lit("exact").alias("how"))
     found = asked.join(unique, "suffix").groupBy("path").agg(F.min_by("node", "k").alias("node")).select("path", "node", F.lit("suffix").alias("how"))
     return exact.union(found.join(exact, "path", "left_anti"))
+
+
+def attributed(events: DataFrame, column: str) -> DataFrame:
+    """Events with the last known value of a column of their session; those before any go."""
+    order = Window.partitionBy("session").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    return events.withColumn(column, F.last(column, ignorenulls=True).over(order)).where(F.col(column).isNotNull())
+
+
+def retained(events: DataFrame, size: Column, most: int, most_bytes: int) -> DataFrame:
+    """The newest events of each session whose number and running size fit; the oldest go first."""
+    newest = Window.partitionBy("session").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, 0)
+    run = events.withColumn("_n", F.count("*").over(newest)).withColumn("_b", F.sum(size).over(newest))
+    return run.where((F.col("_n") <= most) & (F.col("_b") <= most_bytes)).drop("_n", "_b")
+
+
+def delivery(status: Column) -> Column:
+    """delivered, retry or dropped for an HTTP status: client errors but timeouts and throttling are final."""
+    return F.when(status.between(200, 299), "delivered").when(status.between(400, 499) & ~status.isin(408, 429), "dropped").otherwise("retry")
+
+
+def merged_resources(*lists: Column, most: int = 32) -> Column:
+    """The lists joined in order, without repeats, cut to a number."""
+    return F.slice(F.array_distinct(F.concat(*[F.coalesce(c, F.array().cast("array<string>")) for c in lists])), 1, most)
+
+
+def latest_by_ancestor(events: DataFrame, place: str) -> DataFrame:
+    """(path, seq, type): the latest event on each dotted place or anything below it."""
+    parts = F.split(place, r"\.")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "."))
+    rows = events.where(F.col(place).isNotNull()).select(F.explode(prefixes).alias("path"), "seq", "type")
+    return rows.groupBy("path").agg(F.max("seq").alias("seq"), F.max_by("type", "seq").alias("type"))
+
+
+def inactive(events: DataFrame, now: Column, after_ms: int = INACTIVE_MS) -> DataFrame:
+    """(session, idle_ms): sessions without an event for some time."""
+    idle = millis(now) - millis("last")
+    return events.groupBy("session").agg(F.max("ts").alias("last")).select("session", idle.alias("idle_ms")).where(F.col("idle_ms") >= after_ms)
+
+
+def evicted(sessions: DataFrame, most: int) -> DataFrame:
+    """(session): the least recently used idle sessions beyond a number; active ones never go.
+
+    ``sessions``: session, active, last_seq.
+    """
+    rank = F.row_number().over(Window.orderBy(F.desc("active"), F.desc("last_seq"), "session"))
+    return sessions.withColumn("_k", rank).where((F.col("_k") > most) & ~F.col("active")).select("session")
