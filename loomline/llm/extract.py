@@ -167,12 +167,18 @@ def blocks_of(page: str) -> list[tuple[tuple[Element, ...], str]]:
     return out
 
 
+def path_flags(path: tuple[Element, ...]) -> tuple[bool, bool]:
+    """(in boilerplate, in main content) by the markup; an article's own header is no boilerplate."""
+    inside = next((i for i, e in enumerate(path) if e.tag in MAIN), None)
+    if inside is None:
+        return any(e.boiler for e in path), any(e.main for e in path)
+    return any(e.boiler for e in path[inside + 1 :] if e.tag != "header" or e.names), True
+
+
 def markup_label(path: tuple[Element, ...]) -> bool:
     """What the markup alone says: inside the article, and in none of its boilerplate."""
-    inside = [i for i, e in enumerate(path) if e.tag in MAIN]
-    if any(e.boiler for e in path[inside[0] :] if e.tag != "header") if inside else any(e.boiler for e in path):
-        return False
-    return bool(inside) or any(e.main for e in path) or bool(path and path[-1].tag in ("p", "h1", "blockquote", "pre"))
+    boiler, main = path_flags(path)
+    return not boiler and (main or bool(path and path[-1].tag in ("p", "h1", "blockquote", "pre")))
 
 
 def _bucket(word: str, n: int) -> int:
@@ -196,11 +202,10 @@ class Features:
             v[_bucket(e.tag, PATH_DIMS)] += 1.0
             for n in e.names.split():
                 v[_bucket("." + n, PATH_DIMS)] += 0.5
-            v[PATH_DIMS] = max(v[PATH_DIMS], e.boiler)
-            v[PATH_DIMS + 1] = max(v[PATH_DIMS + 1], e.main)
             v[PATH_DIMS + 2] = max(v[PATH_DIMS + 2], e.hidden)
             if e.tag in MAIN:
                 v[PATH_DIMS + 3] = 1.0
+        v[PATH_DIMS], v[PATH_DIMS + 1] = path_flags(tuple(e for e in path if e.tag not in drop))
         v[PATH_DIMS + 4] = bool(path) and path[-1].tag in ("p", "blockquote", "pre")
         v[PATH_DIMS + 5] = any(e.tag in ("li", "a") for e in path)
         return np.tanh(v)
@@ -322,20 +327,46 @@ def _padded(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
+# Boilerplate that training pages get more of than they have, as elements around a paragraph.
+_EXTRAS = tuple(
+    Element(tag, names)
+    for tag, names in (
+        ("aside", ""), ("form", ""), ("nav", ""), ("header", "site header"), ("section", "comments"), ("div", "comment"), ("ol", "comment list"), ("div", "sidebar"),
+        ("div", "notice"), ("div", "cookie banner"), ("div", "ad"), ("div", "advert sponsored"), ("div", "related"), ("div", "share"), ("ul", "menu"), ("div", "newsletter signup"),
+    )
+)
+_STAGES = (Element("article"), Element("main"), Element("div", "content"), Element("div", "post body"))
+
+
+def _varied(blocks: list[tuple[tuple[Element, ...], str]], texts: list[str], rng: np.random.Generator) -> list[tuple[tuple[Element, ...], str]]:
+    """A copy of a page with another main element, and boilerplate of main-like words in and around it."""
+    stage = _STAGES[rng.integers(len(_STAGES))]
+    out = [(tuple(stage if e.tag in MAIN else e for e in path), t) for path, t in blocks]
+    outer = (Element("html"), Element("body"))
+    for _ in range(rng.integers(0, 4)):
+        extra = _EXTRAS[rng.integers(len(_EXTRAS))]
+        at = int(rng.integers(0, len(out) + 1))
+        around = out[at][0] if at < len(out) and any(e in _STAGES for e in out[at][0]) and rng.random() < 0.6 else outer
+        around = around[: next((i + 1 for i, e in enumerate(around) if e in _STAGES), len(around))]
+        tail = ((Element("p"),), (), (Element("ul"), Element("li")), (Element("div"),))[rng.integers(4)]
+        for _ in range(rng.integers(1, 4)):
+            out.insert(at, ((*around, extra, *tail), texts[rng.integers(len(texts))]))
+    return out
+
+
 def fit(pages: list[str], epochs: int = 12, rows: int = 32, rate: float = 0.02, seed: int = 5) -> BiLstm:
-    """Train on pages labelled by their markup; in a part of the copies tags or names are hidden."""
+    """Train on pages labelled by their markup, as they are and varied; some copies hide tags."""
     rng = np.random.default_rng(seed)
     features, data = Features(), []
-    for page in pages:
-        blocks = blocks_of(page)
-        if not blocks:
-            continue
+    read = [b for b in map(blocks_of, pages) if b]
+    texts = [t for b in read for p, t in b if markup_label(p)][:5000] or ["text"]
+    for blocks in read:
         if len(blocks) > TRAIN_BLOCKS:
             half = TRAIN_BLOCKS // 2
             blocks = blocks[:half] + blocks[-half:]
-        y = np.array([markup_label(p) for p, _ in blocks], dtype=float)
-        for drop in (frozenset(), frozenset(rng.choice(["article", "body", "div", "html", "p", "h1", "main", "section"], 2).tolist())):
-            data.append((features.vectors(blocks, drop), y))
+        hidden = frozenset(rng.choice(["article", "body", "div", "html", "p", "h1", "main", "section"], 2).tolist())
+        for copy, drop in ((blocks, frozenset()), (blocks, hidden), (_varied(blocks, texts, rng), frozenset()), (_varied(blocks, texts, rng), frozenset(("html", "body")))):
+            data.append((features.vectors(copy, drop), np.array([markup_label(p) for p, _ in copy], dtype=float)))
     net = BiLstm(Features.dims)
     first, second = ({k: np.zeros_like(v) for k, v in net.p.items()} for _ in range(2))
     step = 0

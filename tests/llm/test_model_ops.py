@@ -73,6 +73,24 @@ def test_extraction_of_blocks(spark, net):
     assert extract.digest(rows.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "change",
+    [
+        lambda h, c: h.replace("</article>", f'</article><section class="comments"><p>{c}</p><p>{c}</p></section>'),
+        lambda h, c: h.replace("</article>", f'<div class="comments"><div class="comment"><p>{c}</p></div></div></article>'),
+        lambda h, c: h.replace("<article>", f'<header><h2>{c}</h2></header><aside class="sidebar"><p>{c}</p></aside><article>'),
+        lambda h, c: h.replace("<article>", "<main><div class='post'>").replace("</article>", f"</div></main><form><label>{c}</label><button>Send</button></form>"),
+        lambda h, c: h.replace("<article>", f'<div class="notice">{c}</div><article>').replace("</article>", f'<div class="share-buttons"><a>{c}</a></div></article><div id="cookie-banner"><p>{c}</p></div>'),
+        lambda h, c: h.replace("<article>", "<article><header>").replace("</h1>", "</h1></header>"),
+    ],
+)
+def test_extraction_of_varied_layouts(net, change):
+    words = "some plain sentence about a thing that goes on for a while."
+    html = page(f"<h1>Heading of it</h1><p>First {words}</p><p>Second {words}</p><p>Third {words}</p>")
+    _, blocks, q = next(iter(extract.label_pages(net, [change(html, f"Other {words}")], extract.Features())))
+    assert extract.main_text(blocks, q) == f"Heading of it\nFirst {words}\nSecond {words}\nThird {words}"
+
+
 def test_extraction_of_a_long_page(net):
     html = page("".join(f"<p>Paragraph number {i} says something plain.</p>" for i in range(3000)))
     _, blocks, q = next(iter(extract.label_pages(net, [html], extract.Features())))
