@@ -343,7 +343,7 @@ def _varied(blocks: list[tuple[tuple[Element, ...], str]], texts: list[str], rng
     stage = _STAGES[rng.integers(len(_STAGES))]
     out = [(tuple(stage if e.tag in MAIN else e for e in path), t) for path, t in blocks]
     outer = (Element("html"), Element("body"))
-    for _ in range(rng.integers(0, 4)):
+    for _ in range(rng.integers(0, 6)):
         extra = _EXTRAS[rng.integers(len(_EXTRAS))]
         at = int(rng.integers(0, len(out) + 1))
         around = out[at][0] if at < len(out) and any(e in _STAGES for e in out[at][0]) and rng.random() < 0.6 else outer
@@ -365,7 +365,7 @@ def fit(pages: list[str], epochs: int = 12, rows: int = 32, rate: float = 0.02,
             half = TRAIN_BLOCKS // 2
             blocks = blocks[:half] + blocks[-half:]
         hidden = frozenset(rng.choice(["article", "body", "div", "html", "p", "h1", "main", "section"], 2).tolist())
-        for copy, drop in ((blocks, frozenset()), (blocks, hidden), (_varied(blocks, texts, rng), frozenset()), (_varied(blocks, texts, rng), frozenset(("html", "body")))):
+        for copy, drop in ((blocks, frozenset()), (blocks, hidden), (_varied(blocks, texts, rng), frozenset()), (_varied(blocks, texts, rng), frozenset()), (_varied(blocks, texts, rng), frozenset(("html", "body")))):
             data.append((features.vectors(copy, drop), np.array([markup_label(p) for p, _ in copy], dtype=float)))
     net = BiLstm(Features.dims)
     first, second = ({k: np.zeros_like(v) for k, v in net.p.items()} for _ in range(2))

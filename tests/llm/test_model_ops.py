@@ -55,7 +55,7 @@ def net():
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
     para = lambda: " ".join(word() for _ in range(rng.randint(3, 60))).capitalize() + "."
     pages = []
-    for _ in range(80):
+    for _ in range(200):
         extra = rng.choice(["", f'<section class="comments"><p>{para()}</p></section>', f"<aside><p>{para()}</p></aside>", f"<form><p>{para()}</p></form>"])
         pages.append(page(f"<h1>{para()}</h1>" + "".join(f"<p>{para()}</p>" for _ in range(rng.randint(1, 8))), extra))
     return extract.fit(pages)
