@@ -271,3 +271,52 @@ def evicted(sessions: DataFrame, most: int) -> DataFrame:
     """
     rank = F.row_number().over(Window.orderBy(F.desc("active"), F.desc("last_seq"), "session"))
     return sessions.withColumn("_k", rank).where((F.col("_k") > most) & ~F.col("active")).select("session")
+
+# Tools that share the shell's group.
+SHELLS = ("bash", "shell", "sh", "zsh", "powershell", "exec", "terminal")
+
+
+def group_id(tool: Column, kind_: Column) -> Column:
+    """Group of an event in the live view: one for all shells, else one for the tool or kind."""
+    name = F.lower(F.trim(tool))
+    return F.when(name.isin(*SHELLS), "tool:bash").when(name != "", F.concat(F.lit("tool:"), name)).otherwise(F.concat(F.lit("kind:"), kind_))
+
+
+def recent(events: DataFrame, number: int = 0, size: int = 10) -> DataFrame:
+    """A page of the newest events, newest first."""
+    return events.orderBy(F.desc("seq")).offset(number * size).limit(size)
+
+
+def agents(events: DataFrame, agent: str = "agent") -> DataFrame:
+    """(session, agent, events, last_type, failed, waiting): the last known state of each agent."""
+    known = events.where(F.col(agent).isNotNull())
+    out = known.groupBy("session", agent).agg(
+        F.count("*").alias("events"), F.max_by("type", "seq").alias("last_type"), F.bool_or(F.col("status") == "failed").alias("failed"),
+        F.max(F.when(F.col("type") == "permission.requested", F.col("seq"))).alias("asked"), F.max(F.when(F.col("type") == "permission.completed", F.col("seq"))).alias("answered"),
+    )
+    waiting = F.col("asked").isNotNull() & (F.col("answered").isNull() | (F.col("asked") > F.col("answered")))
+    return out.withColumn("waiting", waiting).drop("asked", "answered")
+
+
+def signature(events: DataFrame) -> DataFrame:
+    """(session, signature): changes exactly when the kinds, last types or failures of a session do."""
+    parts = events.groupBy("session", "type").agg(F.max("status").alias("s"), F.count("*").alias("n"))
+    return parts.groupBy("session").agg(F.xxhash64(F.array_sort(F.collect_list(F.struct("type", "s", "n")))).alias("signature"))
+
+
+def coverage_state(events: DataFrame) -> DataFrame:
+    """(session, coverage): exact if all events name a tool call, observed if some do, else unavailable."""
+    out = events.groupBy("session").agg(F.count("*").alias("n"), F.count("tool_call").alias("k"))
+    return out.select("session", F.when(F.col("k") == F.col("n"), "exact").when(F.col("k") > 0, "observed").otherwise("unavailable").alias("coverage"))
+
+
+def from_hook(raw: DataFrame, body: str = "body") -> DataFrame:
+    """(type, status, session, tool): provider payloads in JSON as events; unknown names stay themselves."""
+    at = lambda p: F.get_json_object(body, p)
+    name = F.coalesce(at("$.hook_event_name"), at("$.event"), at("$.type"))
+    kind_ = (
+        F.when(name == "UserPromptSubmit", "prompt.submitted").when(name == "PreToolUse", "tool.started").when(name.isin("PostToolUse", "PostToolUseFailure"), "tool.completed")
+        .when(name == "SessionStart", "session.started").when(name == "SessionEnd", "session.ended").when(name == "Stop", "turn.completed").when(name == "PermissionRequest", "permission.requested").otherwise(F.lower(name))
+    )
+    failed = name.endswith("Failure") | at("$.error").isNotNull()
+    return raw.select(kind_.alias("type"), F.when(F.coalesce(failed, F.lit(False)), "failed").otherwise("ok").alias("status"), F.coalesce(at("$.session_id"), at("$.sessionId")).alias("session"), F.coalesce(at("$.tool_name"), at("$.tool")).alias("tool"))

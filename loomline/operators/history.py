@@ -181,3 +181,15 @@ def changed_elements(nodes: DataFrame, ranges: DataFrame, files: DataFrame, vari
         bare = files.join(ranges.select("file"), "file", "left_anti")
         out = out.union(spans.join(bare, "file", "left_semi").select("id"))
     return out.distinct()
+
+
+def server_coupling(commits: DataFrame, min_co: int = 1) -> DataFrame:
+    """(a, b, co_changes, confidence, lift) of commits (hash, i, namespaces), by pair.
+
+    Of commits of one hash the first counts, empty ones don't, and a commit counts with the namespaces it
+    has even if some of its files belong to none; an undefined lift is 0.
+    """
+    once = commits.groupBy("hash").agg(F.min_by("namespaces", "i").alias("namespaces"))
+    seen = once.select(F.col("hash").alias("commit"), F.explode(F.array_distinct("namespaces")).alias("ns")).where("ns is not null")
+    out = temporal_coupling(seen, min_co=min_co)
+    return out.select("a", "b", "co_changes", "confidence", F.coalesce("lift", F.lit(0.0)).alias("lift")).orderBy("a", "b")

@@ -80,3 +80,64 @@ def visible_groups(shown: DataFrame, leaves_only: bool = False) -> DataFrame:
         return paths
     parents = paths.select(F.regexp_extract("path", r"^(.*)\.[^.]*$", 1).alias("path")).distinct()
     return paths.join(parents, "path", "left_anti")
+
+
+def chosen(rows: DataFrame, column: str, values: list[str] | None, invert: bool = False) -> DataFrame:
+    """Rows of the chosen values; None chooses all. ``invert`` gives the others, to be dimmed."""
+    if values is None:
+        return rows.limit(0) if invert else rows
+    hit = F.coalesce(F.col(column).isin(values), F.lit(False))
+    return rows.where(~hit if invert else hit)
+
+
+def solo(values: list[str] | None, one: str) -> list[str] | None:
+    """The choice after a click on one value: that alone, or all again if it was alone."""
+    return None if values == [one] else [one]
+
+
+def same_workspace(a: str, b: str, parts: tuple[str, ...] = ("id", "repository", "root")) -> Column:
+    """Two workspace structs agree wherever both name a part."""
+    out = F.lit(True)
+    for p in parts:
+        out = out & F.coalesce(F.col(f"{a}.{p}") == F.col(f"{b}.{p}"), F.lit(True))
+    return out
+
+
+def calls_from_usages(usages: DataFrame, definitions: DataFrame, include_external: bool = False) -> DataFrame:
+    """(source, target, external, n): uses whose source is defined; external targets only if asked for.
+
+    usages: source, target. definitions: id.
+    """
+    known = definitions.select("id").distinct().withColumn("known", F.lit(True))
+    own = usages.join(known.select(F.col("id").alias("source")), "source", "left_semi")
+    out = own.join(known.withColumnRenamed("id", "target"), "target", "left").withColumn("external", F.col("known").isNull())
+    if not include_external:
+        out = out.where(~F.col("external"))
+    return out.groupBy("source", "target", "external").agg(F.count("*").alias("n"))
+
+
+def stable_json(df: DataFrame) -> DataFrame:
+    """(json): each row as compact JSON with its keys in order."""
+    return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(df.columns)])).alias("json"))
+
+
+def whitelisted(c: str, *values: str) -> Column:
+    """The value if it is one of those allowed, else null."""
+    return F.when(F.col(c).isin(*values), F.col(c))
+
+
+def evidence_line(*candidates: str) -> Column:
+    """The first known line of an evidence; lines below 1 don't count."""
+    return F.coalesce(*[F.when(F.col(c) >= 1, F.col(c)) for c in candidates])
+
+
+def glyphs(requires: Column, calls: Column, mentions: Column) -> Column:
+    """Short form of what links two namespaces: ``r2 c m``; a count of one isn't shown."""
+    one = lambda letter, n: F.when(n > 1, F.concat(F.lit(letter), n.cast("string"))).when(n == 1, letter)
+    return F.concat_ws(" ", one("r", requires), one("c", calls), one("m", mentions))
+
+
+def explicit_node(metadata: str, node: str, resources: str) -> Column:
+    """The node an event names: in its metadata, itself, or by its first resource that does."""
+    first = F.get(F.filter(resources, lambda r: r["node_id"].isNotNull()), F.lit(0))["node_id"]
+    return F.coalesce(F.try_element_at(F.col(metadata), F.lit("graphNodeId")), F.col(node), first)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomline.functions import hashing, register, text
 from loomline.operators import activity as act
-from loomline.operators import architecture, graph, history, metrics, traverse
+from loomline.operators import architecture, graph, history, metrics, selection, traverse
 from loomline.sources import archive
 
 NODES = "id string, kind string, label string, namespace string, external boolean, file string, row int, end_row int"
@@ -174,3 +174,43 @@ def test_shell_segments(spark):
 def test_tests_are_recognised(spark):
     df = spark.createDataFrame([("src/tests/a",), ("app.core",), ("x.FooTest",), ("contest.a",)], "namespace string")
     assert [r[0] for r in df.select(graph.is_test("namespace")).collect()] == [True, False, True, False]
+
+
+def test_choices_and_predicates(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "s string, n int")
+    assert selection.chosen(df, "s", None).count() == 3 and selection.chosen(df, "s", ["a"]).count() == 1
+    assert {r.n for r in selection.chosen(df, "s", ["a"], invert=True).collect()} == {2, 3}
+    assert selection.solo(["a"], "a") is None and selection.solo(None, "a") == ["a"]
+    w = spark.sql("SELECT struct('1' AS id, null AS repository, '/r' AS root) AS x, struct('1' AS id, 'q' AS repository, '/r' AS root) AS y, struct('2' AS id, 'q' AS repository, null AS root) AS z")
+    assert w.select(selection.same_workspace("x", "y"), selection.same_workspace("x", "z")).first()[:] == (True, False)
+    assert selection.stable_json(df.where("n = 1")).first().json == '{"n":1,"s":"a"}'
+    one = spark.sql("SELECT 2L AS r, 0L AS c, 1L AS m, 'x' AS k")
+    assert one.select(selection.glyphs(F.col("r"), F.col("c"), F.col("m"))).first()[0] == "r2 m"
+    assert one.select(selection.whitelisted("k", "y")).first()[0] is None
+
+
+def test_calls_from_usages(spark):
+    uses = spark.createDataFrame([("a", "b"), ("a", "b"), ("a", "ext"), ("ext", "a")], "source string, target string")
+    defs = spark.createDataFrame([("a",), ("b",)], "id string")
+    assert [tuple(r) for r in selection.calls_from_usages(uses, defs).collect()] == [("a", "b", False, 2)]
+    assert selection.calls_from_usages(uses, defs, include_external=True).count() == 2
+
+
+def test_explicit_node(spark):
+    df = spark.sql("SELECT map('a', 'b') AS meta, cast(null as string) AS node, array(named_struct('node_id', cast(null as string)), named_struct('node_id', 'n2')) AS resources")
+    assert df.select(selection.explicit_node("meta", "node", "resources")).first()[0] == "n2"
+
+
+def test_hooks_agents_and_groups(spark):
+    raw = spark.createDataFrame([('{"hook_event_name":"PostToolUse","session_id":"s","tool_name":"Bash","error":"x"}',), ('{"type":"Other"}',)], "body string")
+    assert [tuple(r) for r in act.from_hook(raw).collect()] == [("tool.completed", "failed", "s", "Bash"), ("other", "ok", None, None)]
+    assert act.from_hook(raw).select(act.group_id(F.col("tool"), F.lit("k"))).first()[0] == "tool:bash"
+    ev = spark.createDataFrame([(1, "s", "a", "permission.requested", "ok", 1), (2, "s", "a", "error", "failed", None), (3, "s", None, "x", "ok", 2)], "seq long, session string, agent string, type string, status string, tool_call long")
+    assert tuple(act.agents(ev).first()) == ("s", "a", 2, "error", True, True)
+    assert act.coverage_state(ev).first().coverage == "observed" and [r.seq for r in act.recent(ev, 0, 2).collect()] == [3, 2]
+    assert act.signature(ev).first().signature != act.signature(ev.where("seq < 3")).first().signature
+
+
+def test_server_coupling(spark):
+    c = spark.createDataFrame([("h", 0, ["a", "b"]), ("h", 1, ["a", "c"]), ("g", 2, ["a", None]), ("e", 3, [])], "hash string, i int, namespaces array<string>")
+    assert [tuple(r) for r in history.server_coupling(c).collect()] == [("a", "b", 1, 1.0, 1.0)]
