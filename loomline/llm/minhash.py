@@ -9,8 +9,9 @@ Bands of registers give candidate pairs. Those whose signatures agree well enoug
 the exact probability Jaccard. The result is one class per document. To find the classes no bucket
 is expanded into all its pairs. A few bands come first, where members are compared with one member
 of their bucket. Of all bands only those buckets go on whose members still lie in different classes:
-their signatures are compared block by block inside the tasks, and pairs leave a task only if they
-agree well enough and join two classes; first the best ones (a spanning forest), then what is left.
+their members are compared block by block inside the tasks, by signature and then by shingles, and
+pairs leave a task only if they are alike and join two classes (a spanning forest); first within the
+blocks of a bucket, then, with the classes found so far, between its blocks.
 """
 
 from __future__ import annotations
@@ -34,7 +35,9 @@ REGISTERS = BANDS * BAND_ROWS
 #: Bands in which members are first compared with a leader.
 LEAD_BANDS = 4
 #: Members of a bucket that are compared in one block; larger buckets are split into pairs of blocks.
-BLOCK_TEXTS = 512
+BLOCK_TEXTS = 256
+#: Words of 64 bits of a block's packed incidence at most (32 MB); larger ones are compared by lists.
+DENSE_WORDS = 4_000_000
 #: Standard deviations below the threshold at which an agreement of signatures still counts.
 SIGMAS = 6
 #: Texts whose shingles a round may ask for by a broadcast of their ids (8 bytes each).
@@ -175,25 +178,28 @@ def probability_jaccard(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarr
         return 0.0
     if x.max() == x.min() and y.max() == y.min():
         return len(both) / (len(a) + len(b) - len(both))
-    every = np.concatenate([a, b[~np.isin(b, both, assume_unique=True)]])
-    u, v = np.zeros(len(every)), np.zeros(len(every))
-    u[: len(a)] = x
-    v[len(a) :] = y[~np.isin(b, both, assume_unique=True)]
-    v[i] = y[j]
-    kinds, n = np.unique(np.stack([x[i], y[j]]), axis=1, return_counts=True)
-    return float(sum(k / np.maximum(u / p, v / q).sum() for (p, q), k in zip(kinds.T.astype(float), n, strict=True)))
+    xi, yi = x[i], y[j]
+    only_a, only_b = x.sum() - xi.sum(), y.sum() - yi.sum()
+    # elements of the same two weights have the same term
+    kinds, n = np.unique(xi * 2.0**26 + yi, return_counts=True)
+    total = 0.0
+    for kind, k in zip(kinds, n, strict=True):
+        p, q = kind // 2.0**26, kind % 2.0**26
+        total += k / (only_a / p + only_b / q + np.maximum(xi / p, yi / q).sum())
+    return float(total)
 
 
-def _verify(similarity: float):
-    def weights(c: bytes | None, n: int) -> np.ndarray:
-        return np.ones(n) if c is None else np.frombuffer(c, "<u4").astype(float)
+def _weights(counts: bytes | None, n: int) -> np.ndarray:
+    return np.ones(n) if counts is None else np.frombuffer(counts, "<u4").astype(float)
+
 
+def _verify(similarity: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             keep = []
             for p, c, q, d in zip(pdf["sa"], pdf["ca"], pdf["sb"], pdf["cb"], strict=True):
                 a, b = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-                keep.append(probability_jaccard(a, weights(c, len(a)), b, weights(d, len(b))) >= similarity - 1e-12)
+                keep.append(probability_jaccard(a, _weights(c, len(a)), b, _weights(d, len(b))) >= similarity - 1e-12)
             yield pdf.loc[keep, ["a", "b"]]
 
     return run
@@ -229,30 +235,32 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     reps = common.materialize(reps, "minhash-reps")
     side = lambda t, x, cols: t.select(F.col(t.columns[0]).alias(x), *[F.col(c).alias(c[0] + x) for c in cols])
 
-    def agreeing(pairs: DataFrame) -> DataFrame:
-        sketches = reps.select("rep", "sketch")
-        both = pairs.join(side(sketches, "a", ["sketch"]), "a").join(side(sketches, "b", ["sketch"]), "b")
-        return common.materialize(both.mapInPandas(_alike(similarity), "a bigint, b bigint"), "minhash-alike")
-
-    def verify(both: DataFrame) -> DataFrame:
-        ids = common.materialize(both.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "minhash-ids")
+    def shingles_of(ids: DataFrame) -> DataFrame:
+        ids = common.materialize(ids.distinct(), "minhash-ids")
         few = ids.count() <= BROADCAST_IDS
-        shingles = usable.join(F.broadcast(ids) if few else ids, "id", "left_semi")
-        shingles = common.materialize(shingles.mapInPandas(_shingle, "id bigint, shingles binary, counts binary"), "minhash-shingles")
-        both = both.join(side(shingles, "a", ["shingles", "counts"]), "a").join(side(shingles, "b", ["shingles", "counts"]), "b")
+        found = usable.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+        return common.materialize(found.mapInPandas(_shingle, "id bigint, shingles binary, counts binary"), "minhash-shingles")
+
+    def verify(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
+        both = pairs.join(side(shingles, "a", ["shingles", "counts"]), "a").join(side(shingles, "b", ["shingles", "counts"]), "b")
         return common.materialize(both.mapInPandas(_verify(similarity), "a bigint, b bigint"), "minhash-links")
 
-    tested = [common.materialize(_leader_pairs(_open_buckets(reps, None, LEAD_BANDS)), "minhash-pairs")]
-    links = verify(agreeing(tested[0]))
+    pairs = common.materialize(_leader_pairs(_open_buckets(reps, None, LEAD_BANDS)), "minhash-pairs")
+    sketches = reps.select("rep", "sketch")
+    both = pairs.join(side(sketches, "a", ["sketch"]), "a").join(side(sketches, "b", ["sketch"]), "b")
+    both = common.materialize(both.mapInPandas(_alike(similarity), "a bigint, b bigint"), "minhash-alike")
+    links = verify(both, shingles_of(both.select(F.explode(F.array("a", "b")).alias("id"))))
+    tested = [both]
     comps = common.connected_components(links, "a", "b")
-    open_ = _open_buckets(reps, comps, BANDS).join(reps.select("rep", "sketch"), "rep")
-    open_ = common.materialize(open_, "minhash-open")
-    for forest in (True, False):
-        pairs = _block_pairs(open_, comps, similarity, forest)
+    open_ = common.materialize(_open_buckets(reps, comps, BANDS), "minhash-open")
+    shingles = shingles_of(open_.select(F.col("rep").alias("id")))
+    texts = sketches.join(shingles.withColumnRenamed("id", "rep"), "rep").select("rep", "sketch", "shingles", "counts")
+    for across in (False, True):
+        pairs = _block_pairs(open_.join(texts, "rep"), comps, similarity, across)
         for done in tested:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         tested.append(common.materialize(pairs, "minhash-pairs"))
-        links = links.unionByName(verify(tested[-1]))
+        links = links.unionByName(verify(tested[-1], shingles))
         comps = common.connected_components(links, "a", "b")
     of_rep = reps.select("digest", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     of_rep = of_rep.select("digest", F.coalesce("component", "rep").alias("class_id"))
@@ -285,74 +293,129 @@ def _least_agreement(similarity: float) -> float:
     return similarity - SIGMAS * (similarity * (1 - similarity) / REGISTERS) ** 0.5
 
 
-def _compare(similarity: float, forest: bool):
-    least = _least_agreement(similarity)
+class _Block:
+    """Members of a bucket in one task, with packed incidence of their shingles where that is small."""
 
-    def pairs_of(rep: np.ndarray, comp: np.ndarray, part: np.ndarray, sketch: np.ndarray, split: bool) -> list[tuple[int, int]]:
+    def __init__(self, rows: pd.DataFrame, sketch: np.ndarray):
+        self.rep, self.comp, self.part = (rows[c].to_numpy() for c in ("rep", "comp", "part"))
+        self.split = rows["i"].iloc[0] != rows["j"].iloc[0]
+        self.sketch, self.plain = sketch, rows["counts"].isna().to_numpy()
+        self.shingles = [np.frombuffer(b, np.uint64) for b in rows["shingles"]]
+        self.sizes = np.array([len(x) for x in self.shingles])
+        self.counts = rows["counts"].tolist()
+        self.totals = np.array([n if c is None else int(np.frombuffer(c, "<u4").sum()) for c, n in zip(self.counts, self.sizes, strict=True)])
+        self.bits = None
+
+    def candidates(self, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of pairs of different classes whose signatures agree, the best first."""
         found = []
-        for s in range(0, len(rep), 64):
+        for s in range(0, len(self.rep), 64):
             t = slice(s, s + 64)
-            differ = (comp[t][:, None] != comp[None]) & ((part[t][:, None] < part[None]) if split else (rep[t][:, None] < rep[None]))
-            i, j = np.nonzero(differ)
-            if not len(i):
-                continue
-            agree = np.concatenate([(sketch[s + i[k : k + 30_000]] == sketch[j[k : k + 30_000]]).mean(1) for k in range(0, len(i), 30_000)])
-            keep = agree >= least
-            found.append((agree[keep], s + i[keep], j[keep]))
+            once = (self.part[t][:, None] < self.part[None]) if self.split else (self.rep[t][:, None] < self.rep[None])
+            i, j = np.nonzero((self.comp[t][:, None] != self.comp[None]) & once)
+            for k in range(0, len(i), 30_000):
+                a, b = s + i[k : k + 30_000], j[k : k + 30_000]
+                agree = (self.sketch[a] == self.sketch[b]).mean(1)
+                found.append((agree[agree >= least], a[agree >= least], b[agree >= least]))
         if not found:
-            return []
-        agree, i, j = (np.concatenate(x) for x in zip(*found, strict=True))
-        if not forest:
-            return list(zip(np.minimum(rep[i], rep[j]).tolist(), np.maximum(rep[i], rep[j]).tolist(), strict=True))
-        up: dict[int, int] = {}
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        agree, a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(-agree, kind="stable")
+        return a[order], b[order]
+
+    def shared(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Common shingles of each pair."""
+        if self.bits is None:
+            every, at = np.unique(np.concatenate(self.shingles), return_inverse=True)
+            words = -(-len(every) // 64)
+            if words * len(self.rep) <= DENSE_WORDS:
+                dense = np.zeros((len(self.rep), words * 64), bool)
+                dense[np.repeat(np.arange(len(self.rep)), self.sizes), at] = True
+                self.bits = np.packbits(dense, axis=1).view(np.uint64)
+            else:
+                self.bits = False
+        if self.bits is False:
+            return np.array([len(np.intersect1d(self.shingles[x], self.shingles[y], assume_unique=True)) for x, y in zip(a, b, strict=True)])
+        step = max(1, 2_000_000 // self.bits.shape[1])
+        return np.concatenate([np.bitwise_count(self.bits[a[k : k + step]] & self.bits[b[k : k + step]]).sum(1, dtype=np.int64) for k in range(0, len(a), step)])
+
+    def alike(self, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+        """Whether pairs reach the similarity, exactly."""
+        n = self.shared(a, b)
+        out = n >= (similarity - 1e-12) * (self.sizes[a] + self.sizes[b] - n)
+        # where shingles repeat in a text, what only one text holds bounds the similarity from above
+        weighted = ~(self.plain[a] & self.plain[b])
+        bound = 1 - np.maximum((self.sizes[a] - n) / self.totals[a], (self.sizes[b] - n) / self.totals[b])
+        out[weighted] = False
+        for k in np.flatnonzero(weighted & (bound >= similarity - 1e-12)).tolist():
+            x, y = a[k], b[k]
+            u, v = self.shingles[x], self.shingles[y]
+            out[k] = probability_jaccard(u, _weights(self.counts[x], len(u)), v, _weights(self.counts[y], len(v))) >= similarity - 1e-12
+        return out
+
 
-        def root(c: int) -> int:
-            while up.get(c, c) != c:
-                c = up[c]
-            return c
+def _compare(similarity: float):
+    least = _least_agreement(similarity)
 
+    def pairs_of(block: _Block) -> list[tuple[int, int]]:
+        a, b = block.candidates(least)
+        if not len(a):
+            return []
+        _, root = np.unique(block.comp, return_inverse=True)
         out = []
-        for k in np.argsort(-agree, kind="stable").tolist():
-            a, b = root(int(comp[i[k]])), root(int(comp[j[k]]))
-            if a != b:
-                up[max(a, b)] = min(a, b)
-                out.append((min(int(rep[i[k]]), int(rep[j[k]])), max(int(rep[i[k]]), int(rep[j[k]]))))
+        for k in range(0, len(a), 512):
+            i, j = a[k : k + 512], b[k : k + 512]
+            apart = root[i] != root[j]
+            i, j = i[apart], j[apart]
+            if not len(i):
+                continue
+            good = block.alike(i, j, similarity)
+            for x, y in zip(i[good].tolist(), j[good].tolist(), strict=True):
+                if root[x] == root[y]:
+                    continue
+                root[root == root[y]] = root[x]
+                out.append((min(block.rep[x], block.rep[y]), max(block.rep[x], block.rep[y])))
         return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows come sorted by block, so a block is whole once the next one begins."""
         held = None
         for pdf in itertools.chain(batches, [None]):
-            rows = pd.concat([x for x in (held, pdf) if x is not None], ignore_index=True) if held is not None or pdf is not None else None
-            if rows is None or rows.empty:
+            rows = [x for x in (held, pdf) if x is not None and len(x)]
+            if not rows:
                 continue
-            block = rows[["key", "i", "j"]].to_numpy()
-            starts = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]).any(1)])
+            rows = pd.concat(rows, ignore_index=True)
+            ids = rows[["key", "i", "j"]].to_numpy()
+            starts = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]).any(1)])
             ends = np.r_[starts[1:], len(rows)]
             if pdf is not None:  # the last block may go on
                 held = rows.iloc[starts[-1] :]
                 starts, ends = starts[:-1], ends[:-1]
-            rep, comp, part = (rows[c].to_numpy() for c in ("rep", "comp", "part"))
+            comp = rows["comp"].to_numpy()
             sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(len(rows), REGISTERS)
             out: set[tuple[int, int]] = set()
             for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
                 if b - a > 1 and (comp[a:b] != comp[a]).any():
-                    out.update(pairs_of(rep[a:b], comp[a:b], part[a:b], sketch[a:b], block[a][1] != block[a][2]))
+                    out.update(pairs_of(_Block(rows.iloc[a:b], sketch[a:b])))
             if out:
                 yield pd.DataFrame(sorted(out), columns=["a", "b"])
 
     return run
 
 
-def _block_pairs(open_: DataFrame, comps: DataFrame, similarity: float, forest: bool) -> DataFrame:
-    """(a, b): agreeing pairs of different classes that share a bucket, compared block by block."""
+def _block_pairs(open_: DataFrame, comps: DataFrame, similarity: float, across: bool) -> DataFrame:
+    """(a, b): pairs that join classes, of texts that share a bucket; within its blocks, or across them too."""
     now = open_.drop("comp").join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
+    if across:  # what has become one class needs no comparing
+        mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+        now = now.join(mixed, "key", "left_semi")
     parts = F.ceil(F.col("n") / BLOCK_TEXTS).cast("int")
     part = F.pmod(F.xxhash64("rep", "key"), parts).cast("int")
-    rows = now.select("key", "rep", "comp", "sketch", part.alias("part"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-    rows = rows.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "rep", "comp", "sketch")
+    other = F.explode(F.sequence(F.lit(0), parts - 1)) if across else part
+    rows = now.select("key", "rep", "comp", "sketch", "shingles", "counts", part.alias("part"), other.alias("other"))
+    rows = rows.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "rep", "comp", "sketch", "shingles", "counts")
     dealt = common.spread(rows, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInPandas(_compare(similarity, forest), "a bigint, b bigint").distinct()
+    return dealt.mapInPandas(_compare(similarity), "a bigint, b bigint").distinct()
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
