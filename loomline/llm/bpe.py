@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-CHUNK_CHARS = 16_384
+CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 1_024
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
