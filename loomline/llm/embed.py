@@ -2,12 +2,12 @@
 
 Vectors are scaled to length one, so a cosine of ``c`` is a distance of ``sqrt(2 - 2 c)``. Each is
 put in the list of its nearest coarse centre; what it differs from the centre is coded in
-subspaces. As a query, a vector probes every list whose plane it is near enough to: a copy that
-differs in a random direction crosses a plane at ``k`` standard deviations of that difference with
-the normal distribution's tail probability. It compares table-lookup distances there, less each
-code's own error (so the lookup loses nothing), and reranks what remains by the exact cosine. The
-probes alone bound recall: over 0.998 at the threshold by default, and measured as 1 on the test
-tables.
+subspaces. As a query, a vector probes every list whose plane lies within half the threshold's
+distance: two vectors of different lists lie on either side of the plane between these, so their
+distances to it add up to no more than their own, and one of the two is that near. A pair found from
+one end only counts at both. A query compares table-lookup distances, less each code's own error (so
+the lookup loses nothing), and reranks what remains by the exact cosine. So no link is lost, however
+the vectors lie.
 
 Exact copies are one class before the search. Lists larger than a block are split into blocks, as
 are their queries, so no task gets more than a block of either; only link counts and the edges of
@@ -32,8 +32,6 @@ SAMPLE_ROWS = 20_000
 MAX_LISTS = 4_096
 SUBSPACES, CODES = 8, 32
 BLOCK_ROWS = 2_048
-#: Standard deviations of a random difference at the threshold within which planes are crossed.
-PROBE_SIGMAS = 3.0
 #: Slack of the distance bounds against rounding.
 SLACK = 1e-6
 
@@ -90,19 +88,23 @@ def encode(rest: np.ndarray, books: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return codes.astype(np.uint8), np.sqrt((miss**2).sum((1, 2)))
 
 
-def probe_margin(cosine: float, dims: int, sigmas: float = PROBE_SIGMAS) -> float:
-    """Distance from a plane within which the list behind it is probed."""
-    return (2 - 2 * cosine) ** 0.5 * min(1.0, sigmas / dims**0.5)
+def probe_margin(cosine: float, dims: int, sigmas: float | None = None) -> float:
+    """Distance from a plane within which the list behind it is probed: half that of the threshold.
+
+    With ``sigmas``, a smaller one that counts on differences in random directions and can lose links.
+    """
+    half = (2 - 2 * cosine) ** 0.5 / 2
+    return half if sigmas is None else half * min(1.0, sigmas / dims**0.5)
 
 
-def probes(x: np.ndarray, q: Quantiser, margin: float) -> np.ndarray:
+def probes(x: np.ndarray, own: np.ndarray, q: Quantiser, margin: float) -> np.ndarray:
     """(rows, lists): whether a row lies within ``margin`` of the plane between its list and another.
 
-    Its own list is always probed. With a margin of the whole distance no link can be lost.
+    Its own list is always probed. With a margin of half the distance, one end of every link probes
+    the list of the other.
     """
     norms = (q.centres**2).sum(1)
     d2 = (x**2).sum(1)[:, None] + norms - 2 * x @ q.centres.T
-    own = d2.argmin(1)
     rows = np.arange(len(x))
     gap = np.sqrt(np.maximum(norms[own][:, None] + norms - 2 * q.centres[own] @ q.centres.T, 1e-30))
     out = d2 - d2[rows, own][:, None] <= 2 * gap * (margin + SLACK)
@@ -124,16 +126,18 @@ def _index(shared, margin: float):
                 x = _unit(part["embedding"])
                 own = _nearest(x, q.centres)
                 codes, miss = encode(x - q.centres[own], q.codebooks)
+                cuts = np.array_split(np.arange(len(x)), max(1, len(x) // 128))
+                probed = np.concatenate([probes(x[rows], own[rows], q, margin) for rows in cuts])
                 yield pd.DataFrame(
-                    {"list": own, "rep": part["rep"].to_numpy(), "copies": part["copies"].to_numpy(), "embedding": part["embedding"].to_numpy(), "code": [c.tobytes() for c in codes], "miss": miss, "query": False}
+                    {"list": own, "rep": part["rep"].to_numpy(), "copies": part["copies"].to_numpy(), "embedding": part["embedding"].to_numpy(), "code": [c.tobytes() for c in codes], "miss": miss, "probed": [np.flatnonzero(p) for p in probed], "own": own, "query": False}
                 )
-                for rows in np.array_split(np.arange(len(x)), max(1, len(x) // 128)):
-                    r, c = np.nonzero(probes(x[rows], q, margin))
+                for rows in cuts:
+                    r, c = np.nonzero(probed[rows])
                     r = rows[r]
                     for s in range(0, len(r), 4096):
                         t = r[s : s + 4096]
                         yield pd.DataFrame(
-                            {"list": c[s : s + 4096], "rep": part["rep"].to_numpy()[t], "copies": part["copies"].to_numpy()[t], "embedding": part["embedding"].to_numpy()[t], "code": None, "miss": None, "query": True}
+                            {"list": c[s : s + 4096], "rep": part["rep"].to_numpy()[t], "copies": part["copies"].to_numpy()[t], "embedding": part["embedding"].to_numpy()[t], "code": None, "miss": None, "probed": None, "own": own[t], "query": True}
                         )
 
     return run
@@ -177,14 +181,19 @@ def _search(shared, cosine: float):
             return empty
         ids, both = np.unique(np.concatenate([mine[i], theirs[j]]), return_inverse=True)
         a, b = both[: len(i)], both[len(i) :]
-        links = np.bincount(a, base["copies"].to_numpy()[j], len(ids)).astype(np.int64)
+        links = np.bincount(a, base["copies"].to_numpy()[j], len(ids))
+        # the other end doesn't find the pair itself where it doesn't probe the query's own list
+        seen = np.zeros((len(base), len(shared.value.centres)), dtype=bool)
+        seen[np.repeat(np.arange(len(base)), base["probed"].map(len)), np.concatenate(base["probed"].to_list())] = True
+        once = ~seen[j, queries["own"].to_numpy()[i]]
+        links = (links + np.bincount(b[once], queries["copies"].to_numpy()[i[once]], len(ids))).astype(np.int64)
         # ids are sorted, so the smallest row is the smallest id
         return pd.DataFrame({"rep": ids, "links": links, "low": ids[common.local_roots(len(ids), a, b)]})
 
     return run
 
 
-def classes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, block_rows: int = BLOCK_ROWS, probe_sigmas: float = PROBE_SIGMAS) -> DataFrame:
+def classes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, block_rows: int = BLOCK_ROWS, probe_sigmas: float | None = None) -> DataFrame:
     """(id_col, n_links, component_id) of every row.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and those of another
@@ -214,7 +223,7 @@ def classes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     shared = spark.sparkContext.broadcast(quantiser)
     margin = probe_margin(cosine, sample.shape[1], probe_sigmas)
     indexed = common.spread(reps, "rep").mapInPandas(
-        _index(shared, margin), "list bigint, rep bigint, copies bigint, embedding array<float>, code binary, miss double, query boolean"
+        _index(shared, margin), "list bigint, rep bigint, copies bigint, embedding array<float>, code binary, miss double, probed array<int>, own bigint, query boolean"
     )
     indexed = common.materialize(indexed, "embed-index")
     # how many blocks a list's members and queries make: one row a list, of which there are a bounded number

@@ -139,6 +139,20 @@ def test_embeddings_match_brute_force(spark):
     assert embed.digest(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_low_rank_lose_no_link(spark):
+    rng = np.random.default_rng(5)
+    low = rng.normal(size=(1500, 8))
+    low = low / np.linalg.norm(low, axis=1)[:, None]
+    near = low[:500] + rng.normal(size=(500, 8)) * 0.1
+    u = (np.concatenate([low, near]) @ np.linalg.qr(rng.normal(size=(256, 8)))[0].T).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(u)] + [(9000 + i, u[i].tolist()) for i in range(100)], "vec_id long, embedding array<float>")
+    v = np.concatenate([u, u[:100]]).astype(float)
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    want = (v @ v.T >= 0.95).sum(1) - 1
+    got = {r.vec_id: r.n_links for r in embed.classes(df).collect()}
+    assert [got[i] for i in [*range(2000), *range(9000, 9100)]] == want.tolist()
+
+
 def test_probability_jaccard_estimate():
     rng = np.random.default_rng(2)
     e = minhash._mix(np.arange(1, 121, dtype=np.uint64))
