@@ -29,7 +29,16 @@ PATH_DIMS, WORD_DIMS = 32, 24
 BATCH_BLOCKS = 40_000
 
 # Element classes of HTML.
-RAW = ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript", "template", "svg", "math", "select", "object", "canvas", "audio", "video")
+RAW = ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes")
+#: Elements whose text is a block of its own, also within a paragraph.
+EMBED = frozenset("audio canvas noscript object select svg template video".split())
+FOREIGN = frozenset(("svg", "math"))
+#: Elements in these that hold HTML again, and HTML tags that end them.
+HTML_AGAIN = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+BREAKOUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s"
+    " small span strong strike sub sup table tt u ul var".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form"
@@ -37,7 +46,7 @@ BLOCK = frozenset(
     " td tfoot th thead tr ul".split()
 )
 CLOSES_P = BLOCK - frozenset("body button caption head html legend option optgroup td th tr tbody thead tfoot".split())
-BOILER = frozenset("head nav header footer aside form menu button dialog search fieldset".split())
+BOILER = frozenset("head nav header footer aside form menu button dialog search fieldset select".split())
 MAIN = frozenset(("article", "main"))
 _BOILER_WORDS = (
     "nav menu header footer sidebar side aside advert ads ad banner promo sponsor sponsored cookie consent notice alert popup modal"
@@ -75,8 +84,8 @@ class Element(NamedTuple):
 
 def _element(tag: str, attributes: str) -> Element:
     if not attributes.strip(" /\t\r\n"):
-        return Element(tag)
-    names, hidden = [], False
+        return Element(tag, hidden=tag == "template")
+    names, hidden = [], tag == "template"
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
         if name in ("class", "id", "role", "itemprop", "aria-label"):
@@ -88,30 +97,63 @@ def _element(tag: str, attributes: str) -> Element:
 def blocks_of(page: str) -> list[tuple[tuple[Element, ...], str]]:
     """(path, text) of every block with text, in page order; text is decoded and trimmed.
 
-    Content of scripts, styles and other raw elements gives no block. Unclosed and stray tags are
-    tolerated: a block-level start closes an open paragraph, list items and cells close their like.
+    Content of scripts, styles and other raw elements gives no block; that of embedded ones does, with
+    their tag on its path. Unclosed and stray tags are tolerated: a block-level start closes an open
+    paragraph, list items and cells close their like, an HTML start closes an open graphic or formula.
     """
     out: list[tuple[tuple[Element, ...], str]] = []
     stack: list[Element] = []
+    spots: list[int] = []  # how many parts there were as each element of the stack opened
     parts: list[str] = []
 
+    def emit(path: list[Element], pieces: list[str]) -> None:
+        text = " ".join(entities.unescape("".join(pieces)).split())
+        if text:
+            out.append((tuple(path), text))
+
     def flush() -> None:
         if parts:
-            text = " ".join(entities.unescape("".join(parts)).split())
-            if text:
-                out.append((tuple(stack), text))
+            done = 0
+            if embedded:
+                for i, e in enumerate(stack):
+                    if e.tag in EMBED:
+                        emit(stack[:i], parts[done : spots[i]])
+                        done = spots[i]
+            emit(stack, parts[done:])
             parts.clear()
+            spots[:] = [0] * len(spots)
+
+    def push(element: Element) -> None:
+        stack.append(element)
+        spots.append(len(parts))
+
+    def last(tag: str) -> int:
+        return next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag), -1)
+
+    def close(i: int) -> None:
+        if any(e.tag in BLOCK for e in stack[i:]) or stack[i].tag in EMBED and "".join(parts[spots[i] :]).strip():
+            flush()
+        del stack[i:], spots[i:]
+
+    def foreign() -> int:
+        for i in range(len(stack) - 1, -1, -1):
+            if stack[i].tag in HTML_AGAIN:
+                return -1
+            if stack[i].tag in FOREIGN:
+                return i
+        return -1
 
     def pop_to(tags: tuple[str, ...] | frozenset[str], barrier: frozenset[str]) -> None:
         for i in range(len(stack) - 1, -1, -1):
             if stack[i].tag in tags:
-                del stack[i:]
+                del stack[i:], spots[i:]
                 return
             if stack[i].tag in barrier:
                 return
 
     at, size = 0, len(page)
     none: frozenset[str] = frozenset()
+    drawn = embedded = False  # whether a graphic or formula, and an embedded element, was opened
     while at < size:
         m = _MARKUP.search(page, at)
         if not m:
@@ -131,22 +173,43 @@ def blocks_of(page: str) -> list[tuple[tuple[Element, ...], str]]:
                 flush()
                 if any(e.tag == tag for e in stack):
                     pop_to((tag,), none)
+            elif tag in EMBED or tag in FOREIGN:
+                if (i := last(tag)) >= 0:
+                    close(i)
+                    if tag not in ("math", "template"):
+                        parts.append(" ")
             elif any(e.tag == tag for e in stack):
                 pop_to((tag,), BLOCK)
             continue
+        if drawn:
+            while tag in BREAKOUT and (i := foreign()) >= 0:
+                close(i)
+        inside = drawn and foreign() >= 0
+        if m[0].endswith("/>") and (inside or tag in FOREIGN):
+            if tag == "svg":
+                parts.append(" ")
+            continue
         if tag in RAW:
             end = _RAW_END[tag].search(page, at)
+            if inside and not end:
+                push(Element(tag, hidden=True))
+                continue
             at = end.end() if end else size
-            if tag not in ("script", "style", "template", "title"):
+            if tag not in ("script", "style", "title"):
                 parts.append(" ")
             continue
+        if tag in EMBED and tag != "template":
+            parts.append(" ")
+        drawn, embedded = drawn or tag in FOREIGN, embedded or tag in EMBED
         if tag == "br":
             parts.append(" ")
             continue
         if tag in BLOCK:
             flush()
+            if tag not in ("option", "optgroup", "hr") and (i := last("select")) >= 0:
+                close(i)
             if tag in CLOSES_P:
-                pop_to(("p",), frozenset(("button", "td", "th", "table", "caption", "div", "article", "section", "li", "body")))
+                pop_to(("p",), frozenset(("button", "td", "th", "table", "caption", "object", "template", "foreignobject", "div", "article", "section", "li", "body")))
             if tag == "li":
                 pop_to(("li",), frozenset(("ul", "ol", "menu")))
             elif tag in ("dt", "dd"):
@@ -159,10 +222,8 @@ def blocks_of(page: str) -> list[tuple[tuple[Element, ...], str]]:
                 pop_to(("option",), frozenset(("select",)))
             elif tag == "body":
                 pop_to(("head",), none)
-        if tag not in VOID and not m[0].endswith("/>"):
-            stack.append(_element(tag, m[3] or ""))
-        elif m[0].endswith("/>") and tag not in VOID:
-            stack.append(_element(tag, m[3] or ""))
+        if tag not in VOID:
+            push(_element(tag, m[3] or ""))
     flush()
     return out
 

@@ -91,6 +91,32 @@ def test_extraction_of_varied_layouts(net, change):
     assert extract.main_text(blocks, q) == f"Heading of it\nFirst {words}\nSecond {words}\nThird {words}"
 
 
+@pytest.mark.parametrize("tag", ["<svg width='1'/>", "<math/>", "<svg><title/><path d='M0'/></svg>", "<svg><path>", "<math><mi>", "<video src='v'>", "<audio>", "<canvas>", "<object data='o'>", "<select>", "<noscript></noscript>"])
+def test_extraction_behind_embedded_elements(net, tag):
+    words = "some plain sentence about a thing that goes on for a while."
+    html = page(f"<h1>Heading of it</h1><p>First {words}</p>{tag}<p>Second {words}</p><p>Third {words}</p>")
+    _, blocks, q = next(iter(extract.label_pages(net, [html], extract.Features())))
+    got = extract.main_text(blocks, q).replace("Fig\n", "")
+    assert got == f"Heading of it\nFirst {words}\nSecond {words}\nThird {words}"
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ("<p>so <math><mi>y</mi><mo>=</mo><mn>2</mn></math> holds</p>", [("p", "so y=2 holds")]),
+        ("<p>a<svg><title>t</title><text>fig</text></svg>b</p>", [("p", "a"), ("svg", "fig"), ("p", "b")]),
+        ("<p>a<object>in<object>side</object></object>b</p>", [("p", "a"), ("object", "in"), ("object", "side"), ("p", "b")]),
+        ("<p>a <video></video> b</p><noscript>c</noscript>", [("p", "a b"), ("noscript", "c")]),
+        ("<svg><foreignObject><p>a</p></foreignObject></svg><p>b", [("p", "a"), ("p", "b")]),
+        ("<svg><g><text>a<div>b</div>", [("text", "a"), ("div", "b")]),
+        ("<select><option>a<option>b</select>c<template><p>d</p></template>", [("option", "a"), ("option", "b"), (None, "c"), ("p", "d")]),
+        ("<p>a</p><script>b", [("p", "a")]),
+    ],
+)
+def test_blocks_of_embedded_elements(html, want):
+    assert [(p[-1].tag if p else None, t) for p, t in extract.blocks_of(html)] == want
+
+
 def test_extraction_of_a_long_page(net):
     html = page("".join(f"<p>Paragraph number {i} says something plain.</p>" for i in range(3000)))
     _, blocks, q = next(iter(extract.label_pages(net, [html], extract.Features())))
