@@ -6,9 +6,15 @@ are dealt to tasks.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import storage
+
 # Lifetimes in milliseconds and bounds of the live view.
 PULSE_MS, FAILED_PULSE_MS, RAY_MS, MARKER_MS = 60_000, 120_000, 30_000, 30_000
 STALLED_MS, FAILED_MS, INACTIVE_MS = 180_000, 60_000, 300_000
@@ -52,17 +58,88 @@ def dedupe(events: DataFrame, *key: str) -> DataFrame:
     return first.select(*key, *[F.col(f"r.{c}").alias(c) for c in rest]).select(*events.columns)
 
 
+def _runs(events: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, np.ndarray, bool, bool]]:
+    """(part, key, times, first, last) of the first and the last key of each part, from rows in order."""
+    part, key, ms, first = None, None, [], True
+    for batch in events:
+        for p, k, t in zip(*(batch.column(c).to_pylist() for c in ("_part", "_key", "_ms")), strict=True):
+            if (p, k) != (part, key):
+                if ms and (first or p != part):
+                    yield part, key, np.array(ms), first, p != part
+                first = p != part
+                part, key, ms = p, k, []
+            ms.append(t)
+    if ms:
+        yield part, key, np.array(ms), first, True
+
+
+def _handed_on(window_ms: int):
+    """For each part, the last kept time at its end for every time that may be handed to it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, key, ms, first, last in _runs(batches):
+            then = np.searchsorted(ms, ms + window_ms, "right")
+            at = np.where(then < len(ms), then, np.arange(len(ms)))
+            while (at[at] != at).any():
+                at = at[at]
+            # only the first row of a window, or one within a window of the part's start, can be kept first
+            starts, ends = ms[: then[0] + 1 if first else 1], ms[at][: then[0] + 1 if first else 1]
+            turn = np.append(np.flatnonzero(ends[1:] != ends[:-1]), len(ends) - 1)
+            rows = [{"_part": part, "_key": key, "first": first, "last": last, "starts": starts[turn].tolist(), "ends": ends[turn].tolist()}]
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("_part", pa.int32()), ("_key", pa.string()), ("first", pa.bool_()), ("last", pa.bool_()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))]))
+
+    return run
+
+
+def _keep_first(window_ms: int, handed: dict[int, tuple[str, int]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = key = kept = None
+        for batch in batches:
+            keep = []
+            for p, k, t in zip(*(batch.column(c).to_pylist() for c in ("_part", "_key", "_ms")), strict=True):
+                if p != part:
+                    part, (key, kept) = p, handed.get(p, (None, None))
+                if k != key:
+                    key, kept = k, None
+                new = kept is None or t - kept > window_ms
+                kept = t if new else kept
+                keep.append(new)
+            rest = [c for c in batch.schema.names if c not in ("_part", "_at", "_key", "_ms")]
+            yield batch.filter(pa.array(keep, pa.bool_())).select(rest)
+
+    return run
+
+
 def near_duplicates(events: DataFrame, *key: str, window_ms: int = NEAR_MS) -> DataFrame:
     """Rows without those that follow a kept row of their key within the window.
 
-    Only kept rows count, so a chain of close rows keeps one a window: a fold in order of time.
+    Only kept rows count, so a chain of close rows keeps one a window: a fold in order of time. Rows
+    are dealt by ranges of key and time, so a key with many rows spans tasks; each part says what
+    last kept time it would hand on for each that it may get (no more than it has rows in its first
+    window), the driver follows these through the parts, and each part is folded as a sorted stream.
+    Rows without a time are kept and no others are compared to them.
     """
-    rest = [c for c in events.columns if c not in key]
-    item = F.struct(millis().alias("ms"), F.col("seq").alias("_seq"), F.struct(*rest).alias("r"))
-    none = F.array().cast(f"array<struct<ms:bigint,_seq:bigint,r:{events.select(F.struct(*rest).alias('r')).schema['r'].dataType.simpleString()}>>")
-    group = events.groupBy(*key).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    kept = F.aggregate("items", none, lambda acc, x: F.when((F.size(acc) > 0) & (x["ms"] - F.element_at(acc, -1)["ms"] <= window_ms), acc).otherwise(F.concat(acc, F.array(x))))
-    return group.select(*key, F.explode(kept).alias("x")).select(*key, *[F.col(f"x.r.{c}").alias(c) for c in rest]).select(*events.columns)
+    spark = events.sparkSession
+    names = events.columns
+    rest = [c for c in names if c not in key]
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = events.withColumns({"_ms": millis(), "_key": F.to_json(F.struct(*key))})
+    timed = rows.where("_ms is not null").repartitionByRange(n, "_key", "_ms", "seq").sortWithinPartitions("_key", "_ms", "seq", F.struct(*rest))
+    timed = storage.keep(timed.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "near")
+    in_order = lambda df: df.repartition(n, "_part").sortWithinPartitions("_part", "_at")
+    ends = in_order(timed.select("_part", "_at", "_key", "_ms")).mapInArrow(_handed_on(window_ms), "_part int, _key string, first boolean, last boolean, starts array<bigint>, ends array<bigint>")
+    handed: dict[int, tuple[str, int]] = {}
+    at = None
+    for r in sorted(ends.collect(), key=lambda r: (r["_part"], not r["first"])):
+        got = None
+        if r["first"] and at and at[0] == r["_key"]:
+            handed[r["_part"]] = at
+            got = at[1]
+        if r["last"]:
+            end = next((e for s, e in zip(r["starts"], r["ends"], strict=True) if got is None or s - got > window_ms), got)
+            at = (r["_key"], end)
+    out = in_order(timed).mapInArrow(_keep_first(window_ms, handed), events.schema)
+    return out.unionByName(rows.where("_ms is null").select(*names))
 
 
 def kind() -> Column:

@@ -121,6 +121,22 @@ def test_near_duplicates_compare_to_kept_rows(spark):
     assert [r.seq for r in act.near_duplicates(df, "key").orderBy("seq").collect()] == [0, 2, 4]
 
 
+def test_near_duplicates_of_a_hot_key(spark):
+    rng = random.Random(8)
+    for step in (7, 40, 400):
+        data = [(i, rng.choice(["hot"] * 8 + ["b", None]), rng.randrange(400 * step)) for i in range(400)] + [(400, "hot", None)]
+        df = spark.createDataFrame(data, "seq long, key string, ms long").withColumn("ts", F.timestamp_millis("ms")).select("seq", "key", "ts")
+        want, last = {400}, {}
+        for ms, seq, k in sorted((ms, seq, k) for seq, k, ms in data[:-1]):
+            if k not in last or ms - last[k] > 200:
+                want.add(seq)
+                last[k] = ms
+        got = act.near_duplicates(df, "key")
+        assert sorted(r.seq for r in got.collect()) == sorted(want)
+        assert got.columns == df.columns
+        assert "collect_list" not in got._jdf.queryExecution().toString()
+
+
 def test_resolver_prefers_exact_then_unique_suffix(spark):
     nodes = spark.createDataFrame([("n1", "src/a/x.py"), ("n2", "src/b/x.py"), ("n3", "lib/y.py")], "id string, file string")
     paths = spark.createDataFrame([("src/a/x.py",), ("/repo/lib/y.py",), ("x.py",), ("a/x.py",)], "path string")
