@@ -41,6 +41,14 @@ class Quantiser(NamedTuple):
     codebooks: np.ndarray  # subspaces x codes x width
 
 
+class Space(NamedTuple):
+    """What vectors of one length are searched by; lists of all lengths are numbered on."""
+
+    quantiser: Quantiser
+    margin: float
+    first: int
+
+
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     half = (centres**2).sum(1) / 2
     out = np.empty(len(x), dtype=np.int64)
@@ -117,10 +125,10 @@ def _unit(values: pd.Series) -> np.ndarray:
     return x / np.sqrt((x**2).sum(1))[:, None]
 
 
-def _index(shared, margin: float):
+def _index(shared):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q: Quantiser = shared.value
-        for pdf in batches:
+        for pdf in (same for batch in batches for _, same in batch.groupby(batch["embedding"].map(len))):
+            q, margin, first = shared.value[len(pdf["embedding"].iloc[0])]
             for start in range(0, len(pdf), 1024):
                 part = pdf.iloc[start : start + 1024]
                 x = _unit(part["embedding"])
@@ -129,7 +137,7 @@ def _index(shared, margin: float):
                 cuts = np.array_split(np.arange(len(x)), max(1, len(x) // 128))
                 probed = np.concatenate([probes(x[rows], own[rows], q, margin) for rows in cuts])
                 yield pd.DataFrame(
-                    {"list": own, "rep": part["rep"].to_numpy(), "copies": part["copies"].to_numpy(), "embedding": part["embedding"].to_numpy(), "code": [c.tobytes() for c in codes], "miss": miss, "probed": [np.flatnonzero(p) for p in probed], "own": own, "query": False}
+                    {"list": first + own, "rep": part["rep"].to_numpy(), "copies": part["copies"].to_numpy(), "embedding": part["embedding"].to_numpy(), "code": [c.tobytes() for c in codes], "miss": miss, "probed": [np.flatnonzero(p) for p in probed], "own": own, "query": False}
                 )
                 for rows in cuts:
                     r, c = np.nonzero(probed[rows])
@@ -137,7 +145,7 @@ def _index(shared, margin: float):
                     for s in range(0, len(r), 4096):
                         t = r[s : s + 4096]
                         yield pd.DataFrame(
-                            {"list": c[s : s + 4096], "rep": part["rep"].to_numpy()[t], "copies": part["copies"].to_numpy()[t], "embedding": part["embedding"].to_numpy()[t], "code": None, "miss": None, "probed": None, "own": own[t], "query": True}
+                            {"list": first + c[s : s + 4096], "rep": part["rep"].to_numpy()[t], "copies": part["copies"].to_numpy()[t], "embedding": part["embedding"].to_numpy()[t], "code": None, "miss": None, "probed": None, "own": own[t], "query": True}
                         )
 
     return run
@@ -173,7 +181,8 @@ def _search(shared, cosine: float):
         base, queries = pdf[~pdf["query"]], pdf[pdf["query"]]
         if base.empty or queries.empty:
             return empty
-        i, j = block_links(base, queries, shared.value, int(key[0]), cosine)
+        q, _, first = shared.value[len(base["embedding"].iloc[0])]
+        i, j = block_links(base, queries, q, int(key[0]) - first, cosine)
         mine, theirs = queries["rep"].to_numpy(), base["rep"].to_numpy()
         other = mine[i] != theirs[j]
         i, j = i[other], j[other]
@@ -183,7 +192,7 @@ def _search(shared, cosine: float):
         a, b = both[: len(i)], both[len(i) :]
         links = np.bincount(a, base["copies"].to_numpy()[j], len(ids))
         # the other end doesn't find the pair itself where it doesn't probe the query's own list
-        seen = np.zeros((len(base), len(shared.value.centres)), dtype=bool)
+        seen = np.zeros((len(base), len(q.centres)), dtype=bool)
         seen[np.repeat(np.arange(len(base)), base["probed"].map(len)), np.concatenate(base["probed"].to_list())] = True
         once = ~seen[j, queries["own"].to_numpy()[i]]
         links = (links + np.bincount(b[once], queries["copies"].to_numpy()[i[once]], len(ids))).astype(np.int64)
@@ -196,10 +205,10 @@ def _search(shared, cosine: float):
 def classes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, block_rows: int = BLOCK_ROWS, probe_sigmas: float | None = None) -> DataFrame:
     """(id_col, n_links, component_id) of every row.
 
-    Vectors that are null, empty, zero or hold null or non-finite components, and those of another
-    length than most, link with nothing and are components of their own. Rows with the same vector
-    link with each other. No rows give no rows; other columns are ignored. Ids are integers; a
-    null id stays null, alone.
+    Vectors that are null, empty, zero or hold null or non-finite components link with nothing and are
+    components of their own; others link with those of their length, each length searched by its own
+    quantiser. Rows with the same vector link with each other. No rows give no rows; other columns are
+    ignored. Ids are integers; a null id stays null, alone.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{vector_col}`").alias("embedding"))
@@ -209,21 +218,22 @@ def classes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     rows = rows.withColumn("usable", F.coalesce(usable, F.lit(False)))
     reps = rows.where("usable").groupBy("embedding").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     reps = common.materialize(reps, "embed-reps")
-    dims = reps.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    alone = rows.select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"))
-    if dims is None:
-        return alone.withColumnRenamed("id", id_col)
-    reps = reps.where(F.size("embedding") == dims["d"])
-    n = dims["count"]
-    # the sample's size is bounded by its limit
-    share = min(1.0, 2.0 * SAMPLE_ROWS / n)
-    sample = reps.where(F.abs(F.xxhash64("rep") % 1_000_000) < share * 1_000_000).select("embedding").limit(SAMPLE_ROWS).toPandas()
-    sample = _unit(sample["embedding"]) if len(sample) else _unit(reps.limit(1).toPandas()["embedding"])
-    quantiser = fit(sample, int(min(MAX_LISTS, max(1, 2 * n**0.5, n / 65_536), max(1, len(sample) // 4))))
-    shared = spark.sparkContext.broadcast(quantiser)
-    margin = probe_margin(cosine, sample.shape[1], probe_sigmas)
-    indexed = common.spread(reps, "rep").mapInPandas(
-        _index(shared, margin), "list bigint, rep bigint, copies bigint, embedding array<float>, code binary, miss double, probed array<int>, own bigint, query boolean"
+    # one row a length; a vector alone in its length has nothing to link with
+    lengths = reps.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).where("n > 1").orderBy("d").collect()
+    spaces: dict[int, Space] = {}
+    first = 0
+    for d, n in lengths:
+        same = reps.where(F.size("embedding") == d)
+        # the sample's size is bounded by its limit
+        share = min(1.0, 2.0 * SAMPLE_ROWS / n)
+        sample = same.where(F.abs(F.xxhash64("rep") % 1_000_000) < share * 1_000_000).select("embedding").limit(SAMPLE_ROWS).toPandas()
+        sample = _unit(sample["embedding"]) if len(sample) else _unit(same.limit(1).toPandas()["embedding"])
+        quantiser = fit(sample, int(min(MAX_LISTS, max(1, 2 * n**0.5, n / 65_536), max(1, len(sample) // 4))))
+        spaces[d] = Space(quantiser, probe_margin(cosine, d, probe_sigmas), first)
+        first += len(quantiser.centres)
+    shared = spark.sparkContext.broadcast(spaces)
+    indexed = common.spread(reps.where(F.size("embedding").isin(list(spaces))), "rep").mapInPandas(
+        _index(shared), "list bigint, rep bigint, copies bigint, embedding array<float>, code binary, miss double, probed array<int>, own bigint, query boolean"
     )
     indexed = common.materialize(indexed, "embed-index")
     # how many blocks a list's members and queries make: one row a list, of which there are a bounded number

@@ -165,6 +165,20 @@ def test_embeddings_match_brute_force(spark):
     assert embed.digest(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_several_lengths(spark):
+    rng = np.random.default_rng(7)
+    rows = []
+    for dims, n in ((16, 60), (3, 20), (24, 2), (5, 1)):
+        base = rng.normal(size=(n, dims))
+        rows += [v.astype(np.float32).tolist() for v in (*base, *(base[: n // 2] + rng.normal(size=(n // 2, dims)) * 0.05), base[0])]
+    u = [np.array(r) / np.linalg.norm(r) for r in rows]
+    pairs = [(i, j) for i in range(len(u)) for j in range(i) if len(u[i]) == len(u[j]) and u[i] @ u[j] >= 0.95]
+    want, n = roots(range(len(u)), pairs), Counter(x for p in pairs for x in p)
+    df = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<float>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed.classes(df).collect()}
+    assert got == {k: (n[k], want[k]) for k in want}
+
+
 def test_embeddings_of_low_rank_lose_no_link(spark):
     rng = np.random.default_rng(5)
     low = rng.normal(size=(1500, 8))
