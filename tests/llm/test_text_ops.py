@@ -19,22 +19,63 @@ def docs(spark, texts, first=0):
 EDGE = [None, "", " ", "a", "same text here", "same text here", "naïve café 東京 " * 3, "x" * 5000, " \n\t" * 700, "it's 123 " * 900]
 
 
+def tokenizer():
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(bpe.vocabulary_path(), "rb"))}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def unpacked(ids):
+    import numpy as np
+
+    return np.frombuffer(ids, "<u4").tolist()
+
+
 def test_bpe_round_trip_over_chunks(spark):
     rng = random.Random(1)
     alphabet = ["a", "bc", "'s", "'ll", " ", "  ", "\n", "9", "42", "!?", "é", "漢字", "🙂", " "]
     texts = EDGE + ["".join(rng.choice(alphabet) for _ in range(n)) for n in (10, 100, 500, 3000)]
+    # runs that no chunk sees the end of, between texts that can be cut again
+    texts += ["x" * 300 + " and on " * 60 + "'" * 200 + "it's " * 50 + " " * 150 + "end " * 40, "!\x1c\x1d " * 200 + "9" * 500 + " ok"]
     rows = docs(spark, texts)
-    encoding = bpe._encoding(bpe.vocabulary_path())
+    encoding = tokenizer()
     for chunk, overlap in ((16_384, 1_024), (64, 16), (200, 100)):
         out = bpe.decode(bpe.encode(rows, chunk_chars=chunk, overlap_chars=overlap)).toPandas().set_index("doc_id")
         assert len(out) == len(texts)
         for i, t in enumerate(texts):
-            import numpy as np
-
-            assert np.frombuffer(out.loc[i, "ids"], "<u4").tolist() == encoding.encode_ordinary(t or ""), (chunk, i)
+            assert unpacked(out.loc[i, "ids"]) == encoding.encode_ordinary(t or ""), (chunk, i)
             assert bytes(out.loc[i, "bytes"]) == (t or "").encode()
 
 
+def test_bpe_runs_resume_after_missing_cuts(spark):
+    text = "a" * 500 + " word" * 400
+    cuts = bpe._cuts(marked_chunks(spark, text, 64, 16), 16).toPandas().sort_values("i")
+    assert (cuts["from"] < cuts["to"]).all() and cuts["from"].iloc[0] == 0 and cuts["to"].iloc[-1] == len(text)
+    assert (cuts["from"].to_numpy()[1:] == cuts["to"].to_numpy()[:-1]).all()
+    assert cuts["parts"].max() < 13 and (cuts.loc[cuts["from"] > 600, "parts"] == 1).all()
+
+
+def marked_chunks(spark, text, chunk, overlap):
+    rows = docs(spark, [text]).selectExpr("doc_id id", "cast('k' as binary) key", "text")
+    chunks = rows.mapInArrow(bpe._split(chunk, overlap), "id long, key binary, i int, start bigint, text string").selectExpr("*", "1L copies")
+    marks = "heads array<bigint>, tails array<bigint>, sync bigint, size bigint"
+    return chunks.mapInArrow(bpe._pretokenise(chunk, overlap), f"id long, key binary, i int, start bigint, text string, copies bigint, {marks}")
+
+
+def test_bpe_long_blanks(spark):
+    small = "word" + " " * 20_000 + "next \n" + "\t" * 15_000
+    coder = bpe.Coder(bpe.vocabulary_path())
+    for text in (small, small.strip(), " " * 12_000, " " * 12_000 + "x"):
+        assert coder.ids(text) == b"".join(i.to_bytes(4, "little") for i in tokenizer().encode_ordinary(text))
+    text = "start" + " " * 2_000_000 + "end"
+    row = bpe.round_trip(docs(spark, [text])).first()
+    assert bytes(row["bytes"]) == text.encode() and len(row["ids"]) > 4
+
+
 def test_bpe_repeated_and_empty(spark):
     rows = docs(spark, ["word " * 40])
     assert bpe.digest(rows.unionByName(rows)).count() == 2
