@@ -30,8 +30,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packed token ids of every document that is left, with their digests."""
-    coded = bpe.decode(bpe.encode(docs))
-    return coded.select("doc_id", "ids", *bpe.digests())
+    return bpe.round_trip(docs).select("doc_id", "ids", *bpe.digests())
 
 
 STAGES = [
