@@ -29,6 +29,8 @@ OVERLAP_CHARS = 1_024
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Bytes of text that a worker encodes before it hands on what it has.
 SLICE_BYTES = 2 << 20
+#: Pieces whose places a broadcast may hold (some 100 bytes each); beyond it they are joined by a shuffle.
+BROADCAST_PIECES = 200_000
 #: White space of this length or more is cut out before the tokenizer's pattern, which can't take a million of it.
 LONG_BLANK = 10_000
 
@@ -76,6 +78,13 @@ class Coder:
         out.append(self._pattern(text[at:]))
         return b"".join(np.asarray(x, dtype="<u4").tobytes() for x in out if x)
 
+    def narrow(self, ids: bytes) -> bytes:
+        """Packed ids as they are shuffled: in two bytes each, where the vocabulary lets them."""
+        return np.frombuffer(ids, "<u4").astype("<u2").tobytes() if len(self._sizes) <= 1 << 16 else ids
+
+    def wide(self, ids: bytes) -> bytes:
+        return np.frombuffer(ids, "<u2").astype("<u4").tobytes() if len(self._sizes) <= 1 << 16 else ids
+
     def bytes(self, ids: bytes) -> bytes:
         """The raw bytes of packed ids, joined."""
         out = []
@@ -224,10 +233,10 @@ def _join(path: str, decoded: bool):
     """Ids of the pieces of each text, which come in order, joined; and decoded, if asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(path) if decoded else None
+        coder = _coder(path)
 
-        def text_of(own: pa.Array, copies: int, ids: list[bytes]) -> pa.RecordBatch:
-            packed = b"".join(ids)
+        def text_of(own: pa.Array, copies: int, ids: list[bytes]) -> Iterator[pa.RecordBatch]:
+            packed = coder.wide(b"".join(ids))
             new = {"ids": packed, "bytes": coder.bytes(packed)} if decoded else {"ids": packed}
             columns = [pa.array([v], pa.binary()) for v in new.values()]
             one = pa.RecordBatch.from_arrays([own, *columns], ["id", *new])
@@ -254,7 +263,7 @@ def _encode_pieces(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(path)
         for part in (s for b in batches for s in _slices(b, "text")):
-            ids = pa.array([coder.ids(t.as_py()) for t in part.column("text")], pa.binary())
+            ids = pa.array([coder.narrow(coder.ids(t.as_py())) for t in part.column("text")], pa.binary())
             yield _add(part, ["id", "key", "piece", "copies"], ids=ids)
 
     return run
@@ -276,8 +285,9 @@ def _coded(docs: DataFrame, id_col: str, text_col: str, path: str, chunk: int, o
     marked = chunks.mapInArrow(_pretokenise(chunk, overlap), f"id {kind}, key binary, i int, start bigint, text string, copies bigint, {marks}")
     marked = common.materialize(marked, "bpe-chunks")
     cuts = common.materialize(_cuts(marked, overlap), "bpe-cuts")
+    places = F.broadcast(cuts) if cuts.count() <= BROADCAST_PIECES else cuts
     own = F.expr("substring(text, cast(from - start + 1 as int), cast(to - from as int))").alias("text")
-    placed = marked.select("id", "key", "i", "start", "text", "copies").join(cuts, ["key", "i"]).select("id", "key", "piece", "parts", "i", "copies", own)
+    placed = marked.select("id", "key", "i", "start", "text", "copies").join(places, ["key", "i"]).select("id", "key", "piece", "parts", "i", "copies", own)
     pieces = placed.where("parts = 1").select("id", "key", "piece", "copies", "text")
     if not cuts.where("parts > 1").isEmpty():
         parts = F.array_sort(F.collect_list(F.struct("i", "text")))
