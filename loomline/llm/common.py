@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -41,7 +41,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept_at = path
+    return out
+
+
+def discard(*kept: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for tables that nothing reads any more."""
+    for df in kept:
+        path = getattr(df, "_kept_at", None)
+        if path:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -58,9 +69,63 @@ def crc_fold(id_col: str, folds: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
 
 
-def keep_columns(df: DataFrame, names: list[str]) -> DataFrame:
-    """Select by exact name; columns of other names never clash with an operator's own."""
-    return df.select(*[F.col(f"`{n}`") for n in names])
+def boxed(df: DataFrame) -> Column:
+    """All columns of a table as one struct column ``row``: an operator's own names never clash with them."""
+    return F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)]).alias("row")
+
+
+def unboxed(df: DataFrame, names: list[str], **new: Column) -> DataFrame:
+    """The columns of a ``row`` again, under their names and in their order; ``new`` replaces some by name."""
+    return df.select(*[new.get(c, F.col(f"row.c{i}")).alias(c) for i, c in enumerate(names)])
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+#: Elements that ``running`` puts together before they join the rest.
+RUN = 64
+
+
+def running(items: Column, zero: Column, step: Callable[[Column, Column], Column], out: Callable[[Column, Column], Column], kind: str) -> Column:
+    """``out(state, x)`` for each x of an array in order, where ``step(state, x)`` is the state behind x.
+
+    ``kind``: type of what ``out`` gives. Works in runs, as an array that grows one by one is copied
+    each time: first the state at the start of each run, then what comes of each run.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def run(part: Column, state: Column) -> Column:
+        made = lambda a, x: F.struct(step(a["s"], x).alias("s"), F.concat(a["o"], F.array(out(a["s"], x))).alias("o"))
+        return F.aggregate(part, F.struct(state.alias("s"), none.alias("o")), made, lambda a: a["o"])
+
+    def whole(xs: Column) -> Column:
+        firsts = F.filter(F.sequence(F.lit(0), (F.size(xs) / RUN).cast("int")), lambda k: k * RUN < F.size(xs))
+        parts = F.transform(firsts, lambda k: F.slice(xs, k * RUN + 1, RUN))
+
+        def runs(ps: Column) -> Column:
+            start = F.struct(zero.alias("s"), F.slice(F.array(zero), 1, 0).alias("all"))
+            states = F.aggregate(ps, start, lambda a, p: F.struct(F.aggregate(p, a["s"], step).alias("s"), F.concat(a["all"], F.array(a["s"])).alias("all")), lambda a: a["all"])
+            return F.flatten(F.zip_with(ps, states, run))
+
+        return let(parts, runs)
+
+    return let(items, whole)
+
+
+def joined_spans(spans: Column, start: str, end: str) -> Column:
+    """Spans sorted by start as (a, b), with overlapping and touching ones joined."""
+    ups = running(
+        spans,
+        F.lit(-1).cast("bigint"),
+        lambda top, s: F.greatest(top, s[end].cast("bigint")),
+        lambda top, s: F.struct(s[start].cast("bigint").alias("a"), F.greatest(top, s[end].cast("bigint")).alias("b"), (s[start] > top).alias("new")),
+        "struct<a:bigint,b:bigint,new:boolean>",
+    )
+    firsts = lambda u: F.filter(u, lambda x: x["new"])
+    lasts = lambda u: F.filter(u, lambda x, i: F.coalesce(F.get(u, i + 1)["new"], F.lit(True)))
+    return let(ups, lambda u: F.zip_with(firsts(u), lasts(u), lambda x, y: F.struct(x["a"].alias("a"), y["b"].alias("b"))))
 
 
 #: Edges that one task may hold: 16 bytes each, so a few megabytes.
@@ -118,7 +183,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     for _ in range(max_rounds):
         before, mark = mark, _edge_mark(e)
         if mark[0] <= local_edges:
-            e = materialize(e.coalesce(1).mapInPandas(_contract, shape), "cc")
+            whole = materialize(e.coalesce(1).mapInPandas(_contract, shape), "cc")
+            discard(e)
+            e = whole
             break
         if mark == before:
             break
@@ -129,7 +196,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select("v", "m")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "cc")
+        after = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "cc")
+        discard(e)
+        e = after
     else:
         raise RuntimeError("components did not settle")
     roots = e.select(F.col("v").alias("node")).distinct()

@@ -7,16 +7,23 @@ access identifiers with secret values and endpoints of the same scope.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 KINDS = ("assign", "access", "hex", "weak_secret", "endpoint")
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 WEAK_SECRET = r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])"
-ENDPOINT = r"(?i)\b(?:https?://)?[a-z0-9.-]+\.(?:amazonaws\.com|core\.windows\.net|googleapis\.com)[^\s\"'<>]*"
+#: A host name has 253 characters at most.
+ENDPOINT = r"(?i)\b(?:https?://)?[a-z0-9.-]{1,253}\.(?:amazonaws\.com|core\.windows\.net|googleapis\.com)[^\s\"'<>]*"
 SCOPE_CHARS = 512
+#: Characters of the parts in which a text is masked.
+PART_CHARS = 2_048
 
 
 def _spans(text: Column, pattern: str, kind: str, keep=None) -> Column:
@@ -27,18 +34,12 @@ def _spans(text: Column, pattern: str, kind: str, keep=None) -> Column:
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
     sizes = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda b, m: F.struct(F.length(b).alias("b"), m.alias("m")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,m:string>>").alias("out"))
-    placed = F.aggregate(
+    placed = common.running(
         sizes,
-        start,
-        lambda acc, x: F.struct(
-            (acc["at"] + x["b"] + F.length(x["m"])).alias("at"),
-            F.concat(
-                acc["out"],
-                F.array(F.struct((acc["at"] + x["b"]).alias("s"), (acc["at"] + x["b"] + F.length(x["m"])).alias("e"), x["m"].alias("m"))),
-            ).alias("out"),
-        ),
-        lambda acc: acc["out"],
+        F.lit(0),
+        lambda at, x: at + x["b"] + F.length(x["m"]),
+        lambda at, x: F.struct((at + x["b"]).alias("s"), (at + x["b"] + F.length(x["m"])).alias("e"), x["m"].alias("m")),
+        "struct<s:int,e:int,m:string>",
     )
     if keep is not None:
         placed = F.filter(placed, lambda x: keep(x["m"]))
@@ -56,31 +57,63 @@ def _long_value(match: Column) -> Column:
     return F.length(F.regexp_extract(match, ASSIGN, 2)) >= 8
 
 
+_FAR = 1 << 30
+
+
+def _beside(spans: Column, **groups: Callable[[Column], Column]) -> Column:
+    """Sorted spans as (x, before, after): the furthest end before and the nearest start behind, of each group."""
+    names, state = list(groups), "struct<" + ",".join(f"{g}:int" for g in groups) + ">"
+    span = "struct<start:int,rank:int,end:int,kind:string>"
+    edge = lambda at: F.struct(*[F.lit(at).alias(g) for g in names])
+    forward = common.running(
+        spans,
+        edge(-_FAR),
+        lambda s, x: F.struct(*[F.when(groups[g](x), F.greatest(s[g], x["end"])).otherwise(s[g]).alias(g) for g in names]),
+        lambda s, x: F.struct(x.alias("x"), s.alias("before")),
+        f"struct<x:{span},before:{state}>",
+    )
+    backward = common.running(
+        F.reverse(forward),
+        edge(_FAR),
+        lambda s, y: F.struct(*[F.when(groups[g](y["x"]), F.least(s[g], y["x"]["start"])).otherwise(s[g]).alias(g) for g in names]),
+        lambda s, y: F.struct(y["x"].alias("x"), y["before"].alias("before"), s.alias("after")),
+        f"struct<x:{span},before:{state},after:{state}>",
+    )
+    return F.reverse(backward)
+
+
+def _near(y: Column, group: str, reach: int) -> Column:
+    """Whether a span lies less than ``reach`` characters from one of a group."""
+    return (y["x"]["start"] < y["before"][group] + reach) | (y["after"][group] < y["x"]["end"] + reach)
+
+
 def _found(text: Column, scope_chars: int) -> tuple[Column, Column]:
     """Strong spans, and the weak ones that the interval join links.
 
-    A scope never leaves its text, so the join runs over the span arrays of one row: nothing is
-    shuffled, and no text meets another.
+    A scope never leaves its text, so the join runs over the span arrays of one row, as a merge of
+    the sorted spans: nothing is shuffled, and no text meets another.
     """
     assign, access, hexes = _spans(text, ASSIGN, "assign", _long_value), _spans(text, ACCESS, "access"), _spans(text, HEX, "hex")
     weak, endpoint = _spans(text, WEAK_SECRET, "weak_secret"), _spans(text, ENDPOINT, "endpoint")
     base = F.array_sort(F.concat(assign, access, hexes))
+    is_id, strong, secret = (lambda s: s["kind"] == "access"), (lambda s: s["rank"] < 3), (lambda s: ~s["kind"].isin("access", "endpoint"))
 
     def link(parts: Column) -> Column:
-        strong, w, e = parts["strong"], parts["weak"], parts["endpoint"]
-        ids = F.filter(strong, lambda s: s["kind"] == "access")
-        values = F.filter(strong, lambda s: s["kind"] != "access")
-        near_id = lambda s: F.exists(ids, lambda a: _near(a, s, scope_chars))
-        new = F.filter(w, lambda s: near_id(s) & ~F.exists(strong, lambda b: _near(b, s, 0)))
-        near_value = lambda s: F.exists(F.concat(values, new), lambda v: _near(v, s, scope_chars))
-        return F.array_sort(F.concat(new, F.filter(e, lambda s: near_id(s) & near_value(s))))
+        both = _beside(F.array_sort(F.concat(parts["strong"], parts["weak"])), id=is_id, strong=strong)
+        new = F.filter(both, lambda y: ~strong(y["x"]) & _near(y, "id", scope_chars) & ~_near(y, "strong", 0))
+
+        def with_new(new: Column) -> Column:
+            every = _beside(F.array_sort(F.concat(parts["strong"], new, parts["endpoint"])), id=is_id, secret=secret)
+            near = F.filter(every, lambda y: (y["x"]["kind"] == "endpoint") & _near(y, "id", scope_chars) & _near(y, "secret", scope_chars))
+            return F.array_sort(F.concat(new, F.transform(near, lambda y: y["x"])))
+
+        return common.let(F.transform(new, lambda y: y["x"]), with_new)
 
     parts = F.struct(base.alias("strong"), weak.alias("weak"), endpoint.alias("endpoint"))
     # complementary parts must occur at all: most texts have no access identifier and skip the rest
     some = F.regexp_like(text, F.lit(ACCESS))
     none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
-    linked = F.when(some, F.get(F.transform(F.array(parts), link), F.lit(0))).otherwise(none)
-    return base, linked
+    return base, F.when(some, common.let(parts, link)).otherwise(none)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope_chars: int = SCOPE_CHARS) -> DataFrame:
@@ -97,11 +130,6 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope_
     return rows.select(F.col("id").alias(id_col), base.alias("base"), linked.alias("linked"))
 
 
-def _near(a: Column, b: Column, reach: int) -> Column:
-    """Closed intervals less than ``reach`` characters apart."""
-    return (a["start"] < b["end"] + reach) & (b["start"] < a["end"] + reach)
-
-
 def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
@@ -124,26 +152,18 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", scop
     A null text stays null, a row without findings keeps its text. Overlapping or touching spans
     are replaced as one.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    base, linked = _found(text, scope_chars)
-    spans = F.array_sort(F.concat(base, linked))
-    none = F.array().cast("array<struct<a:int,b:int>>")
-    merged = F.aggregate(
-        "spans",
-        none,
-        lambda acc, s: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1)["b"] >= s["start"]),
-            F.concat(
-                F.slice(acc, 1, F.size(acc) - 1),
-                F.array(F.struct(F.element_at(acc, -1)["a"].alias("a"), F.greatest(F.element_at(acc, -1)["b"], s["end"]).alias("b"))),
-            ),
-        ).otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("a"), s["end"].alias("b"))))),
-    )
-    before = F.concat(F.array(F.lit(0)), F.transform("m", lambda x: x["b"]))
-    after = F.concat(F.transform("m", lambda x: x["a"]), F.array(F.length("text")))
-    kept = F.zip_with(before, after, lambda a, b: F.substring(F.col("text"), a + 1, b - a))
-    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
-    out = docs.select(row.alias("row"), F.col(f"`{text_col}`").alias("text")).withColumn("spans", spans)
-    out = out.withColumn("m", F.when(F.size("spans") > 0, merged).otherwise(none))
-    out = out.withColumn("text", F.when(F.size("m") > 0, F.array_join(kept, mark)).otherwise(F.col("text")))
-    return out.select(*[(F.col("text") if c == text_col else F.col(f"row.c{i}")).alias(c) for i, c in enumerate(docs.columns)])
+    base, linked = _found(F.coalesce(F.col("text"), F.lit("")), scope_chars)
+    out = docs.select(common.boxed(docs), F.col(f"`{text_col}`").alias("text")).withColumn("spans", F.array_sort(F.concat(base, linked)))
+    # pieces are taken from parts of the text: to reach a place, a string is read from its start
+    parts = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PART_CHARS}}}"), F.lit(0))
+    part_of = lambda at: (at / PART_CHARS).cast("int")
+    piece = lambda ps, a, b: F.substring(F.array_join(F.slice(ps, part_of(a) + 1, part_of(b) - part_of(a) + 1), ""), a % PART_CHARS + 1, b - a)
+
+    def masked(cut: Column) -> Column:
+        before = F.concat(F.array(F.lit(0)), F.transform(cut["m"], lambda x: x["b"].cast("int")))
+        after = F.concat(F.transform(cut["m"], lambda x: x["a"].cast("int")), F.array(F.length("text")))
+        return F.array_join(F.zip_with(before, after, lambda a, b: piece(cut["ps"], a, b)), mark)
+
+    cut = F.struct(common.joined_spans(F.col("spans"), "start", "end").alias("m"), parts.alias("ps"))
+    out = out.withColumn("text", F.when(F.size("spans") > 0, common.let(cut, masked)).otherwise(F.col("text")))
+    return common.unboxed(out, docs.columns, **{text_col: F.col("text")})
