@@ -1,16 +1,21 @@
 """Benchmark decontamination with a generalised suffix automaton of the normalised items.
 
 The automaton is built over the words of all items of a block. Each text streams its words through
-it; the length of the longest match ending at each word says which windows occur.
+it; the length of the longest match ending at each word says which windows occur. Where the items
+make several blocks, one automaton after another is built, broadcast, matched and dropped again, so
+neither the driver nor a worker ever holds more than one.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -19,8 +24,11 @@ WINDOW_WORDS = 13
 #: Words of one block of items, so of one automaton; further items make further blocks.
 BLOCK_WORDS = 200_000
 COVERAGE = 20
+#: Words of a span that may stay in a text that isn't contaminated.
+LONGEST = 50
 
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -31,7 +39,7 @@ def words_of(text: bytes) -> list[bytes]:
 class SuffixAutomaton:
     """Generalised suffix automaton over word numbers, with the items of every window state."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW_WORDS):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int = WINDOW_WORDS):
         self.window = window
         self.ids: dict[bytes, int] = {}
         self.link, self.length, self.next = [-1], [0], [{}]
@@ -41,8 +49,8 @@ class SuffixAutomaton:
             for c in seq:
                 last = self._extend(last, c)
         n = len(self.link)
-        holders: list[set[str]] = [set() for _ in range(n)]
-        short: list[list[tuple[int, str]]] = [[] for _ in range(n)]
+        holders: list[set[str | None]] = [set() for _ in range(n)]
+        short: list[list[tuple[int, str | None]]] = [[] for _ in range(n)]
         for name, seq in coded:
             v = 0
             for c in seq:
@@ -91,10 +99,11 @@ class SuffixAutomaton:
         return new
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
-        """Merged spans of hit words (end exclusive), and the items with occurring windows."""
+        """Merged spans of hit words (end exclusive), and the items with occurring windows; a hit of an
+        item without a name counts, but isn't named."""
         link, length, nxt, window, shorts = self.link, self.length, self.next, self.window, self.short_items
         spans: list[list[int]] = []
-        items: set[str] = set()
+        items: set[str | None] = set()
         v = matched = 0
         for j, c in enumerate(map(self.ids.get, words)):
             if c is None:
@@ -121,44 +130,77 @@ class SuffixAutomaton:
                 while spans and spans[-1][1] >= first:
                     first = min(first, spans.pop()[0])
                 spans.append([first, j + 1])
+        items.discard(None)
         return [(a, b) for a, b in spans], items
 
 
-def _scan_blocks(automaton):
-    schema = pa.schema(
-        [
-            ("key", pa.int64()),
-            ("n_words", pa.int64()),
-            ("spans", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))),
-            ("items", pa.list_(pa.string())),
-        ]
-    )
+_SPANS = "array<struct<a:bigint,b:bigint>>"
+_FOUND = f"struct<n:bigint,spans:{_SPANS},items:array<string>>"
+
+
+def _scanner(spark: SparkSession, block: list[tuple[str | None, list[bytes]]], window: int):
+    """(function of a text column to its words, spans and items; the broadcast automaton)."""
+    shared = spark.sparkContext.broadcast(SuffixAutomaton(block, window))
+    span = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+    kind = pa.struct([("n", pa.int64()), ("spans", span), ("items", pa.list_(pa.string()))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = automaton.value
-        for batch in batches:
-            out = {"n_words": [], "spans": [], "items": []}
-            for text in batch.column("text").cast(pa.binary()):
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        auto = shared.value
+        for texts in batches:
+            found = []
+            for text in texts.cast(pa.binary()):
                 words = words_of(text.as_py() or b"")
                 spans, items = auto.scan(words)
-                out["n_words"].append(len(words))
-                out["spans"].append([{"a": a, "b": b} for a, b in spans])
-                out["items"].append(sorted(items))
-            columns = [batch.column("key"), *[pa.array(out[f.name], f.type) for f in schema if f.name != "key"]]
-            yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([batch.schema.field("key"), *list(schema)[1:]]))
+                found.append({"n": len(words), "spans": [{"a": a, "b": b} for a, b in spans], "items": sorted(items)})
+            yield pa.array(found, kind)
 
-    return run
+    return F.arrow_udf(run, _FOUND), shared
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str, block_words: int) -> list[list[tuple[str, list[bytes]]]]:
-    """Items by block, one block at a time on the driver; the words of a block are bounded."""
-    rows = items.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+def _blocks(items: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
+    """Distinct items by block, one block at a time on the driver; at least one block, maybe empty.
+
+    An item is whole in one block, so a block has about ``block_words`` words or one item's.
+    """
+    rows = items.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).distinct()
     # a word has a character and a gap at least
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // (2 * block_words)))
+    if n > 1:  # written once, by block, so that each block is read alone
+        path = common.fresh_path(items.sparkSession, "decontaminate-items")
+        placed = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n)))
+        common.spread(placed, "block").write.partitionBy("block").parquet(path)
+        placed = items.sparkSession.read.schema("id string, text string, block bigint").parquet(path)
     for k in range(n):
-        own = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k)
-        yield [(r["id"], words_of(r["text"].encode())) for r in own.toLocalIterator() if r["id"] is not None]
+        own = placed.where(F.col("block") == k) if n > 1 else rows
+        yield [(r["id"], words_of(r["text"].encode())) for r in own.toLocalIterator()]
+
+
+def _match(docs: DataFrame, items: DataFrame, text_col: str, item_col: str, item_text_col: str, window: int, block_words: int) -> DataFrame:
+    """(row, text, n, spans, items) of each row of docs, boxed."""
+    spark = docs.sparkSession
+    rows = docs.select(common.boxed(docs), F.col(f"`{text_col}`").alias("text"))
+    blocks = _blocks(items, item_col, item_text_col, block_words)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        scan, _ = _scanner(spark, first, window)
+        return rows.withColumn("found", scan("text")).select("row", "text", "found.n", "found.spans", "found.items")
+    # numbered once and written, as a number made anew could differ
+    rows = common.materialize(rows.withColumn("at", F.monotonically_increasing_id()), "decontaminate-rows")
+    parts = []
+    for block in itertools.chain([first, second], blocks):
+        scan, shared = _scanner(spark, block, window)
+        found = rows.select("at", scan("text").alias("found")).select("at", "found.*")
+        # every row once, for its words; after that only rows with hits
+        parts.append(common.materialize(found if not parts else found.where("size(spans) > 0"), "decontaminate-hits"))
+        shared.destroy()
+    every = functools.reduce(DataFrame.unionByName, parts)
+    merged = every.groupBy("at").agg(
+        F.max("n").alias("n"),
+        common.joined_spans(F.array_sort(F.flatten(F.collect_list("spans"))), "a", "b").alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+    )
+    return rows.join(merged, "at").select("row", "text", "n", "spans", "items")
 
 
 def match(
@@ -174,68 +216,45 @@ def match(
     """(id_col, n_words, spans, items): hit word spans and the items with occurring windows.
 
     A window is ``window`` consecutive words of an item; an item of fewer words, but not none, is
-    one window. Null and empty texts have no words and no hits. Items without id or words match
-    nothing; an item id on several rows has the windows of all of them. Repeated rows each get a
-    row; other columns are ignored.
+    one window. Null and empty texts have no words and no hits. Items without words match nothing;
+    windows of items without id count as hits, but no item is named for them. An item id on several
+    rows has the windows of all of them. Repeated rows each get a row; other columns are ignored.
+    No rows give no rows; without items nothing is hit.
 
     Items are read in blocks of at most about ``block_words`` words, each with an automaton of its
     own that is broadcast; more blocks than one are scanned one after another and merged by row.
     """
-    spark = docs.sparkSession
-    kind = docs.schema[id_col].dataType.simpleString()
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")
-    rows = docs.select(F.col(f"`{id_col}`").alias("key"), text)
-    out = f"key {kind}, n_words bigint, spans array<struct<a:bigint,b:bigint>>, items array<string>"
-    autos = [spark.sparkContext.broadcast(SuffixAutomaton(b, window)) for b in _blocks(items, item_col, item_text_col, block_words)]
-    if len(autos) > 1:
-        # the text's hash keeps rows apart that repeat an id
-        rows = docs.select(F.struct(F.col(f"`{id_col}`").alias("id"), F.monotonically_increasing_id().alias("n")).alias("key"), text)
-        out = out.replace(f"key {kind}", f"key struct<id:{kind},n:bigint>")
-        rows = common.materialize(rows, "decontaminate")
-    found = [rows.mapInArrow(_scan_blocks(a), out) for a in autos]
-    if len(found) == 1:
-        return found[0].withColumnRenamed("key", id_col)
-    every = found[0]
-    for one in found[1:]:
-        every = every.unionByName(one)
-    merged = every.groupBy("key").agg(
-        F.max("n_words").alias("n_words"),
-        merge_spans(F.array_sort(F.flatten(F.collect_list("spans")))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    )
-    return merged.select(F.col("key.id").alias(id_col), "n_words", "spans", "items")
-
-
-def merge_spans(spans: Column) -> Column:
-    """Sorted spans, with overlapping and touching ones joined."""
-    none = F.array().cast("array<struct<a:bigint,b:bigint>>")
-    last = lambda acc: F.element_at(acc, -1)
-    return F.aggregate(
-        spans,
-        none,
-        lambda acc, s: F.when(
-            (F.size(acc) > 0) & (last(acc)["b"] >= s["a"]),
-            F.concat(
-                F.slice(acc, 1, F.size(acc) - 1),
-                F.array(F.struct(last(acc)["a"].alias("a"), F.greatest(last(acc)["b"], s["b"]).alias("b"))),
-            ),
-        ).otherwise(F.concat(acc, F.array(s))),
-    )
+    found = _match(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), items, "text", item_col, item_text_col, window, block_words)
+    return found.select(F.col("row.c0").alias(id_col), F.col("n").alias("n_words"), "spans", "items")
 
 
 def _n_hit() -> Column:
     return F.aggregate("spans", F.lit(0).cast("bigint"), lambda acc, s: acc + s["b"] - s["a"])
 
 
+def _contaminated(n_hit: Column, n: Column, coverage: int) -> Column:
+    """Hit words make up a ``1 / coverage`` share of the text or more."""
+    return (n_hit > 0) & (coverage * n_hit >= n)
+
+
 def judge(matched: DataFrame, coverage: int = COVERAGE) -> DataFrame:
-    """Adds n_hit and contaminated: hit words make up a ``1 / coverage`` share of the text or more."""
+    """Adds n_hit and contaminated; a text without hits isn't."""
     out = matched.withColumn("n_hit", _n_hit())
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (coverage * F.col("n_hit") >= F.col("n_words")))
+    return out.withColumn("contaminated", _contaminated(F.col("n_hit"), F.col("n_words"), coverage))
+
+
+def _too_much(spans: Column, contaminated: Column, longest: int) -> Column:
+    """The spans that exceed a limit: those of over ``longest`` words, or all of a contaminated text."""
+    return F.filter(spans, lambda s: contaminated | (s["b"] - s["a"] > longest))
 
 
 def digest(docs: DataFrame, items: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Counts and hashes of what each text shares with the items."""
+    """Counts and hashes of what each text shares with the items, a row for each row.
+
+    ``n_removed``: words that ``remove_spans`` would take.
+    """
     out = judge(match(docs, items, id_col))
+    cut = _too_much(F.col("spans"), F.col("contaminated"), LONGEST)
     return out.select(
         id_col,
         "n_words",
@@ -243,28 +262,24 @@ def digest(docs: DataFrame, items: DataFrame, id_col: str = "doc_id") -> DataFra
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         "contaminated",
+        F.aggregate(cut, F.lit(0).cast("bigint"), lambda acc, s: acc + s["b"] - s["a"]).alias("n_removed"),
     )
 
 
-def _excise(automaton, longest: int, coverage: int):
-    """Cut the hit spans out of texts that exceed a limit."""
-
-    def cut(auto: SuffixAutomaton, text: str) -> str:
-        import re
+def _excise(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    """Texts without the characters from the first to the last word of each span."""
 
-        places = [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text)]
-        spans, _ = auto.scan(words_of(text.encode()))
-        hit = sum(b - a for a, b in spans)
-        over = [s for s in spans if s[1] - s[0] > longest or coverage * hit >= len(places)]
-        for a, b in reversed(over):
-            text = text[: places[a][0]] + text[places[b - 1][1] :]
-        return text
+    def cut(text: str | None, own: list) -> str | None:
+        if text is None or not len(own):
+            return text
+        places = [m.span() for m in _WORD.finditer(text)]
+        kept, at = [], 0
+        for s in own:
+            kept.append(text[at : places[s["a"]][0]])
+            at = places[s["b"] - 1][1]
+        return "".join(kept) + text[at:]
 
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for series in texts:
-            yield series.map(lambda t: None if t is None else cut(automaton.value, t))
-
-    return run
+    return pd.Series([cut(t, s) for t, s in zip(texts, spans, strict=True)], dtype=object)
 
 
 def remove_spans(
@@ -273,7 +288,7 @@ def remove_spans(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
-    longest: int = 50,
+    longest: int = LONGEST,
     coverage: int = COVERAGE,
     window: int = WINDOW_WORDS,
     block_words: int = BLOCK_WORDS,
@@ -281,42 +296,15 @@ def remove_spans(
     """The rows with hit spans of over ``longest`` words cut out, and all hit spans of texts whose
     hits reach the coverage limit. Columns, rows and null texts stay as they are.
     """
-    spark = docs.sparkSession
-    for block in _blocks(items, item_col, item_text_col, block_words):
-        auto = spark.sparkContext.broadcast(SuffixAutomaton(block, window))
-        docs = docs.withColumn(text_col, F.pandas_udf(_excise(auto, longest, coverage), "string")(F.col(f"`{text_col}`")))
-    return docs
+    found = _match(docs, items, text_col, item_col, item_text_col, window, block_words)
+    cut = _too_much(F.col("spans"), _contaminated(_n_hit(), F.col("n"), coverage), longest)
+    return common.unboxed(found.select("row", F.pandas_udf(_excise, "string")("text", cut).alias("text")), docs.columns, **{text_col: F.col("text")})
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows whose text isn't contaminated, with their columns as they were.
 
-    Decided row by row in the same pass as the match, so rows that share an id are judged apart.
+    Decided row by row, so rows that share an id are judged apart; null and empty texts stay.
     """
-    spark = docs.sparkSession
-    keep = F.lit(True)
-    hits: list[Column] = []
-    for block in _blocks(items, "item_id", "text", BLOCK_WORDS):
-        auto = spark.sparkContext.broadcast(SuffixAutomaton(block))
-        hits.append(F.pandas_udf(_row_spans(auto), "struct<n:bigint,spans:array<struct<a:bigint,b:bigint>>>")(F.col(f"`{text_col}`")))
-    names = [f"_hits{i}" for i in range(len(hits))]
-    out = docs.select("*", *[h.alias(n) for h, n in zip(hits, names, strict=True)])
-    spans = F.concat(*[F.col(f"{n}.spans") for n in names])
-    if len(names) > 1:
-        spans = merge_spans(F.array_sort(spans))
-    hit = F.aggregate(spans, F.lit(0).cast("bigint"), lambda acc, s: acc + s["b"] - s["a"])
-    keep = (hit == 0) | (COVERAGE * hit < F.col(f"{names[0]}.n"))
-    return common.keep_columns(out.where(keep), docs.columns)
-
-
-def _row_spans(automaton):
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        auto = automaton.value
-        for series in texts:
-            rows = []
-            for text in series:
-                words = words_of((text or "").encode())
-                rows.append({"n": len(words), "spans": [{"a": a, "b": b} for a, b in auto.scan(words)[0]]})
-            yield pd.DataFrame(rows, columns=["n", "spans"])
-
-    return run
+    found = _match(docs, items, text_col, item_col, item_text_col, WINDOW_WORDS, block_words)
+    return common.unboxed(found.where(~_contaminated(_n_hit(), F.col("n"), COVERAGE)), docs.columns)

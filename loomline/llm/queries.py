@@ -87,11 +87,17 @@ places AS (
 found AS (
   SELECT doc_id, i, p.size, item_id FROM places p JOIN windows v
     ON v.size = p.size AND v.win = array_to_string(p.w[p.i:p.i + p.size - 1], ' ')),
-hits AS (SELECT doc_id, count(DISTINCT spot)::BIGINT AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS spot FROM found) GROUP BY doc_id),
-which AS (SELECT doc_id, count(*)::BIGINT AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY doc_id)
-SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM docs d LEFT JOIN hits USING (doc_id) LEFT JOIN which USING (doc_id)""",
+spots AS (SELECT DISTINCT doc_id, unnest(range(i, i + size)) AS spot FROM found),
+runs AS (
+  SELECT doc_id, count(*) AS words FROM (SELECT doc_id, spot - row_number() OVER (PARTITION BY doc_id ORDER BY spot) AS run FROM spots) GROUP BY doc_id, run),
+hits AS (SELECT doc_id, sum(words)::BIGINT AS n_hit, coalesce(sum(words) FILTER (words > 50), 0)::BIGINT AS n_long FROM runs GROUP BY doc_id),
+which AS (SELECT doc_id, count(item_id)::BIGINT AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY doc_id),
+judged AS (
+  SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_long, 0) AS n_long, coalesce(n_items, 0) AS n_items, coalesce(ids, '') AS ids,
+    coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+  FROM docs d LEFT JOIN hits USING (doc_id) LEFT JOIN which USING (doc_id))
+SELECT doc_id, n_words, n_hit, n_items, sha256(ids) AS items_sha256, contaminated, CASE WHEN contaminated THEN n_hit ELSE n_long END AS n_removed
+FROM judged""",
     "op3_embedding_dedup": """
 WITH RECURSIVE good AS (
   SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
