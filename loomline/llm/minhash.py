@@ -11,7 +11,8 @@ is expanded into all its pairs. A few bands come first, where members are compar
 of their bucket. Of all bands only those buckets go on whose members still lie in different classes:
 their members are compared block by block inside the tasks, by signature and then by shingles, and
 pairs leave a task only if they are alike and join two classes (a spanning forest); first within the
-blocks of a bucket, then, with the classes found so far, between its blocks.
+blocks of a bucket, then, with the classes found so far, between its blocks: there only the members
+outside the bucket's largest class meet the others.
 """
 
 from __future__ import annotations
@@ -127,6 +128,7 @@ def bands_of(winners: np.ndarray) -> np.ndarray:
 def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     shingler = Shingler()
     ids: list[int] = []
+    hashes: list[int] = []
     digests: list[bytes] = []
     parts: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
@@ -136,18 +138,18 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         winners = prob_minhash(doc, np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), len(parts))
         # one byte of each register is enough to compare signatures
         sketch = (winners >> np.uint64(56)).astype(np.uint8)
-        return pd.DataFrame({"id": ids, "digest": digests, "bands": list(bands_of(winners)), "sketch": [s.tobytes() for s in sketch]})
+        return pd.DataFrame({"id": ids, "h": hashes, "digest": digests, "bands": list(bands_of(winners)), "sketch": [s.tobytes() for s in sketch]})
 
     for pdf in batches:
-        for key, text in zip(pdf["id"], pdf["text"], strict=True):
+        for key, h, text in zip(pdf["id"], pdf["h"], pdf["text"], strict=True):
             shingles, counts, digest = shingler(text.encode())
             if not digest:
                 continue
-            ids.append(key), digests.append(digest), parts.append((shingles, counts))
+            ids.append(key), hashes.append(h), digests.append(digest), parts.append((shingles, counts))
             size += len(shingles)
             if size >= BATCH_SHINGLES:
                 yield flush()
-                ids, digests, parts, size = [], [], [], 0
+                ids, hashes, digests, parts, size = [], [], [], [], 0
     if ids:
         yield flush()
 
@@ -160,7 +162,7 @@ def _shingle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             found = [shingler(t.encode()) for t in part["text"]]
             yield pd.DataFrame(
                 {
-                    "id": part["id"].to_numpy(),
+                    "rep": part["rep"].to_numpy(),
                     "shingles": [s.tobytes() for s, _, _ in found],
                     # most texts hold each shingle once
                     "counts": [None if (c == 1).all() else c.astype("<u4").tobytes() for _, c, _ in found],
@@ -217,29 +219,35 @@ def _alike(similarity: float):
     return run
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """(id_col, class_id): the smallest id reachable over pairs of texts alike to ``similarity``.
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, h, text): ``h`` tells rows apart that share an id."""
+    text = F.col(f"`{text_col}`")
+    return docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
 
-    Words are runs of letters and digits, A-Z lower-cased. Texts without words (null, empty) and
-    rows without id are classes of their own. Rows that share an id are one document. Integer ids;
-    an empty table gives no rows; other columns are ignored. A pair is found with the probability
-    of the bands: 0.9999 at the threshold, more above it.
-    """
-    rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text"))
+
+def _classes_of_rows(rows: DataFrame, similarity: float) -> DataFrame:
+    """(id, h, cls, class_id) of every row that has an id and words: its class's number and smallest id."""
     usable = rows.where("id is not null and text is not null")
-    signed = usable.mapInPandas(_sign, "id bigint, digest binary, bands array<bigint>, sketch binary")
+    signed = usable.mapInPandas(_sign, "id bigint, h bigint, digest binary, bands array<bigint>, sketch binary")
     signed = common.materialize(signed, "minhash-signed")
-    # exact copies are one text from here on; copies are met before the shuffle
-    first = F.min(F.struct("id", "bands", "sketch"))
-    reps = signed.groupBy("digest").agg(first.alias("r")).select("digest", F.col("r.id").alias("rep"), "r.bands", "r.sketch")
+    # exact copies are one text from here on, with a number of its own; copies are met before the shuffle
+    first = F.min(F.struct("id", "h", "bands", "sketch"))
+    reps = signed.groupBy("digest").agg(first.alias("r"))
+    reps = reps.select("digest", F.monotonically_increasing_id().alias("rep"), F.col("r.id").alias("id"), "r.h", "r.bands", "r.sketch")
     reps = common.materialize(reps, "minhash-reps")
+    repeated = not signed.groupBy("id", "h").count().where("count > 1").isEmpty()
     side = lambda t, x, cols: t.select(F.col(t.columns[0]).alias(x), *[F.col(c).alias(c[0] + x) for c in cols])
 
-    def shingles_of(ids: DataFrame) -> DataFrame:
-        ids = common.materialize(ids.distinct(), "minhash-ids")
+    def shingles_of(numbers: DataFrame) -> DataFrame:
+        ids = common.materialize(reps.select("rep", "id", "h").join(numbers.distinct(), "rep", "left_semi"), "minhash-ids")
         few = ids.count() <= BROADCAST_IDS
-        found = usable.join(F.broadcast(ids) if few else ids, "id", "left_semi")
-        return common.materialize(found.mapInPandas(_shingle, "id bigint, shingles binary, counts binary"), "minhash-shingles")
+        found = usable.join(F.broadcast(ids) if few else ids, ["id", "h"]).select("rep", "text")
+        found = found.mapInPandas(_shingle, "rep bigint, shingles binary, counts binary")
+        if repeated:
+            found = found.groupBy("rep").agg(F.first("shingles").alias("shingles"), F.first("counts").alias("counts"))
+        found = common.materialize(found, "minhash-shingles")
+        common.discard(ids)
+        return found
 
     def verify(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
         both = pairs.join(side(shingles, "a", ["shingles", "counts"]), "a").join(side(shingles, "b", ["shingles", "counts"]), "b")
@@ -249,22 +257,40 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     sketches = reps.select("rep", "sketch")
     both = pairs.join(side(sketches, "a", ["sketch"]), "a").join(side(sketches, "b", ["sketch"]), "b")
     both = common.materialize(both.mapInPandas(_alike(similarity), "a bigint, b bigint"), "minhash-alike")
-    links = verify(both, shingles_of(both.select(F.explode(F.array("a", "b")).alias("id"))))
+    shingles = shingles_of(both.select(F.explode(F.array("a", "b")).alias("rep")))
+    links = verify(both, shingles)
+    common.discard(pairs, shingles)
     tested = [both]
     comps = common.connected_components(links, "a", "b")
     open_ = common.materialize(_open_buckets(reps, comps, BANDS), "minhash-open")
-    shingles = shingles_of(open_.select(F.col("rep").alias("id")))
-    texts = sketches.join(shingles.withColumnRenamed("id", "rep"), "rep").select("rep", "sketch", "shingles", "counts")
+    shingles = shingles_of(open_.select("rep"))
+    texts = sketches.join(shingles, "rep").select("rep", "sketch", "shingles", "counts")
     for across in (False, True):
-        pairs = _block_pairs(open_.join(texts, "rep"), comps, similarity, across)
+        pairs = _block_pairs(open_, texts, comps, similarity, across)
         for done in tested:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         tested.append(common.materialize(pairs, "minhash-pairs"))
         links = links.unionByName(verify(tested[-1], shingles))
         comps = common.connected_components(links, "a", "b")
-    of_rep = reps.select("digest", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-    of_rep = of_rep.select("digest", F.coalesce("component", "rep").alias("class_id"))
-    of_id = signed.select("id", "digest").join(of_rep, "digest").groupBy("id").agg(F.min("class_id").alias("class_id"))
+    common.discard(open_, shingles, *tested)
+    placed = reps.select("digest", "rep", "id").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
+    joined = placed.where("component is not null")
+    lowest = joined.groupBy("component").agg(F.min("id").alias("class_id"))
+    of_text = joined.join(lowest, "component").select("digest", F.col("component").alias("cls"), "class_id")
+    of_text = of_text.unionByName(placed.where("component is null").select("digest", F.col("rep").alias("cls"), F.col("id").alias("class_id")))
+    return signed.select("id", "h", "digest").join(of_text, "digest").select("id", "h", "cls", "class_id")
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """(id_col, class_id): the smallest id reachable over pairs of texts alike to ``similarity``.
+
+    Words are runs of letters and digits, A-Z lower-cased. Texts without words (null, empty) and
+    rows without id are classes of their own. Rows that share an id each have the smallest class of
+    that id's texts. Integer ids; an empty table gives no rows; other columns are ignored. A pair is
+    found with the probability of the bands: 0.9999 at the threshold, more above it.
+    """
+    rows = _rows(docs, id_col, text_col)
+    of_id = _classes_of_rows(rows, similarity).groupBy("id").agg(F.min("class_id").alias("class_id"))
     out = rows.select("id").join(of_id, "id", "left")
     return out.select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"))
 
@@ -403,36 +429,59 @@ def _compare(similarity: float):
     return run
 
 
-def _block_pairs(open_: DataFrame, comps: DataFrame, similarity: float, across: bool) -> DataFrame:
-    """(a, b): pairs that join classes, of texts that share a bucket; within its blocks, or across them too."""
-    now = open_.drop("comp").join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
-    if across:  # what has become one class needs no comparing
-        mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        now = now.join(mixed, "key", "left_semi")
-    parts = F.ceil(F.col("n") / BLOCK_TEXTS).cast("int")
-    part = F.pmod(F.xxhash64("rep", "key"), parts).cast("int")
-    other = F.explode(F.sequence(F.lit(0), parts - 1)) if across else part
-    rows = now.select("key", "rep", "comp", "sketch", "shingles", "counts", part.alias("part"), other.alias("other"))
+def _block_pairs(open_: DataFrame, texts: DataFrame, comps: DataFrame, similarity: float, across: bool) -> DataFrame:
+    """(a, b): pairs that join classes, of texts that share a bucket; within its blocks, or across them.
+
+    Across, a bucket's largest class needs no comparing with itself: its members go to the blocks of
+    the others (outsiders) only, the outsiders to all blocks. Buckets of one block are done by then.
+    """
+    now = open_.drop("comp").join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+    spot = F.xxhash64("rep", "key")
+    blocks = lambda n: F.ceil(n / BLOCK_TEXTS).cast("int")
+    if across:
+        now = now.where(F.col("n") > BLOCK_TEXTS)
+        sizes = now.groupBy("key", "comp").agg(F.count("*").alias("n"))
+        top = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("classes")).where("classes > 1")
+        now = now.join(top.select("key", "top", (F.col("all") - F.col("top.n")).alias("out")), "key")
+        p, q = blocks(F.col("top.n")), blocks(F.col("out"))
+        inside = F.col("comp") == F.col("top.comp")
+        # parts of the largest class come first, then those of the outsiders
+        part = F.when(inside, F.pmod(spot, p)).otherwise(p + F.pmod(spot, q)).cast("int")
+        other = F.explode(F.when(inside, F.sequence(p, p + q - 1)).otherwise(F.sequence(F.lit(0), p + q - 1)))
+    else:
+        part = other = F.pmod(spot, blocks(F.col("n"))).cast("int")
+    rows = now.join(texts, "rep").select("key", "rep", "comp", "sketch", "shingles", "counts", part.alias("part"), other.alias("other"))
     rows = rows.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "rep", "comp", "sketch", "shingles", "counts")
     dealt = common.spread(rows, "key", "i", "j").sortWithinPartitions("key", "i", "j")
     return dealt.mapInPandas(_compare(similarity), "a bigint, b bigint").distinct()
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The class of every row, and whether the row is the one that stays."""
+    """The class of every row, and whether the row is the one that stays; a row without id stays."""
     return classes(docs, id_col, text_col).withColumn("kept", F.coalesce(F.col("class_id") == F.col(id_col), F.lit(True)))
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each class: the one with the smallest id; columns stay as they were.
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """One row of each class of texts, one with the smallest id; columns stay as they were.
 
-    Rows without id all stay. Rows that repeat a kept id are reduced to one.
+    Decided by row and text: rows that share an id but not a class all stay. Rows without id or words
+    (null or empty texts) stay. Of rows with the same id and text one is kept, whichever.
     """
-    out = classes(docs, id_col, text_col).where(F.col("class_id") == F.col(id_col)).select(F.col(id_col).alias("_kept"))
-    out = common.materialize(out, "minhash-kept")
-    ids = out.groupBy("_kept").agg(F.count("*").alias("_n"))
-    kept = docs.join(ids, docs[id_col] == ids["_kept"], "left").where(f"_kept is not null or `{id_col}` is null")
-    if not ids.where("_n > 1").isEmpty():
-        once = common.keep_columns(kept.where("_n > 1"), docs.columns).dropDuplicates([id_col])
-        return common.keep_columns(kept.where("coalesce(_n, 1) = 1"), docs.columns).unionByName(once)
-    return common.keep_columns(kept, docs.columns)
+    key = ["id", "h"]
+    rows = docs.select(common.boxed(docs), F.col(f"`{id_col}`").cast("bigint").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("h"))
+    placed = _classes_of_rows(_rows(docs, id_col, text_col), similarity)
+    placed = common.materialize(placed.groupBy(*key).agg(F.first("cls").alias("cls"), F.count("*").alias("n")), "minhash-placed")
+    best = placed.groupBy("cls").agg(F.min(F.struct("id", "h", "n")).alias("b")).select("b.*")
+    best = common.materialize(best, "minhash-kept")
+
+    def few(t: DataFrame) -> DataFrame:
+        return F.broadcast(t) if t.count() <= BROADCAST_IDS else t
+
+    gone = common.materialize(placed.select(*key).join(best, key, "left_anti"), "minhash-gone")
+    kept = rows.join(few(gone), key, "left_anti")
+    repeated = best.where("n > 1").select(*key)
+    if not repeated.isEmpty():
+        repeated = few(repeated)
+        once = kept.join(repeated, key, "left_semi").groupBy(*key).agg(F.first("row").alias("row"))
+        kept = kept.join(repeated, key, "left_anti").select("row").unionByName(once.select("row"))
+    return common.unboxed(kept, docs.columns)
