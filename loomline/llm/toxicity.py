@@ -65,7 +65,7 @@ class Lexicon:
         """(fixed hit, log-odds of the word, of its stem, second person), or None for none of it."""
         stem = max([self.stems.get(w[:k], 0.0) for k in STEMS if len(w) >= k], default=0.0)
         found = (w in INSULTS, self.words.get(w, 0.0), stem, w in SECOND_PERSON)
-        if len(self.memo) > 400_000:
+        if len(self.memo) > 100_000:
             self.memo.clear()
         self.memo[w] = known = found if any(found) else None
         return known
@@ -75,18 +75,24 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def learn_lexicon(texts: list[str], labels: np.ndarray, size: int = LEXICON_SIZE, least: float = 24.0) -> Lexicon:
-    """Words and stems that the toxic texts hold far more often than chance lets them (G-test)."""
-    out = Lexicon()
-    n1 = int(labels.sum())
-    n0 = len(labels) - n1
-    if not n1 or not n0:
-        return out
-    found = {"words": (Counter(), Counter()), "stems": (Counter(), Counter())}
+Counts = dict[str, tuple[Counter, Counter]]
+
+
+def count_words(texts: list[str], labels: np.ndarray) -> Counts:
+    """Texts that hold each word and each word stem, by label."""
+    found: Counts = {"words": (Counter(), Counter()), "stems": (Counter(), Counter())}
     for text, label in zip(texts, labels, strict=True):
         words = set(words_of(text))
         found["words"][int(label)].update(words)
         found["stems"][int(label)].update({w[:k] for w in words for k in STEMS if len(w) >= k})
+    return found
+
+
+def learn_lexicon(found: Counts, n0: int, n1: int, size: int = LEXICON_SIZE, least: float = 24.0) -> Lexicon:
+    """Words and stems that the ``n1`` toxic texts hold far more often than chance lets them (G-test)."""
+    out = Lexicon()
+    if not n1 or not n0:
+        return out
     for kind, (clean, toxic) in found.items():
         scored = []
         for w, a in toxic.items():
@@ -135,7 +141,8 @@ def features(text: str, lexicon: Lexicon) -> list[float]:
             min(abs(h - you[j]) for j in (a - 1, a) if 0 <= j < len(you)) <= 5 for h, a in zip(hits, at.tolist(), strict=True)
         )
     obfuscated = [m.start() for m in _OBFUSCATED.finditer(text) if m.start() and text[m.start() - 1].isalpha()]
-    tokens = {text[text.rfind(" ", 0, i) + 1 : i + 40].split()[0] for i in obfuscated}
+    # a word is read up to 40 characters either way, so a text without blanks isn't read for each
+    tokens = {text[max(text.rfind(" ", max(0, i - 40), i) + 1, i - 40) : i + 40].split()[0] for i in obfuscated}
     plain = [re.sub(r"[\W_]", "", o.lower().translate(LEET)) for o in tokens]
     leet = sum(o in INSULTS or o in lexicon.words for o in plain)
     codes = np.frombuffer(text.encode(), dtype=np.uint8)
@@ -282,30 +289,38 @@ def fit(texts: list[str], labels: np.ndarray, folds: int = 4, seed: int = 7) ->
         return Model(Lexicon(), None, np.zeros(1), np.array([y.mean() if len(y) else 0.0]))
     part = np.random.default_rng(seed).permutation(len(y)) % folds
     x = np.zeros((len(y), len(FEATURES)))
+    each = [count_words([texts[i] for i in np.flatnonzero(part == k)], y[part == k]) for k in range(folds)]
+
+    every: Counts = {kind: tuple(sum((c[kind][t] for c in each), Counter()) for t in (0, 1)) for kind in ("words", "stems")}
+
+    def lexicon(without: int | None) -> Lexicon:
+        found = every if without is None else {kind: tuple(a - b for a, b in zip(every[kind], each[without][kind], strict=True)) for kind in every}
+        rest = y if without is None else y[part != without]
+        return learn_lexicon(found, int((rest == 0).sum()), int((rest == 1).sum()))
+
     for k in range(folds):
-        rest, own = np.flatnonzero(part != k), np.flatnonzero(part == k)
-        lexicon = learn_lexicon([texts[i] for i in rest], y[rest])
-        for i in own:
-            x[i] = features(texts[i], lexicon)
+        own = lexicon(k)
+        for i in np.flatnonzero(part == k):
+            x[i] = features(texts[i], own)
     margin = np.zeros(len(y))
     for k in range(folds):
         margin[part == k] = fit_trees(x[part != k], y[part != k]).margin(x[part == k])
-    return Model(learn_lexicon(texts, y), fit_trees(x, y), *fit_isotonic(margin, y))
+    return Model(lexicon(None), fit_trees(x, y), *fit_isotonic(margin, y))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fit on labelled rows of the learning folds, at most ``sample_rows`` of them.
 
     The sample is the rows with the smallest hash of their id, so it is the same on every run.
-    Rows without id, label or text aren't learned from.
+    Rows without id, label or text aren't learned from; of texts that share an id the smallest is.
     """
     wanted = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("y"))
     wanted = wanted.where((common.crc_fold("id", FOLDS) != 0) & F.col("y").isNotNull())
     wanted = wanted.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample_rows)
     text = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
     # the sample's size is bounded by its limit
-    rows = text.join(F.broadcast(wanted), "id").select("id", "y", "text").toPandas() if sample_rows else None
-    rows = rows.sort_values(["id", "text"]).drop_duplicates("id")
+    rows = text.join(F.broadcast(wanted), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("y").alias("y")).toPandas()
+    rows = rows.sort_values("id")
     return fit(rows["text"].tolist(), (rows["y"].to_numpy() > 0).astype(float))
 
 
@@ -329,12 +344,13 @@ def _scorer(docs: DataFrame, model: Model):
 
 
 def digest(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Score and prediction of every row, and whether its id is held out; an empty text is scored like any."""
     out = score(docs, train(docs, labels, id_col), id_col)
     return out.select(id_col, (common.crc_fold(id_col, FOLDS) == 0).alias("held_out"), "score", "predicted")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that the model doesn't reject, with their columns as they were."""
+    """The rows that the model doesn't reject, with their columns as they were; null texts count as empty."""
     model = train(docs, labels, id_col, text_col)
-    marked = docs.select("*", _scorer(docs, model)(F.col(f"`{text_col}`")).alias("_toxicity"))
-    return common.keep_columns(marked.where("_toxicity < 0.5"), docs.columns)
+    scored = docs.select(common.boxed(docs), _scorer(docs, model)(F.col(f"`{text_col}`")).alias("score"))
+    return common.unboxed(scored.where("score < 0.5"), docs.columns)
