@@ -1,20 +1,23 @@
 """Size-tiered compaction of immutable shards under a versioned manifest.
 
 Arrivals are appended as small Parquet files. Files of a similar size (a tier) are merged into
-files of the target size, all merges of a round in one job, each by one task that reads at most the
-target's bytes. A version of the store is a manifest that lists its files; a new one is written
-under a temporary name and renamed, which fails where another writer has taken that version. Files
-that a lost task or a lost race leaves behind are in no manifest, so nobody reads them.
+files of the target size, all merges of a round in one job, each in a partition of its own that gets
+at most the target's bytes. A version of the store is a manifest that lists its files; a new one is
+written under a temporary name and renamed, which fails where another writer has taken that version.
+A writer that dies leaves a temporary file and files that no manifest lists, so nobody reads them.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -22,6 +25,7 @@ from . import common
 TARGET_BYTES = 64 << 20
 BASE_BYTES = 1 << 20
 FAN_IN = 4
+DAY_S = 86_400.0
 
 
 @dataclass(frozen=True)
@@ -105,11 +109,17 @@ class ShardStore:
         stream = self._fs.create(new, False)
         stream.write(bytearray(text.encode()))
         stream.close()
-        # createNewFile is atomic: of two writers of a version one gets the claim
-        claim = self._path(f"{self.root}/manifests/.claim-{version:08d}")
-        if not self._fs.createNewFile(claim) or self._fs.exists(final) or not self._fs.rename(new, final):
+        # never overwrites: of two writers of a version one gets the name
+        files = self.spark._jvm.org.apache.hadoop.fs
+        once = self.spark.sparkContext._gateway.new_array(files.Options.Rename, 1)
+        once[0] = files.Options.Rename.NONE
+        try:
+            files.FileContext.getFileContext(final.toUri() if final.toUri().getScheme() else self._fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(new, final, once)
+        except Py4JJavaError as e:
             self._fs.delete(new, False)
-            raise ConcurrentCommit(f"version {version} is taken")
+            if "FileAlreadyExistsException" not in e.java_exception.getClass().getName():
+                raise
+            raise ConcurrentCommit(f"version {version} is taken") from e
         return version
 
     def _written(self, folder: str) -> list[Shard]:
@@ -121,13 +131,26 @@ class ShardStore:
                 found.append(Shard(name[name.index(folder) :], f.getLen()))
         return sorted(found, key=lambda s: s.path)
 
+    def _folder(self, before: dict) -> str:
+        return f"data/{before['version'] + 1:08d}-{uuid.uuid4().hex}"
+
+    def _add(self, new: list[Shard], schema: str) -> int:
+        before = self.manifest()
+        return self._commit(before, [*(Shard(**s) for s in before["shards"]), *new], schema)
+
     def append(self, rows: DataFrame) -> int:
         """Add rows as new shards, one for each task that has some; gives the new version."""
-        before = self.manifest()
-        folder = f"data/{before['version'] + 1:08d}-{uuid.uuid4().hex}"
+        folder = self._folder(self.manifest())
         rows.write.option("compression", "zstd").parquet(f"{self.root}/{folder}")
-        new = [s for s in self._written(folder)]
-        return self._commit(before, [*map(lambda s: Shard(**s), before["shards"]), *new], rows.schema.json())
+        return self._add(self._written(folder), rows.schema.json())
+
+    def append_waves(self, rows: DataFrame, wave: Column, waves: int) -> Iterator[int]:
+        """Add rows in waves 0 to ``waves - 1``, a version each, written by one job that reads them once."""
+        folder, name = self._folder(self.manifest()), f"wave_{uuid.uuid4().hex}"
+        rows.withColumn(name, wave).write.partitionBy(name).option("compression", "zstd").parquet(f"{self.root}/{folder}")
+        found = self._written(folder)
+        for k in range(waves):
+            yield self._add([s for s in found if f"/{name}={k}/" in s.path], rows.schema.json())
 
     def compact(self) -> int:
         """Merge until no tier holds enough shards; gives the latest version."""
@@ -137,24 +160,30 @@ class ShardStore:
             merges = plan_merges(shards, self.target, self.base, self.fan_in)
             if not merges:
                 return before["version"]
-            folder = f"data/{before['version'] + 1:08d}-{uuid.uuid4().hex}"
+            folder, name = self._folder(before), f"merge_{uuid.uuid4().hex}"
             paths = [(s.path, i) for i, group in enumerate(merges) for s in group]
-            plan = self.spark.createDataFrame(paths, "_path string, _merge int")
+            plan = self.spark.createDataFrame(paths, "path string, merge int")
             rows = self._read(before["schema"], [p for p, _ in paths])
-            rows = rows.withColumn("_path", F.regexp_extract(F.col("_metadata.file_path"), r"(data/[^/]+/.*)\z", 1))
+            boxed = rows.select(common.boxed(rows), F.regexp_extract(F.input_file_name(), r"(data/[^/]+/.*)\z", 1).alias("path"))
             # one small row for each file to merge
-            rows = rows.join(F.broadcast(plan), "_path").drop("_path")
-            rows = rows.repartition(len(merges), "_merge")
-            rows.write.partitionBy("_merge").option("compression", "zstd").parquet(f"{self.root}/{folder}")
+            boxed = boxed.join(F.broadcast(plan), "path").repartitionById(len(merges), "merge")
+            merged = boxed.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(rows.columns)], F.col("merge").alias(name))
+            merged.write.partitionBy(name).option("compression", "zstd").parquet(f"{self.root}/{folder}")
             gone = {p for p, _ in paths}
             self._commit(before, [*[s for s in shards if s.path not in gone], *self._written(folder)], before["schema"])
 
-    def vacuum(self) -> None:
-        """Delete the files that the latest version no longer lists. Readers of older ones must be done."""
-        live = {s.path for s in self.shards()}
+    def vacuum(self, older_than_s: float = DAY_S, versions: int = 1) -> None:
+        """Delete files that none of the latest ``versions`` lists and that are older than an age.
+
+        The age spares what a writer hasn't committed yet and what readers of older versions still read.
+        """
+        kept = self.versions()[-versions:]
+        live = {s.path for v in kept for s in self.shards(v)}
+        before = (time.time() - older_than_s) * 1000
         for s in self._written("data"):
-            if s.path not in live:
-                self._fs.delete(self._path(f"{self.root}/{s.path}"), False)
+            at = self._path(f"{self.root}/{s.path}")
+            if s.path not in live and self._fs.getFileStatus(at).getModificationTime() <= before:
+                self._fs.delete(at, False)
 
     def _read(self, schema: str, paths: list[str]) -> DataFrame:
         from pyspark.sql.types import StructType
@@ -175,14 +204,19 @@ class ShardStore:
 
 
 def ingest(docs: DataFrame, waves: int = 4, id_col: str = "doc_id", root: str | None = None, **sizes: int) -> ShardStore:
-    """Append a table in waves of arrivals, compacting after each; gives the store."""
+    """Append a table in waves of arrivals, compacting after each; gives the store.
+
+    Rows keep all columns, whatever their names; nulls, empty texts and repeated rows stay as they are.
+    An empty table gives a store without rows. A store under no given ``root`` is this call's alone, so
+    what a compaction replaces is deleted at once; elsewhere ``vacuum`` is the owner's to call.
+    """
     spark = docs.sparkSession
     store = ShardStore(spark, root or common.fresh_path(spark, "shards"), **sizes)
-    wave = F.coalesce(F.pmod(F.col(id_col), F.lit(waves)), F.lit(0))
-    for k in range(waves):
-        store.append(docs.where(wave == k))
+    wave = F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(waves)).cast("int")
+    for _ in store.append_waves(docs, wave, waves):
         store.compact()
-        store.vacuum()
+    if not root:
+        store.vacuum(0)
     return store
 
 
