@@ -8,7 +8,8 @@ learning texts whose own counts are taken out (deleted) from the estimates.
 Counts cover the whole corpus and are never gathered in one place. Texts are dealt into blocks. A
 block asks for the counts of its distinct n-grams; questions are routed by the n-gram's hash to the
 task that sums them over all blocks, and the answers go back to the block in the order asked.
-An n-gram takes one entry a block, however frequent it is, so no hot word makes a hot task.
+An n-gram takes one entry a block, however frequent it is, so no hot word makes a hot task. N-grams
+are told apart by 64-bit hashes; there is a route for every few blocks, so what a task sums is bounded.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ FOLDS = 10
 #: Fold of the learning texts that the mixture weights are learned on.
 DELETED_FOLD = 1
 BLOCK_BYTES = 8 << 20
+#: Blocks whose questions one route answers on average; each block sends a row to each route.
+ROUTE_BLOCKS = 4
 #: Context-frequency buckets: unseen, then powers of two.
 BUCKETS = 26
 #: Width in nats of the bins in which held-out ratios are counted for the EM.
@@ -31,7 +34,6 @@ BIN = 0.25
 BINS = 120
 EM_ROUNDS = 60
 
-_LOW = np.uint64((1 << 48) - 1)
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _END = np.uint64(0x5851F42D4C957F2D)
 
@@ -50,7 +52,7 @@ def tokens_of(text: str | None) -> list[bytes]:
 class Block:
     """The n-grams of a block's texts: hashes of tokens in order, and the distinct n-grams."""
 
-    def __init__(self, texts: list[str | None], routes: int):
+    def __init__(self, texts: list[str | None]):
         import xxhash
 
         words: list[bytes] = []
@@ -73,8 +75,8 @@ class Block:
             pair = _mix(before * _GOLDEN + token)
         self.sizes, self.starts = sizes, ends - sizes
         self.text_of = np.repeat(np.arange(len(texts)), sizes)
-        self.one, self.one_at = np.unique(_code(token, routes), return_inverse=True)
-        self.two, self.two_at = np.unique(_code(pair, routes), return_inverse=True)
+        self.one, self.one_at = np.unique(token, return_inverse=True)
+        self.two, self.two_at = np.unique(pair, return_inverse=True)
         # position of each token's context among the unigrams; a text starts after an end
         self.before_at = np.empty_like(self.one_at)
         self.before_at[1:] = self.one_at[:-1]
@@ -84,40 +86,30 @@ class Block:
         return np.bincount(self.text_of, per_token, len(self.sizes))
 
 
-def _code(h: np.ndarray, routes: int) -> np.ndarray:
-    """Route in the high 16 bits, the rest of the hash below."""
-    return ((h >> np.uint64(48)) % np.uint64(routes) << np.uint64(48)) | (h & _LOW)
-
-
-def _packed(codes: np.ndarray) -> bytes:
-    """The low six bytes of each code."""
-    return codes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def _unpacked(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // 6, 8), dtype=np.uint8)
-    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
-    return out.view("<u8")[:, 0]
+def _route_edges(codes: np.ndarray, routes: int) -> np.ndarray:
+    """Where each route begins among sorted codes: routes are equal ranges of the hash."""
+    own = (codes >> np.uint64(32)) * np.uint64(routes) >> np.uint64(32)
+    return np.searchsorted(own, np.arange(routes + 1, dtype=np.uint64))
 
 
 def _ask(routes: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        block = Block(pdf["text"].tolist(), routes)
+        block = Block(pdf["text"].tolist())
         learn = np.repeat(pdf["learn"].to_numpy(), block.sizes)
         rows = []
         for order, codes, at in ((1, block.one, block.one_at), (2, block.two, block.two_at)):
             n = np.bincount(at, learn, len(codes)).astype("<u4")
-            edges = np.searchsorted(codes, np.arange(routes + 1, dtype=np.uint64) << np.uint64(48))
+            edges = _route_edges(codes, routes)
             for r in np.flatnonzero(np.diff(edges)):
                 s = slice(edges[r], edges[r + 1])
-                rows.append((order, int(r), int(pdf["block"].iloc[0]), bool(pdf["deleted"].iloc[0]), _packed(codes[s]), n[s].tobytes()))
+                rows.append((order, int(r), int(pdf["block"].iloc[0]), bool(pdf["deleted"].iloc[0]), codes[s].astype("<u8").tobytes(), n[s].tobytes()))
         return pd.DataFrame(rows, columns=["order", "route", "block", "deleted", "codes", "n"])
 
     return run
 
 
 def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
-    codes = [_unpacked(c) for c in pdf["codes"]]
+    codes = [np.frombuffer(c, "<u8") for c in pdf["codes"]]
     _, at = np.unique(np.concatenate(codes), return_inverse=True)
     n = np.frombuffer(b"".join(pdf["n"]), "<u4")
     every = np.bincount(at, n)
@@ -154,12 +146,12 @@ def _bin_ratio(b: np.ndarray) -> np.ndarray:
     return np.where(b > 0, np.exp((b - BINS // 4) * BIN), 0.0)
 
 
-def _held_out(routes: int, tokens: int, types: int):
+def _held_out(tokens: int, types: int):
     def run(key: tuple, texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         names = ["bucket", "two", "one", "n"]
         if texts.empty:
             return pd.DataFrame({n: pd.Series(dtype="int64") for n in names})
-        block = Block(texts["text"].tolist(), routes)
+        block = Block(texts["text"].tolist())
         one, two = _counts(answers, "rest")
         before = one[block.before_at]
         r2 = two[block.two_at] / np.maximum(before, 1) * (types + 1)
@@ -193,9 +185,9 @@ def learn_weights(cells: pd.DataFrame, rounds: int = EM_ROUNDS) -> np.ndarray:
     return out
 
 
-def _score(routes: int, tokens: int, types: int, weights: np.ndarray):
+def _score(tokens: int, types: int, weights: np.ndarray):
     def run(key: tuple, texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        block = Block(texts["text"].tolist(), routes)
+        block = Block(texts["text"].tolist())
         one, two = _counts(answers, "every")
         c = one[block.one_at]
         base = np.log10((one + 0.1) / (tokens + 0.1 * (types + 1)))[block.one_at]
@@ -229,7 +221,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
     size = rows.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     size = (size[0] or 0) + size[1]
     blocks = max(1, -(-size // block_bytes), min(common.partitions(docs.sparkSession), size >> 20))
-    routes = int(min(60_000, max(4, blocks)))
+    routes = int(max(4, -(-blocks // ROUTE_BLOCKS)))
     fold = common.crc_fold("id", FOLDS)
     # the deleted fold has blocks of its own, so what is learned on it reads no others
     own = max(1, blocks // (FOLDS - 1))
@@ -246,12 +238,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
     answers = common.materialize(asked.groupBy("order", "route").applyInPandas(_answer, _ANSWERS), "lm-answers")
     facts = answers.where("order = 1").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "types", "rest_tokens", "rest_types")]).first()
     held = placed.where("deleted").groupBy("block").cogroup(answers.where("deleted").groupBy("block"))
-    cells = held.applyInPandas(_held_out(routes, facts["rest_tokens"], facts["rest_types"]), "bucket bigint, two bigint, one bigint, n bigint")
+    cells = held.applyInPandas(_held_out(facts["rest_tokens"], facts["rest_types"]), "bucket bigint, two bigint, one bigint, n bigint")
     # bounded: one row for each bucket and pair of bins
     cells = cells.groupBy("bucket", "two", "one").agg(F.sum("n").alias("n")).toPandas()
     weights = learn_weights(cells)
     scored = placed.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(
-        _score(routes, facts["tokens"], facts["types"], weights),
+        _score(facts["tokens"], facts["types"], weights),
         f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double",
     )
     return scored.withColumnRenamed("id", id_col)
