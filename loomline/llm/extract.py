@@ -3,8 +3,10 @@
 A page is read into blocks: runs of text between block-level tags, each with its tag path. A
 bidirectional LSTM in numpy reads, block by block, a vector of the tag path and of the hashed
 words, so every block is labelled in the context of the whole page. It is fitted on a bounded
-sample of pages whose blocks are labelled by their markup, with the markup partly hidden so that
-neighbours and words count too, and broadcast to label all pages.
+sample of pages, and broadcast to label all pages. The labels to learn are weak ones, from an order
+of elements that the network isn't told (``markup_label``); it sees hashed tags, pairs of tags and
+names, and how near to the block what sort of element is. The sample is varied, with part of the
+markup hidden, so that neighbours and words count too.
 """
 
 from __future__ import annotations
@@ -12,7 +14,8 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -22,10 +25,12 @@ from pyspark.sql import functions as F
 
 #: Pages that the labeller is fitted on at most; all of them where there are fewer.
 SAMPLE_PAGES = 300
-#: Longest sequence in training; labelling reads pages whole.
+#: Longest page that is learned from; all pages are labelled.
+SAMPLE_CHARS = 1_000_000
+#: Blocks of a sequence in training, longer pages make several; labelling reads pages whole.
 TRAIN_BLOCKS = 120
 HIDDEN = 12
-PATH_DIMS, WORD_DIMS = 32, 24
+TAG_DIMS, PAIR_DIMS, NAME_DIMS, WORD_DIMS = 48, 48, 24, 24
 BATCH_BLOCKS = 40_000
 
 # Element classes of HTML.
@@ -64,6 +69,9 @@ _MARKUP = re.compile(
 _ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.I) for t in RAW}
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_NAME = re.compile(r"[^\W_]+")
+#: Paths that a worker remembers at most.
+PATHS = 20_000
 
 
 class Element(NamedTuple):
@@ -73,14 +81,6 @@ class Element(NamedTuple):
     names: str = ""
     hidden: bool = False
 
-    @property
-    def boiler(self) -> bool:
-        return self.hidden or self.tag in BOILER or bool(_BOILER_CLASS.search(self.names))
-
-    @property
-    def main(self) -> bool:
-        return self.tag in MAIN or bool(_MAIN_CLASS.search(self.names))
-
 
 def _element(tag: str, attributes: str) -> Element:
     if not attributes.strip(" /\t\r\n"):
@@ -94,62 +94,152 @@ def _element(tag: str, attributes: str) -> Element:
     return Element(tag, " ".join(names), hidden)
 
 
-def blocks_of(page: str) -> list[tuple[tuple[Element, ...], str]]:
+class Path:
+    """A node of the tree of tag paths: an element within another path. Equal paths are one object.
+
+    What is known of a path is made from its parent's as it opens, so deep nesting costs no more.
+    """
+
+    __slots__ = ("parent", "element", "children", "top", "nodes", "depth", "unseen", "boiler", "main", "inside", "dims", "near")
+
+    def __init__(self, parent: Path | None = None, element: Element | None = None):
+        self.parent, self.element = parent, element
+        self.children: dict[Element, Path] = {}
+        self.dims: np.ndarray | None = None
+        self.top = parent.top if parent else self
+        self.nodes = 0  # of the tree, at its top
+        if parent is None:
+            self.depth, self.unseen, self.boiler, self.main, self.inside = 0, False, False, False, False
+            self.near = (-1, -1, -1, -1, -1)
+            return
+        self.depth = parent.depth + 1
+        self.unseen = parent.unseen or element.hidden or element.tag == "head"
+        boiler_word, main_word = (bool(r.search(element.names)) if element.names else False for r in (_BOILER_CLASS, _MAIN_CLASS))
+        boiler = element.hidden or element.tag in BOILER or boiler_word
+        # within an article its own header is no boilerplate, and nothing outside it counts
+        if parent.inside:
+            self.inside, self.main = True, True
+            self.boiler = parent.boiler or (boiler and (element.tag != "header" or bool(element.names)))
+        else:
+            self.inside = element.tag in MAIN
+            self.main = self.inside or parent.main or main_word
+            self.boiler = not self.inside and (parent.boiler or boiler)
+        marks = (element.tag in BOILER and element.tag != "header", boiler_word, element.tag in MAIN, main_word, element.tag in ("li", "a"))
+        self.near = tuple(self.depth if m else at for m, at in zip(marks, parent.near, strict=True))
+
+    def within(self, element: Element) -> Path:
+        found = self.children.get(element)
+        if found is None:
+            found = self.children[element] = Path(self, element)
+            self.top.nodes += 1
+        return found
+
+    def of(self, elements: Iterable[Element]) -> Path:
+        path = self
+        for e in elements:
+            path = path.within(e)
+        return path
+
+    def elements(self) -> list[Element]:
+        out, path = [], self
+        while path.element is not None:
+            out.append(path.element)
+            path = path.parent
+        return out[::-1]
+
+    def counts(self) -> np.ndarray:
+        """Hashed tags, pairs of tags and names on the path."""
+        if self.dims is None:
+            above = [self]
+            while above[-1].parent is not None and above[-1].parent.dims is None:
+                above.append(above[-1].parent)
+            for path in reversed(above):
+                if path.parent is None:
+                    path.dims = np.zeros(TAG_DIMS + PAIR_DIMS + NAME_DIMS, np.float32)
+                    continue
+                path.dims = path.parent.dims.copy()
+                tag, up = path.element.tag, path.parent.element
+                path.dims[_bucket(tag, TAG_DIMS)] += 1.0
+                path.dims[TAG_DIMS + _bucket(f"{up.tag if up else ''}>{tag}", PAIR_DIMS)] += 1.0
+                for n in _NAME.findall(path.element.names):
+                    path.dims[TAG_DIMS + PAIR_DIMS + _bucket(n, NAME_DIMS)] += 0.5
+        return self.dims
+
+    def vector(self) -> np.ndarray:
+        near = [1 / (1 + self.depth - at) if at >= 0 else 0.0 for at in self.near]
+        last = self.element.tag if self.element else ""
+        return np.concatenate([np.tanh(self.counts()), [*near, self.unseen, last in ("p", "blockquote", "pre")]])
+
+
+Block = tuple[Path, str]
+
+
+def blocks_of(page: str, root: Path | None = None) -> list[Block]:
     """(path, text) of every block with text, in page order; text is decoded and trimmed.
 
     Content of scripts, styles and other raw elements gives no block; that of embedded ones does, with
     their tag on its path. Unclosed and stray tags are tolerated: a block-level start closes an open
     paragraph, list items and cells close their like, an HTML start closes an open graphic or formula.
     """
-    out: list[tuple[tuple[Element, ...], str]] = []
-    stack: list[Element] = []
+    out: list[Block] = []
+    top = root or Path()
+    stack: list[Path] = []
+    opened: Counter[str] = Counter()  # tags on the stack
     spots: list[int] = []  # how many parts there were as each element of the stack opened
     parts: list[str] = []
 
-    def emit(path: list[Element], pieces: list[str]) -> None:
+    def emit(path: Path, pieces: list[str]) -> None:
         text = " ".join(entities.unescape("".join(pieces)).split())
         if text:
-            out.append((tuple(path), text))
+            out.append((path, text))
 
     def flush() -> None:
         if parts:
             done = 0
-            if embedded:
-                for i, e in enumerate(stack):
-                    if e.tag in EMBED:
-                        emit(stack[:i], parts[done : spots[i]])
+            if embedded and any(opened[t] for t in EMBED):
+                for i, p in enumerate(stack):
+                    if p.element.tag in EMBED:
+                        emit(p.parent, parts[done : spots[i]])
                         done = spots[i]
-            emit(stack, parts[done:])
+            emit(stack[-1] if stack else top, parts[done:])
             parts.clear()
-            spots[:] = [0] * len(spots)
+            spots[:] = [0] * len(spots) if embedded else spots
 
     def push(element: Element) -> None:
-        stack.append(element)
+        stack.append((stack[-1] if stack else top).within(element))
         spots.append(len(parts))
+        opened[element.tag] += 1
+
+    def cut(i: int) -> None:
+        for p in stack[i:]:
+            opened[p.element.tag] -= 1
+        del stack[i:], spots[i:]
 
     def last(tag: str) -> int:
-        return next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag), -1)
+        return next((i for i in range(len(stack) - 1, -1, -1) if stack[i].element.tag == tag), -1) if opened[tag] else -1
 
     def close(i: int) -> None:
-        if any(e.tag in BLOCK for e in stack[i:]) or stack[i].tag in EMBED and "".join(parts[spots[i] :]).strip():
+        if any(p.element.tag in BLOCK for p in stack[i:]) or stack[i].element.tag in EMBED and "".join(parts[spots[i] :]).strip():
             flush()
-        del stack[i:], spots[i:]
+        cut(i)
 
     def foreign() -> int:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i].tag in HTML_AGAIN:
-                return -1
-            if stack[i].tag in FOREIGN:
-                return i
+        if any(opened[t] for t in FOREIGN):
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i].element.tag in HTML_AGAIN:
+                    return -1
+                if stack[i].element.tag in FOREIGN:
+                    return i
         return -1
 
     def pop_to(tags: tuple[str, ...] | frozenset[str], barrier: frozenset[str]) -> None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i].tag in tags:
-                del stack[i:], spots[i:]
-                return
-            if stack[i].tag in barrier:
-                return
+        if any(opened[t] for t in tags):
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i].element.tag in tags:
+                    cut(i)
+                    return
+                if stack[i].element.tag in barrier:
+                    return
 
     at, size = 0, len(page)
     none: frozenset[str] = frozenset()
@@ -171,14 +261,13 @@ def blocks_of(page: str) -> list[tuple[tuple[Element, ...], str]]:
         if m[1]:
             if tag in BLOCK:
                 flush()
-                if any(e.tag == tag for e in stack):
-                    pop_to((tag,), none)
+                pop_to((tag,), none)
             elif tag in EMBED or tag in FOREIGN:
                 if (i := last(tag)) >= 0:
                     close(i)
                     if tag not in ("math", "template"):
                         parts.append(" ")
-            elif any(e.tag == tag for e in stack):
+            else:
                 pop_to((tag,), BLOCK)
             continue
         if drawn:
@@ -228,18 +317,10 @@ def blocks_of(page: str) -> list[tuple[tuple[Element, ...], str]]:
     return out
 
 
-def path_flags(path: tuple[Element, ...]) -> tuple[bool, bool]:
-    """(in boilerplate, in main content) by the markup; an article's own header is no boilerplate."""
-    inside = next((i for i, e in enumerate(path) if e.tag in MAIN), None)
-    if inside is None:
-        return any(e.boiler for e in path), any(e.main for e in path)
-    return any(e.boiler for e in path[inside + 1 :] if e.tag != "header" or e.names), True
-
-
-def markup_label(path: tuple[Element, ...]) -> bool:
-    """What the markup alone says: inside the article, and in none of its boilerplate."""
-    boiler, main = path_flags(path)
-    return not boiler and (main or bool(path and path[-1].tag in ("p", "h1", "blockquote", "pre")))
+def markup_label(path: Path) -> bool:
+    """Weak label of a training block: inside the article, and in none of its boilerplate."""
+    last = path.element.tag if path.element else ""
+    return not path.boiler and (path.main or last in ("p", "h1", "blockquote", "pre"))
 
 
 def _bucket(word: str, n: int) -> int:
@@ -249,59 +330,47 @@ def _bucket(word: str, n: int) -> int:
 class Features:
     """Vectors of blocks; what is known of paths and words is remembered within bounds."""
 
-    dims = PATH_DIMS + WORD_DIMS + 12
+    path_dims = TAG_DIMS + PAIR_DIMS + NAME_DIMS + 7
+    dims = path_dims + WORD_DIMS + 6
 
     def __init__(self) -> None:
-        self.paths: dict = {}
+        self.root = Path()
+        self.paths: dict[Path, np.ndarray] = {}
         self.words: dict[str, int] = {}
 
-    def path(self, path: tuple[Element, ...], drop: frozenset[str] = frozenset()) -> np.ndarray:
-        v = np.zeros(PATH_DIMS + 6)
-        for e in path:
-            if e.tag in drop:
-                continue
-            v[_bucket(e.tag, PATH_DIMS)] += 1.0
-            for n in e.names.split():
-                v[_bucket("." + n, PATH_DIMS)] += 0.5
-            v[PATH_DIMS + 2] = max(v[PATH_DIMS + 2], e.hidden)
-            if e.tag in MAIN:
-                v[PATH_DIMS + 3] = 1.0
-        v[PATH_DIMS], v[PATH_DIMS + 1] = path_flags(tuple(e for e in path if e.tag not in drop))
-        v[PATH_DIMS + 4] = bool(path) and path[-1].tag in ("p", "blockquote", "pre")
-        v[PATH_DIMS + 5] = any(e.tag in ("li", "a") for e in path)
-        return np.tanh(v)
-
-    def vectors(self, blocks: list[tuple[tuple[Element, ...], str]], drop: frozenset[str] = frozenset()) -> np.ndarray:
+    def blocks(self, page: str) -> list[Block]:
+        return blocks_of(page, self.root)
+
+    def vectors(self, blocks: list[Block]) -> np.ndarray:
         """(blocks, dims): the path's vector, the shares of hashed words, and text measures."""
-        if len(self.paths) > 20_000:
-            self.paths.clear()
-        if len(self.words) > 300_000:
+        if len(self.words) > 100_000:
             self.words.clear()
         paths, words = self.paths, self.words
-        own: dict = {}
+        own: dict[Path, int] = {}
         which, rows, at, sizes, dense = [], [], [], [], []
         for path, text in blocks:
-            key = (path, drop)
-            k = own.get(key)
+            k = own.get(path)
             if k is None:
-                if key not in paths:
-                    paths[key] = self.path(path, drop)
-                k = own[key] = len(rows)
-                rows.append(paths[key])
+                if path not in paths:
+                    paths[path] = path.vector().astype(np.float32)
+                k = own[path] = len(rows)
+                rows.append(paths[path])
             which.append(k)
             found = text.lower().split()
             n = len(found)
             at += [words[w] if w in words else words.setdefault(w, _bucket(w, WORD_DIMS)) for w in found]
             sizes.append(n)
             dense.append((n, text.count(".") / n, "|" in text or "©" in text, len(text) / n / 10, (text.count("!") + text.count("?")) / n, text[-1] in ".!?…\"”"))
-        out = np.zeros((len(blocks), self.dims))
-        out[:, : PATH_DIMS + 6] = np.stack(rows)[which]
+        out = np.zeros((len(blocks), self.dims), np.float32)
+        out[:, : self.path_dims] = np.stack(rows)[which]
         n = np.array(sizes)
         cell = np.repeat(np.arange(len(blocks)), n) * WORD_DIMS + np.array(at)
         counts = np.bincount(cell, minlength=len(blocks) * WORD_DIMS).reshape(-1, WORD_DIMS)
-        out[:, PATH_DIMS + 6 : -6] = counts / n[:, None]
+        out[:, self.path_dims : -6] = counts / n[:, None]
         out[:, -6:] = np.array(dense, dtype=float)
         out[:, -6] = np.log1p(out[:, -6]) / 6
+        if self.root.nodes > PATHS:  # the tree goes with what is known of it
+            self.root, self.paths = Path(), {}
         return out
 
 
@@ -380,7 +449,7 @@ class BiLstm:
 
 def _padded(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     steps = max(len(s) for s in seqs)
-    x = np.zeros((steps, len(seqs), seqs[0].shape[1]))
+    x = np.zeros((steps, len(seqs), seqs[0].shape[1]), np.float32)
     mask = np.zeros((steps, len(seqs)))
     for r, s in enumerate(seqs):
         x[: len(s), r] = s
@@ -394,40 +463,74 @@ _EXTRAS = tuple(
     for tag, names in (
         ("aside", ""), ("form", ""), ("nav", ""), ("header", "site header"), ("section", "comments"), ("div", "comment"), ("ol", "comment list"), ("div", "sidebar"),
         ("div", "notice"), ("div", "cookie banner"), ("div", "ad"), ("div", "advert sponsored"), ("div", "related"), ("div", "share"), ("ul", "menu"), ("div", "newsletter signup"),
+        ("footer", ""), ("header", ""),
     )
 )
 _STAGES = (Element("article"), Element("main"), Element("div", "content"), Element("div", "post body"))
+_TAILS = ((Element("p"),), (), (Element("ul"), Element("li")), (Element("div"),), (Element("label"),), (Element("h2"),), (Element("p"), Element("a")))
+_INNER = (Element("section"), Element("div"), Element("blockquote"), Element("ul"), Element("figure"))
 
 
-def _varied(blocks: list[tuple[tuple[Element, ...], str]], texts: list[str], rng: np.random.Generator) -> list[tuple[tuple[Element, ...], str]]:
+def _varied(blocks: list[Block], texts: list[str], rng: np.random.Generator) -> list[Block]:
     """A copy of a page with another main element, and boilerplate of main-like words in and around it."""
+    root = Path()
     stage = _STAGES[rng.integers(len(_STAGES))]
-    out = [(tuple(stage if e.tag in MAIN else e for e in path), t) for path, t in blocks]
-    outer = (Element("html"), Element("body"))
+    inner = _INNER[rng.integers(len(_INNER))] if rng.random() < 0.5 else None
+    frame = Element("div", "page with sidebar") if rng.random() < 0.2 else None
+    # elements that nobody knows, from some block on as if they were never closed
+    odd = [Element(f"x{i}") for i in rng.integers(0, 1000, rng.integers(0, 4))]
+    since = int(rng.integers(0, len(blocks)))
+    out = []
+    for k, (path, text) in enumerate(blocks):
+        own = [stage if e.tag in MAIN else e for e in path.elements()]
+        if k >= since and len(own) > 2:
+            own[-1:-1] = odd
+        at = next((i for i, e in enumerate(own) if e == stage), None)
+        if at is not None:
+            if own[-1].tag == "h1" and rng.random() < 0.4:
+                own[at + 1 : at + 1] = [Element("header")]
+            elif inner and rng.random() < 0.7:
+                own[at + 1 : at + 1] = [inner]
+            if frame:
+                own[at:at] = [frame]
+        out.append((own, text))
+    outer = [Element("html"), Element("body")]
     for _ in range(rng.integers(0, 6)):
         extra = _EXTRAS[rng.integers(len(_EXTRAS))]
         at = int(rng.integers(0, len(out) + 1))
-        around = out[at][0] if at < len(out) and any(e in _STAGES for e in out[at][0]) and rng.random() < 0.6 else outer
-        around = around[: next((i + 1 for i, e in enumerate(around) if e in _STAGES), len(around))]
-        tail = ((Element("p"),), (), (Element("ul"), Element("li")), (Element("div"),))[rng.integers(4)]
+        around = out[at][0] if at < len(out) and stage in out[at][0] and extra != Element("header") and rng.random() < 0.6 else outer
+        around = around[: next((i + 1 for i, e in enumerate(around) if e == stage), len(around))]
+        tail = (*(odd if rng.random() < 0.5 else ()), *_TAILS[rng.integers(len(_TAILS))])
         for _ in range(rng.integers(1, 4)):
-            out.insert(at, ((*around, extra, *tail), texts[rng.integers(len(texts))]))
-    return out
+            out.insert(at, ([*around, extra, *tail], texts[rng.integers(len(texts))]))
+    return [(root.of(own), text) for own, text in out]
+
+
+def _hide(blocks: list[Block], tags: frozenset[str]) -> list[Block]:
+    """A copy of a page without some tags on its paths."""
+    root = Path()
+    return [(root.of(e for e in path.elements() if e.tag not in tags), text) for path, text in blocks]
 
 
 def fit(pages: list[str], epochs: int = 12, rows: int = 32, rate: float = 0.02, seed: int = 5) -> BiLstm:
     """Train on pages labelled by their markup, as they are and varied; some copies hide tags."""
     rng = np.random.default_rng(seed)
     features, data = Features(), []
-    read = [b for b in map(blocks_of, pages) if b]
-    texts = [t for b in read for p, t in b if markup_label(p)][:5000] or ["text"]
+    read = [b for b in map(features.blocks, pages) if b]
+    texts = [t for b in read for p, t in b if markup_label(p)] or ["text"]
+
+    def learn(seen: list[Block], told: list[Block]) -> None:
+        x, y = features.vectors(seen), np.array([markup_label(p) for p, _ in told], dtype=float)
+        data.extend((x[i : i + TRAIN_BLOCKS], y[i : i + TRAIN_BLOCKS]) for i in range(0, len(y), TRAIN_BLOCKS))
+
     for blocks in read:
-        if len(blocks) > TRAIN_BLOCKS:
-            half = TRAIN_BLOCKS // 2
-            blocks = blocks[:half] + blocks[-half:]
         hidden = frozenset(rng.choice(["article", "body", "div", "html", "p", "h1", "main", "section"], 2).tolist())
-        for copy, drop in ((blocks, frozenset()), (blocks, hidden), (_varied(blocks, texts, rng), frozenset()), (_varied(blocks, texts, rng), frozenset()), (_varied(blocks, texts, rng), frozenset(("html", "body")))):
-            data.append((features.vectors(copy, drop), np.array([markup_label(p) for p, _ in copy], dtype=float)))
+        copies = [_varied(blocks, texts, rng) for _ in range(3)]
+        learn(blocks, blocks)
+        learn(_hide(blocks, hidden), blocks)
+        learn(copies[0], copies[0])
+        learn(copies[1], copies[1])
+        learn(_hide(copies[2], frozenset(("html", "body"))), copies[2])
     net = BiLstm(Features.dims)
     first, second = ({k: np.zeros_like(v) for k, v in net.p.items()} for _ in range(2))
     step = 0
@@ -449,11 +552,11 @@ def fit(pages: list[str], epochs: int = 12, rows: int = 32, rate: float = 0.02,
     return net
 
 
-def label_pages(net: BiLstm, pages: list[str], features: Features) -> Iterator[tuple[int, list[tuple[tuple[Element, ...], str]], np.ndarray]]:
+def label_pages(net: BiLstm, pages: list[str], features: Features) -> Iterator[tuple[int, list[Block], np.ndarray]]:
     """(position, blocks, probabilities) of each page; pages of similar length share a batch."""
     read = []
     for i, page in enumerate(pages):
-        blocks = blocks_of(page)
+        blocks = features.blocks(page)
         if blocks:
             read.append((i, blocks, features.vectors(blocks)))
         else:
@@ -468,18 +571,21 @@ def label_pages(net: BiLstm, pages: list[str], features: Features) -> Iterator[t
             yield i, blocks, q[: len(x), r]
 
 
-def main_text(blocks: list[tuple[tuple[Element, ...], str]], q: np.ndarray) -> str:
+def main_text(blocks: list[Block], q: np.ndarray) -> str:
     """Blocks labelled as main text, joined; what sits in a head or hidden element never is."""
-    kept = [t for (path, t), v in zip(blocks, q, strict=True) if v >= 0.5 and not any(e.hidden or e.tag == "head" for e in path)]
+    kept = [t for (path, t), v in zip(blocks, q, strict=True) if v >= 0.5 and not path.unseen]
     return "\n".join(kept)
 
 
 def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample_pages: int = SAMPLE_PAGES) -> BiLstm:
-    """Fit on at most ``sample_pages`` pages: those with the smallest hash, the same on every run."""
-    rows = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{html_col}`").alias("html")).where("html is not null")
+    """Fit on at most ``sample_pages`` pages of at most ``SAMPLE_CHARS`` characters: those with the
+    smallest hash, the same on every run. Pages without id or html aren't learned from; of pages that
+    share an id the smallest is.
+    """
+    rows = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{html_col}`").alias("html")).where(F.length("html") <= SAMPLE_CHARS)
     # ids first: whole pages aren't sorted
     ids = rows.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(sample_pages)
-    sample = rows.join(F.broadcast(ids), "id").toPandas().sort_values(["id", "html"]).drop_duplicates("id")
+    sample = rows.join(F.broadcast(ids), "id").groupBy("id").agg(F.min("html").alias("html")).toPandas().sort_values("id")
     return fit(sample["html"].tolist())
 
 
