@@ -232,8 +232,9 @@ def classes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
         spaces[d] = Space(quantiser, probe_margin(cosine, d, probe_sigmas), first)
         first += len(quantiser.centres)
     shared = spark.sparkContext.broadcast(spaces)
+    vector = reps.schema["embedding"].dataType.simpleString()
     indexed = common.spread(reps.where(F.size("embedding").isin(list(spaces))), "rep").mapInPandas(
-        _index(shared), "list bigint, rep bigint, copies bigint, embedding array<float>, code binary, miss double, probed array<int>, own bigint, query boolean"
+        _index(shared), f"list bigint, rep bigint, copies bigint, embedding {vector}, code binary, miss double, probed array<int>, own bigint, query boolean"
     )
     indexed = common.materialize(indexed, "embed-index")
     # how many blocks a list's members and queries make: one row a list, of which there are a bounded number
@@ -257,4 +258,5 @@ def classes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
 
 
 def digest(vectors: DataFrame) -> DataFrame:
+    """Links and component of every row, and whether it is the one of its component that stays."""
     return classes(vectors).withColumn("kept", F.col("vec_id") == F.col("component_id"))

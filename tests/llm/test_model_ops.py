@@ -114,7 +114,16 @@ def test_extraction_behind_embedded_elements(net, tag):
     ],
 )
 def test_blocks_of_embedded_elements(html, want):
-    assert [(p[-1].tag if p else None, t) for p, t in extract.blocks_of(html)] == want
+    assert [(p.element.tag if p.element else None, t) for p, t in extract.blocks_of(html)] == want
+
+
+def test_blocks_of_deep_pages():
+    import time
+
+    began = time.time()
+    assert len(extract.Features().vectors(extract.blocks_of("<div>a" * 30_000))) == 30_000
+    assert len(extract.blocks_of("<div>" * 20_000 + "x</b>" * 20_000)) == 1
+    assert time.time() - began < 20
 
 
 def test_extraction_of_a_long_page(net):
@@ -179,6 +188,16 @@ def test_embeddings_of_several_lengths(spark):
     assert got == {k: (n[k], want[k]) for k in want}
 
 
+def test_embeddings_keep_double_precision(spark):
+    # alike as floats, at 0.95 only as doubles
+    b = math.sqrt(1 - 0.95**2)
+    rows = [[1.0, 0.0], [0.95 + 1e-12, b], [0.95 - 1e-9, b]]
+    df = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>")
+    u = np.array(rows) / np.linalg.norm(np.array(rows), axis=1)[:, None]
+    want = ((u @ u.T >= 0.95).sum(1) - 1).tolist()
+    assert [r.n_links for r in embed.classes(df).orderBy("vec_id").collect()] == want
+
+
 def test_embeddings_of_low_rank_lose_no_link(spark):
     rng = np.random.default_rng(5)
     low = rng.normal(size=(1500, 8))
@@ -234,11 +253,54 @@ def test_minhash_matches_brute_force(spark):
     got = {r.doc_id: r.class_id for r in minhash.digest(rows).collect()}
     assert got == want
     kept = minhash.drop_near_copies(rows.unionByName(rows))
-    assert sorted(r.doc_id for r in kept.collect()) == sorted({*want.values()} | {i for i, t in enumerate(texts) if not found[i][2]})
+    # rows without words stay, repeated ones too
+    bare = [i for i, t in enumerate(texts) if not found[i][2]]
+    assert sorted(r.doc_id for r in kept.collect()) == sorted([*{*want.values()} - {*bare}, *bare, *bare])
     assert kept.columns == rows.columns
     assert minhash.digest(rows.limit(0)).count() == 0
 
 
+def test_minhash_of_ids_with_several_texts(spark):
+    rng = random.Random(4)
+    some = [" ".join(rng.choice("abcdefghijklmnop") * 3 for _ in range(60)) for _ in range(4)]
+    rows = [(1, some[0]), (1, some[1]), (2, some[0]), (3, some[1]), (1, some[2]), (4, some[3]), (4, some[3]), (None, some[0]), (None, some[0])]
+    table = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, n int")
+    kept = sorted((r.doc_id or 0, r.text) for r in minhash.drop_near_copies(table).collect())
+    assert kept == sorted([(0, some[0]), (0, some[0]), (1, some[0]), (1, some[1]), (1, some[2]), (4, some[3])])
+    assert {(r.doc_id, r.class_id) for r in minhash.classes(table).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (None, None)}
+
+
+def test_minhash_across_blocks(spark, monkeypatch):
+    """A bucket of several blocks, of one large class and outsiders alike to some of its members only."""
+    shape = "key long, rep long, comp long, n long"
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 100, dtype=np.uint64)
+    texts, sets = [], []
+    for i in range(700):
+        own = base.copy()
+        own[: i * 7 % 16] = rng.integers(0, 2**63, i * 7 % 16, dtype=np.uint64)
+        own.sort()
+        sets.append(own)
+        texts.append((i, bytes(minhash.REGISTERS), own.tobytes(), None))
+    big = [0 if i < 600 else i for i in range(700)]
+    open_ = spark.createDataFrame([(7, i, big[i], 700) for i in range(700)], shape)
+    held = spark.createDataFrame(texts, "rep long, sketch binary, shingles binary, counts binary")
+    comps = spark.createDataFrame([(i, big[i]) for i in range(600)], "node long, component long")
+    got = {tuple(r) for r in minhash._block_pairs(open_, held, comps, 0.8, True).collect()}
+    alike = lambda a, b: minhash.probability_jaccard(sets[a], np.ones(100), sets[b], np.ones(100)) >= 0.8
+    assert got and all(alike(a, b) and big[a] != big[b] for a, b in got)
+    want = roots(range(700), [(a, b) for a in range(700) for b in range(max(600, a + 1), 700) if big[a] != big[b] and alike(a, b)] + [(0, i) for i in range(600)])
+    assert roots(range(700), [*got, *((0, i) for i in range(600))]) == want
+
+
+def test_toxicity_of_a_text_without_blanks():
+    import time
+
+    began = time.time()
+    found = [toxicity.features(t, toxicity.Lexicon()) for t in ("a1" * 250_000, "x.y." * 100_000, "QUJD" * 100_000)]
+    assert time.time() - began < 20 and all(len(f) == len(toxicity.FEATURES) for f in found)
+
+
 def test_toxicity_learns(spark):
     rng = random.Random(8)
     vocab = ["".join(rng.choice("abcdefghijkl") for _ in range(5)) for _ in range(400)]
@@ -262,9 +324,59 @@ def test_toxicity_learns(spark):
     kept = toxicity.drop_toxic(rows, lab)
     assert kept.columns == rows.columns and kept.count() == sum(1 - r.predicted for r in got.values())
     assert toxicity.digest(rows.limit(0), lab).count() == 0
+    assert toxicity.train(rows, lab, sample_rows=0).trees is None
     assert {r.score for r in toxicity.digest(rows.limit(3), lab.limit(0)).collect()} == {0.0}
 
 
+def brute_score(model, text):
+    """One text's score, step by step: every tree by itself, then the calibration."""
+    x = toxicity.features(text, model.lexicon)
+    margin = model.trees.base
+    for f, t, v in zip(model.trees.feature, model.trees.threshold, model.trees.value, strict=True):
+        node = 0
+        while node < len(f):
+            node = 2 * node + (2 if x[f[node]] > t[node] else 1)
+        margin += v[node - len(f)]
+    at, value = model.at, model.value
+    k = next((i for i, a in enumerate(at) if a >= margin), len(at))
+    step = value[0] if k == 0 else value[-1] if k == len(at) else value[k - 1] + (value[k] - value[k - 1]) * (margin - at[k - 1]) / (at[k] - at[k - 1])
+    return min(1.0, max(0.0, step + 1e-6 * math.tanh(margin / 20)))
+
+
+def test_toxicity_scores_match_brute_force(spark):
+    rng = random.Random(18)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    texts = [" ".join([*(word() for _ in range(rng.randint(1, 40))), *(["zorkel", "You"] if i % 5 == 0 else [])]) for i in range(300)]
+    model = toxicity.fit(texts, np.array([i % 5 == 0 for i in range(300)], dtype=float))
+    asked = [*texts[:40], "", "YOU zorkel!!", "z0rkel", "x" * 3000]
+    got = {r.doc_id: r.score for r in toxicity.score(docs(spark, [*asked, None]), model).collect()}
+    for i, t in enumerate([*asked, ""]):
+        assert abs(got[i] - brute_score(model, t)) < 1e-9, t
+    assert got[41] > 0.5 > got[40]
+
+
+def test_helper_names_never_clash(spark):
+    """Every operator that gives rows back, over columns of all its own names."""
+    from loomline.llm import bpe, decontaminate, secrets
+
+    names = "row h id text found n spans items at score key ids bytes rep comp path merge n_words class_id _kept _n _toxicity _hits0 _merge _path".split()
+    schema = "doc_id long, " + ", ".join(f"{n} string" for n in names)
+    rows = spark.createDataFrame([(i, *[f"value {i} {n} of a b c d e {i * 7}" for n in names]) for i in range(12)], schema)
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(12)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "nothing of it"), (2, "zz yy")], "item_id long, text string")
+    want = {tuple(r) for r in rows.collect()}
+    same = lambda df: df.columns == rows.columns and {tuple(r) for r in df.collect()} == want
+    assert same(minhash.drop_near_copies(rows)) and same(secrets.redact(rows))
+    for block in (200_000, 1):
+        assert same(decontaminate.drop_contaminated(rows, bench, block_words=block)) and same(decontaminate.remove_spans(rows, bench, block_words=block))
+    kept = toxicity.drop_toxic(rows, labels)
+    assert kept.columns == rows.columns and {tuple(r) for r in kept.collect()} <= want
+    assert same(shards.ingest(rows).read())
+    assert bpe.digest(rows).count() == minhash.digest(rows).count() == lm.score(rows).count() == secrets.digest(rows).count() == decontaminate.digest(rows, bench).count() == 12
+    vectors = rows.selectExpr("doc_id as vec_id", "array(double(doc_id), 1D) as embedding", *[f"`{n}`" for n in names if n != "id"])
+    assert embed.digest(vectors).count() == 12
+
+
 def test_isotonic_rises():
     rng = np.random.default_rng(3)
     m = rng.normal(size=400)
@@ -272,6 +384,39 @@ def test_isotonic_rises():
     assert (np.diff(at) > 0).all() and (np.diff(value) >= 0).all() and 0 < value[0] < value[-1] < 1
 
 
+def brute_scores(toks, learn):
+    """The model's scores from plain dictionaries of all n-grams; weights by the same EM over plain cells."""
+    import pandas as pd
+
+    def counts(ids):
+        one, two = Counter(), Counter()
+        for i in ids:
+            one.update(toks[i])
+            two.update(zip([None, *toks[i][:-1]], toks[i], strict=True))
+        return one, two
+
+    deleted = {i for i in learn if zlib.crc32(str(i).encode()) % 10 == lm.DELETED_FOLD}
+    one, two = counts(learn - deleted)
+    n, v = sum(one.values()), len(one)
+    cells = Counter()
+    for i in deleted:
+        for a, b in zip([None, *toks[i][:-1]], toks[i], strict=True):
+            r2 = two[a, b] / max(one[a], 1) * (v + 1)
+            r1 = one[b] / max(n, 1) * (v + 1)
+            cells[int(lm.bucket_of(np.array([one[a]]))[0]), int(lm._ratio_bin(np.array([r2]))[0]), int(lm._ratio_bin(np.array([r1]))[0])] += 1
+    w = lm.learn_weights(pd.DataFrame([(*k, c) for k, c in cells.items()], columns=["bucket", "two", "one", "n"]))
+    one, two = counts(learn)
+    n, v = sum(one.values()), len(one)
+    out = {}
+    for i, t in toks.items():
+        p = 0.0
+        for a, b in zip([None, *t[:-1]], t, strict=True):
+            x = w[int(lm.bucket_of(np.array([one[a]]))[0])]
+            p += math.log10(x[0] * two[a, b] / max(one[a], 1) + x[1] * one[b] / max(n, 1) + x[2] / (v + 1))
+        out[i] = p
+    return out
+
+
 def test_lm_counts_and_probabilities(spark):
     rng = random.Random(9)
     texts = [" ".join(rng.choice(["a", "B", "ccc", "d\tE", "é", "x"]) for _ in range(rng.randint(0, 40))) for _ in range(80)] + [None, "", "  \n"]
@@ -286,6 +431,8 @@ def test_lm_counts_and_probabilities(spark):
         assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(w), sum(c[t] > 0 for t in w), n, i not in learn)
         assert abs(r.base_score - sum(math.log10((c[t] + 0.1) / (n + 0.1 * (v + 1))) for t in w)) < 1e-9
         assert r.score < 0
+    for i, p in brute_scores(toks, learn).items():
+        assert abs(got[i].score - p) < 1e-6, i
     whole = {r.doc_id: r.score for r in lm.score(rows).collect()}
     assert all(abs(whole[i] - got[i].score) < 1e-9 for i in whole)  # blocks don't matter
     assert lm.score(rows.limit(0)).count() == 0
@@ -308,13 +455,37 @@ def test_shards_compact_and_commit(spark, tmp_path):
     assert len(store.shards()) < many and store.compact() == last == store.versions()[-1]
     assert store.read().exceptAll(rows).isEmpty() and rows.exceptAll(store.read()).isEmpty()
     assert store.read(6).count() == 401  # an older version
-    store.vacuum()
-    assert store.read().count() == 401
+    files = len(store._written("data"))
+    store.vacuum()  # nothing is a day old
+    assert len(store._written("data")) == files
+    store.vacuum(0)
+    assert store.read().count() == 401 and len(store._written("data")) == len(store.shards())
     stale = store.manifest(last - 1)
     with pytest.raises(shards.ConcurrentCommit):
         store._commit(stale, [], rows.schema.json())
 
 
+def test_shards_of_two_writers_and_a_dead_one(spark, tmp_path):
+    one, two = (shards.ShardStore(spark, str(tmp_path / "w")) for _ in range(2))
+    one.append(docs(spark, ["a"]))
+    before = two.manifest()
+    # what a writer leaves that dies before its rename
+    (tmp_path / "w/manifests/.dead.tmp").write_text("{")
+    (tmp_path / "w/data/00000002-dead").mkdir()
+    one.append(docs(spark, ["b"]))
+    with pytest.raises(shards.ConcurrentCommit):
+        two._commit(before, two.shards(), before["schema"])
+    assert two.append(docs(spark, ["c"])) == 3 and one.read().count() == 3
+
+
+def test_shards_keep_columns_of_any_name(spark, tmp_path):
+    names = ["doc_id", "path", "merge", "row", "_path", "_merge", "_metadata", "wave"]
+    rows = spark.createDataFrame([(i, *["v"] * 7) for i in range(200)], "doc_id long, " + ", ".join(f"{n} string" for n in names[1:]))
+    store = shards.ingest(rows.repartition(8), root=str(tmp_path / "n"))
+    assert len(store.shards()) < 32 and store.read().columns == names
+    assert store.read().exceptAll(rows).isEmpty() and store.read().count() == 200
+
+
 def test_shard_plan():
     s = [shards.Shard(f"{i}", b) for i, b in enumerate([10] * 9 + [40] * 3 + [100])]
     plan = shards.plan_merges(s, target=100, base=16, fan_in=4)
