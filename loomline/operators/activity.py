@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import storage
+from .ordering import Down, numbered, running_totals
 
 # Lifetimes in milliseconds and bounds of the live view.
 PULSE_MS, FAILED_PULSE_MS, RAY_MS, MARKER_MS = 60_000, 120_000, 30_000, 30_000
@@ -277,14 +278,17 @@ def page(events: DataFrame, after: int, size: int = 100) -> DataFrame:
     return events.where(F.col("seq") > after).orderBy("seq").limit(size)
 
 
-def retention(recordings: DataFrame, most: int = 20, events: int = 100_000, size: int = 100 << 20) -> DataFrame:
+def retention(recordings: DataFrame, most: int = 20, events: int = 100_000, size: int = 100 << 20, now: Column | None = None, days: int = 14) -> DataFrame:
     """Recordings that stay: active ones, and the newest others whose running totals fit.
 
-    ``recordings``: recording_id, created, active, event_count, byte_count.
+    ``recordings``: recording_id, created, active, event_count, byte_count. With ``now``, recordings
+    that were created more than ``days`` before it go first, active ones excepted.
     """
-    newest = Window.orderBy(F.desc("active"), F.desc("created"), F.desc("recording_id")).rowsBetween(Window.unboundedPreceding, 0)
-    run = recordings.withColumn("n", F.count("*").over(newest)).withColumn("e", F.sum("event_count").over(newest)).withColumn("b", F.sum("byte_count").over(newest))
-    return run.where(F.col("active") | ((F.col("n") <= most) & (F.col("e") <= events) & (F.col("b") <= size))).drop("n", "e", "b")
+    if now is not None:
+        recordings = recordings.where(F.col("active") | (F.col("created") >= now - F.make_dt_interval(F.lit(days))))
+    newest = [Down("active"), Down("created"), Down("recording_id")]
+    run = running_totals(recordings, newest, _n=F.lit(1), _e=F.col("event_count"), _b=F.col("byte_count"))
+    return run.where(F.col("active") | ((F.col("_n") <= most) & (F.col("_e") <= events) & (F.col("_b") <= size))).drop("_n", "_e", "_b")
 
 
 def resolve_targets(paths: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -346,8 +350,9 @@ def evicted(sessions: DataFrame, most: int) -> DataFrame:
 
     ``sessions``: session, active, last_seq.
     """
-    rank = F.row_number().over(Window.orderBy(F.desc("active"), F.desc("last_seq"), "session"))
-    return sessions.withColumn("_k", rank).where((F.col("_k") > most) & ~F.col("active")).select("session")
+    ranked = numbered(sessions, [Down("active"), Down("last_seq"), "session"], "_k", first=1)
+    return ranked.where((F.col("_k") > most) & ~F.col("active")).select("session")
+
 
 # Tools that share the shell's group.
 SHELLS = ("bash", "shell", "sh", "zsh", "powershell", "exec", "terminal")
@@ -387,6 +392,49 @@ def coverage_state(events: DataFrame) -> DataFrame:
     return out.select("session", F.when(F.col("k") == F.col("n"), "exact").when(F.col("k") > 0, "observed").otherwise("unavailable").alias("coverage"))
 
 
+# Names that providers give to events, with type and status.
+PROVIDER_EVENTS = {
+    "session.start": ("session", "started"),
+    "session.resume": ("session", "resumed"),
+    "session.idle": ("session", "idle"),
+    "session.shutdown": ("session", "completed"),
+    "session.error": ("error", "failed"),
+    "session.warning": ("error", "warning"),
+    "session.context_changed": ("session", "updated"),
+    "session.task_complete": ("session", "task_complete"),
+    "user.message": ("prompt", "submitted"),
+    "assistant.message": ("assistant", "completed"),
+    "assistant.message_delta": ("assistant", "streaming"),
+    "tool.execution_start": ("tool", "started"),
+    "tool.execution_complete": ("tool", "completed"),
+    "tool.execution_failure": ("tool", "failed"),
+    "permission.requested": ("permission", "requested"),
+    "permission.completed": ("permission", "completed"),
+    "permission.granted": ("permission", "granted"),
+    "permission.denied": ("permission", "denied"),
+    "agent.started": ("agent", "started"),
+    "agent.completed": ("agent", "completed"),
+    "agent.failed": ("agent", "failed"),
+    "subagent.started": ("agent", "started"),
+    "subagent.completed": ("agent", "completed"),
+    "subagent.failed": ("agent", "failed"),
+}
+
+
+def from_hook_type(name: Column) -> Column:
+    """(type, status) of a provider's name of an event: known names as they are, others by what they hold."""
+    pair = lambda t, s: F.struct(F.lit(t).alias("type"), (F.lit(s) if isinstance(s, str) else s).alias("status"))
+    bad = name.rlike("(?i)fail|error")
+    out = F.when(name.isNull(), pair("error", "unknown"))
+    for known, (t, s) in PROVIDER_EVENTS.items():
+        out = out.when(name == known, pair(t, s))
+    return (
+        out.when(name.rlike("(?i)permission"), pair("permission", "requested")).when(name.rlike("(?i)prompt|user"), pair("prompt", "submitted"))
+        .when(name.rlike("(?i)assistant|response|message"), pair("assistant", "completed")).when(name.rlike("(?i)tool|execute"), pair("tool", F.when(bad | name.rlike("(?i)denied"), "failed").otherwise("started")))
+        .when(name.rlike("(?i)agent"), pair("agent", F.when(bad, "failed").otherwise("started"))).when(bad, pair("error", "failed")).otherwise(pair("error", "unknown"))
+    )
+
+
 def from_hook(raw: DataFrame, body: str = "body") -> DataFrame:
     """(type, status, session, tool): provider payloads in JSON as events; unknown names stay themselves."""
     at = lambda p: F.get_json_object(body, p)

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomline.operators import metrics
 from loomline.operators.graph import hierarchy_key
-from loomline.storage import keep
+from loomline.operators.ordering import numbered
+from loomline.storage import discard, keep
 
 
 def communities(ns_edges: DataFrame, spaces: DataFrame, max_rounds: int = 50) -> DataFrame:
@@ -27,6 +28,7 @@ def communities(ns_edges: DataFrame, spaces: DataFrame, max_rounds: int = 50) ->
         up = (F.col("best") < F.col("label")) if i % 2 else F.col("best").isNotNull()
         new = keep(moved.select("ns", F.when(up, F.col("best")).otherwise(F.col("label")).alias("label")), "labels")
         same = new.join(label.withColumnRenamed("label", "before"), "ns").where("label <> before").isEmpty()
+        discard(label)
         label = new
         if same and i % 2 == 0:
             break
@@ -123,7 +125,7 @@ def matrix(ns_edges: DataFrame, spaces: DataFrame) -> DataFrame:
     Positions follow the hierarchy. ``signal``: cyclic if an end lies in a cycle, layered if nothing
     points back, backward-heavy if more weight points back than forward, else acyclic.
     """
-    place = spaces.select("ns", (F.row_number().over(Window.orderBy(hierarchy_key(F.col("ns")), "ns")) - 1).alias("at"))
+    place = numbered(spaces.select("ns"), [hierarchy_key(F.col("ns")), "ns"], "at")
     roots = metrics.cycles(ns_edges.select("a", "b"), spaces.select(F.col("ns").alias("id")))
     big = roots.groupBy("root").agg((F.count("*") > 1).alias("cyclic"))
     info = keep(place.join(roots.join(big, "root").select(F.col("id").alias("ns"), "cyclic"), "ns"), "places")

@@ -6,16 +6,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.operators.graph import with_namespaces
+from loomline.operators.ordering import numbered, running_totals
 
 HEAT_COMMITS = 20
 DECAY_MS = 30_000
 
 
-def observations(changes: DataFrame) -> DataFrame:
-    """(commit, ns): the namespaces that each commit touches."""
+def observations(changes: DataFrame, partial: bool = True) -> DataFrame:
+    """(commit, ns): the namespaces that each commit touches.
+
+    Without ``partial``, commits with a change that belongs to no namespace are left out.
+    """
+    if not partial:
+        lost = changes.where("namespace is null").select("commit").distinct()
+        changes = changes.join(lost, "commit", "left_anti")
     return changes.where("namespace is not null").select("commit", F.col("namespace").alias("ns")).distinct()
 
 
+def _pairs(seen: DataFrame) -> DataFrame:
+    """(a, b, co_changes): commits that touch both namespaces, a < b.
+
+    Commits are reduced to the sets of namespaces that they touch, and each distinct set is paired up
+    once; pairs are counted before they are shuffled.
+    """
+    sets = seen.groupBy("commit").agg(F.array_sort(F.collect_set("ns")).alias("set")).groupBy("set").agg(F.count("*").alias("k"))
+    left = sets.where("size(set) > 1").select("k", "set", F.posexplode("set").alias("at", "a"))
+    return left.select("k", "a", F.explode(F.slice("set", F.col("at") + 2, F.size("set"))).alias("b")).groupBy("a", "b").agg(F.sum("k").alias("co_changes"))
+
+
 def temporal_coupling(
     seen: DataFrame, static: DataFrame | None = None, min_co: int = 1, min_support: float = 0.0, min_confidence: float = 0.0, max_pairs: int | None = None
 ) -> DataFrame:
@@ -25,9 +43,7 @@ def temporal_coupling(
     """
     n = seen.agg(F.count_distinct("commit").alias("n"))
     each = seen.groupBy("ns").agg(F.count("*").alias("k"))
-    other = seen.select("commit", F.col("ns").alias("b"))
-    pairs = seen.withColumnRenamed("ns", "a").join(other, "commit").where("a < b").groupBy("a", "b").agg(F.count("*").alias("co_changes"))
-    pairs = pairs.where(F.col("co_changes") >= min_co)
+    pairs = _pairs(seen).where(F.col("co_changes") >= min_co)
     out = pairs.join(each.select(F.col("ns").alias("a"), F.col("k").alias("ka")), "a").join(each.select(F.col("ns").alias("b"), F.col("k").alias("kb")), "b")
     # one row, so the cross join adds a column
     out = out.join(F.broadcast(n))
@@ -75,12 +91,8 @@ def coverage(changes: DataFrame, commits: DataFrame) -> DataFrame:
 
 
 def commit_order(changes: DataFrame) -> DataFrame:
-    """(commit, i): place in the history, by time and id.
-
-    One window over the commits alone, a row each; their changes aren't moved.
-    """
-    once = changes.select("commit", "ts").distinct()
-    return once.select("commit", (F.row_number().over(Window.orderBy("ts", "commit")) - 1).alias("i"))
+    """(commit, i): place in the history, by time and id; their changes aren't moved."""
+    return numbered(changes.select("commit", "ts").distinct(), ["ts", "commit"]).select("commit", "i")
 
 
 def edit_heat(changes: DataFrame, last: int = HEAT_COMMITS) -> DataFrame:
@@ -104,7 +116,7 @@ def playback(changes: DataFrame, order: DataFrame, step_ms: int = 40, frame_ms:
     rows = changes.join(order, "commit").select("i", "node").distinct()
     place = rows.withColumn("k", F.row_number().over(Window.partitionBy("i").orderBy("node")) - 1)
     span = place.groupBy("i").agg(F.greatest(F.lit(frame_ms), F.count("*") * step_ms).alias("span"))
-    offset = span.withColumn("offset", F.sum("span").over(Window.orderBy("i").rowsBetween(Window.unboundedPreceding, -1))).select("i", F.coalesce("offset", F.lit(0)).alias("offset"))
+    offset = running_totals(span, ["i"], upto=F.col("span")).select("i", (F.col("upto") - F.col("span")).alias("offset"))
     end = span.agg(F.sum("span").alias("end"))
     shown = place.join(offset, "i").groupBy("node").agg(F.max(F.col("offset") + F.col("k") * step_ms).alias("updated_ms"))
     out = shown.join(F.broadcast(end))

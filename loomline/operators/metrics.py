@@ -6,11 +6,12 @@ the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.operators.graph import namespaces, with_namespaces
-from loomline.storage import keep
+from loomline.operators.ordering import running_totals
+from loomline.storage import discard, keep
 
 DAMPING, ROUNDS = 0.85, 24
 MAX_SOURCES = 200
@@ -57,8 +58,10 @@ def components(pairs: DataFrame, ids: DataFrame, max_rounds: int = 100) -> DataF
         new = keep(hooked.join(up, "root", "left").select("id", F.least("root", F.coalesce("top", "root")).alias("root")), "roots")
         moved = new.join(state.withColumnRenamed("root", "before"), "id").where("root <> before")
         done = moved.isEmpty()
+        discard(state)
         state = new
         if done:
+            discard(both)
             return state
     raise RuntimeError("components did not settle")
 
@@ -102,6 +105,7 @@ def _spread(e: DataFrame, colour: DataFrame) -> DataFrame:
         got = e.join(colour.select(F.col("id").alias("a"), "c"), "a").groupBy(F.col("b").alias("id")).agg(F.min("c").alias("low"))
         new = keep(colour.join(got, "id", "left").select("id", F.least("c", F.coalesce("low", "c")).alias("c")), "colour")
         same = new.join(colour.withColumnRenamed("c", "before"), "id").where("c <> before").isEmpty()
+        discard(colour)
         colour = new
         if same:
             return colour
@@ -198,11 +202,22 @@ def cohesion(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return out.withColumn("cohesion", value)
 
 
-def percentile(c: str) -> Column:
-    """Share of the positive values that are not above this one; 0 for others."""
-    positive = F.col(c) > 0
-    rank = F.cume_dist().over(Window.partitionBy(positive).orderBy(c))
-    return F.when(positive, rank).otherwise(0.0)
+def with_percentiles(df: DataFrame, *columns: str) -> DataFrame:
+    """Adds ``p_<column>``: share of the positive values that are not above this one; 0 for others.
+
+    Values are reduced to distinct ones with their counts before they are summed up in order, those
+    of all columns in one pass.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns]))
+    counts = df.select(each.alias("m")).select("m.*").where("v > 0").groupBy("c", "v").agg(F.count("*").alias("k"))
+    upto = running_totals(counts, ["c", "v"], upto=F.col("k"))
+    # a row a column
+    whole = upto.groupBy("c").agg(F.min(F.col("upto") - F.col("k")).alias("start"), F.sum("k").alias("all"))
+    share = upto.join(F.broadcast(whole), "c").select("c", "v", ((F.col("upto") - F.col("start")) / F.col("all")).alias("share"))
+    for c in columns:
+        own = share.where(F.col("c") == c).select(F.col("v").alias("_v"), F.col("share").alias(f"p_{c}"))
+        df = df.join(own, F.col(c).cast("double") == F.col("_v"), "left").drop("_v").withColumn(f"p_{c}", F.coalesce(f"p_{c}", F.lit(0.0)))
+    return df
 
 
 def namespace_metrics(edges: DataFrame, nodes: DataFrame, structural: tuple[str, ...] = ("requires",)) -> DataFrame:
@@ -219,18 +234,15 @@ def namespace_metrics(edges: DataFrame, nodes: DataFrame, structural: tuple[str,
     out = out.join(size, "ns").join(page_rank(pairs, ids).select(F.col("id").alias("ns"), "rank"), "ns")
     out = out.join(betweenness(pairs, ids).select(F.col("id").alias("ns"), F.col("score").alias("betweenness")), "ns")
     out = keep(out.join(cohesion(edges, nodes).select("ns", "components", "cohesion"), "ns"), "metrics")
-    largest = F.max("cycle_size").over(Window.partitionBy())
     top = out.agg(F.max("cycle_size").alias("largest"))
     out = out.join(F.broadcast(top))
     severity = F.when(F.col("cycle_size") > 1, F.least(F.lit(1.0), F.log2(F.col("cycle_size")) / F.greatest(F.lit(1.0), F.log2("largest")))).otherwise(0.0)
-    del largest
     both = F.col("fan_in") + F.col("fan_out")
     out = out.withColumn("cycle_severity", severity).withColumn("instability", F.when(both > 0, F.col("fan_out") / both).otherwise(0.0))
     # ranks over rounded values, so that equal ones stay equal whatever the order of summing
     for c in ("weighted_degree", "rank", "betweenness"):
         out = out.withColumn(c, F.round(c, 9))
-    for c in ("weighted_degree", "rank", "betweenness", "instability", "fan_out", "fan_in"):
-        out = out.withColumn(f"p_{c}", percentile(c))
+    out = with_percentiles(out, "weighted_degree", "rank", "betweenness", "instability", "fan_out", "fan_in")
     return out.select(
         "ns", "fan_in", "fan_out", "degree", "weighted_degree", "self_links", "mentions", "cycle_size", "rank", "betweenness", "components", "cohesion", "cycle_severity", "instability",
         (0.4 * F.col("p_weighted_degree") + 0.35 * F.col("p_rank") + 0.25 * F.col("p_betweenness")).alias("connectedness"),
