@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 NODE_KINDS = ("namespace", "var", "keyword")
@@ -87,8 +87,13 @@ def neighbours(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return out.unionByName(back).unionByName(roots.select("root", F.col("root").alias("id"))).distinct()
 
 
+def is_global_name(namespace: Column) -> Column:
+    """Whether a namespace is none: missing, blank, or the global one."""
+    return F.coalesce(namespace.isin("", "<global>"), F.lit(True))
+
+
 def is_global(nodes: DataFrame) -> Column:
-    return F.coalesce(F.col("namespace").isin("", "<global>"), F.col("namespace").isNull())
+    return is_global_name(F.col("namespace"))
 
 
 # Path segments that mark tests.
@@ -184,11 +189,53 @@ def hierarchy_key(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(padded, r"0*(\d{12})(?!\d)", "$1"), r"[./:]", "\u0001")
 
 
-def merge(base_nodes: DataFrame, base_edges: DataFrame, delta_nodes: DataFrame, delta_edges: DataFrame, changed_files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Incremental update: base nodes of changed files go, the delta replaces or adds, counts are summed
-    anew where the delta has the edge, and edges without an end go."""
-    old = base_nodes.join(changed_files, "file", "left_anti").join(delta_nodes.select("id"), "id", "left_anti")
-    nodes = old.unionByName(delta_nodes)
-    both = base_edges.withColumn("new", F.lit(False)).unionByName(delta_edges.withColumn("new", F.lit(True)))
-    merged = both.groupBy("kind", "source", "target").agg(F.max_by("n", "new").alias("n"))
-    return nodes, between(merged, nodes)
+EDGE_KEY = ["kind", "source", "target"]
+
+
+def collapsed(evidence: DataFrame) -> DataFrame:
+    """(kind, source, target, n, file, row): edges with their distinct occurrences counted, and the first one's place.
+
+    A missing file sorts first, a missing row last.
+    """
+    place = F.struct(F.coalesce("file", F.lit("")).alias("f"), F.coalesce("row", F.lit(2**62)).alias("r"), "file", "row")
+    edges = evidence.select(*EDGE_KEY, "file", "row").distinct().groupBy(*EDGE_KEY).agg(F.count("*").alias("n"), F.min(place).alias("first"))
+    return edges.select(*EDGE_KEY, "n", "first.file", "first.row")
+
+
+def merge(
+    base_nodes: DataFrame, base_edges: DataFrame, base_evidence: DataFrame, delta_nodes: DataFrame, delta_evidence: DataFrame, changed_files: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """Incremental update: (nodes, edges) of a graph after some files were analysed anew.
+
+    Base nodes of changed files go, the delta's replace or add. Occurrences (kind, source, target, file,
+    row) in changed files go, the delta's are united with the rest, and edges are what they make; an
+    edge that has lost all its occurrences is gone. ``base_edges`` without any occurrence stay as they
+    are, unless an end lay in a changed file. Edges without an end among the nodes go.
+    """
+    files = changed_files.select("file").distinct()
+    nodes = base_nodes.join(files, "file", "left_anti").join(delta_nodes.select("id"), "id", "left_anti").select(*base_nodes.columns).unionByName(delta_nodes)
+    kept = base_evidence.join(files, "file", "left_anti").select(*EDGE_KEY, "file", "row")
+    found = collapsed(kept.unionByName(delta_evidence.select(*EDGE_KEY, "file", "row")))
+    moved = base_nodes.join(files, "file", "left_semi").select("id")
+    bare = base_edges.join(base_evidence.select(*EDGE_KEY), EDGE_KEY, "left_anti").join(found.select(*EDGE_KEY), EDGE_KEY, "left_anti")
+    for end in ("source", "target"):
+        bare = bare.join(moved.withColumnRenamed("id", end), end, "left_anti")
+    bare = bare.select(*EDGE_KEY, "n", F.lit(None).cast("string").alias("file"), F.lit(None).cast("bigint").alias("row"))
+    return nodes, between(found.unionByName(bare), nodes)
+
+
+def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """A graph as JSON lines, a folder each for nodes, edges and the counts; written anew."""
+    for name, df in (("nodes", nodes), ("edges", edges), ("stats", stats(nodes, edges))):
+        df.write.mode("overwrite").json(f"{path}/{name}")
+
+
+def read_graph(spark: SparkSession, path: str, nodes: str, edges: str) -> tuple[DataFrame, DataFrame]:
+    """What ``write_graph`` wrote, by the schemas of both tables."""
+    return spark.read.schema(nodes).json(f"{path}/nodes"), spark.read.schema(edges).json(f"{path}/edges")
+
+
+def united(*lists: Column) -> Column:
+    """Lists of ids as one: trimmed, blank ones left out, sorted, without repeats."""
+    every = F.concat(*[F.coalesce(c, F.array().cast("array<string>")) for c in lists])
+    return F.array_sort(F.array_distinct(F.filter(F.transform(every, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomline.operators import architecture, graph, metrics, traverse
 from loomline.sources import relational as src
+from loomline.storage import fresh_path, table
 
 BASE = "WITH RECURSIVE " + src.GRAPH_SQL
 NS_EDGES = """,
@@ -385,15 +386,69 @@ def dependency_matrix(spark: SparkSession, d: str) -> DataFrame:
     return longs(architecture.matrix(*_spaces(spark, d)))
 
 
+EVIDENCE = """, seen_at AS (SELECT uses.kind, s.id AS source, t.id AS target, CASE WHEN l_orderkey % 2 = 0 THEN s.file ELSE t.file END AS file, (l_orderkey * 10 + l_linenumber)::BIGINT AS row
+  FROM uses JOIN symbols s ON s.id = 'var:' || prev JOIN symbols t ON t.id = 'var:' || l_partkey WHERE prev IS NOT NULL)"""
+
+
+def _evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Each use with a place: a line of its source's file, in odd orders of its target's."""
+    of = src.symbols(spark, d).select("id", "file")
+    u = src.uses(spark, d).join(of.select(F.col("id").alias("source"), F.col("file").alias("fs")), "source").join(of.select(F.col("id").alias("target"), F.col("file").alias("ft")), "target")
+    return u.select("kind", "source", "target", F.when(F.col("order") % 2 == 0, F.col("fs")).otherwise(F.col("ft")).alias("file"), (F.col("order") * 10 + F.col("line")).cast("bigint").alias("row"))
+
+
+@query(BASE + EVIDENCE + " SELECT kind, source, target, count(DISTINCT (file, row)) AS n, min(file) AS file, arg_min(row, (file, row)) AS row FROM seen_at GROUP BY kind, source, target")
+def edge_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Every occurrence twice: the repeats don't count."""
+    e = _evidence(spark, d)
+    return graph.collapsed(e.unionByName(e))
+
+
 @query(
     BASE
+    + EVIDENCE
     + """, gone AS (SELECT DISTINCT file FROM symbols WHERE external), fresh AS (SELECT * FROM nodes WHERE file IN (SELECT file FROM gone) AND NOT external),
-merged AS (SELECT id FROM nodes WHERE file NOT IN (SELECT file FROM gone) UNION SELECT id FROM fresh)
-SELECT kind, source, target, CASE WHEN kind = 'calls' THEN n + 1 ELSE n END AS n FROM edges WHERE source IN (SELECT id FROM merged) AND target IN (SELECT id FROM merged)"""
+merged AS (SELECT id FROM nodes WHERE file NOT IN (SELECT file FROM gone) UNION SELECT id FROM fresh),
+kept AS (SELECT * FROM seen_at WHERE file NOT IN (SELECT file FROM gone) UNION SELECT kind, source, target, file, row + 1 FROM seen_at WHERE file IN (SELECT file FROM gone) AND row % 3 = 0),
+bare AS (SELECT DISTINCT 'mentions' AS kind, target AS source, source AS target FROM edges WHERE kind = 'requires' EXCEPT SELECT kind, source, target FROM seen_at),
+old AS (SELECT id FROM nodes WHERE file IN (SELECT file FROM gone)),
+every AS (SELECT kind, source, target, count(*) AS n, min(file) AS file, arg_min(row, (file, row)) AS row FROM kept GROUP BY ALL
+  UNION ALL SELECT kind, source, target, 1, NULL, NULL FROM bare WHERE source NOT IN (SELECT id FROM old) AND target NOT IN (SELECT id FROM old) AND (kind, source, target) NOT IN (SELECT kind, source, target FROM kept))
+SELECT kind, source, target, n, coalesce(file, '') AS file, coalesce(row, -1)::BIGINT AS row FROM every WHERE source IN (SELECT id FROM merged) AND target IN (SELECT id FROM merged)"""
 )
 def graph_merge(spark: SparkSession, d: str) -> DataFrame:
-    """A delta that rewrites the files with external symbols and counts every call once more."""
-    n, e = src.nodes(spark, d), src.edges(spark, d).select("kind", "source", "target", "n")
+    """The files with external symbols are analysed anew: a third of their occurrences is left, a line
+    further down, their external symbols are gone, and edges without any occurrence lie beside them."""
+    n, e = src.nodes(spark, d), _evidence(spark, d)
     gone = n.where("kind = 'var' and external").select("file").distinct()
+    inside = e.join(gone, "file", "left_semi").select(*e.columns)
     fresh = n.join(gone, "file", "left_semi").where("not external").select(*n.columns)
-    return graph.merge(n, e, fresh, e.where("kind = 'calls'").withColumn("n", F.col("n") + 1), gone)[1].select("kind", "source", "target", "n")
+    edges = src.edges(spark, d).select("kind", "source", "target", "n")
+    bare = edges.where("kind = 'requires'").select(F.lit("mentions").alias("kind"), F.col("target").alias("source"), F.col("source").alias("target"), F.lit(1).cast("bigint").alias("n")).distinct()
+    known = edges.unionByName(bare.join(edges, graph.EDGE_KEY, "left_anti"))
+    out = graph.merge(n, known, e, fresh, inside.where("row % 3 = 0").withColumn("row", F.col("row") + 1), gone)[1]
+    return out.fillna({"file": "", "row": -1})
+
+
+@query(
+    BASE
+    + """ SELECT 'node' AS what, id, coalesce(namespace, '') AS detail, 1::BIGINT AS n FROM nodes UNION ALL SELECT 'edge', kind || '>' || source || '>' || target, kind, n FROM edges
+UNION ALL SELECT 'stats', 'edges:' || kind, '', count(*) FROM edges GROUP BY kind UNION ALL SELECT 'stats', 'nodes:' || kind, '', count(*) FROM nodes GROUP BY kind
+UNION ALL SELECT 'stats', 'nodes:external', '', count(*) FILTER (external) FROM nodes UNION ALL SELECT 'stats', 'edges:occurrences', '', sum(n)::BIGINT FROM edges"""
+)
+def graph_written(spark: SparkSession, d: str) -> DataFrame:
+    """The graph as it is read back from JSON."""
+    path = fresh_path(spark, "graph")
+    graph.write_graph(src.nodes(spark, d), src.edges(spark, d), path)
+    nodes, edges = graph.read_graph(spark, path, "id string, namespace string", "kind string, source string, target string, n bigint")
+    known = spark.read.schema("measure string, n bigint").json(f"{path}/stats")
+    out = nodes.select(F.lit("node").alias("what"), "id", F.coalesce("namespace", F.lit("")).alias("detail"), F.lit(1).cast("bigint").alias("n"))
+    out = out.unionByName(edges.select(F.lit("edge").alias("what"), F.concat_ws(">", "kind", "source", "target").alias("id"), F.col("kind").alias("detail"), "n"))
+    return out.unionByName(known.select(F.lit("stats").alias("what"), F.col("measure").alias("id"), F.lit("").alias("detail"), "n"))
+
+
+@query("SELECT l_orderkey, (SELECT string_agg(x, ',' ORDER BY x) FROM (SELECT DISTINCT trim(u) AS x FROM unnest(list(l_partkey::VARCHAR) || list(l_linestatus)) AS t(u) WHERE trim(u) <> '')) AS ids FROM lineitem GROUP BY l_orderkey")
+def united_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Ids of two columns of an order's lines, padded with blanks, with blank ones among them."""
+    li = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.concat(F.lit(" "), F.col("l_partkey").cast("string"))).alias("a"), F.collect_list("l_linestatus").alias("b"))
+    return li.select("l_orderkey", F.array_join(graph.united(F.col("a"), F.col("b"), F.array(F.lit(" "), F.lit(None).cast("string"))), ",").alias("ids"))
