@@ -120,3 +120,44 @@ activity AS (
     CASE event_type WHEN 'error' THEN 'failed' ELSE 'ok' END AS status,
     json_extract_string(props, '$.k')::BIGINT AS tool_call, value
   FROM events)"""
+
+
+def lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seq, ts, session, type, status, tool_call, agent, result, workspace): a stream with sessions, turns,
+    tools, permissions and agents in it, in arrival order."""
+    e, k = F.col("event_type"), F.col("event_id") % 10
+    kind = (
+        F.when((e == "signup") & (k == 0), "session.started").when(e == "signup", "prompt.submitted")
+        .when((e == "purchase") & (k == 3), "session.ended").when(e == "purchase", "turn.completed")
+        .when((e == "click") & (k < 6), "tool.started").when(e == "click", "permission.requested")
+        .when((e == "view") & (k < 6), "tool.completed").when(e == "view", "permission.completed")
+        .when(k < 5, "tool.failed").otherwise("error")
+    )
+    answered = (e == "view") & (k >= 6)
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("seq"),
+        "ts",
+        F.concat(F.lit("s"), F.col("user_id") % 50).alias("session"),
+        kind.alias("type"),
+        F.when((e == "error") & (k == 9), "warning").when(e == "error", "failed").otherwise("ok").alias("status"),
+        (F.get_json_object("props", "$.k").cast("bigint") % 5).alias("tool_call"),
+        F.when(F.col("value") < 10, None).when(F.col("value") < 20, F.concat(F.lit("s"), F.col("user_id") % 50)).otherwise(F.concat(F.lit("a"), F.col("event_id") % 3)).alias("agent"),
+        F.when(answered & (k == 6), "denied-by-user").when(answered & (k == 7), "denied-by-rules").when(answered, "approved").alias("result"),
+        F.concat(F.lit("w"), F.col("user_id") % 7).alias("workspace"),
+    )
+
+
+LIFECYCLE_SQL = """
+lifecycle AS (
+  SELECT event_id AS seq, ts, 's' || (user_id % 50) AS session,
+    CASE WHEN event_type = 'signup' AND event_id % 10 = 0 THEN 'session.started' WHEN event_type = 'signup' THEN 'prompt.submitted'
+      WHEN event_type = 'purchase' AND event_id % 10 = 3 THEN 'session.ended' WHEN event_type = 'purchase' THEN 'turn.completed'
+      WHEN event_type = 'click' AND event_id % 10 < 6 THEN 'tool.started' WHEN event_type = 'click' THEN 'permission.requested'
+      WHEN event_type = 'view' AND event_id % 10 < 6 THEN 'tool.completed' WHEN event_type = 'view' THEN 'permission.completed'
+      WHEN event_id % 10 < 5 THEN 'tool.failed' ELSE 'error' END AS type,
+    CASE WHEN event_type = 'error' AND event_id % 10 = 9 THEN 'warning' WHEN event_type = 'error' THEN 'failed' ELSE 'ok' END AS status,
+    json_extract_string(props, '$.k')::BIGINT % 5 AS tool_call,
+    CASE WHEN value < 10 THEN NULL WHEN value < 20 THEN 's' || (user_id % 50) ELSE 'a' || (event_id % 3) END AS agent,
+    CASE WHEN event_type = 'view' AND event_id % 10 = 6 THEN 'denied-by-user' WHEN event_type = 'view' AND event_id % 10 = 7 THEN 'denied-by-rules' WHEN event_type = 'view' AND event_id % 10 > 7 THEN 'approved' END AS result,
+    'w' || (user_id % 7) AS workspace
+  FROM events)"""
