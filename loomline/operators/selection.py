@@ -141,3 +141,78 @@ def explicit_node(metadata: str, node: str, resources: str) -> Column:
     """The node an event names: in its metadata, itself, or by its first resource that does."""
     first = F.get(F.filter(resources, lambda r: r["node_id"].isNotNull()), F.lit(0))["node_id"]
     return F.coalesce(F.try_element_at(F.col(metadata), F.lit("graphNodeId")), F.col(node), first)
+
+
+def layered(groups: DataFrame, rays: DataFrame, hidden: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """Groups (id, kind) without those of hidden kinds, and rays (source, target) without those to hidden groups."""
+    gone = groups.where(F.col("kind").isin(*hidden)).select("id").distinct() if hidden else groups.limit(0).select("id")
+    return groups.join(gone, "id", "left_anti"), rays.join(gone.withColumnRenamed("id", "target"), "target", "left_anti")
+
+
+def listed(recordings: DataFrame, workspace: str | None = None, session: str | None = None) -> DataFrame:
+    """Recordings of a workspace and of a session, newest first; None asks for all."""
+    for column, value in (("workspace", workspace), ("session", session)):
+        if value is not None:
+            recordings = recordings.where(F.col(column) == value)
+    return recordings.orderBy(F.desc("created"), F.desc("recording_id"))
+
+
+def revision_mode(asked: Column, cached: Column, parent: Column) -> Column:
+    """How to get at a revision: cached if it is the one at hand, incremental if its parent is, else full."""
+    return F.when(F.coalesce(asked == cached, F.lit(False)), "cached").when(F.coalesce(parent == cached, F.lit(False)), "incremental").otherwise("full")
+
+
+#: Bytes of a posted event at most.
+BODY_BYTES = 64 << 10
+
+
+def received(requests: DataFrame) -> DataFrame:
+    """(request, status): what each posted event is answered, in order of arrival.
+
+    ``requests``: request, content_type, body. 415 for other than JSON, 413 for a body beyond the limit, 400
+    for one that isn't an object with session and id, 202 for a new event and 200 for a repeated one.
+    """
+    at = lambda p: F.get_json_object("body", p)
+    key = F.when(at("$.session").isNotNull() & at("$.id").isNotNull(), F.concat_ws("\u0000", F.coalesce(at("$.source"), F.lit("default")), at("$.session"), at("$.id")))
+    bad = (
+        F.when(~F.coalesce(F.lower("content_type").startswith("application/json"), F.lit(False)), 415)
+        .when(F.octet_length("body") > BODY_BYTES, 413).when(key.isNull(), 400)
+    )
+    rows = requests.select("request", bad.alias("bad"), F.when(bad.isNull(), key).alias("key"))
+    first = rows.where("key is not null").groupBy("key").agg(F.min("request").alias("first"))
+    out = rows.join(first, "key", "left")
+    return out.select("request", F.coalesce("bad", F.when(F.col("first") == F.col("request"), 202).otherwise(200)).alias("status"))
+
+
+def acknowledged(spool: DataFrame, acks: DataFrame) -> DataFrame:
+    """What a spool still has to send: rows whose digest (sha256 of their body) nobody has acknowledged."""
+    return spool.withColumn("digest", F.sha2("body", 256)).join(acks.select("digest").distinct(), "digest", "left_anti")
+
+
+def recording_states(events: DataFrame, most: int) -> DataFrame:
+    """(session, status): complete once a terminal event is the last, partial beyond a number of events,
+    else active."""
+    out = events.groupBy("session").agg(F.max_by("type", "seq").alias("last"), F.count("*").alias("n"))
+    return out.select("session", F.when(F.col("n") > most, "partial").when(F.col("last") == "session.ended", "complete").otherwise("active").alias("status"))
+
+
+def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """(file, specifier, target, how, confidence): what a module's import stands for.
+
+    ``imports``: file, specifier. ``files``: path. Relative specifiers are folded against the file's
+    folder and looked up as they are, with an extension, or as a folder's index; others are packages.
+    """
+    from loomline.functions.text import folded
+
+    # What may follow a specifier, in order.
+    ends = ("", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.js")
+    relative = F.col("specifier").startswith(".")
+    place = folded(F.concat(F.regexp_extract("file", "^(.*/)?[^/]*$", 1), "specifier"))
+    asked = imports.select("file", "specifier").distinct().select("file", "specifier", relative.alias("relative"), F.when(relative, place).alias("place"))
+    tries = asked.where("place is not null").select("file", "specifier", F.posexplode(F.array(*[F.concat("place", F.lit(e)) for e in ends])).alias("k", "path"))
+    hits = tries.join(files.select("path").distinct(), "path").groupBy("file", "specifier").agg(F.min_by("path", "k").alias("hit"))
+    package = F.regexp_extract("specifier", r"^(@[^/]+/[^/]+|[^/]+)", 1)
+    how = F.when(F.col("hit").isNotNull(), "resolved").when(~F.col("relative") | F.col("place").isNull(), "external").otherwise("unresolved")
+    out = asked.join(hits, ["file", "specifier"], "left").withColumn("how", how)
+    target = F.when(F.col("how") == "resolved", F.col("hit")).when(F.col("how") == "external", F.when(F.col("relative"), F.col("specifier")).otherwise(package))
+    return out.select("file", "specifier", target.alias("target"), "how", F.when(F.col("how") == "resolved", 0.99).otherwise(0.25).alias("confidence"))

@@ -45,7 +45,14 @@ def event_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return act.dedupe(src.activity(spark, d), "session", "type", "tool_call").select("session", "type", "tool_call", "seq", "value")
 
 
-@query()
+@query(
+    "WITH RECURSIVE "
+    + src.ACTIVITY_SQL
+    + """, e AS (SELECT session, type, seq, epoch_us(ts) // 1000 AS ms FROM activity),
+kept AS (SELECT session, type, min((ms, seq)) AS p FROM e GROUP BY session, type
+  UNION ALL SELECT k.session, k.type, (SELECT min((ms, seq)) FROM e WHERE e.session = k.session AND e.type = k.type AND e.ms > k.p[1] + 3600000) AS p FROM kept k WHERE k.p IS NOT NULL)
+SELECT session, type, p[2] AS seq FROM kept WHERE p IS NOT NULL"""
+)
 def near_duplicates(spark: SparkSession, d: str) -> DataFrame:
     """Of a session's events of a type, those within an hour of a kept one go."""
     return act.near_duplicates(src.activity(spark, d), "session", "type", window_ms=3_600_000).select("session", "type", "seq")
@@ -230,7 +237,17 @@ def url_paths(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query()
+@query(
+    r"""WITH a AS (SELECT doc_id, regexp_replace(text, '(?i)\b([a-z][a-z0-9+.-]*://)(?:[^/\s@]+@)+', '\1', 'g') AS t FROM documents),
+-- RE2 has no lookahead: what must not be a value is marked first
+b AS (SELECT doc_id, regexp_replace(t, '(?i)(\b(?:authorization|api[-_]?key|access[-_]?key|password|token)\s*[:=]\s*)((?:Bearer|Basic|Token)\b)', '\1' || chr(2) || '\2', 'g') AS t FROM a),
+c AS (SELECT doc_id, regexp_replace(t, '(?i)(\b(?:Bearer|Basic|Token)\s*(?:[:=]\s*|\s+)|\b(?:authorization|api[-_]?key|access[-_]?key|password|token)\s*[:=]\s*)[^\s\x02]\S*', '\1[REDACTED]', 'g') AS t FROM b),
+d AS (SELECT doc_id, replace(t, chr(2), '') AS t FROM c),
+e AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '\b(?:gh[pousr]_[A-Za-z0-9_]{20,}|github_pat_[A-Za-z0-9_]{20,})\b', '[REDACTED]', 'g'), '\bAKIA[0-9A-Z]{16}\b', '[REDACTED]', 'g'), '\b(?:sk|pk|rk)_(?:live|test)_[A-Za-z0-9]{12,}\b', '[REDACTED]', 'g') AS t FROM d),
+f AS (SELECT doc_id, regexp_replace(regexp_replace(t, '(?i)\bBearer\s+[A-Za-z0-9._~+/=-]{12,}', '[REDACTED]', 'g'), '(?s)-----BEGIN [^-]+-----.*?-----END [^-]+-----', '[REDACTED]', 'g') AS t FROM e),
+g AS (SELECT doc_id, regexp_replace(t, '(?i)(?:/(?:Users|home|private/var)/[^/\s]+(?:/[^\s]*)?|[A-Za-z]:\\Users\\[^\\\s]+(?:\\[^\s]*)?)', '[PATH]', 'g') AS t FROM f)
+SELECT doc_id, len(regexp_extract_all(t, '\[REDACTED\]'))::BIGINT AS masked, sha256(t) AS text_sha256 FROM g"""
+)
 def redacted_documents(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     clean = text.redacted(F.col("text"))
@@ -243,7 +260,12 @@ def stable_ids(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("user_id").agg(F.count("*").alias("events"), F.substring(F.min("id"), 3, 24).alias("least_id"))
 
 
-@query()
+@query(
+    "WITH "
+    + src.GRAPH_SQL.split(",\nnodes AS")[0]
+    + """, h AS (SELECT id, list_reduce(list_prepend(2166136261::UBIGINT, [ascii(c)::UBIGINT FOR c IN string_split(id, '')]), lambda a, c: (xor(a, c) * 16777619::UBIGINT) % 4294967296::UBIGINT)::BIGINT AS hash FROM symbols)
+SELECT id, hash, hash % 5 AS colour FROM h"""
+)
 def fnv_colours(spark: SparkSession, d: str) -> DataFrame:
     return src.symbols(spark, d).select("id", hashing.fnv1a(F.col("id")).alias("hash"), hashing.colour_index(F.col("id")).alias("colour"))
 
