@@ -1,8 +1,10 @@
 """A stream source that follows growing line files, which the file source doesn't.
 
-Offsets are bytes by file. A file that got shorter is read from its start again. Only whole lines are
-given out; a line longer than the limit is passed over. Register with
-``spark.dataSource.register(TailSource)`` and read with ``format("tail").option("path", folder)``.
+Offsets are bytes by file, always behind a line's end. The driver only looks at sizes and for the last
+line's end; the bytes are read by tasks, each a range of a file, which gives the lines that begin in it.
+A file that got shorter is read from its start again. The folder must be one that all executors see.
+Register with ``spark.dataSource.register(TailSource)`` and read with
+``format("tail").option("path", folder)``.
 """
 
 from __future__ import annotations
@@ -10,52 +12,78 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
+from dataclasses import dataclass
 
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
-MAX_LINE_BYTES = 256 * 1024
-MAX_FILES = 64
+#: Bytes of a file that a task reads, and in which the end of the last line is looked for.
+RANGE_BYTES, STEP_BYTES = 32 << 20, 64 << 10
 
 
-class TailReader(SimpleDataSourceStreamReader):
-    def __init__(self, folder: str, from_end: bool, suffix: str):
-        self.folder, self.from_end, self.suffix = folder, from_end, suffix
+@dataclass
+class Range(InputPartition):
+    """The lines of a file that begin in [start, end); ``first``: where the file's new part begins."""
 
-    def _files(self) -> list[str]:
-        names = [os.path.join(self.folder, n) for n in os.listdir(self.folder) if n.endswith(self.suffix)]
-        return sorted(sorted(names, key=os.path.getmtime)[-MAX_FILES:])
+    file: str
+    start: int
+    end: int
+    first: int
+
+
+def last_line_end(file: str, start: int, size: int) -> int:
+    """The place behind the last line feed of a file's bytes from ``start``; ``start`` if there is none."""
+    at = size
+    with open(file, "rb") as f:
+        while at > start:
+            low = max(start, at - STEP_BYTES)
+            f.seek(low)
+            found = f.read(at - low).rfind(b"\n")
+            if found >= 0:
+                return low + found + 1
+            at = low
+    return start
+
+
+class TailReader(DataSourceStreamReader):
+    def __init__(self, folder: str, from_end: bool, suffix: str, range_bytes: int):
+        self.folder, self.from_end, self.suffix, self.range_bytes = folder, from_end, suffix, range_bytes
+        self.known: dict[str, int] = {}
+
+    def _sizes(self) -> dict[str, int]:
+        with os.scandir(self.folder) as found:
+            return {f.path: f.stat().st_size for f in sorted(found, key=lambda f: f.path) if f.name.endswith(self.suffix)}
 
     def initialOffset(self) -> dict:
         """Files that are there at the start are read from their start, or their end if so asked."""
-        return {"files": json.dumps({f: os.path.getsize(f) if self.from_end else 0 for f in self._files()})}
-
-    def _lines(self, start: dict, end: dict | None) -> tuple[list[tuple], dict]:
-        at, stop = json.loads(start["files"]), json.loads(end["files"]) if end else None
-        rows = []
-        for f in self._files() if stop is None else stop:
-            if not os.path.exists(f):
-                continue
-            size = os.path.getsize(f) if stop is None else stop[f]
-            offset = at.get(f, 0)
-            if offset > size:
-                offset = 0  # the file was cut
-            with open(f, "rb") as lines:
-                lines.seek(offset)
-                chunk = lines.read(size - offset)
-            whole = chunk.rfind(b"\n") + 1
-            for line in chunk[:whole].splitlines(keepends=True):
-                if len(line) <= MAX_LINE_BYTES:
-                    rows.append((f, offset, line.decode(errors="replace").rstrip("\r\n")))
+        return {"files": json.dumps({f: last_line_end(f, 0, n) if self.from_end else 0 for f, n in self._sizes().items()})}
+
+    def latestOffset(self) -> dict:
+        for f, n in self._sizes().items():
+            before = self.known.get(f, 0)
+            self.known[f] = last_line_end(f, before if before <= n else 0, n)
+        return {"files": json.dumps(self.known)}
+
+    def partitions(self, start: dict, end: dict) -> list[Range]:
+        before, out = json.loads(start["files"]), []
+        for f, stop in json.loads(end["files"]).items():
+            first = before.get(f, 0)
+            first = first if first <= stop else 0  # the file was cut
+            out += [Range(f, s, min(s + self.range_bytes, stop), first) for s in range(first, stop, self.range_bytes)]
+        return out
+
+    def read(self, part: Range) -> Iterator[tuple]:
+        with open(part.file, "rb") as lines:
+            offset = part.start
+            if part.start > part.first:  # a line that begins before the range is another task's
+                lines.seek(part.start - 1)
+                offset = part.start - 1 + len(lines.readline())
+            lines.seek(offset)
+            while offset < part.end:
+                line = lines.readline()
+                if not line:
+                    break
+                yield part.file, offset, line.decode(errors="replace").rstrip("\r\n")
                 offset += len(line)
-            at[f] = offset
-        return rows, {"files": json.dumps(at)}
-
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        rows, end = self._lines(start, None)
-        return iter(rows), end
-
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter(self._lines(start, end)[0])
 
     def commit(self, end: dict) -> None:
         pass
@@ -69,5 +97,6 @@ class TailSource(DataSource):
     def schema(self) -> str:
         return "file string, offset bigint, line string"
 
-    def simpleStreamReader(self, schema) -> TailReader:
-        return TailReader(self.options["path"], self.options.get("fromend", "false") == "true", self.options.get("suffix", ".jsonl"))
+    def streamReader(self, schema) -> TailReader:
+        o = self.options
+        return TailReader(o["path"], o.get("fromend", "false") == "true", o.get("suffix", ".jsonl"), int(o.get("rangebytes", RANGE_BYTES)))

@@ -75,16 +75,22 @@ def test_tail_follows_appends(spark, tmp_path):
     folder.mkdir()
     (folder / "a.jsonl").write_text("one\ntwo\nhalf")
     spark.dataSource.register(TailSource)
-    stream = spark.readStream.format("tail").option("path", str(folder)).load()
+    # ranges of five bytes: lines span tasks
+    stream = spark.readStream.format("tail").option("path", str(folder)).option("rangebytes", 5).load()
     q = stream.writeStream.format("memory").queryName("tail").start()
     q.processAllAvailable()
     assert [r.line for r in spark.table("tail").orderBy("offset").collect()] == ["one", "two"]
     with open(folder / "a.jsonl", "a") as f:
         f.write(" done\n")
-    (folder / "b.jsonl").write_text("new\n")
+    (folder / "b.jsonl").write_text("new\n" + "x" * 300_000 + "\n")
+    for i in range(80):
+        (folder / f"c{i}.jsonl").write_text(f"c{i}\n")
+    q.processAllAvailable()
+    (folder / "a.jsonl").write_text("cut\n")
     q.processAllAvailable()
     q.stop()
-    assert {r.line for r in spark.table("tail").collect()} == {"one", "two", "half done", "new"}
+    # no file and no line is too many or too long
+    assert sorted(r.line for r in spark.table("tail").collect()) == sorted(["one", "two", "half done", "new", "x" * 300_000, "cut", *(f"c{i}" for i in range(80))])
 
 
 def test_rejects_and_frames(spark):
