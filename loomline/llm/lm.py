@@ -8,8 +8,9 @@ learning texts whose own counts are taken out (deleted) from the estimates.
 Counts cover the whole corpus and are never gathered in one place. Texts are dealt into blocks. A
 block asks for the counts of its distinct n-grams; questions are routed by the n-gram's hash to the
 task that sums them over all blocks, and the answers go back to the block in the order asked.
-An n-gram takes one entry a block, however frequent it is, so no hot word makes a hot task. N-grams
-are told apart by 64-bit hashes; there is a route for every few blocks, so what a task sums is bounded.
+An n-gram takes one entry a block, however frequent it is, so no hot word makes a hot task. There
+is a route for every few blocks, so what a task sums is bounded; n-grams are told apart by the bits of
+the route and 48 more, so by more bits the larger the corpus.
 """
 
 from __future__ import annotations
@@ -86,30 +87,40 @@ class Block:
         return np.bincount(self.text_of, per_token, len(self.sizes))
 
 
-def _route_edges(codes: np.ndarray, routes: int) -> np.ndarray:
-    """Where each route begins among sorted codes: routes are equal ranges of the hash."""
-    own = (codes >> np.uint64(32)) * np.uint64(routes) >> np.uint64(32)
-    return np.searchsorted(own, np.arange(routes + 1, dtype=np.uint64))
+def _route_edges(codes: np.ndarray, bits: int) -> np.ndarray:
+    """Where each route begins among sorted codes: a route is the first ``bits`` of the hash."""
+    return np.searchsorted(codes >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
 
 
-def _ask(routes: int):
+def _packed(codes: np.ndarray, bits: int) -> bytes:
+    """Six bytes of each code, those behind the bits that the route says already."""
+    return (codes << np.uint64(bits)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unpacked(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // 6, 8), dtype=np.uint8)
+    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
+    return out.view(">u8")[:, 0].astype(np.uint64)
+
+
+def _ask(bits: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         block = Block(pdf["text"].tolist())
         learn = np.repeat(pdf["learn"].to_numpy(), block.sizes)
         rows = []
         for order, codes, at in ((1, block.one, block.one_at), (2, block.two, block.two_at)):
             n = np.bincount(at, learn, len(codes)).astype("<u4")
-            edges = _route_edges(codes, routes)
+            edges = _route_edges(codes, bits)
             for r in np.flatnonzero(np.diff(edges)):
                 s = slice(edges[r], edges[r + 1])
-                rows.append((order, int(r), int(pdf["block"].iloc[0]), bool(pdf["deleted"].iloc[0]), codes[s].astype("<u8").tobytes(), n[s].tobytes()))
+                rows.append((order, int(r), int(pdf["block"].iloc[0]), bool(pdf["deleted"].iloc[0]), _packed(codes[s], bits), n[s].tobytes()))
         return pd.DataFrame(rows, columns=["order", "route", "block", "deleted", "codes", "n"])
 
     return run
 
 
 def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
-    codes = [np.frombuffer(c, "<u8") for c in pdf["codes"]]
+    codes = [_unpacked(c) for c in pdf["codes"]]
     _, at = np.unique(np.concatenate(codes), return_inverse=True)
     n = np.frombuffer(b"".join(pdf["n"]), "<u4")
     every = np.bincount(at, n)
@@ -221,7 +232,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
     size = rows.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     size = (size[0] or 0) + size[1]
     blocks = max(1, -(-size // block_bytes), min(common.partitions(docs.sparkSession), size >> 20))
-    routes = int(max(4, -(-blocks // ROUTE_BLOCKS)))
+    bits = max(2, (-(-blocks // ROUTE_BLOCKS) - 1).bit_length())
     fold = common.crc_fold("id", FOLDS)
     # the deleted fold has blocks of its own, so what is learned on it reads no others
     own = max(1, blocks // (FOLDS - 1))
@@ -234,7 +245,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
         deleted.alias("deleted"),
         F.when(deleted, F.pmod(spot, F.lit(own))).otherwise(own + F.pmod(spot, F.lit(blocks))).alias("block"),
     )
-    asked = placed.groupBy("block").applyInPandas(_ask(routes), "order int, route int, block bigint, deleted boolean, codes binary, n binary")
+    asked = placed.groupBy("block").applyInPandas(_ask(bits), "order int, route int, block bigint, deleted boolean, codes binary, n binary")
     answers = common.materialize(asked.groupBy("order", "route").applyInPandas(_answer, _ANSWERS), "lm-answers")
     facts = answers.where("order = 1").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "types", "rest_tokens", "rest_types")]).first()
     held = placed.where("deleted").groupBy("block").cogroup(answers.where("deleted").groupBy("block"))
