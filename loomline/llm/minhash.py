@@ -73,7 +73,7 @@ class Shingler:
         words = words_of(text)
         if not words:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64), b""
-        if len(self.words) > 500_000:
+        if len(self.words) > 100_000:
             self.words.clear()
         known, hashed = self.words, xxhash.xxh64_intdigest
         h = np.array([known[w] if w in known else known.setdefault(w, hashed(w)) for w in words], dtype=np.uint64)
@@ -355,9 +355,12 @@ class _Block:
             every, at = np.unique(np.concatenate(self.shingles), return_inverse=True)
             words = -(-len(every) // 64)
             if words * len(self.rep) <= DENSE_WORDS:
-                dense = np.zeros((len(self.rep), words * 64), bool)
-                dense[np.repeat(np.arange(len(self.rep)), self.sizes), at] = True
-                self.bits = np.packbits(dense, axis=1).view(np.uint64)
+                self.bits = np.zeros((len(self.rep), words), np.uint64)
+                ends = self.sizes.cumsum()
+                for r, end in enumerate(ends):
+                    row = np.zeros(words * 64, bool)
+                    row[at[end - self.sizes[r] : end]] = True
+                    self.bits[r] = np.packbits(row).view(np.uint64)
             else:
                 self.bits = False
         if self.bits is False:
