@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from loomline.operators import activity as act
 from loomline.streaming import live
-from loomline.streaming.tail import TailSource
+from loomline.streaming.tail import TailReader, TailSource
 
 SCHEMA = "seq long, ts timestamp_ntz, session string, type string, status string, tool_call long, value double"
 KINDS = ["prompt.submitted", "tool.started", "tool.completed", "turn.completed", "error"]
@@ -70,27 +70,38 @@ def test_archive_stream_is_idempotent(spark, tmp_path):
     assert back.count() == 400 and back.select("seq").distinct().count() == 400
 
 
+def test_tail_ranges_share_out_lines(tmp_path):
+    text = "one\n\ntwo\na longer line\nlast\nhalf"
+    (tmp_path / "a.jsonl").write_text(text)
+    for size in (1, 2, 3, 5, 8, 100):
+        reader = TailReader(str(tmp_path), False, ".jsonl", size)
+        parts = reader.partitions(reader.initialOffset(), reader.latestOffset())
+        got = [(offset, line) for p in parts for _, offset, line in reader.read(p)]
+        assert [line for _, line in got] == ["one", "", "two", "a longer line", "last"], size
+        assert all(text[o:].startswith(line) for o, line in got)
+    assert TailReader(str(tmp_path), True, ".jsonl", 5).initialOffset() == reader.latestOffset()
+
+
 def test_tail_follows_appends(spark, tmp_path):
     folder = tmp_path / "lines"
     folder.mkdir()
     (folder / "a.jsonl").write_text("one\ntwo\nhalf")
     spark.dataSource.register(TailSource)
-    # ranges of five bytes: lines span tasks
-    stream = spark.readStream.format("tail").option("path", str(folder)).option("rangebytes", 5).load()
+    stream = spark.readStream.format("tail").option("path", str(folder)).option("rangebytes", 100_000).load()
     q = stream.writeStream.format("memory").queryName("tail").start()
     q.processAllAvailable()
     assert [r.line for r in spark.table("tail").orderBy("offset").collect()] == ["one", "two"]
     with open(folder / "a.jsonl", "a") as f:
         f.write(" done\n")
     (folder / "b.jsonl").write_text("new\n" + "x" * 300_000 + "\n")
-    for i in range(80):
+    for i in range(70):
         (folder / f"c{i}.jsonl").write_text(f"c{i}\n")
     q.processAllAvailable()
     (folder / "a.jsonl").write_text("cut\n")
     q.processAllAvailable()
     q.stop()
     # no file and no line is too many or too long
-    assert sorted(r.line for r in spark.table("tail").collect()) == sorted(["one", "two", "half done", "new", "x" * 300_000, "cut", *(f"c{i}" for i in range(80))])
+    assert sorted(r.line for r in spark.table("tail").collect()) == sorted(["one", "two", "half done", "new", "x" * 300_000, "cut", *(f"c{i}" for i in range(70))])
 
 
 def test_rejects_and_frames(spark):
