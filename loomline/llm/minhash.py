@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -225,6 +225,18 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
 
 
+def _keyed(rows: DataFrame) -> DataFrame:
+    """Rows of (id, h) under one long key: a broadcast by one is a fraction of one by two."""
+    rest = [c for c in rows.columns if c not in ("id", "h")]
+    return rows.select(F.xxhash64("id", "h").alias("hk"), F.col("id").alias("i"), F.col("h").alias("hh"), *rest)
+
+
+def _same_row(left: DataFrame, keyed: DataFrame) -> Column:
+    """That ``left`` has the id and hash of a keyed row; as differences, so that they are no keys of their own."""
+    exact = (left["id"].bitwiseXOR(keyed["i"]) == 0) & (left["h"].bitwiseXOR(keyed["hh"]) == 0)
+    return (F.xxhash64(left["id"], left["h"]) == keyed["hk"]) & exact
+
+
 def _classes_of_rows(rows: DataFrame, similarity: float) -> DataFrame:
     """(id, h, cls, class_id) of every row that has an id and words: its class's number and smallest id."""
     usable = rows.where("id is not null and text is not null")
@@ -239,9 +251,9 @@ def _classes_of_rows(rows: DataFrame, similarity: float) -> DataFrame:
     side = lambda t, x, cols: t.select(F.col(t.columns[0]).alias(x), *[F.col(c).alias(c[0] + x) for c in cols])
 
     def shingles_of(numbers: DataFrame) -> DataFrame:
-        ids = common.materialize(reps.select("rep", "id", "h").join(numbers.distinct(), "rep", "left_semi"), "minhash-ids")
-        few = ids.count() <= BROADCAST_IDS
-        found = usable.join(F.broadcast(ids) if few else ids, ["id", "h"]).select("rep", "text")
+        ids = common.materialize(_keyed(reps.select("rep", "id", "h").join(numbers.distinct(), "rep", "left_semi")), "minhash-ids")
+        asked = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+        found = usable.join(asked, _same_row(usable, ids)).select("rep", "text")
         found = found.mapInPandas(_shingle, "rep bigint, shingles binary, counts binary")
         if repeated:
             found = found.groupBy("rep").agg(F.first("shingles").alias("shingles"), F.first("counts").alias("counts"))
@@ -480,8 +492,8 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def few(t: DataFrame) -> DataFrame:
         return F.broadcast(t) if t.count() <= BROADCAST_IDS else t
 
-    gone = common.materialize(placed.select(*key).join(best, key, "left_anti"), "minhash-gone")
-    kept = rows.join(few(gone), key, "left_anti")
+    gone = common.materialize(_keyed(placed.select(*key).join(best, key, "left_anti")), "minhash-gone")
+    kept = rows.join(few(gone), _same_row(rows, gone), "left_anti")
     repeated = best.where("n > 1").select(*key)
     if not repeated.isEmpty():
         repeated = few(repeated)
