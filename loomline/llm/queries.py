@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, embed, extract, lm, minhash, secrets, shards, toxicity
+from . import bpe, chat, collocations, decontaminate, embed, extract, lm, minhash, search, secrets, shards, token_counts, toxicity
 from .common import table
 
 CONTROL = "</s>[INST] ok [/INST]"
@@ -64,6 +64,21 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item."""
+    return search.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of tokens of every document."""
+    return token_counts.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 collocations of every language."""
+    return collocations.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -77,6 +92,9 @@ QUERIES = {
         op8_secret_scan,
         op9_lm_scores,
         op10_sharding,
+        op11_ranked_search,
+        op12_token_counts,
+        op13_collocations,
     )
 }
 
@@ -134,4 +152,48 @@ FROM said""",
     "op10_sharding": """
 SELECT doc_id, lang, source, octet_length(encode(coalesce(text, '')))::BIGINT AS n_bytes, sha256(coalesce(text, '')) AS text_sha256
 FROM documents""",
+    "op11_ranked_search": """
+WITH docs AS (
+  SELECT row_number() OVER () AS d, doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w
+  FROM documents WHERE text IS NOT NULL),
+sized AS (SELECT d, doc_id, len(w)::BIGINT AS n FROM docs WHERE len(w) > 0),
+facts AS (SELECT count(*) AS nn, sum(n)::BIGINT AS ll FROM sized),
+tf AS (SELECT d, term, count(*) AS tf FROM (SELECT d, unnest(w) AS term FROM docs) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+wanted AS (
+  SELECT DISTINCT item_id, unnest(list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')) AS term FROM benchmark),
+weights AS (SELECT item_id, term, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM wanted JOIN df USING (term), facts),
+scored AS (
+  SELECT item_id, d, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nn) // ll))))::BIGINT AS score
+  FROM weights JOIN tf USING (term) JOIN sized USING (d), facts GROUP BY ALL),
+placed AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= 50""",
+    "op13_collocations": """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents),
+lists AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM pieces),
+one AS (SELECT lang, w1, count(*) AS f FROM (SELECT lang, unnest(w) AS w1 FROM lists) GROUP BY ALL),
+two AS (
+  SELECT lang, g.a AS w1, g.b AS w2, count(*) AS f FROM (
+    SELECT lang, unnest(list_transform(range(1, len(w)), lambda i: {'a': w[i], 'b': w[i + 1]})) AS g FROM lists WHERE len(w) > 1) GROUP BY ALL),
+three AS (
+  SELECT lang, g.a AS w1, g.b AS w2, g.c AS w3, count(*) AS f FROM (
+    SELECT lang, unnest(list_transform(range(1, len(w) - 1), lambda i: {'a': w[i], 'b': w[i + 1], 'c': w[i + 2]})) AS g FROM lists WHERE len(w) > 2) GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM one GROUP BY lang),
+often AS (SELECT * FROM three WHERE f >= 10),
+covers AS (SELECT lang, w1, w2, max(f) AS top FROM (SELECT lang, w1, w2, f FROM often UNION ALL SELECT lang, w2, w3, f FROM often) GROUP BY ALL),
+cuts AS (
+  SELECT t.lang, t.w1 || ' ' || t.w2 AS phrase, t.f AS a, 1 AS k, p.f AS l, q.f AS r
+  FROM two t JOIN one p ON p.lang = t.lang AND p.w1 = t.w1 JOIN one q ON q.lang = t.lang AND q.w1 = t.w2
+  LEFT JOIN covers v ON v.lang = t.lang AND v.w1 = t.w1 AND v.w2 = t.w2 WHERE t.f >= 10 AND coalesce(100 * v.top < 50 * t.f, TRUE)
+  UNION ALL
+  SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3, t.f, 1, p.f, q.f
+  FROM often t JOIN one p ON p.lang = t.lang AND p.w1 = t.w1 JOIN two q ON q.lang = t.lang AND q.w1 = t.w2 AND q.w2 = t.w3
+  UNION ALL
+  SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3, t.f, 2, p.f, q.f
+  FROM often t JOIN two p ON p.lang = t.lang AND p.w1 = t.w1 AND p.w2 = t.w2 JOIN one q ON q.lang = t.lang AND q.w1 = t.w3),
+scored AS (SELECT *, (1000000 * a::HUGEINT * a // (l::HUGEINT * r))::BIGINT AS score FROM cuts),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best)
+SELECT lang, rank, phrase, a, l, r, n, score FROM placed JOIN totals USING (lang) WHERE rank <= 2000""",
 }
