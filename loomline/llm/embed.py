@@ -122,6 +122,8 @@ def probes(x: np.ndarray, own: np.ndarray, q: Quantiser, margin: float) -> np.nd
 
 def _unit(values: pd.Series) -> np.ndarray:
     x = np.stack(values.to_numpy()).astype(np.float64)
+    # by the largest component first, so that no square overflows or vanishes
+    x /= np.abs(x).max(1)[:, None]
     return x / np.sqrt((x**2).sum(1))[:, None]
 
 
@@ -196,7 +198,6 @@ def _search(shared, cosine: float):
         seen[np.repeat(np.arange(len(base)), base["probed"].map(len)), np.concatenate(base["probed"].to_list())] = True
         once = ~seen[j, queries["own"].to_numpy()[i]]
         links = (links + np.bincount(b[once], queries["copies"].to_numpy()[i[once]], len(ids))).astype(np.int64)
-        # ids are sorted, so the smallest row is the smallest id
         return pd.DataFrame({"rep": ids, "links": links, "low": ids[common.local_roots(len(ids), a, b)]})
 
     return run
@@ -208,7 +209,8 @@ def classes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing and are
     components of their own; others link with those of their length, each length searched by its own
     quantiser. Rows with the same vector link with each other. No rows give no rows; other columns are
-    ignored. Ids are integers; a null id stays null, alone.
+    ignored. Ids are integers; a null id stays null, alone. Rows that share an id are vectors of their
+    own, each with its links and component; the component is called after the smallest id in it.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{vector_col}`").alias("embedding"))
@@ -216,8 +218,9 @@ def classes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     bad = lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
     usable = usable & ~F.exists("embedding", bad) & F.exists("embedding", lambda v: v != 0)
     rows = rows.withColumn("usable", F.coalesce(usable, F.lit(False)))
-    reps = rows.where("usable").groupBy("embedding").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    reps = common.materialize(reps, "embed-reps")
+    # a number for each distinct vector, fixed as it is written: an id may have several
+    reps = rows.where("usable").groupBy("embedding").agg(F.min("id").alias("low_id"), F.count("*").alias("copies"))
+    reps = common.materialize(reps.withColumn("rep", F.monotonically_increasing_id()), "embed-reps")
     # one row a length; a vector alone in its length has nothing to link with
     lengths = reps.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).where("n > 1").orderBy("d").collect()
     spaces: dict[int, Space] = {}
@@ -226,7 +229,7 @@ def classes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
         same = reps.where(F.size("embedding") == d)
         # the sample's size is bounded by its limit
         share = min(1.0, 2.0 * SAMPLE_ROWS / n)
-        sample = same.where(F.abs(F.xxhash64("rep") % 1_000_000) < share * 1_000_000).select("embedding").limit(SAMPLE_ROWS).toPandas()
+        sample = same.where(F.abs(F.xxhash64("embedding") % 1_000_000) < share * 1_000_000).select("embedding").limit(SAMPLE_ROWS).toPandas()
         sample = _unit(sample["embedding"]) if len(sample) else _unit(same.limit(1).toPandas()["embedding"])
         quantiser = fit(sample, int(min(MAX_LISTS, max(1, 2 * n**0.5, n / 65_536), max(1, len(sample) // 4))))
         spaces[d] = Space(quantiser, probe_margin(cosine, d, probe_sigmas), first)
@@ -250,7 +253,9 @@ def classes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     comps = common.connected_components(found.select("rep", "low"), "rep", "low")
     each = reps.join(links, "rep", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-    each = each.select("embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    each = each.select("embedding", "low_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("class"))
+    lows = each.groupBy("class").agg(F.min("low_id").alias("component_id"))
+    each = each.join(lows, "class").select("embedding", "n_links", "component_id")
     out = rows.where("usable").join(each, "embedding", "left")
     out = out.select("id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
     rest = rows.where("not usable").select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"))
