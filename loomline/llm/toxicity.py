@@ -344,9 +344,12 @@ def _scorer(docs: DataFrame, model: Model):
 
 
 def digest(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Score and prediction of every row, and whether its id is held out; an empty text is scored like any."""
+    """Score and prediction of every row, and whether its id is held out; an empty text is scored like any.
+
+    A row without id is never learned from, so it counts as held out.
+    """
     out = score(docs, train(docs, labels, id_col), id_col)
-    return out.select(id_col, (common.crc_fold(id_col, FOLDS) == 0).alias("held_out"), "score", "predicted")
+    return out.select(id_col, F.coalesce(common.crc_fold(id_col, FOLDS) == 0, F.lit(True)).alias("held_out"), "score", "predicted")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
