@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 
 #: Pages that the labeller is fitted on at most; all of them where there are fewer.
 SAMPLE_PAGES = 300
-#: Longest page that is learned from; all pages are labelled.
-SAMPLE_CHARS = 1_000_000
+#: Characters that are read to learn from at most, and blocks that are kept of them. All pages are labelled.
+SAMPLE_CHARS = 20_000_000
+SAMPLE_BLOCKS = 20_000
 #: Blocks of a sequence in training, longer pages make several; labelling reads pages whole.
 TRAIN_BLOCKS = 120
 HIDDEN = 12
@@ -88,7 +89,7 @@ def _element(tag: str, attributes: str) -> Element:
     names, hidden = [], tag == "template"
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
-        if name in ("class", "id", "role", "itemprop", "aria-label"):
+        if name in ("class", "id", "role", "itemprop", "aria-label") and tag not in ("html", "body"):  # those speak of the whole page
             names.append(_CAMEL.sub(" ", entities.unescape(value)).lower())
         hidden = hidden or name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and bool(_HIDDEN_STYLE.search(value)))
     return Element(tag, " ".join(names), hidden)
@@ -124,7 +125,7 @@ class Path:
             self.inside = element.tag in MAIN
             self.main = self.inside or parent.main or main_word
             self.boiler = not self.inside and (parent.boiler or boiler)
-        marks = (element.tag in BOILER and element.tag != "header", boiler_word, element.tag in MAIN, main_word, element.tag in ("li", "a"))
+        marks = (element.tag in BOILER and element.tag != "header", boiler_word, element.tag in MAIN, main_word, element.tag == "a")
         self.near = tuple(self.depth if m else at for m, at in zip(marks, parent.near, strict=True))
 
     def within(self, element: Element) -> Path:
@@ -172,6 +173,8 @@ class Path:
 
 
 Block = tuple[Path, str]
+#: A block and whether it is main text.
+Labelled = tuple[Path, str, bool]
 
 
 def blocks_of(page: str, root: Path | None = None) -> list[Block]:
@@ -467,21 +470,26 @@ _EXTRAS = tuple(
     )
 )
 _STAGES = (Element("article"), Element("main"), Element("div", "content"), Element("div", "post body"))
+_LISTS = ([Element("ul"), Element("li")], [Element("ol"), Element("li")], [Element("ul"), Element("li"), Element("p")], [Element("dl"), Element("dd")])
+_BLANK = ("div", "div", "div", "section", "p", "span", "li")
 _TAILS = ((Element("p"),), (), (Element("ul"), Element("li")), (Element("div"),), (Element("label"),), (Element("h2"),), (Element("p"), Element("a")))
 _INNER = (Element("section"), Element("div"), Element("blockquote"), Element("ul"), Element("figure"))
 
 
-def _varied(blocks: list[Block], texts: list[str], rng: np.random.Generator) -> list[Block]:
-    """A copy of a page with another main element, and boilerplate of main-like words in and around it."""
+def _varied(page: list[Labelled], texts: list[str], rng: np.random.Generator) -> list[Labelled]:
+    """A copy of a page with another main element, lists in it, and boilerplate of main-like words in and around it."""
     root = Path()
     stage = _STAGES[rng.integers(len(_STAGES))]
     inner = _INNER[rng.integers(len(_INNER))] if rng.random() < 0.5 else None
     frame = Element("div", "page with sidebar") if rng.random() < 0.2 else None
     # elements that nobody knows, from some block on as if they were never closed
     odd = [Element(f"x{i}") for i in rng.integers(0, 1000, rng.integers(0, 4))]
-    since = int(rng.integers(0, len(blocks)))
+    since = int(rng.integers(0, len(page)))
+    # a run of paragraphs that are items of a list
+    first, most = (int(rng.integers(0, len(page))), int(rng.integers(1, 8))) if rng.random() < 0.6 else (0, 0)
+    items = _LISTS[rng.integers(len(_LISTS))]
     out = []
-    for k, (path, text) in enumerate(blocks):
+    for k, (path, text, label) in enumerate(page):
         own = [stage if e.tag in MAIN else e for e in path.elements()]
         if k >= since and len(own) > 2:
             own[-1:-1] = odd
@@ -491,9 +499,12 @@ def _varied(blocks: list[Block], texts: list[str], rng: np.random.Generator) ->
                 own[at + 1 : at + 1] = [Element("header")]
             elif inner and rng.random() < 0.7:
                 own[at + 1 : at + 1] = [inner]
+            if own[-1].tag == "p" and first <= k < first + most:
+                own[-1:] = items
+                text = _shorter(text, rng)
             if frame:
                 own[at:at] = [frame]
-        out.append((own, text))
+        out.append((own, text, label))
     outer = [Element("html"), Element("body")]
     for _ in range(rng.integers(0, 6)):
         extra = _EXTRAS[rng.integers(len(_EXTRAS))]
@@ -501,36 +512,77 @@ def _varied(blocks: list[Block], texts: list[str], rng: np.random.Generator) ->
         around = out[at][0] if at < len(out) and stage in out[at][0] and extra != Element("header") and rng.random() < 0.6 else outer
         around = around[: next((i + 1 for i, e in enumerate(around) if e == stage), len(around))]
         tail = (*(odd if rng.random() < 0.5 else ()), *_TAILS[rng.integers(len(_TAILS))])
+        label = markup_label(root.of((*[e for e in around if e != frame], extra, *tail)))
         for _ in range(rng.integers(1, 4)):
-            out.insert(at, ([*around, extra, *tail], texts[rng.integers(len(texts))]))
-    return [(root.of(own), text) for own, text in out]
+            out.insert(at, ([*around, extra, *tail], texts[rng.integers(len(texts))], label))
+    return [(root.of(own), text, label) for own, text, label in out]
 
 
-def _hide(blocks: list[Block], tags: frozenset[str]) -> list[Block]:
+def _shorter(text: str, rng: np.random.Generator) -> str:
+    """The text or its first words, as an item of a list may have."""
+    words = text.split()
+    return " ".join(words[: rng.integers(1, len(words) + 1)]) if rng.random() < 0.7 else text
+
+
+def _disguised(page: list[Labelled], rng: np.random.Generator, plain: bool) -> list[Labelled]:
+    """A copy of a page whose elements say nothing: paragraphs alone, or each kind another of the same
+    few with a meaningless name. Only their order and the texts are left to tell."""
+    root, stands_for = Path(), {}
+    at_random = {w: "".join(rng.choice(list("aeinorst"), 5)) for _, text, _ in page for w in text.split()} if rng.random() < 0.5 else {}
+    out = []
+    for path, text, label in page:
+        own = []
+        for e in path.elements():
+            if e not in stands_for:
+                names = "" if plain else f"c{rng.integers(100_000)}"
+                stands_for[e] = e if e.tag in ("html", "body", "head") or (e.tag == "a" and rng.random() < 0.5) else Element("p" if plain else _BLANK[rng.integers(len(_BLANK))], names)
+            own.append(stands_for[e])
+        if plain:
+            own = own[: 2 + (len(own) > 2)]
+        # whose words may be any
+        out.append((root.of(own), " ".join(at_random.get(w.strip(".,;:!?"), w) if w[-1:].isalnum() else w for w in text.split()), label))
+    return out
+
+
+def _hide(page: list[Labelled], tags: frozenset[str]) -> list[Labelled]:
     """A copy of a page without some tags on its paths."""
     root = Path()
-    return [(root.of(e for e in path.elements() if e.tag not in tags), text) for path, text in blocks]
+    return [(root.of(e for e in path.elements() if e.tag not in tags), text, label) for path, text, label in page]
+
+
+def _windows(page: list[Labelled], most: int, rng: np.random.Generator) -> list[Labelled]:
+    """Runs of a page's blocks, at most ``most`` blocks together."""
+    if len(page) <= most:
+        return page
+    starts = rng.permutation(range(0, len(page), TRAIN_BLOCKS))[: max(1, most // TRAIN_BLOCKS)]
+    return [b for s in sorted(starts.tolist()) for b in page[s : s + TRAIN_BLOCKS]]
 
 
 def fit(pages: list[str], epochs: int = 12, rows: int = 32, rate: float = 0.02, seed: int = 5) -> BiLstm:
-    """Train on pages labelled by their markup, as they are and varied; some copies hide tags."""
+    """Train on pages labelled by their markup, as they are, varied and disguised; some copies hide tags.
+
+    Labels are those of the page as it is: a copy is learned with the labels of what it was made from.
+    """
     rng = np.random.default_rng(seed)
     features, data = Features(), []
-    read = [b for b in map(features.blocks, pages) if b]
-    texts = [t for b in read for p, t in b if markup_label(p)] or ["text"]
+    read = [[(path, text, markup_label(path)) for path, text in b] for b in map(features.blocks, pages) if b]
+    each = max(TRAIN_BLOCKS, SAMPLE_BLOCKS // max(1, len(read)))
+    read = [_windows(b, each, rng) for b in read]
+    texts = [t for b in read for _, t, label in b if label] or ["text"]
 
-    def learn(seen: list[Block], told: list[Block]) -> None:
-        x, y = features.vectors(seen), np.array([markup_label(p) for p, _ in told], dtype=float)
+    def learn(page: list[Labelled]) -> None:
+        x, y = features.vectors([(path, text) for path, text, _ in page]), np.array([label for *_, label in page], dtype=float)
         data.extend((x[i : i + TRAIN_BLOCKS], y[i : i + TRAIN_BLOCKS]) for i in range(0, len(y), TRAIN_BLOCKS))
 
-    for blocks in read:
+    for page in read:
         hidden = frozenset(rng.choice(["article", "body", "div", "html", "p", "h1", "main", "section"], 2).tolist())
-        copies = [_varied(blocks, texts, rng) for _ in range(3)]
-        learn(blocks, blocks)
-        learn(_hide(blocks, hidden), blocks)
-        learn(copies[0], copies[0])
-        learn(copies[1], copies[1])
-        learn(_hide(copies[2], frozenset(("html", "body"))), copies[2])
+        learn(page)
+        learn(_hide(page, hidden))
+        learn(_varied(page, texts, rng))
+        learn(_varied(page, texts, rng))
+        learn(_hide(_varied(page, texts, rng), frozenset(("html", "body"))))
+        learn(_disguised(page, rng, plain=True))
+        learn(_disguised(page, rng, plain=False))
     net = BiLstm(Features.dims)
     first, second = ({k: np.zeros_like(v) for k, v in net.p.items()} for _ in range(2))
     step = 0
@@ -578,14 +630,26 @@ def main_text(blocks: list[Block], q: np.ndarray) -> str:
 
 
 def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample_pages: int = SAMPLE_PAGES) -> BiLstm:
-    """Fit on at most ``sample_pages`` pages of at most ``SAMPLE_CHARS`` characters: those with the
-    smallest hash, the same on every run. Pages without id or html aren't learned from; of pages that
-    share an id the smallest is.
+    """Fit on at most ``sample_pages`` pages: those with the smallest hash, the same on every run, as
+    long as they have no more than ``SAMPLE_CHARS`` characters together (the shortest of them where
+    even the first has more), and at most ``SAMPLE_BLOCKS`` of their blocks. Pages without id or html
+    aren't learned from; of pages that share an id the shortest is.
     """
-    rows = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{html_col}`").alias("html")).where(F.length("html") <= SAMPLE_CHARS)
+    rows = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{html_col}`").alias("html")).where("id is not null and length(html) > 0")
     # ids first: whole pages aren't sorted
-    ids = rows.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(sample_pages)
-    sample = rows.join(F.broadcast(ids), "id").groupBy("id").agg(F.min("html").alias("html")).toPandas().sort_values("id")
+    sizes = rows.groupBy("id").agg(F.min(F.length("html")).alias("n")).orderBy(F.xxhash64("id"), "id").limit(sample_pages).collect()
+    chosen, total = [], 0
+    for r in sizes:
+        if total + r["n"] <= SAMPLE_CHARS:
+            chosen.append((r["id"], r["n"]))
+            total += r["n"]
+    if sizes and not chosen:
+        chosen = [tuple(min(sizes, key=lambda r: r["n"]))]
+    if not chosen:
+        return fit([])
+    ids = pages.sparkSession.createDataFrame(chosen, f"id {pages.schema[id_col].dataType.simpleString()}, n int")
+    own = rows.join(F.broadcast(ids), "id").where(F.length("html") == F.col("n"))
+    sample = own.groupBy("id").agg(F.min("html").alias("html")).toPandas().sort_values("id")
     return fit(sample["html"].tolist())
 
 

@@ -91,6 +91,34 @@ def test_extraction_of_varied_layouts(net, change):
     assert extract.main_text(blocks, q) == f"Heading of it\nFirst {words}\nSecond {words}\nThird {words}"
 
 
+WORDS = "some plain sentence about a thing that goes on for a while."
+MENU = '<nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li></ul></nav>'
+FOOT = "<footer><p>© 2024 The site. All rights reserved.</p></footer>"
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        (f"{MENU}<article><h1>Head of it</h1><p>Intro {WORDS}</p><ul><li>First {WORDS}</li><li>Second {WORDS}</li></ul><p>End {WORDS}</p></article>{FOOT}", f"Head of it\nIntro {WORDS}\nFirst {WORDS}\nSecond {WORDS}\nEnd {WORDS}"),
+        (f"{MENU}<article><h1>Head of it</h1><p>Intro {WORDS}</p><ol><li>First</li><li>Second</li></ol><p>End {WORDS}</p></article>{FOOT}", f"Head of it\nIntro {WORDS}\nFirst\nSecond\nEnd {WORDS}"),
+        (f"<body class='with-sidebar'><div class='content'><h1>Head of it</h1><p>One {WORDS}</p><p>Two {WORDS}</p></div>", f"Head of it\nOne {WORDS}\nTwo {WORDS}"),
+    ],
+)
+def test_extraction_of_lists_and_framed_pages(net, html, want):
+    _, blocks, q = next(iter(extract.label_pages(net, [html], extract.Features())))
+    assert extract.main_text(blocks, q) == want
+
+
+def test_sample_is_bounded_by_size(spark, monkeypatch):
+    pages = [(i, page(f"<h1>Head</h1><p>Text number {i} goes on.</p>" + "<p>More of it.</p>" * (200 * i))) for i in range(4)]
+    rows = spark.createDataFrame(pages, "page_id long, html string")
+    monkeypatch.setattr(extract, "SAMPLE_CHARS", 10)
+    net = extract.train(rows)  # the shortest alone
+    assert extract.train(rows.where("page_id = 0")).p["o"].tolist() == net.p["o"].tolist()
+    monkeypatch.setattr(extract, "SAMPLE_BLOCKS", 0)
+    assert len(extract._windows([(None, "x", True)] * 1000, 240, np.random.default_rng(1))) == 240
+
+
 @pytest.mark.parametrize("tag", ["<svg width='1'/>", "<math/>", "<svg><title/><path d='M0'/></svg>", "<svg><path>", "<math><mi>", "<video src='v'>", "<audio>", "<canvas>", "<object data='o'>", "<select>", "<noscript></noscript>"])
 def test_extraction_behind_embedded_elements(net, tag):
     words = "some plain sentence about a thing that goes on for a while."
@@ -198,6 +226,15 @@ def test_embeddings_keep_double_precision(spark):
     assert [r.n_links for r in embed.classes(df).orderBy("vec_id").collect()] == want
 
 
+def test_embeddings_of_any_size_and_repeated_ids(spark):
+    large = [(1, [1.0, 0.0, 0.0]), (2, [1e200, 0.0, 0.0]), (3, [2e200, 1e190, 0.0]), (4, [1e-200, 0.0, 0.0]), (5, [5e-324, 0.0, 0.0]), (6, [0.0, 1.7e308, 0.0])]
+    got = {r[0]: tuple(r[1:]) for r in embed.classes(spark.createDataFrame(large, "vec_id long, embedding array<double>")).collect()}
+    assert got == {i: (4, 1) for i in range(1, 6)} | {6: (0, 6)}
+    shared = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.1]), (9, [0.0, -1.0]), (9, [0.0, -3.0])]
+    got = sorted(map(tuple, embed.classes(spark.createDataFrame(shared, "vec_id long, embedding array<double>")).collect()))
+    assert got == [(1, 0, 1), (1, 1, 1), (2, 1, 1), (9, 1, 9), (9, 1, 9)]
+
+
 def test_embeddings_of_low_rank_lose_no_link(spark):
     rng = np.random.default_rng(5)
     low = rng.normal(size=(1500, 8))
