@@ -37,15 +37,20 @@ def relative_to(path: Column, root: Column) -> Column:
 
 
 def clean_url(c: Column) -> Column:
-    """Scheme, lower-case host, a port that isn't the scheme's own, and path; http, https, ws and wss alone."""
+    """Scheme, lower-case host, a port that isn't the scheme's own, and path; http, https, ws and wss alone.
+
+    Hosts of other characters than letters, digits, dots and hyphens (numbers of IPv6) give null, and so
+    does an address of more than 512 characters.
+    """
     scheme = F.lower(F.regexp_extract(c, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
     rest = F.regexp_replace(F.regexp_replace(c, r"^[A-Za-z][A-Za-z0-9+.-]*://", ""), r"[?#].*$", "")
     authority = F.regexp_replace(F.substring_index(rest, "/", 1), r"^.*@", "")
     path = F.regexp_extract(rest, r"(?s)^[^/]*(/.*)$", 1)
-    host, port = F.lower(F.substring_index(authority, ":", 1)), F.regexp_extract(authority, r":(\d+)$", 1)
+    host, port = F.lower(F.regexp_replace(authority, r":\d*$", "")), F.regexp_extract(authority, r":(\d+)$", 1)
     usual = (scheme.isin("http", "ws") & (port == "80")) | (scheme.isin("https", "wss") & (port == "443"))
     shown = F.when((port == "") | usual, "").otherwise(F.concat(F.lit(":"), port))
-    return F.when(scheme.isin("http", "https", "ws", "wss") & (host != ""), F.left(F.concat(scheme, F.lit("://"), host, shown, path), F.lit(512)))
+    out = F.concat(scheme, F.lit("://"), host, shown, path)
+    return F.when(scheme.isin("http", "https", "ws", "wss") & host.rlike(r"^[a-z0-9.-]+$") & (F.length(port) <= 5) & (F.length(out) <= 512), out)
 
 
 # What a text must not show, with its replacement, in order.

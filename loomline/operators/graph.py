@@ -193,12 +193,12 @@ EDGE_KEY = ["kind", "source", "target"]
 
 
 def collapsed(evidence: DataFrame) -> DataFrame:
-    """(kind, source, target, n, file, row): edges with their distinct occurrences counted, and the first one's place.
+    """(kind, source, target, n, file, row): edges with all their occurrences counted, and the first one's place.
 
     A missing file sorts first, a missing row last.
     """
     place = F.struct(F.coalesce("file", F.lit("")).alias("f"), F.coalesce("row", F.lit(2**62)).alias("r"), "file", "row")
-    edges = evidence.select(*EDGE_KEY, "file", "row").distinct().groupBy(*EDGE_KEY).agg(F.count("*").alias("n"), F.min(place).alias("first"))
+    edges = evidence.groupBy(*EDGE_KEY).agg(F.count("*").alias("n"), F.min(place).alias("first"))
     return edges.select(*EDGE_KEY, "n", "first.file", "first.row")
 
 
@@ -215,7 +215,7 @@ def merge(
     files = changed_files.select("file").distinct()
     nodes = base_nodes.join(files, "file", "left_anti").join(delta_nodes.select("id"), "id", "left_anti").select(*base_nodes.columns).unionByName(delta_nodes)
     kept = base_evidence.join(files, "file", "left_anti").select(*EDGE_KEY, "file", "row")
-    found = collapsed(kept.unionByName(delta_evidence.select(*EDGE_KEY, "file", "row")))
+    found = collapsed(kept.unionByName(delta_evidence.select(*EDGE_KEY, "file", "row")).distinct())
     moved = base_nodes.join(files, "file", "left_semi").select("id")
     bare = base_edges.join(base_evidence.select(*EDGE_KEY), EDGE_KEY, "left_anti").join(found.select(*EDGE_KEY), EDGE_KEY, "left_anti")
     for end in ("source", "target"):

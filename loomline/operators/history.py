@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomline.operators.graph import with_namespaces
 from loomline.operators.ordering import numbered, running_totals
+from loomline.storage import discard, keep
 
 HEAT_COMMITS = 20
 DECAY_MS = 30_000
@@ -134,21 +135,40 @@ def merge_duplicate_commits(commits: DataFrame) -> DataFrame:
     )
 
 
-def resolve_renames(paths: DataFrame, renames: DataFrame, max_hops: int = 20) -> DataFrame:
-    """(path, now): each path under its latest name; a chain that returns to itself stops."""
-    state = paths.select("path", F.col("path").alias("now"), F.array("path").alias("seen"))
-    hop = renames.select(F.col("old").alias("now"), "new")
-    for _ in range(max_hops):
-        step = state.join(hop, "now", "left")
-        go = F.col("new").isNotNull() & ~F.array_contains("seen", F.col("new"))
-        state = step.select("path", F.when(go, F.col("new")).otherwise(F.col("now")).alias("now"), F.when(go, F.array_append("seen", F.col("new"))).otherwise(F.col("seen")).alias("seen"), go.alias("moved"))
-        from loomline.storage import keep
+def resolve_renames(paths: DataFrame, renames: DataFrame, current: DataFrame | None = None) -> DataFrame:
+    """(path, now): each path under its latest name.
 
-        state = keep(state, "renames")
-        if state.where("moved").isEmpty():
+    A chain ends at a path that exists now (``current``, with a ``path`` column), at one that was never
+    renamed, or where it closes: a path that leads into a circle gets the circle's first path on its
+    way, one on a circle itself. Pointers double each round, so a chain of n renames takes log n
+    rounds. Of several new names of one path the smallest counts.
+    """
+    hops = renames.where("old is not null and new is not null").groupBy(F.col("old").alias("path")).agg(F.min("new").alias("next"))
+    if current is not None:
+        hops = hops.join(current.select("path").distinct(), "path", "left_anti")
+    hops = keep(hops, "renames")
+    rounds = max(1, hops.count().bit_length())
+    ends = _followed(hops, rounds)
+    # what still leads on after as many steps as there are renames goes round: those are the circles' paths
+    circle = keep(ends.where("open").select(F.col("end").alias("path")).distinct(), "renames")
+    if not circle.isEmpty():
+        first = keep(hops.join(circle, "path", "left_anti"), "renames")
+        discard(ends)
+        ends = _followed(first, rounds)
+    return paths.join(ends.select("path", "end"), "path", "left").select("path", F.coalesce("end", "path").alias("now"))
+
+
+def _followed(hops: DataFrame, rounds: int) -> DataFrame:
+    """(path, end, open): where each path's hops lead after 2^rounds steps; open if they lead on."""
+    state = keep(hops.select("path", F.col("next").alias("end")), "renames")
+    for _ in range(rounds):
+        onward = state.select(F.col("path").alias("end"), F.col("end").alias("next"))
+        new = keep(state.join(onward, "end", "left").select("path", F.coalesce("next", "end").alias("end"), F.col("next").isNotNull().alias("open")), "renames")
+        discard(state)
+        state = new
+        if state.where("open").isEmpty():
             break
-        state = state.drop("moved")
-    return state.select("path", "now")
+    return state
 
 
 def path_prefixes(path: Column) -> Column:

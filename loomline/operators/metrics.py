@@ -6,6 +6,10 @@ the driver.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,49 +70,113 @@ def components(pairs: DataFrame, ids: DataFrame, max_rounds: int = 100) -> DataF
     raise RuntimeError("components did not settle")
 
 
-def cycles(pairs: DataFrame, ids: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """(id, root): strongly connected components of directed pairs (a, b).
+#: Arcs that one task may hold when cycles are found; beyond that the rounds go over the cluster.
+LOCAL_ARCS = 50_000
+
 
-    Colours spread forward from the smallest id; what reaches the colour's own node backwards within
-    the colour is one component, which is taken out. What can't be in a cycle goes at once.
+def cycles(pairs: DataFrame, ids: DataFrame, local_arcs: int = LOCAL_ARCS) -> DataFrame:
+    """(id, root): strongly connected components of directed pairs (a, b), each under one of its ids.
+
+    In every round each id gets a number at random; what spreads along the arcs and against them is
+    the smallest number that reaches an id and the smallest that it reaches. Where both are one id's,
+    id and pivot lie on a cycle and are done. The others go on in parts, one for each pair of numbers:
+    a component never lies in two, and arcs between parts go. The smallest id of each part is always
+    done, so parts shrink like those of a quicksort and no number of rounds is set. Once the arcs that
+    are left fit one task (``local_arcs``), they are finished there.
     """
-    e = keep(pairs.where("a <> b").distinct(), "arcs")
-    left = keep(ids.select("id").distinct(), "left")
-    found = left.limit(0).select("id", F.col("id").alias("root"))
-    for _ in range(max_rounds):
-        while True:  # nodes without a way in or out are alone
-            inner = left.join(e.select(F.col("a").alias("id")), "id", "left_semi").join(e.select(F.col("b").alias("id")), "id", "left_semi")
-            inner = keep(inner, "left")
-            alone = left.join(inner, "id", "left_anti")
-            if alone.isEmpty():
-                break
-            found = found.union(alone.select("id", F.col("id").alias("root")))
-            left = inner
-            e = keep(e.join(left.select(F.col("id").alias("a")), "a", "left_semi").join(left.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b"), "arcs")
-        if left.isEmpty():
-            return keep(found, "cycles")
-        colour = _spread(e, left.select("id", F.col("id").alias("c")))
-        same = e.join(colour.select(F.col("id").alias("a"), F.col("c").alias("ca")), "a").join(colour.select(F.col("id").alias("b"), F.col("c").alias("cb")), "b").where("ca = cb")
-        back = keep(same.select(F.col("b").alias("a"), F.col("a").alias("b")), "arcs")
-        reached = _reach(back, colour.where("id = c").select("id"))
-        own = keep(reached.join(colour, "id").select("id", F.col("c").alias("root")), "found")
-        found = found.union(own)
-        left = keep(left.join(own, "id", "left_anti"), "left")
-        e = keep(e.join(left.select(F.col("id").alias("a")), "a", "left_semi").join(left.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b"), "arcs")
-    raise RuntimeError("cycles did not settle")
-
-
-def _spread(e: DataFrame, colour: DataFrame) -> DataFrame:
-    """The smallest colour that reaches each node along the arcs."""
-    colour = keep(colour, "colour")
+    e = keep(pairs.where("a <> b").select("a", "b").distinct(), "arcs")
+    found: list[DataFrame] = []
+    seed = 0
     while True:
-        got = e.join(colour.select(F.col("id").alias("a"), "c"), "a").groupBy(F.col("b").alias("id")).agg(F.min("c").alias("low"))
-        new = keep(colour.join(got, "id", "left").select("id", F.least("c", F.coalesce("low", "c")).alias("c")), "colour")
-        same = new.join(colour.withColumnRenamed("c", "before"), "id").where("c <> before").isEmpty()
-        discard(colour)
-        colour = new
-        if same:
-            return colour
+        before = e
+        e = keep(_two_way(e), "arcs")
+        discard(before)
+        n = e.count()
+        if n == 0:
+            break
+        if n <= local_arcs:
+            kind = e.schema["a"].dataType.simpleString()
+            found.append(keep(e.coalesce(1).mapInPandas(_local_cycles, f"id {kind}, root {kind}"), "cycles"))
+            break
+        reach = _spread(e, seed)
+        done = "f.id = t.id"
+        found.append(keep(reach.where(done).select("id", F.col("f.id").alias("root")), "cycles"))
+        rest = reach.where(f"not ({done})").select("id", F.struct("f", "t").alias("part"))
+        inner = e.join(rest.select(F.col("id").alias("a"), F.col("part").alias("pa")), "a").join(rest.select(F.col("id").alias("b"), F.col("part").alias("pb")), "b")
+        after = keep(inner.where("pa = pb").select("a", "b"), "arcs")
+        discard(e, reach)
+        e, seed = after, seed + 1
+    discard(e)
+    every = ids.select("id").distinct()
+    if not found:
+        return every.select("id", F.col("id").alias("root"))
+    roots = reduce(DataFrame.unionByName, found)
+    return every.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+
+
+def _two_way(e: DataFrame) -> DataFrame:
+    """The arcs from ids that an arc leads to, to ids that an arc leads on from."""
+    return e.join(e.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(e.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b")
+
+
+def _spread(e: DataFrame, seed: int) -> DataFrame:
+    """(id, f, t): the smallest (number, id) that reaches an id along arcs, and that it reaches.
+
+    What an id has reached already is looked up too (a pointer that doubles), so long ways are short.
+    """
+    ids = e.select(F.col("a").alias("id")).union(e.select("b")).distinct()
+    own = F.struct(F.xxhash64(F.lit(seed), "id").alias("h"), "id")
+    state = keep(ids.select("id", own.alias("f"), own.alias("t")), "spread")
+    while True:
+        ahead = e.join(state.select(F.col("id").alias("a"), "f"), "a").groupBy(F.col("b").alias("id")).agg(F.min("f").alias("f1"))
+        back = e.join(state.select(F.col("id").alias("b"), "t"), "b").groupBy(F.col("a").alias("id")).agg(F.min("t").alias("t1"))
+        far_f = state.select(F.col("id").alias("at_f"), F.col("f").alias("f2"))
+        far_t = state.select(F.col("id").alias("at_t"), F.col("t").alias("t2"))
+        met = state.join(ahead, "id", "left").join(back, "id", "left").join(far_f, F.col("f.id") == F.col("at_f")).join(far_t, F.col("t.id") == F.col("at_t"))
+        new = keep(met.select("id", F.least("f", "f1", "f2").alias("f"), F.least("t", "t1", "t2").alias("t"), ((F.least("f", "f1", "f2") != F.col("f")) | (F.least("t", "t1", "t2") != F.col("t"))).alias("moved")), "spread")
+        still = new.where("moved").isEmpty()
+        discard(state)
+        state = new
+        if still:
+            return state
+
+
+def _local_cycles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Components of one task's arcs, by two walks: ends of the first one begin the second, against the arcs."""
+    pdf = pd.concat(list(batches), ignore_index=True)
+    ahead: dict = {}
+    back: dict = {}
+    for a, b in zip(pdf["a"], pdf["b"], strict=True):
+        ahead.setdefault(a, []).append(b)
+        back.setdefault(b, []).append(a)
+    seen: set = set()
+    ends: list = []
+    for start in sorted({*ahead, *back}):
+        if start in seen:
+            continue
+        seen.add(start)
+        stack = [(start, iter(ahead.get(start, ())))]
+        while stack:
+            at, others = stack[-1]
+            for o in others:
+                if o not in seen:
+                    seen.add(o)
+                    stack.append((o, iter(ahead.get(o, ()))))
+                    break
+            else:
+                ends.append(at)
+                stack.pop()
+    root: dict = {}
+    for start in reversed(ends):
+        if start in root:
+            continue
+        root[start], front = start, [start]
+        while front:
+            for o in back.get(front.pop(), ()):
+                if o not in root:
+                    root[o] = start
+                    front.append(o)
+    yield pd.DataFrame({"id": list(root), "root": list(root.values())})
 
 
 def _reach(e: DataFrame, roots: DataFrame) -> DataFrame:

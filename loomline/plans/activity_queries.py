@@ -254,9 +254,9 @@ def redacted_documents(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", F.size(F.regexp_extract_all(clean, F.lit(r"\[REDACTED\]"), F.lit(0))).cast("bigint").alias("masked"), F.sha2(clean, 256).alias("text_sha256"))
 
 
-@query("SELECT user_id, count(*) AS events, min(sha256('[\"' || user_id || '\",\"' || event_type || '\"]'))[1:24] AS least_id FROM events GROUP BY user_id")
+@query(r"""SELECT user_id, count(*) AS events, min(sha256('["x","' || user_id || '","' || event_type || '\u00e9\ud83d\ude00\""]'))[1:24] AS least_id FROM events GROUP BY user_id""")
 def stable_ids(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").select("user_id", hashing.ir_id("x", F.col("user_id").cast("string"), F.col("event_type")).alias("id"))
+    e = table(spark, d, "events").select("user_id", hashing.ir_id("x", F.col("user_id").cast("string"), F.concat("event_type", F.lit('é😀"'))).alias("id"))
     return e.groupBy("user_id").agg(F.count("*").alias("events"), F.substring(F.min("id"), 3, 24).alias("least_id"))
 
 

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.plans.graph_queries import BASE, longs
-from loomline.sources import git, ir
+from loomline.sources import git, ir, python_code
 from loomline.sources import relational as src
-from loomline.storage import table
+from loomline.storage import keep, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -103,3 +103,67 @@ def ir_projection(spark: SparkSession, d: str) -> DataFrame:
     nodes, edges, notes = ir.project(*_ir(spark, d)[:2])
     count = lambda df, what: df.agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "n")
     return count(nodes, "nodes").unionByName(count(edges, "edges")).unionByName(notes.groupBy(F.col("code").alias("what")).agg(F.count("*").alias("n")))
+
+
+#: A module for each part: ``#`` is its number, ``@`` the one before it (of the first, one that isn't there).
+_MODULE = """import os
+from pkg.m@ import Base@ as Up, tool@
+{wild}
+
+class Base#(Up):
+    def run(self):
+        self.own()
+        self.up()
+        tool@()
+        len(self.x)
+        missing()
+        os.getcwd()
+        helper#()
+        def inner():
+            inner2()
+        def inner2():
+            pass
+    def own(self):
+        pass
+{up}
+def helper#():
+    pass
+
+def tool#():
+    return {kind}
+"""
+
+
+def _modules(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    text = F.replace(F.lit(_MODULE), F.lit("{wild}"), F.when(k % 3 == 0, F.concat(F.lit("from pkg.star import *"), F.repeat(F.lit("\n"), (k % 7).cast("int")))).otherwise(""))
+    text = F.replace(F.replace(text, F.lit("{up}"), F.when(k % 2 == 0, "    def up(self):\n        pass\n").otherwise("")), F.lit("{kind}"), (k % 5).cast("string"))
+    text = F.replace(F.replace(text, F.lit("#"), k.cast("string")), F.lit("@"), F.when(k > 0, k - 1).otherwise(999_999_999).cast("string"))
+    return table(spark, d, "part").select(F.concat(F.lit("src/pkg/m"), k, F.lit(".py")).alias("path"), text.alias("source"))
+
+
+@query(
+    """
+WITH p AS (SELECT p_partkey AS k, if(p_partkey > 0, p_partkey - 1, 999999999) AS v, (p_partkey - 1) IN (SELECT p_partkey FROM part) AS has, CASE WHEN p_partkey % 3 = 0 THEN 'ambiguous' ELSE 'unresolved' END AS lost, CASE WHEN p_partkey % 3 = 0 THEN 0.35 ELSE 0.0 END AS odds, 'pkg.m' || p_partkey AS m, 'pkg.m' || p_partkey || '.Base' || p_partkey AS c, 'pkg.m' || if(p_partkey > 0, p_partkey - 1, 999999999) AS b FROM part)
+SELECT c AS owner, 'inherits' AS fact, 'Up' AS name, b || '.Base' || v AS target, CASE WHEN has THEN 'resolved' ELSE 'external' END AS state, CASE WHEN has THEN 0.95 ELSE 0.65 END::DOUBLE AS confidence FROM p
+UNION ALL SELECT c || '.run', 'calls', 'self.own', c || '.own', 'resolved', 0.85 FROM p
+UNION ALL SELECT c || '.run', 'calls', 'self.up', CASE WHEN k % 2 = 0 THEN c || '.up' WHEN has THEN b || '.Base' || v || '.up' ELSE 'self.up' END, CASE WHEN k % 2 = 0 OR has THEN 'resolved' ELSE lost END, CASE WHEN k % 2 = 0 OR has THEN 0.85 ELSE odds END FROM p
+UNION ALL SELECT c || '.run', 'calls', 'tool' || v, b || '.tool' || v, CASE WHEN has THEN 'resolved' ELSE 'external' END, CASE WHEN has THEN 0.95 ELSE 0.65 END FROM p
+UNION ALL SELECT c || '.run', 'calls', 'len', 'builtins.len', 'external', 0.8 FROM p
+UNION ALL SELECT c || '.run', 'calls', 'missing', 'missing', lost, odds FROM p
+UNION ALL SELECT c || '.run', 'calls', 'os.getcwd', 'os.getcwd', 'external', 0.65 FROM p
+UNION ALL SELECT c || '.run', 'calls', 'helper' || k, m || '.helper' || k, 'resolved', 0.9 FROM p
+UNION ALL SELECT c || '.run.inner', 'calls', 'inner2', c || '.run.inner2', 'resolved', 0.85 FROM p"""
+)
+def python_names(spark: SparkSession, d: str) -> DataFrame:
+    """What the names in a module for each part mean: imports, scopes, members of bases, the language's own."""
+    found = keep(python_code.facts(_modules(spark, d)), "facts")
+    return python_code.resolve(found).select("owner", "fact", "name", "target", "state", "confidence")
+
+
+@query("SELECT 'pkg.m' || p_partkey || '.helper' || p_partkey AS name, 1::BIGINT AS alike FROM part UNION ALL SELECT 'pkg.m' || p_partkey || '.Base' || p_partkey || '.own', count(*) OVER () FROM part UNION ALL SELECT 'pkg.m' || p_partkey || '.tool' || p_partkey, 1 FROM part")
+def python_prints(spark: SparkSession, d: str) -> DataFrame:
+    """How many definitions have each one's print: equal code has one wherever it stands, other names or bodies don't."""
+    found = python_code.facts(_modules(spark, d)).where("fact = 'function' and (name like '%.own' or name rlike '[.](helper|tool)[0-9]+$')")
+    alike = found.groupBy("print").agg(F.count("*").alias("alike"))
+    return found.join(alike, "print").select("name", "alike")

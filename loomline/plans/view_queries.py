@@ -211,17 +211,21 @@ def explicit_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "SELECT 'f' || p_partkey AS path, 'f' || CASE p_partkey % 8 WHEN 0 THEN p_partkey + 2 WHEN 1 THEN p_partkey - 1 WHEN 2 THEN p_partkey - 1 WHEN 4 THEN p_partkey + 2 WHEN 5 THEN p_partkey + 1 ELSE p_partkey END AS now FROM part"
+    "SELECT 'f' || p_partkey AS path, 'f' || CASE p_partkey % 8 WHEN 4 THEN p_partkey + 2 WHEN 5 THEN p_partkey + 1 ELSE p_partkey END AS now FROM part"
+    + " UNION ALL SELECT 'g' || p_partkey, 'g' || (p_partkey - p_partkey % 64 + CASE WHEN p_partkey % 64 <= 40 THEN 40 ELSE 63 END) FROM part UNION ALL SELECT 'h' || p_partkey, 'f' || (p_partkey - p_partkey % 8 + 1) FROM part"
 )
 def resolved_renames(spark: SparkSession, d: str) -> DataFrame:
-    """Chains of renames; of eight files three go round in a circle and stop before it closes."""
+    """Short chains, circles, ways that lead into one, and chains of 63 renames of which one file is there still."""
     k = F.col("k")
     ids = table(spark, d, "part").select(F.col("p_partkey").alias("k"))
     # the ends of a chain may lie beyond the last part
-    every = ids.union(ids.select(k + 1)).union(ids.select(k + 2)).union(ids.select(k - 1)).union(ids.select(k - 2)).distinct()
+    every = ids.select(F.explode(F.sequence(k - k % 64, k - k % 64 + 63)).alias("k")).distinct()
+    name = lambda kind, i: F.concat(F.lit(kind), i)
     new = F.when((k % 8).isin(0, 1, 4, 5), k + 1).when(k % 8 == 2, k - 2)
-    renames = every.where("k >= 0").select(F.concat(F.lit("f"), k).alias("old"), F.concat(F.lit("f"), new).alias("new")).where("new is not null")
-    return history.resolve_renames(ids.select(F.concat(F.lit("f"), k).alias("path")), renames)
+    renames = every.select(name("f", k).alias("old"), name("f", new).alias("new")).where("new is not null")
+    renames = renames.union(every.where("k % 64 <> 63").select(name("g", k), name("g", k + 1))).union(every.select(name("h", k), name("f", k - k % 8 + 1)))
+    paths = ids.select(F.explode(F.array(*[name(x, k) for x in "fgh"])).alias("path"))
+    return history.resolve_renames(paths, renames, every.where("k % 64 = 40").select(name("g", k).alias("path")))
 
 
 @query(

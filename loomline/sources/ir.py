@@ -10,20 +10,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomline.functions.hashing import ir_id
+
 # Fixed values of the interchange format.
 KINDS = ("requires", "calls", "mentions", "inherits", "implements", "exports", "reexports", "overrides", "contains", "project-references", "type-reference", "jsx")
 PROJECTED = ("requires", "calls", "mentions")
 STATES = ("resolved", "external", "ambiguous", "unresolved")
 
 
-def stable_id(prefix: str, *parts: Column) -> Column:
-    """``prefix:`` and 24 hex digits of the sha256 of prefix and parts as a compact JSON array."""
-    return F.concat(F.lit(prefix + ":"), F.substring(F.sha2(F.to_json(F.array(F.lit(prefix), *parts)), 256), 1, 24))
-
-
 def normalize_nodes(raw: DataFrame) -> DataFrame:
-    """Nodes under ids of their meaning (kind, namespace, name, file); copies are one, with the best status."""
-    key = stable_id("node", F.col("kind"), F.coalesce("namespace", F.lit("")), F.coalesce("qualified", "name"), F.coalesce("file", F.lit("")))
+    """Nodes under ids of their meaning (kind, namespace, name, project, file); copies are one, with the best status."""
+    none = F.lit("")
+    project = F.coalesce("project_id", none) if "project_id" in raw.columns else none
+    meaning = F.concat_ws("|", "kind", F.coalesce("namespace", none), F.coalesce("qualified", "name"), project, F.coalesce("file", none))
+    key = ir_id(F.concat(F.lit("node-"), F.col("kind")), meaning)
     rank = F.coalesce(F.array_position(F.array(*map(F.lit, STATES)), F.col("status")), F.lit(9))
     rest = [c for c in raw.columns if c != "id"]
     best = raw.withColumn("key", key).groupBy("key").agg(F.min_by(F.struct(*rest), F.struct(rank.alias("r"), "id")).alias("n"), F.array_sort(F.collect_set("id")).alias("raw_ids"))
@@ -37,7 +37,7 @@ def rekey(relationships: DataFrame, nodes: DataFrame) -> DataFrame:
     b = ids.select(F.col("raw").alias("target"), F.col("id").alias("_b"))
     out = relationships.join(a, "source", "left").join(b, "target", "left")
     keep = [c for c in relationships.columns if c not in ("id", "source", "target")]
-    return out.select(stable_id("rel", F.col("kind"), F.coalesce("_a", F.lit("")), F.coalesce("_b", F.lit(""))).alias("id"), *keep, F.col("_a").alias("source"), F.col("_b").alias("target"))
+    return out.select(ir_id("rel", F.col("kind"), F.coalesce("_a", F.lit("")), F.coalesce("_b", F.lit(""))).alias("id"), *keep, F.col("_a").alias("source"), F.col("_b").alias("target"))
 
 
 def violations(nodes: DataFrame, relationships: DataFrame, occurrences: DataFrame) -> DataFrame:

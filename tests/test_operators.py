@@ -48,7 +48,7 @@ def test_normalisation_defaults(spark):
 
 def test_cycles_and_components_match_brute_force(spark):
     rng = random.Random(4)
-    for _ in range(2):
+    for round_ in range(2):
         n = 14
         arcs = {(rng.randrange(n), rng.randrange(n)) for _ in range(20)}
         reach = {(i, i) for i in range(n)} | arcs
@@ -60,11 +60,29 @@ def test_cycles_and_components_match_brute_force(spark):
         df = spark.createDataFrame([(name(a), name(b)) for a, b in arcs], "a string, b string")
         ids = spark.createDataFrame([(name(i),) for i in range(n)], "id string")
         got = {}
-        for r in metrics.cycles(df, ids).collect():
+        for r in metrics.cycles(df, ids, local_arcs=0 if round_ else metrics.LOCAL_ARCS).collect():
             got.setdefault(r.root, set()).add(int(r.id[1:]))
         assert {frozenset(v) for v in got.values()} == set(want.values())
 
 
+def chained_cycles(n):
+    arcs = [(2 * i, 2 * i + 1) for i in range(n)] + [(2 * i + 1, 2 * i) for i in range(n)] + [(2 * i + 1, 2 * i + 2) for i in range(n)]
+    return arcs, [(i,) for i in range(2 * n + 1)]
+
+
+def test_many_chained_cycles(spark, monkeypatch):
+    for n, local in ((1000, metrics.LOCAL_ARCS), (24, 0)):
+        arcs, ids = chained_cycles(n)
+        rounds = []
+        spread = metrics._spread
+        monkeypatch.setattr(metrics, "_spread", lambda e, seed, spread=spread, rounds=rounds: rounds.append(seed) or spread(e, seed))
+        found = metrics.cycles(spark.createDataFrame(arcs, "a long, b long"), spark.createDataFrame(ids, "id long"), local_arcs=local).collect()
+        monkeypatch.setattr(metrics, "_spread", spread)
+        roots = {r.id: r.root for r in found}
+        assert len(found) == len(ids) and all(roots[2 * i] == roots[2 * i + 1] for i in range(n)) and len(set(roots.values())) == n + 1
+        assert len(rounds) < 12
+
+
 def test_percentile_leaves_zeros_out(spark):
     df = spark.createDataFrame([(0.0,), (0.0,), (1.0,), (2.0,), (2.0,)], "v double")
     assert sorted(r.p_v for r in metrics.with_percentiles(df, "v").collect()) == [0.0, 0.0, 1 / 3, 1.0, 1.0]
@@ -105,9 +123,48 @@ def test_drift_and_moves(spark):
 
 
 def test_renames_stop_in_a_ring(spark):
-    renames = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y"), ("y", "x")], "old string, new string")
-    paths = spark.createDataFrame([("a",), ("x",), ("q",)], "path string")
-    assert {tuple(r) for r in history.resolve_renames(paths, renames).collect()} == {("a", "c"), ("x", "y"), ("q", "q")}
+    renames = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y"), ("y", "x"), ("w", "x"), *((f"f{i}", f"f{i + 1}") for i in range(30)), (None, "n"), ("n", None)], "old string, new string")
+    paths = spark.createDataFrame([("a",), ("x",), ("w",), ("q",), ("f0",), (None,)], "path string")
+    want = {("a", "c"), ("x", "x"), ("w", "x"), ("q", "q"), ("f0", "f30"), (None, None)}
+    assert {tuple(r) for r in history.resolve_renames(paths, renames).collect()} == want
+    now = spark.createDataFrame([("b",), ("f7",)], "path string")
+    assert {tuple(r) for r in history.resolve_renames(paths, renames, now).collect()} == want - {("a", "c"), ("f0", "f30")} | {("a", "b"), ("f0", "f7")}
+    assert {tuple(r) for r in history.resolve_renames(paths, renames.limit(0)).collect()} == {(p, p) for p, in paths.collect()}
+
+
+def test_every_occurrence_counts(spark):
+    rows = spark.createDataFrame([("calls", "a", "b", "f", 3), ("calls", "a", "b", "f", 3), ("calls", "a", "b", None, 9), ("calls", "a", "c", None, None)], "kind string, source string, target string, file string, row long")
+    assert {tuple(r) for r in graph.collapsed(rows).collect()} == {("calls", "a", "b", 3, None, 9), ("calls", "a", "c", 1, None, None)}
+
+
+def test_ids_of_any_text(spark):
+    import hashlib
+    import json
+
+    from loomline.functions import hashing, text
+
+    texts = ["plain", 'quo"te', "back\\slash", "é", "漢字", "😀", "tab\tline\n\x01\x1f\x7f", "", "a/b"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", hashing.ir_id("node", F.col("t"), F.lit("x")).alias("id")).collect()
+    for r in got:
+        want = json.dumps(["node", r.t, "x"], ensure_ascii=True, separators=(",", ":"))
+        assert r.id == "node:" + hashlib.sha256(want.encode()).hexdigest()[:24]
+    urls = {"http://[::1]:8080/a": None, "HTTPS://u:p@Ex.io:443/b?q#f": "https://ex.io/b", "ws://h:81": "ws://h:81", "ftp://h/a": None, "http://h/" + "a" * 510: None}
+    rows = spark.createDataFrame([(u,) for u in urls], "u string").select("u", text.clean_url(F.col("u")).alias("c"))
+    assert {r.u: r.c for r in rows.collect()} == urls
+
+
+def test_nested_resources(spark):
+    from loomline.operators import nested
+
+    calls = [(1, '{"path":"a.py","x":{"files":["b","{\\"file\\":\\"c\\"}"]}}', "/w", None), (2, None, "/w", "t"), (3, "", "/w", "t"), (4, "p/../q", "/w", "view"), (5, '{"a":{"b":{"c":{"d":{"e":{"file":"z"}}}}}}', "/w", "t"), (6, '["../out"]', "/w", "t"), (7, '{"uri":"http://[::1]/x"}', None, "t")]
+    got = nested.nested_resources(spark.createDataFrame(calls, "id int, args string, root string, tool string")).collect()
+    assert [(r.id, r.place, r.path, r.outside, r.action) for r in sorted(got)] == [
+        (1, 0, "a.py", False, "reference"), (1, 1, "b", False, "reference"), (1, 2, "c", False, "read"), (4, 0, "q", False, "reference"), (6, 0, "/out", True, "reference"), (7, 0, "http:/[::1]/x", False, "reference"),
+    ]
+    assert nested.nested_resources(spark.createDataFrame(calls, "id int, args string, root string, tool string").limit(0)).count() == 0
+    events = [None, "", "{}", "[1]", '{"schemaVersion":1,"id":"a","sessionId":"s","timestamp":"2024-01-01T00:00:00.5+01:00","type":"x","metadata":{"span":1}}']
+    rows = nested.validate_events(spark.createDataFrame([(e,) for e in events], "body string")).collect()
+    assert [(r.code, r.field) for r in rows] == [("INVALID_EVENT", "event"), ("INVALID_EVENT", "event"), ("UNSUPPORTED_SCHEMA_VERSION", "schemaVersion"), ("INVALID_EVENT", "event"), ("UNSAFE_EVENT_FIELD", "metadata")]
 
 
 def test_duplicate_commits_merge(spark):
