@@ -16,7 +16,9 @@ those of a text are composed by runs of 64, level by level.
 
 from __future__ import annotations
 
+import contextlib
 import functools
+import gc
 import re
 from collections.abc import Iterator
 
@@ -32,14 +34,15 @@ CHUNK_CHARS = 16_384
 LIMIT = 4_096
 #: Chunks whose maps one task composes at a time.
 RUN = 64
-#: Compiled stretches and states that a worker keeps before it starts over; they are compiled again when needed.
-KEPT_STRETCHES = 400_000
-KEPT_STATES = 100_000
+#: Stretches of a generation (a worker keeps two) and states that are kept compiled; others are compiled again when needed.
+KEPT_STRETCHES = 300_000
+KEPT_STATES = 200_000
 #: Longer stretches are read character by character and not kept.
 STRETCH_CHARS = 48
 
 SPACE = "▁"
 _ROOT = 0
+_NEVER = float("-inf")
 #: The state at a place that no piece spans: the root alone, with nothing before it.
 START = ((_ROOT, "", 0),)
 #: Stretches of letters or of anything else with the spaces before them, and spaces at the end.
@@ -93,9 +96,11 @@ class Transducer:
                     self.piece.append("")
                 at = nxt
             self.piece[at] = p
-        self._apart = functools.lru_cache(1 << 18)(self._stay_apart)
+        self._apart = functools.lru_cache(1 << 17)(self._stay_apart)
         self._states: dict[tuple, State] = {}
         self._stretches: dict[str, int] = {}
+        self._older: dict[str, int] = {}
+        self._spines: dict[str, tuple] = {}
 
     def merged(self, text: str) -> list[str]:
         """The tokens of a short text by the merges themselves: best score first, leftmost of equals."""
@@ -110,12 +115,52 @@ class Transducer:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
+    def _spine(self, piece: str) -> tuple[bool, list[str], list[str]]:
+        """Whether a piece is its own encoding, and its parts at its start and at its end, in the order in which they arise."""
+        found = self._spines.get(piece)
+        if found is None:
+            parts, firsts, lasts = list(piece), [piece[0]], [piece[-1]]
+            while True:
+                scores = [self.scores.get(x + y, _NEVER) for x, y in zip(parts, parts[1:], strict=False)]
+                best = max(scores, default=_NEVER)
+                if best == _NEVER:
+                    break
+                at = scores.index(best)
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+                if at == 0:
+                    firsts.append(parts[0])
+                if at == len(parts) - 1:
+                    lasts.append(parts[-1])
+            found = self._spines[piece] = (len(parts) == 1, firsts, lasts)
+        return found
+
     def _stay_apart(self, before: str, piece: str) -> bool:
-        if not before:
-            return self.merged(piece) == [piece]
-        if not self._apart("", piece):
-            return False
-        return before[-1] + piece[0] not in self.inside or self.merged(before + piece) == [before, piece]
+        """Whether the merges of the two tokens side by side are those of each alone.
+
+        A part at the end of the first and one at the start of the second meet; they merge with each
+        other if that has a better score than what takes either further, the left one of equals.
+        """
+        whole, firsts, _ = self._spine(piece)
+        if not before or not whole:
+            return whole
+        if before[-1] + piece[0] not in self.inside:
+            return True
+        if before[0] == " " == piece[-1]:
+            return self.merged(before + piece) == [before, piece]  # runs of spaces have one score
+        lasts = self._spine(before)[2]
+        i = j = 0
+        while True:
+            left = self.scores[lasts[i + 1]] if i + 1 < len(lasts) else _NEVER
+            right = self.scores[firsts[j + 1]] if j + 1 < len(firsts) else _NEVER
+            both = self.scores.get(lasts[i] + firsts[j], _NEVER)
+            if both > left and both >= right and both != _NEVER:
+                return False
+            if left == right == _NEVER:
+                return True
+            if left >= right:
+                i += 1
+            else:
+                j += 1
 
     def _state(self, key: tuple) -> State:
         found = self._states.get(key)
@@ -162,12 +207,15 @@ class Transducer:
     def stretch(self, text: str) -> int:
         """Tokens of a text between two cuts."""
         n = self._stretches.get(text)
+        if n is not None:
+            return n
+        n = self._older.get(text)
         if n is None:
             n = self.run(START, text)[1]
-            if len(text) <= STRETCH_CHARS:
-                if len(self._stretches) >= KEPT_STRETCHES:
-                    self._stretches.clear()
-                self._stretches[text] = n
+        if len(text) <= STRETCH_CHARS:
+            if len(self._stretches) >= KEPT_STRETCHES:
+                self._older, self._stretches = self._stretches, {}
+            self._stretches[text] = n
         return n
 
     def count(self, text: str) -> int:
@@ -175,12 +223,7 @@ class Transducer:
         return self._counted(" " + _plain(text)) if text else 0
 
     def _counted(self, text: str) -> int:
-        known = self._stretches.get
-        total = 0
-        for s in self.stretches(text):
-            n = known(s)
-            total += self.stretch(s) if n is None else n
-        return total
+        return sum(map(self.stretch, self.stretches(text)))
 
     def state_map(self, text: str) -> tuple[str, int, tuple | None]:
         """(head, tokens behind the head, state at the end); no state where no cut was found, the head is all then."""
@@ -210,6 +253,18 @@ def transducer(path: str) -> Transducer:
     return Transducer(path)
 
 
+@contextlib.contextmanager
+def _uncollected() -> Iterator[None]:
+    """No garbage collection meanwhile: the states are many, all alive, and leave no cycle when they go."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def _texts(column: pa.Array) -> Iterator[str]:
     for t in column:
         yield t.as_py() or ""
@@ -219,7 +274,8 @@ def _count_short(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(path)
         for b in batches:
-            n = pa.array([machine.count(t) for t in _texts(b.column("text"))], pa.int64())
+            with _uncollected():
+                n = pa.array([machine.count(t) for t in _texts(b.column("text"))], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("n_bytes"), n], ["id", "n_bytes", "n_tokens"])
 
     return run
@@ -255,7 +311,8 @@ def _map_chunks(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(path)
         for b in batches:
-            maps = [machine.state_map(t) for t in _texts(b.column("text"))]
+            with _uncollected():
+                maps = [machine.state_map(t) for t in _texts(b.column("text"))]
             new = [pa.array([m[0] for m in maps], pa.string()), pa.array([m[1] for m in maps], pa.int64()), pa.array([_written(m[2]) for m in maps], pa.string())]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("id", "key", "n_bytes", "i")), *new], ["id", "key", "n_bytes", "i", "head", "n", "state"])
 
