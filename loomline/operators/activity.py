@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import storage
-from .ordering import Down, numbered, running_totals
+from ..functions import text
+from .ordering import Down, carried, numbered, running_totals
 
 # Lifetimes in milliseconds and bounds of the live view.
 PULSE_MS, FAILED_PULSE_MS, RAY_MS, MARKER_MS = 60_000, 120_000, 30_000, 30_000
@@ -143,13 +144,23 @@ def near_duplicates(events: DataFrame, *key: str, window_ms: int = NEAR_MS) -> D
     return out.unionByName(rows.where("_ms is null").select(*names))
 
 
-def kind() -> Column:
-    """What an event is about, from its type."""
-    t = F.col("type")
-    return (
-        F.when(t.startswith("permission"), "permission").when(t.startswith("tool"), "tool").when(t.startswith("prompt"), "prompt").when(t.startswith("turn"), "turn")
-        .when(t.startswith("session"), "session").when((t == "error") | (F.col("status") == "failed"), "error").otherwise("unknown")
+def kind(actions: Column | None = None) -> Column:
+    """What an event is about: permission, read, write, search, execute, network, session, error or unknown.
+
+    ``actions``: what is done to the event's resources, in order. The first that isn't ``network``
+    decides, wherever it stands, then ``network``, then the event's type.
+    """
+    t = F.coalesce(F.col("type"), F.lit(""))
+    under = lambda p: (t == p) | t.startswith(p + ".")
+    of_type = (
+        F.when(t == "file.read", "read").when(t == "file.write", "write").when(t == "search", "search").when((t == "execute") | under("tool"), "execute")
+        .when(t.startswith("session.") | t.startswith("agent."), "session").when(under("error"), "error").otherwise("unknown")
     )
+    if actions is not None:
+        first = F.get(F.filter(actions, lambda a: a.isin("read", "reference", "write", "search", "execute")), F.lit(0))
+        network = F.coalesce(F.array_contains(actions, "network"), F.lit(False))
+        of_type = F.when(first == "reference", "read").when(first.isNotNull(), first).when(network, "network").otherwise(of_type)
+    return F.when(under("permission"), "permission").otherwise(of_type)
 
 
 def lifecycle() -> Column:
@@ -310,8 +321,7 @@ def resolve_targets(paths: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def attributed(events: DataFrame, column: str) -> DataFrame:
     """Events with the last known value of a column of their session; those before any go."""
-    order = Window.partitionBy("session").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumn(column, F.last(column, ignorenulls=True).over(order)).where(F.col(column).isNotNull())
+    return carried(events, ["session"], ["seq"], **{column: F.col(column)}).where(F.col(column).isNotNull()).select(*events.columns)
 
 
 def retained(events: DataFrame, size: Column, most: int, most_bytes: int) -> DataFrame:
@@ -355,29 +365,22 @@ def evicted(sessions: DataFrame, most: int) -> DataFrame:
 
 
 # Tools that share the shell's group.
-SHELLS = ("bash", "shell", "sh", "zsh", "powershell", "exec", "terminal")
-
+SHELLS = ("bash", "sh", "shell", "zsh", "fish", "cmd", "powershell", "pwsh", "terminal", "exec", "run", "run_command", "command")
 
-def group_id(tool: Column, kind_: Column) -> Column:
-    """Group of an event in the live view: one for all shells, else one for the tool or kind."""
-    name = F.lower(F.trim(tool))
-    return F.when(name.isin(*SHELLS), "tool:bash").when(name != "", F.concat(F.lit("tool:"), name)).otherwise(F.concat(F.lit("kind:"), kind_))
 
+def group_id(tool: Column, kind_: Column, type_: Column) -> Column:
+    """Group of an event in the live view: one for all shells and for work without a tool, one for each
+    other tool; null for what is no work."""
+    name = F.lower(text.safe_tool(tool))
+    work = name.isNotNull() | (kind_ == "execute") | type_.startswith("tool.") | (type_ == "tool")
+    shown = F.replace(F.url_encode(name), F.lit("+"), F.lit("%20"))
+    return F.when(work, F.when(name.isNull() | name.isin(*SHELLS), "group:activity:bash").otherwise(F.concat(F.lit("group:activity:tool:"), shown)))
 
-def recent(events: DataFrame, number: int = 0, size: int = 10) -> DataFrame:
-    """A page of the newest events, newest first."""
-    return events.orderBy(F.desc("seq")).offset(number * size).limit(size)
 
-
-def agents(events: DataFrame, agent: str = "agent") -> DataFrame:
-    """(session, agent, events, last_type, failed, waiting): the last known state of each agent."""
-    known = events.where(F.col(agent).isNotNull())
-    out = known.groupBy("session", agent).agg(
-        F.count("*").alias("events"), F.max_by("type", "seq").alias("last_type"), F.bool_or(F.col("status") == "failed").alias("failed"),
-        F.max(F.when(F.col("type") == "permission.requested", F.col("seq"))).alias("asked"), F.max(F.when(F.col("type") == "permission.completed", F.col("seq"))).alias("answered"),
-    )
-    waiting = F.col("asked").isNotNull() & (F.col("answered").isNull() | (F.col("asked") > F.col("answered")))
-    return out.withColumn("waiting", waiting).drop("asked", "answered")
+def group_label(group: Column, tool: Column) -> Column:
+    """What the group is called in the live view."""
+    name = F.lower(text.safe_tool(tool))
+    return F.when((group == "group:activity:bash") | name.isNull(), "bash commands").otherwise(F.concat(F.lit("tool · "), name))
 
 
 def signature(events: DataFrame) -> DataFrame:

@@ -60,11 +60,37 @@ def near_duplicates(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     BASE
-    + """ SELECT seq, CASE WHEN type LIKE 'tool%' THEN 'tool' WHEN type LIKE 'prompt%' THEN 'prompt' WHEN type LIKE 'turn%' THEN 'turn' WHEN type = 'error' THEN 'error' ELSE 'unknown' END AS kind,
-CASE WHEN type = 'tool.started' THEN 'started' WHEN type = 'tool.completed' THEN 'completed' END AS lifecycle FROM activity"""
+    + """, a AS (SELECT *, CASE seq % 7 WHEN 0 THEN ['network', 'read'] WHEN 1 THEN ['network'] WHEN 2 THEN ['write', 'search'] WHEN 3 THEN ['reference'] WHEN 4 THEN ['other', 'execute'] ELSE [] END AS acts,
+  CASE seq % 11 WHEN 0 THEN 'file.read' WHEN 1 THEN 'permission.requested' WHEN 2 THEN 'agent.started' WHEN 3 THEN 'search' WHEN 4 THEN 'file.write' WHEN 5 THEN 'error.occurred' ELSE type END AS kind_of FROM activity),
+b AS (SELECT seq, kind_of, list_filter(acts, lambda x: x IN ('read', 'reference', 'write', 'search', 'execute'))[1] AS act, list_contains(acts, 'network') AS net, type FROM a)
+SELECT seq, CASE WHEN kind_of LIKE 'permission%' THEN 'permission' WHEN act = 'reference' THEN 'read' WHEN act IS NOT NULL THEN act WHEN net THEN 'network' WHEN kind_of = 'file.read' THEN 'read' WHEN kind_of = 'file.write' THEN 'write' WHEN kind_of = 'search' THEN 'search'
+  WHEN kind_of LIKE 'tool%' THEN 'execute' WHEN kind_of LIKE 'agent.%' THEN 'session' WHEN kind_of LIKE 'error%' THEN 'error' ELSE 'unknown' END AS kind,
+  CASE WHEN type = 'tool.started' THEN 'started' WHEN type = 'tool.completed' THEN 'completed' END AS lifecycle FROM b"""
 )
 def event_kinds(spark: SparkSession, d: str) -> DataFrame:
-    return src.activity(spark, d).select("seq", act.kind().alias("kind"), act.lifecycle().alias("lifecycle"))
+    """Events with planted types and actions on resources."""
+    texts = lambda *x: F.array(*map(F.lit, x)) if x else F.array().cast("array<string>")
+    e = src.activity(spark, d)
+    acts = F.coalesce(*[F.when(F.col("seq") % 7 == i, texts(*x)) for i, x in enumerate((("network", "read"), ("network",), ("write", "search"), ("reference",), ("other", "execute")))], texts())
+    planted = F.coalesce(*[F.when(F.col("seq") % 11 == i, F.lit(x)) for i, x in enumerate(("file.read", "permission.requested", "agent.started", "search", "file.write", "error.occurred"))], F.col("type"))
+    rows = e.withColumns({"acts": acts, "step": act.lifecycle(), "type": planted})
+    return rows.select("seq", act.kind(F.col("acts")).alias("kind"), F.col("step").alias("lifecycle"))
+
+
+@query(
+    BASE
+    + """, t AS (SELECT seq, CASE seq % 9 WHEN 0 THEN ' Bash' WHEN 1 THEN 'pwsh' WHEN 2 THEN 'Grep' || tool_call WHEN 3 THEN 'C:/x' WHEN 4 THEN 'a.b-c' WHEN 5 THEN 'run_command' END AS tool, CASE WHEN seq % 2 = 0 THEN 'tool.started' ELSE 'session.started' END AS type FROM activity),
+n AS (SELECT *, CASE WHEN tool = 'C:/x' THEN NULL ELSE lower(trim(tool)) END AS name FROM t),
+g AS (SELECT *, CASE WHEN name IS NULL AND type = 'session.started' THEN NULL WHEN name IS NULL OR name IN ('bash', 'pwsh', 'run_command') THEN 'group:activity:bash' ELSE 'group:activity:tool:' || name END AS group_ FROM n)
+SELECT group_, CASE WHEN group_ IS NULL THEN NULL WHEN group_ = 'group:activity:bash' THEN 'bash commands' ELSE 'tool · ' || name END AS label, count(*) AS n FROM g GROUP BY ALL"""
+)
+def event_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Groups of events by tool, with their labels."""
+    k = F.col("seq") % 9
+    tool = F.when(k == 0, " Bash").when(k == 1, "pwsh").when(k == 2, F.concat(F.lit("Grep"), "tool_call")).when(k == 3, "C:/x").when(k == 4, "a.b-c").when(k == 5, "run_command")
+    e = src.activity(spark, d).withColumns({"tool": tool, "type": F.when(F.col("seq") % 2 == 0, "tool.started").otherwise("session.started")})
+    e = e.withColumn("group_", act.group_id(F.col("tool"), act.kind(), F.col("type")))
+    return e.select("group_", F.when(F.col("group_").isNotNull(), act.group_label(F.col("group_"), F.col("tool"))).alias("label")).groupBy("group_", "label").agg(F.count("*").alias("n"))
 
 
 _RANKED = ", ranked AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY seq DESC) AS k FROM activity)"
@@ -158,7 +184,7 @@ def state_at(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     BASE
-    + """ SELECT CASE WHEN type LIKE 'tool%' THEN 'tool' WHEN type LIKE 'prompt%' THEN 'prompt' WHEN type LIKE 'turn%' THEN 'turn' ELSE 'error' END AS kind, count(*) AS weight, max(ts) AS last_at,
+    + """ SELECT CASE WHEN type LIKE 'tool%' THEN 'execute' WHEN type LIKE 'error%' THEN 'error' ELSE 'unknown' END AS kind, count(*) AS weight, max(ts) AS last_at,
 arg_max(status, seq) AS last_status, count(DISTINCT session) AS sessions FROM activity GROUP BY 1"""
 )
 def activity_groups(spark: SparkSession, d: str) -> DataFrame:

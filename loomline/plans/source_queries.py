@@ -24,13 +24,13 @@ def query(sql: str | None = None):
 
 
 def _log(spark: SparkSession, d: str) -> DataFrame:
-    """A log for each customer: a header line for each order, a path line for each of its lines."""
+    """One log of all orders: a header line for each, a path line for each of its lines."""
     o = table(spark, d, "orders")
-    head = o.select(F.col("o_custkey").alias("file"), (F.col("o_orderkey") * 100).alias("line_no"), F.concat_ws(git.SEPARATOR, F.col("o_orderkey").cast("string"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"), F.lit("me"), "o_orderpriority").alias("text"))
+    head = o.select(F.lit("log").alias("file"), (F.col("o_orderkey") * 100).alias("line_no"), F.concat_ws(git.SEPARATOR, F.col("o_orderkey").cast("string"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"), F.lit("me"), "o_orderpriority").alias("text"))
     li = table(spark, d, "lineitem").join(o.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
     status = F.when(F.col("l_returnflag") == "A", "A").when(F.col("l_returnflag") == "N", "M").otherwise("R100")
     paths = F.concat(F.when(F.col("l_returnflag") == "R", F.concat(F.lit("old/"), "l_suppkey", F.lit("\t"))).otherwise(""), F.lit("src/"), "l_partkey")
-    body = li.select(F.col("o_custkey").alias("file"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("line_no"), F.concat(status, F.lit("\t"), paths).alias("text"))
+    body = li.select(F.lit("log").alias("file"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("line_no"), F.concat(status, F.lit("\t"), paths).alias("text"))
     return head.unionByName(body)
 
 

@@ -106,10 +106,6 @@ cases(
     ("rg -n foo{n} src lib", "src,lib"), ("grep -e foo src{n}", "src{n}"), ("find . -name x{n}", "x{n}"), ("fd foo a{n}", "a{n}"), ("rg --type py -- -x dir{n}", "dir{n}"), ("ls x", ""), ("rg foo . && grep bar b{n}", "b{n}"),
 )
 cases("patch_headers", lambda c: F.array_join(text.patch_files(c), ","), ("--- a/x{n}\n+++ b/x{n}\n@@\n--- /dev/null\n+++ b/y", "x{n},y"), ("*** Update File: p{n}.py\n*** Add File: q\n", "p{n}.py,q"), ("nothing", ""))
-cases(
-    "event_groups", lambda tool, kind: activity.group_id(tool, kind),
-    (("Bash", "tool"), "tool:bash"), ((" Grep{n} ", "tool"), "tool:grep{n}"), (("", "session"), "kind:session"), (("zsh", "tool"), "tool:bash"),
-)
 cases(
     "hook_events", lambda body: F.concat_ws("|", activity.from_hook_type(F.get_json_object(body, "$.type"))["type"], activity.from_hook_type(F.get_json_object(body, "$.type"))["status"]),
     ('{"type":"session.start"}', "session|started"), ('{"type":"user.message"}', "prompt|submitted"), ('{"type":"tool.execution_failure"}', "tool|failed"), ('{"type":"subagent.completed"}', "agent|completed"),

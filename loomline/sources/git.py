@@ -1,22 +1,20 @@
 """Git text as tables: logs, name-status lists and diff hunks, parsed with DataFrame functions.
 
-Input is lines with their place: (file, line_no, text). A log file is read in order, so its lines form
-one window; many files are many windows.
+Input is lines with their place: (file, line_no, text). The last header above a line is carried on over
+ranges of lines, so one long log is parsed by many tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomline.operators.ordering import carried
+
 SEPARATOR = "\x1f"
 HUNK = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@"
 
 
-def _so_far() -> Window:
-    return Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-
-
 def parse_log(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(commits, changes) of logs whose header lines hold hash, time, author and message between separators.
 
@@ -25,7 +23,7 @@ def parse_log(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     header = F.col("text").contains(SEPARATOR)
     parts = F.split("text", SEPARATOR)
-    rows = lines.withColumn("hash", F.last(F.when(header, parts[0]), ignorenulls=True).over(_so_far()))
+    rows = carried(lines, ["file"], ["line_no"], hash=F.when(header, parts[0]))
     commits = rows.where(header).select("hash", F.to_timestamp(parts[1]).alias("ts"), parts[2].alias("author"), parts[3].alias("message"))
     fields = F.split("text", "\t")
     status = F.when(F.size(fields) > 1, F.left(fields[0], F.lit(1))).otherwise("M")
@@ -38,7 +36,7 @@ def parse_log(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 def parse_hunks(lines: DataFrame) -> DataFrame:
     """(file, path, start, end): closed ranges of new lines; deletions alone have none."""
     path = F.nullif(F.regexp_extract("text", r"^\+\+\+ b/(.*)$", 1), F.lit(""))
-    rows = lines.withColumn("path", F.last(path, ignorenulls=True).over(_so_far())).where(F.col("text").rlike(HUNK))
+    rows = carried(lines, ["file"], ["line_no"], path=path).where(F.col("text").rlike(HUNK))
     start = F.regexp_extract("text", HUNK, 1).cast("bigint")
     n = F.coalesce(F.nullif(F.regexp_extract("text", HUNK, 2), F.lit("")).cast("bigint"), F.lit(1))
     return rows.select("file", "path", start.alias("start"), (start + n - 1).alias("end"), n.alias("n")).where("n > 0").drop("n")

@@ -288,3 +288,23 @@ def test_hooks_agents_and_groups(spark):
 def test_server_coupling(spark):
     c = spark.createDataFrame([("h", 0, ["a", "b"]), ("h", 1, ["a", "c"]), ("g", 2, ["a", None]), ("e", 3, [])], "hash string, i int, namespaces array<string>")
     assert [tuple(r) for r in history.server_coupling(c).collect()] == [("a", "b", 1, 1.0, 1.0)]
+
+
+def test_carried_over_ranges(spark):
+    from loomline.operators import ordering
+
+    rng = random.Random(8)
+    rows = [("hot" if rng.random() < 0.7 else rng.choice(["a", None, "z"]), i, rng.choice([None, None, None, f"v{i}"])) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, n int, v string").repartition(7)
+    last, want = {}, set()
+    for k, n, v in rows:
+        last[k] = v or last.get(k)
+        want.add((k, n, last[k]))
+    assert {(r.k, r.n, r.v) for r in ordering.carried(df, ["k"], ["n"], v=F.col("v")).collect()} == want
+    assert ordering.carried(df.limit(0), ["k"], ["n"], v=F.col("v")).count() == 0
+
+
+def test_groups_and_kinds_of_events(spark):
+    rows = spark.createDataFrame([("x", None, "session.started"), (" Fish ", None, "session.started"), (None, None, "tool.started"), ("my.tool", ["network", "search"], "prompt"), (None, ["network"], None), (None, [], "errors")], "tool string, acts array<string>, type string")
+    got = rows.select(act.kind(F.col("acts")).alias("k"), act.group_id(F.col("tool"), act.kind(F.col("acts")), F.coalesce("type", F.lit(""))).alias("g")).collect()
+    assert [tuple(r) for r in got] == [("session", "group:activity:tool:x"), ("session", "group:activity:bash"), ("execute", "group:activity:bash"), ("search", "group:activity:tool:my.tool"), ("network", None), ("unknown", None)]
