@@ -20,6 +20,7 @@ from .ordering import Down, carried, numbered, running_totals
 # Lifetimes in milliseconds and bounds of the live view.
 PULSE_MS, FAILED_PULSE_MS, RAY_MS, MARKER_MS = 60_000, 120_000, 30_000, 30_000
 STALLED_MS, FAILED_MS, INACTIVE_MS = 180_000, 60_000, 300_000
+GROUP_TTL_MS = 660_000
 RING, SEEN, MARKERS, MARKERS_PER_GROUP = 256, 1_000, 64, 12
 NEAR_MS = 200
 TERMINAL = ("session.ended",)
@@ -187,14 +188,17 @@ def replay_from(events: DataFrame, cursors: DataFrame, size: int = RING) -> Data
 
 
 def turns(events: DataFrame) -> DataFrame:
-    """(session, turn, started, ended, events, open): opened by a prompt, closed by an end of turn.
+    """(session, turn, first_seq, last_seq, events, open): opened by a prompt, closed by what ends a turn
+    (``sessions.closes_turn``).
 
     Windows are cut by the data: the number of prompts so far names the turn. Events before the first
     prompt belong to none.
     """
     order = Window.partitionBy("session").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     rows = events.withColumn("turn", F.sum((F.col("type") == "prompt.submitted").cast("int")).over(order)).where("turn > 0")
-    closing = F.when(F.col("type") == "turn.completed", F.col("seq"))
+    from loomline.operators.sessions import closes_turn
+
+    closing = F.when(closes_turn(), F.col("seq"))
     close = F.min(closing).over(Window.partitionBy("session", "turn"))
     rows = rows.withColumn("close", close).where(F.col("close").isNull() | (F.col("seq") <= F.col("close")))
     return rows.groupBy("session", "turn").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count("*").alias("events"), F.max("close").isNull().alias("open"))
@@ -277,6 +281,45 @@ def group_specs(events: DataFrame) -> DataFrame:
     )
 
 
+def live_groups(specs: DataFrame, times: DataFrame, ttl_ms: int = GROUP_TTL_MS) -> DataFrame:
+    """(at, id, parent, label, kind, last_at, expires_at, weight, outcome): the groups alive at each time.
+
+    ``specs``: a row (seq, ms, id, parent, label, kind, weight, outcome) for each group that an event
+    touches; ``times``: distinct ``at``, in milliseconds. A group lives for ``ttl_ms`` behind each of
+    its events. It keeps its first label, takes parent and kind of its last event, and carries the last
+    outcome that was known; what has expired by then doesn't count. An event lies in the bucket of
+    its time and the next one (a bucket is one life long), a time in its own, so the two are joined on
+    buckets; sums are made before they are shuffled by group.
+    """
+    bucket = lambda ms: F.floor(ms / ttl_ms)
+    lives = specs.withColumn("bucket", F.explode(F.array(bucket(F.col("ms")), bucket(F.col("ms")) + 1)))
+    met = lives.join(times.select("at").distinct().withColumn("bucket", bucket(F.col("at"))), "bucket").where((F.col("at") >= F.col("ms")) & (F.col("at") - F.col("ms") <= ttl_ms))
+    known = F.when(F.col("outcome").isNotNull(), F.col("seq"))
+    return met.groupBy("at", "id").agg(
+        F.max_by("parent", "seq").alias("parent"),
+        F.min_by("label", "seq").alias("label"),
+        F.max_by("kind", "seq").alias("kind"),
+        F.max("ms").alias("last_at"),
+        (F.max("ms") + ttl_ms).alias("expires_at"),
+        F.sum(F.coalesce("weight", F.lit(0))).cast("bigint").alias("weight"),
+        F.max_by("outcome", known).alias("outcome"),
+    )
+
+
+def signatures(live: DataFrame, agents: DataFrame, inactive_ms: int = INACTIVE_MS) -> DataFrame:
+    """(at, signature): a print of what a layout is made of at each time: groups with parent, label, kind
+    and last activity, agents with parent, label, last update and whether they have gone inactive.
+
+    ``agents``: (at, id, parent, label, updated_at), of one id the latest. Prints of rows are combined
+    without order, so nothing is gathered.
+    """
+    own = F.xxhash64(F.lit("group"), "id", "parent", "label", "kind", "last_at")
+    last = agents.groupBy("at", "id").agg(F.max_by(F.struct("parent", "label", "updated_at"), "updated_at").alias("a"))
+    seen = last.select("at", F.xxhash64(F.lit("agent"), "id", "a.parent", "a.label", "a.updated_at", F.col("at") - F.col("a.updated_at") >= inactive_ms).alias("h"))
+    rows = live.select("at", own.alias("h")).unionByName(seen)
+    return rows.groupBy("at").agg(F.struct(F.bit_xor("h").alias("x"), F.count("*").alias("n")).alias("p")).select("at", F.xxhash64("p.x", "p.n").alias("signature"))
+
+
 def notifications(events: DataFrame) -> DataFrame:
     """(session, seq, streak): the first failure of every run of failures of a session."""
     by = Window.partitionBy("session").orderBy("seq")
@@ -383,16 +426,40 @@ def group_label(group: Column, tool: Column) -> Column:
     return F.when((group == "group:activity:bash") | name.isNull(), "bash commands").otherwise(F.concat(F.lit("tool · "), name))
 
 
-def signature(events: DataFrame) -> DataFrame:
-    """(session, signature): changes exactly when the kinds, last types or failures of a session do."""
-    parts = events.groupBy("session", "type").agg(F.max("status").alias("s"), F.count("*").alias("n"))
-    return parts.groupBy("session").agg(F.xxhash64(F.array_sort(F.collect_list(F.struct("type", "s", "n")))).alias("signature"))
+def recent(events: DataFrame, number: int = 0, size: int = 10) -> DataFrame:
+    """A page of the newest events, newest first."""
+    return events.orderBy(F.desc("seq")).offset(number * size).limit(size)
 
 
-def coverage_state(events: DataFrame) -> DataFrame:
-    """(session, coverage): exact if all events name a tool call, observed if some do, else unavailable."""
-    out = events.groupBy("session").agg(F.count("*").alias("n"), F.count("tool_call").alias("k"))
-    return out.select("session", F.when(F.col("k") == F.col("n"), "exact").when(F.col("k") > 0, "observed").otherwise("unavailable").alias("coverage"))
+def agents(events: DataFrame, agent: str = "agent") -> DataFrame:
+    """(session, agent, events, last_type, failed, waiting): the last known state of each agent."""
+    known = events.where(F.col(agent).isNotNull())
+    out = known.groupBy("session", agent).agg(
+        F.count("*").alias("events"), F.max_by("type", "seq").alias("last_type"), F.bool_or(F.col("status") == "failed").alias("failed"),
+        F.max(F.when(F.col("type") == "permission.requested", F.col("seq"))).alias("asked"), F.max(F.when(F.col("type") == "permission.completed", F.col("seq"))).alias("answered"),
+    )
+    waiting = F.col("asked").isNotNull() & (F.col("answered").isNull() | (F.col("asked") > F.col("answered")))
+    return out.withColumn("waiting", waiting).drop("asked", "answered")
+
+
+def connection_coverage(actions: DataFrame) -> DataFrame:
+    """The actions (key, seq, action, status) of connections with the ``coverage`` behind each.
+
+    Coverage begins as ``unavailable`` and is that again when a connection says so; a ``gap`` makes it
+    ``partial`` until then. Any other news from an unavailable connection makes it ``observed``, and an
+    ``event`` after that ``exact``. What counts is thus the last of the first two kinds and how much
+    of the others came since, which is known from running totals over ranges and values carried on.
+    """
+    reset = (F.col("action") == "gap") | ((F.col("action") == "connection") & F.coalesce(F.col("status") == "unavailable", F.lit(False)))
+    begin = actions.groupBy("key").agg((F.min("seq") - 1).alias("seq")).select("key", "seq", F.lit("connection").alias("action"), F.lit("unavailable").alias("status"), F.lit(True).alias("begin"))
+    rows = actions.select("key", "seq", "action", "status").withColumn("begin", F.lit(False)).unionByName(begin)
+    rows = running_totals(rows, ["key", "seq"], news=F.when(reset, 0).otherwise(1), events=F.when(F.col("action") == "event", 1).otherwise(0))
+    rows = carried(rows, ["key"], ["seq"], since=F.when(reset, F.struct("action", "news", "events")))
+    first = ~reset & (F.col("news") - F.col("since.news") == 1)
+    rows = carried(rows, ["key"], ["seq"], opened=F.when(first, (F.col("action") == "event").cast("int")))
+    later = F.col("events") - F.col("since.events") - F.col("opened")
+    state = F.when(F.col("since.action") == "gap", "partial").when(F.col("news") == F.col("since.news"), "unavailable").when(later > 0, "exact").otherwise("observed")
+    return rows.where("not begin").select("key", "seq", "action", "status", state.alias("coverage"))
 
 
 # Names that providers give to events, with type and status.

@@ -116,13 +116,14 @@ def replay_cursors(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    BASE
-    + """, t AS (SELECT *, sum(CASE WHEN type = 'prompt.submitted' THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY seq) AS turn FROM activity),
-c AS (SELECT *, min(CASE WHEN type = 'turn.completed' THEN seq END) OVER (PARTITION BY session, turn) AS done FROM t WHERE turn > 0)
+    "WITH "
+    + src.LIFECYCLE_SQL
+    + """, t AS (SELECT *, sum(CASE WHEN type = 'prompt.submitted' THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY seq) AS turn FROM lifecycle),
+c AS (SELECT *, min(CASE WHEN type IN ('turn.completed', 'session.ended') THEN seq END) OVER (PARTITION BY session, turn) AS done FROM t WHERE turn > 0)
 SELECT session, turn::BIGINT AS turn, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS events, max(done) IS NULL AS open FROM c WHERE done IS NULL OR seq <= done GROUP BY session, turn"""
 )
 def turn_windows(spark: SparkSession, d: str) -> DataFrame:
-    return act.turns(src.activity(spark, d))
+    return act.turns(src.lifecycle(spark, d))
 
 
 @query(

@@ -284,24 +284,75 @@ def detected_languages(spark: SparkSession, d: str) -> DataFrame:
     return ir.detect_languages(part.select(F.col("p_name").alias("path"), F.col("p_type").alias("language")), part.where("p_partkey % 10 = 0").select(F.col("p_type").alias("language"), F.col("p_size").alias("weight")))
 
 
-@query(EVENTS + " SELECT session, CASE WHEN count(CASE WHEN seq % 2 = 0 OR session < 's2' THEN tool_call END) = count(*) THEN 'exact' WHEN count(CASE WHEN seq % 2 = 0 OR session < 's2' THEN tool_call END) > 0 THEN 'observed' ELSE 'unavailable' END AS coverage FROM lifecycle GROUP BY session")
+ACTIONS_SQL = """, acts AS (SELECT workspace AS key, seq, CASE WHEN seq % 13 = 5 THEN 'gap' WHEN seq % 5 = 0 THEN 'connection' ELSE 'event' END AS action, CASE WHEN seq % 13 <> 5 AND seq % 5 = 0 THEN CASE WHEN seq % 3 = 0 THEN 'unavailable' ELSE 'connected' END END AS status FROM lifecycle)"""
+
+
+@query(
+    "WITH RECURSIVE "
+    + src.LIFECYCLE_SQL
+    + ACTIONS_SQL
+    + """, n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq) AS i FROM acts),
+fold AS (
+  SELECT key, 0::BIGINT AS i, NULL::BIGINT AS seq, 'unavailable' AS coverage FROM n WHERE i = 1
+  UNION ALL
+  SELECT n.key, n.i, n.seq, CASE WHEN action = 'gap' THEN 'partial' WHEN action = 'connection' AND status = 'unavailable' THEN 'unavailable' WHEN coverage = 'unavailable' THEN 'observed' WHEN action = 'event' AND coverage <> 'partial' THEN 'exact' ELSE coverage END
+  FROM fold JOIN n ON n.key = fold.key AND n.i = fold.i + 1)
+SELECT key, seq, coverage FROM fold WHERE i > 0"""
+)
 def coverage_states(spark: SparkSession, d: str) -> DataFrame:
-    e = src.lifecycle(spark, d)
-    return activity.coverage_state(e.withColumn("tool_call", F.when((F.col("seq") % 2 == 0) | (F.col("session") < "s2"), F.col("tool_call"))))
+    """Coverage of each workspace's connection behind every event, gap and change of the connection."""
+    k = F.col("seq")
+    gap, link = k % 13 == 5, k % 5 == 0
+    acts = src.lifecycle(spark, d).select(F.col("workspace").alias("key"), "seq", F.when(gap, "gap").when(link, "connection").otherwise("event").alias("action"), F.when(~gap & link, F.when(k % 3 == 0, "unavailable").otherwise("connected")).alias("status"))
+    return activity.connection_coverage(acts).select("key", "seq", "coverage")
+
+
+#: Groups that events touch: their tool's, or their workspace's project.
+SPECS_SQL = """, touched AS (SELECT seq, epoch_us(ts) // 1000 AS ms, tool_call % 3 AS t, workspace, agent, type, status FROM lifecycle),
+specs AS (
+  SELECT seq, ms, 'group:activity:tool:t' || t AS id, NULL AS parent, 'tool ' || t || CASE WHEN seq % 2 = 0 THEN '' ELSE ' again' END AS label, 'tool' AS kind, 1 AS weight, CASE WHEN type LIKE '%ed' AND seq % 3 = 0 THEN status END AS outcome FROM touched
+  UNION ALL SELECT seq, ms, 'project:' || workspace, 'all', workspace, CASE WHEN seq % 4 = 0 THEN 'project' ELSE 'directory' END, NULL, NULL FROM touched),
+times AS (SELECT DISTINCT ms + 300000 + (seq % 3) * 60000 AS moment FROM touched WHERE seq % 97 = 0),
+live AS (
+  SELECT moment, id, arg_max(parent, seq) AS parent, arg_min(label, seq) AS label, arg_max(kind, seq) AS kind, max(ms) AS last_at, max(ms) + 660000 AS expires_at, coalesce(sum(weight), 0)::BIGINT AS weight, arg_max(outcome, seq) FILTER (outcome IS NOT NULL) AS outcome
+  FROM times JOIN specs ON ms <= moment AND moment - ms <= 660000 GROUP BY moment, id)"""
+
+
+def _specs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    e = src.lifecycle(spark, d).select("seq", activity.millis().alias("ms"), (F.col("tool_call") % 3).alias("t"), "workspace", "agent", "type", "status")
+    none = F.lit(None).cast("string")
+    outcome = F.when(F.col("type").endswith("ed") & (F.col("seq") % 3 == 0), F.col("status"))
+    label = F.concat(F.lit("tool "), "t", F.when(F.col("seq") % 2 == 0, "").otherwise(" again"))
+    tools = e.select("seq", "ms", F.concat(F.lit("group:activity:tool:t"), "t").alias("id"), none.alias("parent"), label.alias("label"), F.lit("tool").alias("kind"), F.lit(1).alias("weight"), outcome.alias("outcome"))
+    places = e.select("seq", "ms", F.concat(F.lit("project:"), "workspace"), F.lit("all"), "workspace", F.when(F.col("seq") % 4 == 0, "project").otherwise("directory"), F.lit(None).cast("int"), none)
+    times = e.where("seq % 97 = 0").select((F.col("ms") + 300_000 + (F.col("seq") % 3) * 60_000).alias("at")).distinct()
+    return tools.union(places), times
+
+
+@query(EVENTS + SPECS_SQL + " SELECT moment AS \"at\", id, coalesce(parent, '-') AS parent, label, kind, last_at, expires_at, weight, coalesce(outcome, '-') AS outcome FROM live")
+def live_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Groups alive at a time behind every 97th event, with first label, last kind, weight and carried outcome."""
+    return activity.live_groups(*_specs(spark, d)).fillna("-", ["parent", "outcome"])
 
 
 @query(
     EVENTS
-    + """, h AS (SELECT max(seq) * 9 // 10 AS mid FROM lifecycle), g AS (SELECT session, type, max(status) AS s, count(*) AS n FROM lifecycle GROUP BY ALL), o AS (SELECT session, type, max(status) AS s, count(*) AS n FROM lifecycle, h WHERE seq <= mid GROUP BY ALL),
-b AS (SELECT session, string_agg(type || s || n, ',' ORDER BY type) AS v FROM g GROUP BY session), a AS (SELECT session, string_agg(type || s || n, ',' ORDER BY type) AS v FROM o GROUP BY session)
-SELECT session FROM b LEFT JOIN a USING (session) WHERE a.v IS DISTINCT FROM b.v"""
+    + SPECS_SQL
+    + """, told AS (SELECT moment, string_agg(id || coalesce(parent, '') || label || kind || last_at, ',' ORDER BY id) AS g FROM live GROUP BY moment),
+agents AS (SELECT moment, agent AS id, max(ms) AS updated FROM times JOIN touched ON ms <= moment AND moment - ms <= 3600000 WHERE agent IS NOT NULL GROUP BY ALL),
+seen AS (SELECT moment, string_agg(id || updated || (moment - updated >= 300000), ',' ORDER BY id) AS a FROM agents GROUP BY moment),
+prints AS (SELECT moment, coalesce(g, '') || '/' || coalesce(a, '') AS p FROM told FULL JOIN seen USING (moment))
+SELECT min(moment) AS first_at, count(*) AS times FROM prints GROUP BY p"""
 )
 def changed_signatures(spark: SparkSession, d: str) -> DataFrame:
-    """Sessions whose last tenth of the stream changed what is shown of them."""
-    e = src.lifecycle(spark, d)
-    mid = e.agg(F.max("seq")).first()[0] * 9 // 10
-    before = activity.signature(e.where(F.col("seq") <= mid)).withColumnRenamed("signature", "before")
-    return activity.signature(e).join(before, "session", "left").where("not (before <=> signature)").select("session")
+    """Which of the times show the same layout: those with one print."""
+    specs, times = _specs(spark, d)
+    e = src.lifecycle(spark, d).where("agent is not null").select("agent", activity.millis().alias("ms"))
+    hour = F.floor(F.col("ms") / 3_600_000)
+    near = e.withColumn("b", F.explode(F.array(hour, hour + 1))).join(times.withColumn("b", F.floor(F.col("at") / 3_600_000)), "b").where("ms <= at and at - ms <= 3600000")
+    agents = near.groupBy("at", F.col("agent").alias("id")).agg(F.max("ms").alias("updated_at")).select("at", "id", F.lit(None).cast("string").alias("parent"), F.col("id").alias("label"), "updated_at")
+    prints = activity.signatures(activity.live_groups(specs, times), agents)
+    return prints.groupBy("signature").agg(F.min("at").alias("first_at"), F.count("*").alias("times")).drop("signature")
 
 
 @query(EVENTS + " SELECT seq, session FROM lifecycle ORDER BY seq DESC LIMIT 10 OFFSET 20")

@@ -278,11 +278,32 @@ def test_explicit_node(spark):
 def test_hooks_agents_and_groups(spark):
     raw = spark.createDataFrame([('{"hook_event_name":"PostToolUse","session_id":"s","tool_name":"Bash","error":"x"}',), ('{"type":"Other"}',)], "body string")
     assert [tuple(r) for r in act.from_hook(raw).collect()] == [("tool.completed", "failed", "s", "Bash"), ("other", "ok", None, None)]
-    assert act.from_hook(raw).select(act.group_id(F.col("tool"), F.lit("k"))).first()[0] == "tool:bash"
+    assert act.from_hook(raw).select(act.group_id(F.col("tool"), F.lit("k"), F.lit("x"))).first()[0] == "group:activity:bash"
     ev = spark.createDataFrame([(1, "s", "a", "permission.requested", "ok", 1), (2, "s", "a", "error", "failed", None), (3, "s", None, "x", "ok", 2)], "seq long, session string, agent string, type string, status string, tool_call long")
     assert tuple(act.agents(ev).first()) == ("s", "a", 2, "error", True, True)
-    assert act.coverage_state(ev).first().coverage == "observed" and [r.seq for r in act.recent(ev, 0, 2).collect()] == [3, 2]
-    assert act.signature(ev).first().signature != act.signature(ev.where("seq < 3")).first().signature
+    assert [r.seq for r in act.recent(ev, 0, 2).collect()] == [3, 2]
+
+
+def test_coverage_folds(spark):
+    rng = random.Random(11)
+    rows, state, want = [], {}, set()
+    for i in range(150):
+        key, action = rng.choice("ab"), rng.choice(["event", "event", "connection", "gap"] if rng.random() < 0.5 else ["event", "connection"])
+        status = rng.choice(["unavailable", "connected", None]) if action == "connection" else None
+        now = state.get(key, "unavailable")
+        if action == "gap":
+            now = "partial"
+        elif status == "unavailable":
+            now = "unavailable"
+        elif now == "unavailable":
+            now = "observed"
+        elif action == "event" and now != "partial":
+            now = "exact"
+        state[key] = now
+        rows.append((key, i, action, status))
+        want.add((key, i, now))
+    df = spark.createDataFrame(rows, "key string, seq long, action string, status string")
+    assert {(r.key, r.seq, r.coverage) for r in act.connection_coverage(df).collect()} == want
 
 
 def test_server_coupling(spark):
