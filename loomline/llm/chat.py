@@ -145,3 +145,29 @@ def log_of_turns(turns: DataFrame) -> DataFrame:
         "role",
         "text",
     )
+
+
+def streamed_log(turns: DataFrame) -> DataFrame:
+    """A table of whole turns as the log that such a conversation leaves, to be folded into them again.
+
+    By a hash of conversation and turn, a turn is one message, a message with two deltas, a draft with
+    a delta that is generated anew in two parts, or another text that is edited. Equal rows are
+    messages of their own; a row without turn is one event.
+    """
+    rows = turns.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("copies"))
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    text = F.coalesce("text", F.lit(""))
+    cut = (F.length(text) / 3).cast("int")
+    first, rest = F.substr(text, F.lit(1), cut), F.substr(text, cut + 1)
+    middle, end = F.substr(text, cut + 1, cut), F.substr(text, 2 * cut + 1)
+    events = lambda *e: F.array(*[F.struct(F.lit(k).alias("k"), F.lit(kind).alias("kind"), t.alias("text")) for k, (kind, t) in enumerate(e)])
+    way = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(4))
+    said = (
+        F.when(F.col("turn").isNull() | (way == 0), events(("message", text)))
+        .when(way == 1, events(("message", first), ("delta", middle), ("delta", end)))
+        .when(way == 2, events(("message", F.concat(F.lit("Draft: "), end)), ("delta", first), ("regenerate", first), ("delta", rest)))
+        .otherwise(events(("message", F.concat(rest, first)), ("edit", text)))
+    )
+    key = F.concat_ws("/", F.col("turn").cast("string"), "copy", F.xxhash64("role", "text").cast("string"))
+    out = rows.select("conv_id", "turn", key.alias("message_id"), "role", F.explode(said).alias("e"))
+    return out.select("conv_id", (F.col("turn") * 10 + F.col("e.k")).alias("seq"), F.col("e.kind").alias("kind"), "message_id", "role", F.col("e.text").alias("text"))

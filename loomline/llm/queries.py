@@ -32,11 +32,12 @@ def op4_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation as read back from its formatted text, and one full of control strings."""
+    """Every conversation, folded from a log of parts, edits and regenerations, as read back from its
+    formatted text, and one full of control strings."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     role = F.when(F.col("id") == 0, "user").otherwise("assistant")
     extra = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(CONTROL).alias("text"))
-    return chat.digest(chat.log_of_turns(turns.unionByName(extra)))
+    return chat.digest(chat.streamed_log(turns.unionByName(extra)))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

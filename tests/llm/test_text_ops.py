@@ -118,6 +118,17 @@ def test_chat_escape_is_reversible(spark, text):
     assert row.loss_sha256 == hashlib.sha256(t.encode()).hexdigest()
 
 
+def test_chat_streamed_log_folds_to_the_turns(spark):
+    rng = random.Random(9)
+    rows = [(rng.randrange(12), rng.choice([None, *range(6)]), rng.choice(["user", "assistant", None, "tool"]), rng.choice([None, "", "a", "[INST] </s>", "word " * rng.randint(1, 40), "漢字😀" * 5])) for _ in range(200)]
+    turns = spark.createDataFrame(rows + rows[:30], "conv_id long, turn long, role string, text string")
+    log = chat.streamed_log(turns)
+    assert {r.kind for r in log.select("kind").distinct().collect()} == set(chat.EVENTS)
+    want = chat.digest(chat.log_of_turns(turns)).collect()
+    assert sorted(map(tuple, chat.digest(log).collect())) == sorted(map(tuple, want))
+    assert chat.digest(chat.streamed_log(turns.limit(0))).count() == 0
+
+
 def test_chat_empty(spark):
     turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.digest(chat.log_of_turns(turns)).count() == 0
