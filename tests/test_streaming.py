@@ -52,6 +52,39 @@ def test_tool_spans(spark, tmp_path):
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_session_lifecycle(spark, tmp_path):
+    from loomline.operators import sessions
+
+    kinds = ["session.started", "user.message", "tool.started", "permission.requested", "permission.completed", "tool.completed", "tool.failed", "error", "session.ended", "agent.completed", "odd"]
+    k = F.col("seq")
+    pick = lambda salt, n: (F.abs(F.xxhash64(k, F.lit(salt))) % n).cast("int")
+    df = events(spark).withColumns({"type": F.element_at(F.array(*map(F.lit, kinds)), pick(1, len(kinds)) + 1), "session": F.concat(F.lit("s"), pick(2, 40)), "tool_call": F.when(pick(3, 5) > 0, pick(4, 3).cast("bigint"))})
+    df = df.withColumns({"result": F.when(F.col("type") == "permission.completed", F.element_at(F.array(F.lit("denied-by-user"), F.lit("approved")), pick(5, 2) + 1)), "agent": F.when(pick(6, 2) == 0, F.col("session")).otherwise("a"), "status": F.when(F.col("type") == "error", "failed")})
+    out = drain(live.session_lifecycle(stream_of(spark, tmp_path, df)), "lifecycle", "update")
+    last = out.groupBy("session").agg(F.max_by(F.struct(*out.columns[1:]), "events").alias("r")).select("session", "r.*")
+    at = lambda c: act.millis(c).alias(c)
+    for late in ("2024-01-01 06:39:30", "2024-01-01 06:42:00", "2024-01-01 07:30:00"):
+        now = F.lit(late).cast("timestamp_ntz")
+        got = live.status_at(last, act.millis(now)).select("session", "events", "started", "last_at", "failures", "last_type", "turn_open", "status", "waiting_call", "waiting_since", "ended_at", "denied_at", "last_outcome")
+        want = sessions.states(df, now).select("session", "events", at("started"), at("last_at"), "failures", "last_type", "turn_open", "status", "waiting_call", at("waiting_since"), at("ended_at"), at("denied_at"), "last_outcome")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert {r.status for r in got.select("status").distinct().collect()} >= {"waiting", "stalled"}
+
+
+def test_dedupe_in_a_ring(spark, tmp_path):
+    ring, seen, want = 5, {}, []
+    df = events(spark).withColumns({"session": F.concat(F.lit("s"), F.col("seq") % 2), "tool_call": F.when(F.col("seq") % 17 > 0, F.abs(F.xxhash64("seq")) % 9)})
+    for r in df.orderBy("seq").collect():
+        own = seen.setdefault(r.session, [])
+        if r.tool_call is None or r.tool_call not in own:
+            want.append(r.seq)
+            if r.tool_call is not None:
+                own.append(r.tool_call)
+                del own[: max(0, len(own) - ring)]
+    got = drain(live.dedupe_in_ring(stream_of(spark, tmp_path, df), "session", "tool_call", ring), "ring", "append")
+    assert got.columns == df.columns and sorted(r.seq for r in got.collect()) == want and 50 < len(want) < 400
+
+
 def test_dedupe_and_counts(spark, tmp_path):
     df = events(spark).withColumn("ts", F.col("ts").cast("timestamp"))
     stream = stream_of(spark, tmp_path, df)
