@@ -205,9 +205,13 @@ def project_root(path: Column, workspace: Column) -> Column:
     return F.when(F.coalesce(own, F.lit(False)), F.concat(workspace, F.lit("/"), F.get(parts, F.lit(0)))).otherwise(workspace)
 
 
+# Fixed value: the folder of an agent's own files.
+AGENT_FOLDER = ".copilot"
+
+
 def outside_root(path: Column, directory: Column) -> Column:
-    """What a path outside of any workspace is grouped by: ``/tmp``, the part up to a folder that marks a
-    repository, else its folder."""
+    """What a path outside of any workspace is grouped by: ``/tmp``, the agent's own folder, the part up to a
+    folder that marks a repository, else its folder."""
     p = slashes(path)
     parts = F.filter(F.split(p, "/"), lambda x: x != "")
     last = F.greatest(F.lit(0), F.size(parts) - F.when(directory, 0).otherwise(1))
@@ -216,7 +220,8 @@ def outside_root(path: Column, directory: Column) -> Column:
     root = F.concat(F.when(p.startswith("/"), "/").otherwise(""), F.array_join(F.slice(parts, 1, keep), "/"))
     return (
         F.when((p == "") | (~p.startswith("/") & (F.size(parts) <= 1)), "activity")
-        .when(p.startswith("/") & (F.get(parts, F.lit(0)) == "tmp"), "/tmp").otherwise(root)
+        .when(p.startswith("/") & (F.get(parts, F.lit(0)) == "tmp"), "/tmp")
+        .when(p.startswith("/") & F.array_contains(parts, AGENT_FOLDER), F.concat(F.lit("/"), F.array_join(F.slice(parts, F.lit(1), F.greatest(F.lit(1), F.array_position(parts, AGENT_FOLDER).cast("int"))), "/"))).otherwise(root)
     )
 
 

@@ -81,11 +81,11 @@ def visible_leaves(spark: SparkSession, d: str) -> DataFrame:
     return selection.visible_groups(selection.visible(src.nodes(spark, d), ("var",), external=False), leaves_only=True)
 
 
-@query(BASE + " SELECT id FROM symbols WHERE id IN (SELECT source FROM edges WHERE contains(source, '1') UNION SELECT target FROM edges WHERE contains(target, '1')) AND NOT external")
+@query(BASE + " SELECT id FROM symbols WHERE id IN (SELECT source FROM edges UNION SELECT target FROM edges) AND NOT external")
 def touched_symbols(spark: SparkSession, d: str) -> DataFrame:
-    """Project symbols with a digit 1 in their id that any edge touches."""
+    """Project symbols that any edge touches."""
     e = src.edges(spark, d)
-    ends = e.select(F.col("source").alias("id")).union(e.select("target")).where(F.col("id").contains("1")).distinct()
+    ends = e.select(F.col("source").alias("id")).union(e.select("target")).distinct()
     return graph.project_graph(src.symbols(spark, d), e)[0].join(ends, "id", "left_semi").select("id")
 
 

@@ -61,6 +61,7 @@ cases(
     "outside_roots", lambda p, k: text.outside_root(p, k == "dir"),
     (("/tmp/x{n}/y", "file"), "/tmp"), (("/opt/r{n}/src/a/b.py", "file"), "/opt/r{n}"), (("/opt/r{n}/a/b.py", "file"), "/opt/r{n}/a"), (("{n}.py", "file"), "activity"),
     (("/opt/r{n}/a", "dir"), "/opt/r{n}/a"), (("d{n}/x.py", "file"), "d{n}"), (("", "file"), "activity"),
+    (("/home/u{n}/.copilot/session/a.json", "file"), "/home/u{n}/.copilot"), (("/home/u{n}/.copilot/src/a/b.py", "file"), "/home/u{n}/.copilot"),
 )
 cases(
     "resource_paths", lambda p, r: F.concat_ws("|", text.resource_path(p, r)["path"], text.resource_path(p, r)["outside"].cast("string")),

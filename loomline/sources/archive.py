@@ -17,8 +17,8 @@ def to_recordings(events: DataFrame) -> DataFrame:
 
 
 def append(recordings: DataFrame, path: str) -> None:
-    """Add lines, in folders by recording."""
-    recordings.write.mode("append").partitionBy("recording_id").options(**TIMES).json(path)
+    """Add lines, in folders by recording: a recording's lines come together first, large ones in several tasks."""
+    recordings.hint("rebalance", "recording_id").write.mode("append").partitionBy("recording_id").options(**TIMES).json(path)
 
 
 def manifest(recordings: DataFrame) -> DataFrame:
