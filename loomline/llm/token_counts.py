@@ -22,10 +22,10 @@ import gc
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import common
 
@@ -319,15 +319,35 @@ def _map_chunks(path: str):
     return run
 
 
-def _compose_run(path: str):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+_MAP_COLUMNS = ["id", "key", "n_bytes", "i", "copies", "head", "n", "state"]
+
+
+def _compose_runs(path: str, kind: pa.DataType):
+    """Maps in order, those of a run as one."""
+    types = [kind, pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()]
+    schema = pa.schema(list(zip(_MAP_COLUMNS, types, strict=True)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(path)
-        rows = pdf.sort_values("i")
-        maps = zip(rows["head"], rows["n"], rows["state"], strict=True)
-        whole = functools.reduce(machine.compose, ((h, int(n), _read(s if isinstance(s, str) else None)) for h, n, s in maps))
-        out = rows.iloc[:1].copy()
-        out["i"], out["head"], out["n"], out["state"] = out["i"] // RUN, whole[0], whole[1], _written(whole[2])
-        return out[["id", "key", "n_bytes", "i", "copies", "head", "n", "state"]]
+        at, whole, out = None, None, []
+
+        def ended() -> dict:
+            return at | {"i": at["run"], "head": whole[0], "n": whole[1], "state": _written(whole[2])}
+
+        for b in batches:
+            for r in b.to_pylist():
+                own = (r["head"], r["n"], _read(r["state"]))
+                if at is not None and (r["id"], r["key"], r["run"]) == (at["id"], at["key"], at["run"]):
+                    whole = machine.compose(whole, own)
+                    continue
+                if at is not None:
+                    out.append(ended())
+                at, whole = r, own
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema)
+                out = []
+        if at is not None:
+            yield pa.RecordBatch.from_pylist([ended()], schema)
 
     return run
 
@@ -364,7 +384,8 @@ def count(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     last = maps.agg(F.max("i")).first()[0]
     shape = f"id {kind}, key binary, n_bytes bigint, i bigint, copies bigint, head string, n bigint, state string"
     while last:
-        maps = maps.withColumn("run", F.expr(f"i div {RUN}")).groupBy("id", "key", "run").applyInPandas(_compose_run(path), shape)
+        dealt = common.spread(maps.withColumn("run", F.expr(f"i div {RUN}")), "id", "key", "run").sortWithinPartitions("id", "key", "run", "i")
+        maps = dealt.mapInArrow(_compose_runs(path, to_arrow_type(docs.schema[id_col].dataType)), shape)
         last //= RUN
     whole = maps.mapInArrow(_finish(path), f"id {kind}, n_bytes bigint, copies bigint, n_tokens bigint")
     whole = whole.select("id", "n_bytes", "n_tokens", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("col")
