@@ -16,6 +16,8 @@ counts themselves are exact.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
 from collections.abc import Iterator
 
@@ -32,9 +34,9 @@ TOP = 2_000
 COVER_PERCENT = 50
 UNKNOWN_LANG = "und"
 #: Bytes of text in a slice of one language; a task holds two.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: Bytes that are hashed at a time.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 18
 #: Bytes of text for each range of prefixes.
 RANGE_BYTES = 8 << 20
 #: Largest Bloom filter, in bits; 16 bits for each frequent pair until then.
@@ -307,6 +309,12 @@ def _slices(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[str,
         yield lang, b"\n".join(held.pop(lang))
 
 
+def _release() -> None:
+    """Hand freed memory back to the system: a worker lives on, and what it has freed would count on."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist([dict(zip(_ROW_TYPE.names, r, strict=True)) for r in rows], _ROW_TYPE)
 
@@ -319,8 +327,12 @@ def _count_pairs(bits: int, seed: int, size: int):
                 continue
             yield _batch(list(_ranged(lang, 1, [words.distinct], np.bincount(words.at), bits, words)))
             one, two, n, _ = words.pairs()
-            if len(n):
-                yield _batch(list(_ranged(lang, 2, [words.distinct[one], words.distinct[two]], n, bits)))
+            rows = list(_ranged(lang, 2, [words.distinct[one], words.distinct[two]], n, bits)) if len(n) else []
+            del text, words, one, two
+            if rows:
+                yield _batch(rows)
+            del rows
+            _release()
 
     return run
 
@@ -338,9 +350,13 @@ def _count_triples(bits: int, seed: int, size: int, held):
             ok = np.append(frequent, False)[where]
             spots = np.flatnonzero(ok[:-1] & ok[1:])
             keys, n = np.unique(where[spots] * len(h) + words.at[spots + 2], return_counts=True)
-            if len(n):
-                pair = keys // len(h)
-                yield _batch(list(_ranged(lang, 3, [h[one[pair]], h[two[pair]], h[keys % len(h)]], n, bits)))
+            pair = keys // max(1, len(h))
+            rows = list(_ranged(lang, 3, [h[one[pair]], h[two[pair]], h[keys % max(1, len(h))]], n, bits)) if len(n) else []
+            del text, words, one, two, where, frequent, ok, spots, h
+            if rows:
+                yield _batch(rows)
+            del rows
+            _release()
 
     return run
 
@@ -360,7 +376,7 @@ def _union(least: int):
         kept = whole.at_least(least)
         if order == 1:
             words = b"\n".join(names[h] for h in kept.levels[0].tolist())
-        return pd.DataFrame([(lang, order, spot, kept.pack(), words, total, clash)], columns=["lang", "n_words", "range", "automaton", "words", "total", "clash"])
+        return pd.DataFrame([(lang, order, spot, kept.pack(), words, total, clash, len(kept.weights))], columns=["lang", "n_words", "range", "automaton", "words", "total", "clash", "paths"])
 
     return run
 
@@ -468,7 +484,7 @@ def _compose(key: tuple, asked: pd.DataFrame, automata: pd.DataFrame) -> pd.Data
 
 
 def _counted(rows: DataFrame, least: int, label: str) -> DataFrame:
-    shape = "lang string, n_words int, range int, automaton binary, words binary, total bigint, clash boolean"
+    shape = "lang string, n_words int, range int, automaton binary, words binary, total bigint, clash boolean, paths bigint"
     return common.materialize(rows.groupBy("lang", "n_words", "range").applyInPandas(_union(least), shape), label)
 
 
@@ -493,7 +509,7 @@ def mine(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_co
         if not counted.where("clash").take(1):
             break
         common.discard(counted)
-    pairs = counted.where("n_words = 2").select("lang", "range", "automaton").mapInArrow(_with_paths, "lang string, range int, automaton binary, paths bigint")
+    pairs = counted.where("n_words = 2").select("lang", "range", "automaton", "paths")
     held = spark.sparkContext.broadcast(_bloom(pairs))
     triples = _counted(rows.mapInArrow(_count_triples(bits, seed, slice_bytes, held), _ROWS), min_count, "collocation-triples")
     held.unpersist()
@@ -518,12 +534,6 @@ def mine(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_co
     return out.join(totals, "lang").select("lang", "phrase", "a", "l", "r", "n", "score")
 
 
-def _with_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        n = pa.array([len(Automaton.unpack(x.as_py()).weights) for x in b.column("automaton")], pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("range"), b.column("automaton"), n], ["lang", "range", "automaton", "paths"])
-
-
 def ranked(found: DataFrame, top: int = TOP) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's first by score, count and phrase."""
     from pyspark.sql import Window
