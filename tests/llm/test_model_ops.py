@@ -363,6 +363,8 @@ def test_toxicity_learns(spark):
     assert toxicity.digest(rows.limit(0), lab).count() == 0
     assert toxicity.train(rows, lab, sample_rows=0).trees is None
     assert {r.score for r in toxicity.digest(rows.limit(3), lab.limit(0)).collect()} == {0.0}
+    without = spark.createDataFrame([(None, "zorkel")], "doc_id long, text string")
+    assert [r.held_out for r in toxicity.digest(without, lab).collect()] == [True]
 
 
 def brute_score(model, text):
