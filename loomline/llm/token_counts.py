@@ -319,12 +319,12 @@ def _map_chunks(path: str):
     return run
 
 
-_MAP_COLUMNS = ["id", "key", "n_bytes", "i", "copies", "head", "n", "state"]
+_MAP_COLUMNS = ["id", "key", "n_bytes", "i", "copies", "head", "n", "state", "n_tokens"]
 
 
 def _compose_runs(path: str, kind: pa.DataType):
-    """Maps in order, those of a run as one."""
-    types = [kind, pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()]
+    """Maps in order, those of a run as one, with the tokens of a text that begins with it."""
+    types = [kind, pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
     schema = pa.schema(list(zip(_MAP_COLUMNS, types, strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,7 +332,8 @@ def _compose_runs(path: str, kind: pa.DataType):
         at, whole, out = None, None, []
 
         def ended() -> dict:
-            return at | {"i": at["run"], "head": whole[0], "n": whole[1], "state": _written(whole[2])}
+            head, n, state = whole
+            return at | {"i": at["run"], "head": head, "n": n, "state": _written(state), "n_tokens": n + machine.run(START, head)[1]}
 
         for b in batches:
             for r in b.to_pylist():
@@ -352,16 +353,6 @@ def _compose_runs(path: str, kind: pa.DataType):
     return run
 
 
-def _finish(path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = transducer(path)
-        for b in batches:
-            n = [k.as_py() + machine.run(START, h)[1] for h, k in zip(_texts(b.column("head")), b.column("n"), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("n_bytes"), b.column("copies"), pa.array(n, pa.int64())], ["id", "n_bytes", "copies", "n_tokens"])
-
-    return run
-
-
 def count(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """(id_col, n_bytes, n_tokens) of every row, as the model's library counts them without begin or end.
 
@@ -382,13 +373,14 @@ def count(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     maps = maps.groupBy("id", "key", "n_bytes", "i").agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("head", "n", "state")])
     maps = common.materialize(maps, "chunk-maps")
     last = maps.agg(F.max("i")).first()[0]
-    shape = f"id {kind}, key binary, n_bytes bigint, i bigint, copies bigint, head string, n bigint, state string"
+    shape = f"id {kind}, key binary, n_bytes bigint, i bigint, copies bigint, head string, n bigint, state string, n_tokens bigint"
+    # a text that was split has two chunks at least, so its maps are composed once at least
+    maps = maps.withColumn("n_tokens", F.lit(0).cast("bigint"))
     while last:
         dealt = common.spread(maps.withColumn("run", F.expr(f"i div {RUN}")), "id", "key", "run").sortWithinPartitions("id", "key", "run", "i")
         maps = dealt.mapInArrow(_compose_runs(path, to_arrow_type(docs.schema[id_col].dataType)), shape)
         last //= RUN
-    whole = maps.mapInArrow(_finish(path), f"id {kind}, n_bytes bigint, copies bigint, n_tokens bigint")
-    whole = whole.select("id", "n_bytes", "n_tokens", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("col")
+    whole = maps.select("id", "n_bytes", "n_tokens", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("col")
     return short.unionByName(whole).withColumnRenamed("id", id_col)
 
 
