@@ -65,7 +65,11 @@ def compatible_rays(rays: DataFrame, agents: DataFrame) -> DataFrame:
     a = agents.select("id", "agent", F.col("session").alias("s"), F.col("workspace").alias("w"), "visible")
     source = rays.select("ray", "session", "source").join(a, (F.col("source") == a["id"]) & (F.col("session") == a["s"]))
     source = source.groupBy("ray").agg(F.count_if("visible").alias("sources"), F.min(F.when(F.col("visible"), F.col("w"))).alias("source_w"), F.collect_set("w").alias("source_ws"))
-    meant = rays.where("link is not null").select("ray", "link", "link_session", "link_workspace").join(a, (F.col("link") == F.when(F.col("link").startswith("agent:"), a["id"]).otherwise(a["agent"])))
+    # a link names a node or an agent: each agent under both, so that one equal key finds it
+    by_node = F.col("link").startswith("agent:")
+    known = a.withColumn("called", F.explode(F.array(F.struct(F.lit(True).alias("n"), F.col("id").alias("k")), F.struct(F.lit(False).alias("n"), F.col("agent").alias("k")))))
+    meant = rays.where("link is not null").select("ray", "link", "link_session", "link_workspace", by_node.alias("n"))
+    meant = meant.join(known.select(F.col("called.n").alias("n"), F.col("called.k").alias("link"), "id", "s", "w", "visible"), ["n", "link"])
     fits = (F.col("link_session").isNull() | (F.col("link_session") == F.col("s"))) & (F.col("link_workspace").isNull() | (F.col("link_workspace") == F.col("w")))
     meant = meant.withColumn("fits", F.coalesce(fits, F.lit(False))).groupBy("ray").agg(
         F.count("*").alias("called"), F.count_if("fits").alias("fitting"), F.count_if(F.col("fits") & F.col("visible")).alias("shown"),
