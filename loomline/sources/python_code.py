@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomline.storage import dealt
+
 IGNORED = r"(^|/)(\.git|node_modules|__pycache__|\.venv|venv|build|dist|target)(/|$)"
 FACTS = "path string, module string, fact string, name string, owner string, line int, end_line int, print string"
 # Names that are the language's own, and how sure a way of resolving a name is.
@@ -90,13 +92,20 @@ def facts_of(path: str, source: str) -> Iterator[tuple]:
     yield from walk(tree, module)
 
 
-def facts(files: DataFrame) -> DataFrame:
+def facts(files: DataFrame, each: int = 2_000) -> DataFrame:
+    """The facts of all files. Files are dealt out first: a small compressed table would be parsed by one task.
+
+    Some rows are parsed at a time, so what a task holds doesn't grow with its share.
+    """
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [r for p, s in zip(pdf["path"], pdf["source"], strict=True) for r in facts_of(p, s or "")]
-            yield pd.DataFrame(rows, columns=["path", "module", "fact", "name", "owner", "line", "end_line", "print"])
+            for at in range(0, len(pdf), 500):
+                part = pdf.iloc[at : at + 500]
+                rows = [r for p, s in zip(part["path"], part["source"], strict=True) for r in facts_of(p, s or "")]
+                yield pd.DataFrame(rows, columns=["path", "module", "fact", "name", "owner", "line", "end_line", "print"])
 
-    return files.mapInPandas(run, FACTS)
+    return dealt(files, each).mapInPandas(run, FACTS)
 
 
 def _scopes(owner: Column, module: Column) -> Column:

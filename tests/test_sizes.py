@@ -1,6 +1,9 @@
 """What keeps tasks small on large tables: plans without the steps that grew too fast, with results by brute force."""
 
+from pyspark.sql import functions as F
+
 from loomline.operators import views
+from loomline.sources import python_code
 
 SF = "/root/testdata/sf0.001"
 
@@ -16,3 +19,10 @@ def test_rays_find_agents_by_equal_keys(spark):
     out = views.compatible_rays(rays, agents)
     assert {r.ray for r in out.collect()} == {1, 3, 5}
     assert "NestedLoop" not in plan(out) and "Cartesian" not in plan(out)
+
+
+def test_files_of_one_partition_are_parsed_by_many_tasks(spark):
+    files = spark.range(40).select(F.concat(F.lit("m"), "id", F.lit(".py")).alias("path"), F.lit("def f():\n    g()\n").alias("source")).coalesce(1)
+    found = python_code.facts(files)
+    assert found.rdd.getNumPartitions() > 1
+    assert {r.fact: r["count"] for r in found.groupBy("fact").count().collect()} == {"module": 40, "function": 40, "calls": 40}
