@@ -164,6 +164,7 @@ def python_names(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT 'pkg.m' || p_partkey || '.helper' || p_partkey AS name, 1::BIGINT AS alike FROM part UNION ALL SELECT 'pkg.m' || p_partkey || '.Base' || p_partkey || '.own', count(*) OVER () FROM part UNION ALL SELECT 'pkg.m' || p_partkey || '.tool' || p_partkey, 1 FROM part")
 def python_prints(spark: SparkSession, d: str) -> DataFrame:
     """How many definitions have each one's print: equal code has one wherever it stands, other names or bodies don't."""
-    found = python_code.facts(_modules(spark, d)).where("fact = 'function' and (name like '%.own' or name rlike '[.](helper|tool)[0-9]+$')")
+    # parsed once, though it is read twice
+    found = keep(python_code.facts(_modules(spark, d)).where("fact = 'function' and (name like '%.own' or name rlike '[.](helper|tool)[0-9]+$')").select("name", "print"), "facts")
     alike = found.groupBy("print").agg(F.count("*").alias("alike"))
     return found.join(alike, "print").select("name", "alike")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from loomline.operators import views
+from loomline.plans import catalog
 from loomline.sources import python_code
 
 SF = "/root/testdata/sf0.001"
@@ -26,3 +27,7 @@ def test_files_of_one_partition_are_parsed_by_many_tasks(spark):
     found = python_code.facts(files)
     assert found.rdd.getNumPartitions() > 1
     assert {r.fact: r["count"] for r in found.groupBy("fact").count().collect()} == {"module": 40, "function": 40, "calls": 40}
+
+
+def test_prints_parse_each_file_once(spark):
+    assert "MapInPandas" not in plan(catalog.QUERIES["python_prints"](spark, SF))
