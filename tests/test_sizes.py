@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from loomline.operators import views
+from loomline.operators import selection, views
 from loomline.plans import catalog
 from loomline.sources import python_code
 
@@ -31,3 +31,11 @@ def test_files_of_one_partition_are_parsed_by_many_tasks(spark):
 
 def test_prints_parse_each_file_once(spark):
     assert "MapInPandas" not in plan(catalog.QUERIES["python_prints"](spark, SF))
+
+
+def test_overrides_in_lists(spark):
+    nodes = [(f"{ns}{name}{i}", "var", name, ns) for ns in "abc" for name in "xyz" for i in range(7)]
+    edges = spark.createDataFrame([("requires", "ax0", "by1"), ("requires", "cx0", "ay1"), ("calls", "bx0", "cy1")], "kind string, source string, target string")
+    out = selection.overrides(edges, spark.createDataFrame(nodes, "id string, kind string, label string, namespace string"), each=2)
+    want = sorted((c, p, n) for c, _, n, a in nodes for p, _, m, b in nodes if n == m and (a, b) in {("a", "b"), ("c", "a")})
+    assert sorted(tuple(r) for r in out.collect()) == want
