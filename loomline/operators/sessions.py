@@ -127,10 +127,11 @@ def permissions(events: DataFrame) -> DataFrame:
     how = F.when(F.col("agent").isNotNull(), "named").when(top_seen, "top").when(last_seen.isNotNull(), "recent").otherwise("none")
     rows = rows.withColumns({"owner": owner, "how": how})
     rows = rows.where(F.col("tool_call").isNotNull() & (F.col("_permission").isNotNull() | F.col("_tool").isNotNull()))
-    ahead = Window.partitionBy("session", "tool_call").orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
+    # read backwards, what comes next is the last one seen: a frame that only grows is kept up row by row, one that only shrinks isn't
+    ahead = Window.partitionBy("session", "tool_call").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
     answers = (F.col("_permission") == "completed") | F.col("_tool").isNotNull()
-    answer = F.first(F.when(F.coalesce(answers, F.lit(False)), F.struct("seq", "ts", "result", "_permission")), ignorenulls=True).over(ahead)
-    again = F.first(F.when(F.col("_permission") == "requested", F.col("seq")), ignorenulls=True).over(ahead)
+    answer = F.last(F.when(F.coalesce(answers, F.lit(False)), F.struct("seq", "ts", "result", "_permission")), ignorenulls=True).over(ahead)
+    again = F.last(F.when(F.col("_permission") == "requested", F.col("seq")), ignorenulls=True).over(ahead)
     asked = rows.withColumns({"answer": answer, "again": again}).where("_permission = 'requested'")
     own = F.col("answer.seq").isNotNull() & (F.col("again").isNull() | (F.col("again") > F.col("answer.seq")))
     return asked.select(

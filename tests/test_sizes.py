@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from loomline.operators import selection, views
+from loomline.operators import selection, sessions, views
 from loomline.plans import catalog
 from loomline.sources import python_code
 
@@ -39,3 +39,13 @@ def test_overrides_in_lists(spark):
     out = selection.overrides(edges, spark.createDataFrame(nodes, "id string, kind string, label string, namespace string"), each=2)
     want = sorted((c, p, n) for c, _, n, a in nodes for p, _, m, b in nodes if n == m and (a, b) in {("a", "b"), ("c", "a")})
     assert sorted(tuple(r) for r in out.collect()) == want
+
+
+def test_permissions_look_ahead_in_frames_that_grow(spark):
+    rows = [(1, "permission.requested", 1), (2, "permission.requested", 1), (3, "tool.started", 2), (4, "permission.completed", 1), (5, "permission.requested", 2)]
+    events = spark.createDataFrame([(s, "s", t, c) for s, t, c in rows], "seq long, session string, type string, tool_call long").withColumns(
+        {"ts": F.timestamp_seconds("seq"), "status": F.lit("ok"), "agent": F.lit(None).cast("string"), "result": F.lit(None).cast("string")}
+    )
+    out = sessions.permissions(events)
+    assert {(r.asked_seq, r.answered_seq, r.waited_ms) for r in out.collect()} == {(1, None, None), (2, 4, 2000), (5, None, None)}
+    assert "unboundedfollowing" not in plan(out)
