@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomline.operators.graph import with_namespaces
 from loomline.operators.ordering import numbered, running_totals
-from loomline.storage import discard, keep
+from loomline.storage import discard, keep, shares
 
 HEAT_COMMITS = 20
 DECAY_MS = 30_000
@@ -74,11 +74,16 @@ def static_pairs(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def lagged_coupling(seen: DataFrame, order: DataFrame, lag: int = 2) -> DataFrame:
     """(a, b, follows): commits with ``a`` that one of the next ``lag`` commits with ``b`` follows.
 
-    ``order``: commit, i (0..). Each change is dealt to the few earlier positions it may answer to.
+    ``order``: commit, i (0..). Each commit's set of namespaces is dealt to the few earlier positions it
+    may answer to and united there, so a pair comes up once a commit and nothing has to be made distinct.
     """
     rows = seen.join(order, "commit")
-    later = rows.select(F.col("ns").alias("b"), F.explode(F.transform(F.sequence(F.lit(1), F.lit(lag)), lambda k: F.col("i") - k)).alias("i"))
-    return rows.select("i", F.col("ns").alias("a")).join(later, "i").where("a <> b").select("a", "b", "i").distinct().groupBy("a", "b").agg(F.count("*").alias("follows"))
+    n = shares(order, 100_000)
+    own = rows.repartition(n, "i").groupBy("i").agg(F.collect_set("ns").alias("own"))
+    later = own.select("own", F.explode(F.transform(F.sequence(F.lit(1), F.lit(lag)), lambda k: F.col("i") - k)).alias("i"))
+    later = later.repartition(n, "i").groupBy("i").agg(F.array_distinct(F.flatten(F.collect_list("own"))).alias("later"))
+    pairs = own.join(later, "i").select(F.explode("own").alias("a"), "later").select("a", F.explode("later").alias("b"))
+    return pairs.where("a <> b").groupBy("a", "b").agg(F.count("*").alias("follows"))
 
 
 def coverage(changes: DataFrame, commits: DataFrame) -> DataFrame:
@@ -103,10 +108,19 @@ def edit_heat(changes: DataFrame, last: int = HEAT_COMMITS) -> DataFrame:
     return counts.withColumn("heat", F.when(F.col("edits") < 3, 0.0).otherwise(F.least(F.lit(1.0), (F.col("edits") - 2) / 4)))
 
 
-def rolling_edits(seen: DataFrame, order: DataFrame, last: int = HEAT_COMMITS) -> DataFrame:
-    """(ns, most): the most edits of a namespace within any ``last`` consecutive commits."""
-    w = Window.partitionBy("ns").orderBy("i").rangeBetween(-(last - 1), 0)
-    return seen.join(order, "commit").withColumn("k", F.count("*").over(w)).groupBy("ns").agg(F.max("k").alias("most"))
+def rolling_edits(seen: DataFrame, order: DataFrame, last: int = HEAT_COMMITS, block: int = 10_000) -> DataFrame:
+    """(ns, most): the most edits of a namespace within any ``last`` consecutive commits.
+
+    Commits are cut into blocks; the last ones of a block are seen by the next one too, so a namespace
+    that is edited all the time lies in many tasks.
+    """
+    block = max(block, last)
+    rows = seen.join(order, "commit").select("ns", "i", F.expr(f"i div {block}").alias("block"))
+    near = F.col("i") % block > block - last
+    rows = rows.select("ns", "i", F.explode(F.when(near, F.array(F.col("block"), F.col("block") + 1)).otherwise(F.array("block"))).alias("at"))
+    rows = rows.repartition(shares(order, 100_000), "ns", "at")
+    w = Window.partitionBy("ns", "at").orderBy("i").rangeBetween(-(last - 1), 0)
+    return rows.withColumn("k", F.count("*").over(w)).groupBy("ns").agg(F.max("k").alias("most"))
 
 
 def playback(changes: DataFrame, order: DataFrame, step_ms: int = 40, frame_ms: int = 1_000) -> DataFrame:

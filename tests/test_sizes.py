@@ -1,10 +1,13 @@
 """What keeps tasks small on large tables: plans without the steps that grew too fast, with results by brute force."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from loomline.operators import selection, sessions, views
+from loomline.operators import history, selection, sessions, views
 from loomline.plans import catalog
 from loomline.sources import python_code
+from loomline.sources import relational as src
 
 SF = "/root/testdata/sf0.001"
 
@@ -49,3 +52,31 @@ def test_permissions_look_ahead_in_frames_that_grow(spark):
     out = sessions.permissions(events)
     assert {(r.asked_seq, r.answered_seq, r.waited_ms) for r in out.collect()} == {(1, None, None), (2, 4, 2000), (5, None, None)}
     assert "unboundedfollowing" not in plan(out)
+
+
+def test_changes_are_dealt_by_the_number_of_lines(spark):
+    assert src.changes(spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def _history(spark):
+    rng = random.Random(5)
+    seen = {(c, f"n{rng.randrange(6)}") for c in range(60) for _ in range(3)}
+    order = spark.createDataFrame([(c, c) for c in range(60)], "commit long, i long")
+    return seen, spark.createDataFrame(sorted(seen), "commit long, ns string"), order
+
+
+def test_lagged_coupling_by_sets(spark):
+    seen, rows, order = _history(spark)
+    want = {}
+    for a, b, i in {(x, y, i) for i, x in seen for j, y in seen if i < j <= i + 3 and x != y}:
+        want[a, b] = want.get((a, b), 0) + 1
+    out = history.lagged_coupling(rows, order, lag=3)
+    assert {(r.a, r.b): r.follows for r in out.collect()} == want
+    assert plan(out).count("Generate") >= 3
+
+
+def test_rolling_edits_over_blocks(spark):
+    seen, rows, order = _history(spark)
+    for last in (1, 4, 7):
+        want = {n: max(sum((j, n) in seen for j in range(i - last + 1, i + 1)) for i in range(60)) for _, n in seen}
+        assert {r.ns: r.most for r in history.rolling_edits(rows, order, last, block=7).collect()} == want
