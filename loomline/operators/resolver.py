@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loomline.functions.text import relative_to, slashes, within
 from loomline.operators.history import path_suffixes
+from loomline.storage import keep
 
 # Families of commands that have a group each.
 FAMILIES = ("tests", "git", "build")
@@ -57,17 +58,20 @@ def resolve(resources: DataFrame, nodes: DataFrame, root: str, most: int = MOST)
         "event", "k", "kind", "name", path.alias("path"), "line", F.col("action").isNotNull().alias("done"), (F.col("here") & ~F.col("outside")).alias("inside"),
         (absolute & ~within(path, F.lit(root))).alias("foreign"), F.when(within(path, F.lit(root)), relative_to(path, F.lit(root))).otherwise(path).alias("key"),
     )
+    r = keep(r, "resources")
     look = F.col("inside") & ~F.col("foreign") & F.col("key").isNotNull()
     found = files_of(r.where(look).select(F.col("key").alias("path")), nodes).withColumnRenamed("path", "key")
     r = r.join(found, "key", "left").withColumn("file", F.when(look, F.col("file")))
     spans = nodes.where("file is not null and row is not null").select("file", "row", F.coalesce("end_row", "row").alias("end"), F.col("id").alias("node"))
-    around = r.where("file is not null and line is not null").select("event", "k", "file", "line").join(spans, "file")
+    # the span is the file's and line's alone: each place is looked up once, however many resources name it
+    spans = spans.groupBy("file", "row", "end").agg(F.min("node").alias("node"))
+    around = r.where("file is not null and line is not null").select("file", "line").distinct().join(spans, "file")
     around = around.where("line between row and end or line - 1 between row and end")
-    around = around.groupBy("event", "k").agg(F.min(F.struct((F.col("end") - F.col("row")).alias("size"), "node")).alias("s")).select("event", "k", F.col("s.node").alias("span"))
+    around = around.groupBy("file", "line").agg(F.min(F.struct((F.col("end") - F.col("row")).alias("size"), "node")).alias("s")).select("file", "line", F.col("s.node").alias("span"))
     # of a file: its namespace's node, and the namespace of its first node that has one
     first = F.struct(F.coalesce("row", F.lit(0)).alias("row"), "id", "namespace")
     of_file = nodes.where("file is not null").groupBy("file").agg(F.min(F.when(F.col("kind") == "namespace", first)).alias("ns"), F.min(F.when(F.col("namespace").isNotNull(), first)).alias("member"))
-    r = r.join(around, ["event", "k"], "left").join(of_file, "file", "left")
+    r = r.join(around, ["file", "line"], "left").join(of_file, "file", "left")
     external = F.when((F.col("kind") == "url") & F.col("name").isNotNull(), F.concat(F.lit("group:activity:web:"), "name")).when(F.col("kind").isin(*FAMILIES), F.concat(F.lit("group:activity:tool:"), "kind"))
     hit = lambda target, id_, how: F.struct(F.lit(target).alias("target"), id_.alias("id"), F.lit(how).alias("how"))
     own = F.when(F.col("done") | F.col("kind").isNotNull(), hit("group", _own_group(F.col("path"), F.col("kind")), "own"))

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from loomline.operators import history, selection, sessions, views
+from loomline.operators import history, resolver, selection, sessions, views
 from loomline.plans import catalog
 from loomline.sources import python_code
 from loomline.sources import relational as src
@@ -80,3 +80,25 @@ def test_rolling_edits_over_blocks(spark):
     for last in (1, 4, 7):
         want = {n: max(sum((j, n) in seen for j in range(i - last + 1, i + 1)) for i in range(60)) for _, n in seen}
         assert {r.ns: r.most for r in history.rolling_edits(rows, order, last, block=7).collect()} == want
+
+
+def test_places_are_looked_up_once(spark):
+    resources = [(e, 1, None, None, None, "a.py", 5, "read", True, False) for e in range(50)]
+    resources = spark.createDataFrame(resources, "event long, k int, node_id string, kind string, name string, path string, line int, action string, here boolean, outside boolean")
+    nodes = spark.createDataFrame([(f"n{i}", "var", "a", "a.py", i, 9) for i in range(6)], "id string, kind string, namespace string, file string, row int, end_row int")
+    out = resolver.resolve(resources, nodes, "/repo")
+    assert {(r.event, r.id, r.how) for r in out.collect()} == {(e, "n5", "span") for e in range(50)}
+    assert any("keys=[file#" in x and ", line#" in x for x in plan(out).splitlines())
+
+
+def test_heavy_rows_are_dealt_by_number(spark):
+    for name in ("argument_resources", "shell_intents"):
+        assert catalog.QUERIES[name](spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_playback_edges_are_dealt_for_each_join(spark):
+    ids = spark.createDataFrame([("a",), ("b",)], "id string")
+    edges = spark.createDataFrame([("requires", "a", "c"), ("requires", "c", "a"), ("calls", "c", "b"), ("calls", "c", "d")], "kind string, source string, target string")
+    out = views.playback_edges(edges, ids.withColumn("value", F.lit(1)), ids.limit(0), ids.limit(0), edges.where("source = 'a'"), tasks=6)
+    assert {tuple(r) for r in out.collect()} == {("requires", "a", "c"), ("calls", "c", "b")}
+    assert plan(out).count("REPARTITION_BY_NUM") >= 4
