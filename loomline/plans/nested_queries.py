@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.operators import nested
-from loomline.storage import table
+from loomline.storage import dealt, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -67,7 +67,8 @@ FROM told"""
 )
 def argument_resources(spark: SparkSession, d: str) -> DataFrame:
     """Resources that the arguments of calls name, to the fourth level and the 32nd resource."""
-    calls = table(spark, d, "events").selectExpr("event_id", "user_id").createOrReplaceTempView("_events_of_calls")
+    # few bytes with much work: dealt by their number
+    dealt(table(spark, d, "events").select("event_id", "user_id"), 20_000).createOrReplaceTempView("_events_of_calls")
     calls = spark.sql(_CALLS_SQL.replace("FROM events", "FROM _events_of_calls"))
     found = nested.nested_resources(calls)
     return found.select("event_id", "place", "kind", "path", "outside", "action")
