@@ -17,16 +17,18 @@ def playback_nodes(nodes: DataFrame, decay: DataFrame, changed: DataFrame, revea
     return nodes.where(F.col("kind").isin(*always)).unionByName(nodes.where(~F.col("kind").isin(*always)).join(shown, "id", "left_semi").select(*nodes.columns))
 
 
-def playback_edges(edges: DataFrame, decay: DataFrame, changed: DataFrame, revealed: DataFrame, changed_edges: DataFrame | None = None) -> DataFrame:
+def playback_edges(edges: DataFrame, decay: DataFrame, changed: DataFrame, revealed: DataFrame, changed_edges: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
     """Edges that a playback shows: those with an end in sight; where it is known which edges a frame
-    changes, ``requires`` edges only if they are among them (kind, source, target)."""
+    changes, ``requires`` edges only if they are among them (kind, source, target). ``tasks``: how many
+    tasks the edges are dealt to for each join."""
+    by = lambda df, *keys: df.repartition(tasks, *keys) if tasks else df
     hidden = changed.select("id").distinct().join(revealed.select("id"), "id", "left_anti")
     shown = decay.where("value > 0").select("id").distinct().join(hidden, "id", "left_anti").withColumn("_seen", F.lit(True))
     at = lambda end: shown.select(F.col("id").alias(end), F.col("_seen").alias(f"_{end}"))
-    out = edges.join(at("source"), "source", "left").join(at("target"), "target", "left").where("_source or _target").select(*edges.columns)
+    out = by(by(edges, "source").join(at("source"), "source", "left"), "target").join(at("target"), "target", "left").where("_source or _target").select(*edges.columns)
     if changed_edges is None:
         return out
-    known = out.where("kind = 'requires'").join(changed_edges.select("kind", "source", "target").distinct(), ["kind", "source", "target"], "left_semi").select(*edges.columns)
+    known = by(out.where("kind = 'requires'"), "source", "target").join(by(changed_edges.where("kind = 'requires'").select("kind", "source", "target"), "source", "target").distinct(), ["kind", "source", "target"], "left_semi").select(*edges.columns)
     return out.where("kind <> 'requires'").unionByName(known)
 
 

@@ -11,7 +11,7 @@ from loomline.plans.history_queries import BASE as HISTORY
 from loomline.plans.history_queries import SEEN
 from loomline.sources import ir
 from loomline.sources import relational as src
-from loomline.storage import table
+from loomline.storage import keep, shares, table
 
 EVENTS = "WITH " + src.LIFECYCLE_SQL
 QUERIES, ORACLES = {}, {}
@@ -84,9 +84,9 @@ def _play(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]
 UNION ALL SELECT kind, source, target FROM edges WHERE (source IN (SELECT id FROM lit) OR target IN (SELECT id FROM lit)) AND (kind <> 'requires' OR first_order % 2 = 0)"""
 )
 def playback_visible(spark: SparkSession, d: str) -> DataFrame:
-    e = src.edges(spark, d)
+    e = keep(src.edges(spark, d), "edges")
     nodes = views.playback_nodes(src.nodes(spark, d), *_play(spark, d)).select(F.lit("node").alias("what"), "id", F.lit("").alias("target"))
-    edges = views.playback_edges(e, *_play(spark, d), e.where("first_order % 2 = 0"))
+    edges = views.playback_edges(e, *_play(spark, d), e.where("first_order % 2 = 0"), shares(table(spark, d, "lineitem")))
     return nodes.unionByName(edges.select(F.col("kind").alias("what"), F.col("source").alias("id"), "target"))
 
 
