@@ -294,6 +294,8 @@ def namespace_metrics(edges: DataFrame, nodes: DataFrame, structural: tuple[str,
     Connectedness weighs weighted degree, PageRank and betweenness; over-dependency weighs
     instability, fan-out, cycle severity and fan-in.
     """
+    # read by each measure
+    edges, nodes = keep(edges, "edges"), keep(nodes, "nodes")
     ids = keep(namespaces(nodes).select(F.col("ns").alias("id")), "ids")
     pairs = keep(links(edges, nodes, structural), "links")
     roots = cycles(pairs, ids)
