@@ -5,7 +5,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from loomline.operators import history, resolver, selection, sessions, views
+from loomline.operators import activity, history, resolver, selection, sessions, views
 from loomline.plans import catalog
 from loomline.sources import archive, python_code
 from loomline.sources import relational as src
@@ -115,3 +115,26 @@ def test_an_archive_has_no_file_for_each_recording(spark, tmp_path):
     (path / "late.json").write_text('{"recording_id":"r1","recordingSequence":7,"ev\n{"recording_id":"say \\"\\\\x\\"","recordi\n{"recordi\n')
     got = {r.recording_id: (r.event_count, r.last_sequence) for r in archive.manifest(archive.read(spark, str(path))).collect()}
     assert got == {f"r{i}": (3 + (i == 1), 80 + i) for i in range(40)} | {'say "\\x"': (2, 120), "": (1, 121), None: (2, 122)}
+
+
+def _meets_in_pairs(df):
+    return any("Join" in x and "<=" in x for x in plan(df).splitlines())
+
+
+def test_live_groups_by_running_folds(spark):
+    rng = random.Random(3)
+    pick = lambda *v: rng.choice([*v, None])
+    specs = [(s, rng.choice([rng.randrange(-60, 60), None] + 8 * [7]), pick("a", "b"), pick("p", "q"), f"l{s}", rng.choice("xy"), pick(1, 2), pick("ok", "bad")) for s in rng.sample(range(300), 300)]
+    times = [*range(-70, 90, 3), 7, 7, 17, None]
+    want = {}
+    for at in {t for t in times if t is not None}:
+        for g in ("a", "b", None):
+            rows = sorted(r for r in specs if r[1] is not None and r[2] == g and 0 <= at - r[1] <= 10)
+            if rows:
+                last, outcomes = max(r[1] for r in rows), [r[7] for r in rows if r[7]]
+                want[at, g] = (rows[-1][3], rows[0][4], rows[-1][5], last, last + 10, sum(r[6] or 0 for r in rows), outcomes[-1] if outcomes else None)
+    specs = spark.createDataFrame(specs, "seq long, ms long, id string, parent string, label string, kind string, weight int, outcome string")
+    out = activity.live_groups(specs, spark.createDataFrame([(t,) for t in times], "at long"), ttl_ms=10)
+    got = [((r.at, r.id), (r.parent, r.label, r.kind, r.last_at, r.expires_at, r.weight, r.outcome)) for r in out.collect()]
+    assert len(got) == len(want) and dict(got) == want
+    assert not _meets_in_pairs(out)
