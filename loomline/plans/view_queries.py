@@ -348,9 +348,8 @@ def changed_signatures(spark: SparkSession, d: str) -> DataFrame:
     """Which of the times show the same layout: those with one print."""
     specs, times = _specs(spark, d)
     e = src.lifecycle(spark, d).where("agent is not null").select("agent", activity.millis().alias("ms"))
-    hour = F.floor(F.col("ms") / 3_600_000)
-    near = e.withColumn("b", F.explode(F.array(hour, hour + 1))).join(times.withColumn("b", F.floor(F.col("at") / 3_600_000)), "b").where("ms <= at and at - ms <= 3600000")
-    agents = near.groupBy("at", F.col("agent").alias("id")).agg(F.max("ms").alias("updated_at")).select("at", "id", F.lit(None).cast("string").alias("parent"), F.col("id").alias("label"), "updated_at")
+    seen = activity.within(e.select(F.col("agent").alias("id"), "ms"), times, 3_600_000)
+    agents = seen.select("at", "id", F.lit(None).cast("string").alias("parent"), F.col("id").alias("label"), F.col("last_at").alias("updated_at"))
     prints = activity.signatures(activity.live_groups(specs, times), agents)
     return prints.groupBy("signature").agg(F.min("at").alias("first_at"), F.count("*").alias("times")).drop("signature")
 

@@ -138,3 +138,10 @@ def test_live_groups_by_running_folds(spark):
     got = [((r.at, r.id), (r.parent, r.label, r.kind, r.last_at, r.expires_at, r.weight, r.outcome)) for r in out.collect()]
     assert len(got) == len(want) and dict(got) == want
     assert not _meets_in_pairs(out)
+
+
+def test_signatures_look_up_last_updates(spark):
+    marks = spark.createDataFrame([("a", 5), ("a", 14), ("b", 14), ("a", 14), (None, 3), ("b", None)], "id string, ms long")
+    out = activity.within(marks, spark.createDataFrame([(4,), (15,), (24,), (25,), (99,)], "at long"), 10)
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted([(4, None, 3), (15, "a", 14), (15, "b", 14), (24, "a", 14), (24, "b", 14)], key=repr)
+    assert not _meets_in_pairs(catalog.QUERIES["changed_signatures"](spark, SF))
