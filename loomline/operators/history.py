@@ -154,35 +154,44 @@ def resolve_renames(paths: DataFrame, renames: DataFrame, current: DataFrame | N
 
     A chain ends at a path that exists now (``current``, with a ``path`` column), at one that was never
     renamed, or where it closes: a path that leads into a circle gets the circle's first path on its
-    way, one on a circle itself. Pointers double each round, so a chain of n renames takes log n
-    rounds. Of several new names of one path the smallest counts.
+    way, one on a circle itself. Pointers double each round, so the rounds are the logarithm of the
+    longest way to an end or a circle, whatever the number of renames. Of several new names of one path
+    the smallest counts.
     """
     hops = renames.where("old is not null and new is not null").groupBy(F.col("old").alias("path")).agg(F.min("new").alias("next"))
     if current is not None:
         hops = hops.join(current.select("path").distinct(), "path", "left_anti")
     hops = keep(hops, "renames")
-    rounds = max(1, hops.count().bit_length())
-    ends = _followed(hops, rounds)
-    # what still leads on after as many steps as there are renames goes round: those are the circles' paths
-    circle = keep(ends.where("open").select(F.col("end").alias("path")).distinct(), "renames")
+    ended, going = _followed(hops)
+    circle = keep(going.select(F.col("end").alias("path")).distinct(), "renames")
     if not circle.isEmpty():
-        first = keep(hops.join(circle, "path", "left_anti"), "renames")
-        discard(ends)
-        ends = _followed(first, rounds)
-    return paths.join(ends.select("path", "end"), "path", "left").select("path", F.coalesce("end", "path").alias("now"))
-
-
-def _followed(hops: DataFrame, rounds: int) -> DataFrame:
-    """(path, end, open): where each path's hops lead after 2^rounds steps; open if they lead on."""
-    state = keep(hops.select("path", F.col("next").alias("end")), "renames")
-    for _ in range(rounds):
-        onward = state.select(F.col("path").alias("end"), F.col("end").alias("next"))
-        new = keep(state.join(onward, "end", "left").select("path", F.coalesce("next", "end").alias("end"), F.col("next").isNotNull().alias("open")), "renames")
-        discard(state)
-        state = new
-        if state.where("open").isEmpty():
-            break
-    return state
+        into = going.select("path").join(circle, "path", "left_anti")
+        ended = ended.union(_followed(keep(hops.join(into, "path", "left_semi"), "renames"))[0])
+    return paths.join(ended, "path", "left").select("path", F.coalesce("end", "path").alias("now"))
+
+
+def _followed(hops: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(path, end) of the paths whose hops end, and of those that go round, with a path on their circle.
+
+    Rows are written again only while they lead on. The ends of those that do are ever fewer; once a
+    round leaves them as they were, hops only move them among themselves: they are the circles' paths,
+    all of them.
+    """
+    known = hops.select(F.col("path").alias("end"), F.lit(True).alias("open"))
+    rows = keep(hops.withColumnRenamed("next", "end").join(known, "end", "left").select("path", "end", F.coalesce("open", F.lit(False)).alias("open")), "renames")
+    ended, before = None, None
+    while True:
+        done = keep(rows.where("not open"), "renames")
+        ended = done if ended is None else ended.union(done)
+        going = rows.where("open")
+        ends = going.agg(F.count_distinct("end")).first()[0]
+        if ends in (0, before):
+            return ended.select("path", "end"), going.select("path", "end")
+        before = ends
+        onward = ended.union(going).select(F.col("path").alias("end"), F.col("end").alias("next"), F.col("open").alias("on"))
+        new = keep(going.join(onward, "end").select("path", F.col("next").alias("end"), F.col("on").alias("open")), "renames")
+        discard(rows)
+        rows = new
 
 
 def path_prefixes(path: Column) -> Column:

@@ -219,7 +219,7 @@ def resolved_renames(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("k")
     ids = table(spark, d, "part").select(F.col("p_partkey").alias("k"))
     # the ends of a chain may lie beyond the last part
-    every = ids.select(F.explode(F.sequence(k - k % 64, k - k % 64 + 63)).alias("k")).distinct()
+    every = ids.select((k - k % 64).alias("k")).distinct().select(F.explode(F.sequence(k, k + 63)).alias("k"))
     name = lambda kind, i: F.concat(F.lit(kind), i)
     new = F.when((k % 8).isin(0, 1, 4, 5), k + 1).when(k % 8 == 2, k - 2)
     renames = every.select(name("f", k).alias("old"), name("f", new).alias("new")).where("new is not null")

@@ -145,3 +145,27 @@ def test_signatures_look_up_last_updates(spark):
     out = activity.within(marks, spark.createDataFrame([(4,), (15,), (24,), (25,), (99,)], "at long"), 10)
     assert sorted(map(tuple, out.collect()), key=repr) == sorted([(4, None, 3), (15, "a", 14), (15, "b", 14), (24, "a", 14), (24, "b", 14)], key=repr)
     assert not _meets_in_pairs(catalog.QUERIES["changed_signatures"](spark, SF))
+
+
+def test_rounds_go_by_the_longest_way_not_by_the_renames(spark, monkeypatch):
+    rng, rounds = random.Random(4), []
+    monkeypatch.setattr(history, "keep", lambda df, label="step", keep=history.keep: rounds.append(label) or keep(df, label))
+    for groups in (20, 600):  # circles of 1 to 7 paths with two ways of 1 to 3 renames into each, and chains of 5
+        hops = {}
+        for g in range(groups):
+            n = g % 7 + 1
+            hops |= {f"c{g}.{i}": f"c{g}.{(i + 1) % n}" for i in range(n)} | {f"e{g}.{i}": f"e{g}.{i + 1}" for i in range(5)}
+            for w in "uv":
+                way = [f"{w}{g}.{i}" for i in range(rng.randrange(3) + 1)]
+                hops |= dict(zip(way, [*way[1:], f"c{g}.{rng.randrange(n)}"], strict=True))
+        want = {}
+        for path in {*hops, *hops.values()}:
+            way = [path]
+            while way[-1] in hops and hops[way[-1]] not in way:
+                way.append(hops[way[-1]])
+            want[path] = hops.get(way[-1], way[-1])
+        got = history.resolve_renames(spark.createDataFrame([(p,) for p in want], "path string"), spark.createDataFrame(list(hops.items()), "old string, new string")).collect()
+        assert {r.path: r.now for r in got} == want and len(got) == len(want)
+        rounds.append("|")
+    small, large = "".join(x[0] for x in rounds).split("|")[:2]
+    assert small == large
