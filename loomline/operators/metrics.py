@@ -18,7 +18,8 @@ from loomline.operators.ordering import running_totals
 from loomline.storage import discard, keep
 
 DAMPING, ROUNDS = 0.85, 24
-MAX_SOURCES = 200
+#: Nodes that shortest paths are counted from at once; each has a row for every node it reaches.
+SOURCES_AT_ONCE = 1000
 
 
 def degrees(edges: DataFrame, nodes: DataFrame, structural: tuple[str, ...] = ("requires",)) -> DataFrame:
@@ -221,42 +222,44 @@ def fnv1a(text: str) -> int:
     return h
 
 
-def betweenness(pairs: DataFrame, ids: DataFrame, max_sources: int = MAX_SOURCES) -> DataFrame:
+def betweenness(pairs: DataFrame, ids: DataFrame, at_once: int = SOURCES_AT_ONCE) -> DataFrame:
     """(id, score): shares of shortest paths through each node, its own paths left out.
 
-    Up to ``max_sources`` sources, chosen by hash beyond it and scaled to all. Paths are counted level
-    by level for all sources at once, and dependencies summed backwards.
+    Every node is a source, about ``at_once`` of them in a run; of a run only the sums are kept.
     """
     arcs = keep(pairs.where("a <> b").distinct(), "arcs")
-    n = ids.count()
-    sources = ids.select("id")
-    if n > max_sources:
-        from loomline.functions.hashing import fnv1a_udf
-
-        sources = sources.orderBy(fnv1a_udf()(F.col("id")), "id").limit(max_sources)
-    sources = keep(sources, "sources")
-    used = min(n, max_sources)
-    front = sources.select(F.col("id").alias("s"), "id", F.lit(1.0).alias("sigma"))
-    levels = [keep(front, "level")]
+    runs = max(1, -(-ids.count() // at_once))
+    sources = keep(ids.select("id", F.pmod(F.xxhash64("id"), F.lit(runs)).alias("run")), "sources")
+    sums = [_dependencies(arcs, sources.where(F.col("run") == i).select("id")) for i in range(runs)]
+    discard(arcs, sources)
+    score = reduce(DataFrame.union, sums, ids.select("id", F.lit(0.0).alias("delta")))
+    return score.groupBy("id").agg(F.sum("delta").alias("score"))
+
+
+def _dependencies(arcs: DataFrame, sources: DataFrame) -> DataFrame:
+    """(id, delta): how far the shortest paths from the sources depend on each node between their ends.
+
+    Paths are counted level by level for all sources at once, and dependencies summed backwards.
+    """
+    levels = [keep(sources.select(F.col("id").alias("s"), "id", F.lit(1.0).alias("sigma")), "level")]
     seen = levels[0].select("s", "id")
     while True:
         step = levels[-1].join(arcs, levels[-1]["id"] == arcs["a"]).groupBy("s", F.col("b").alias("id")).agg(F.sum("sigma").alias("sigma"))
         step = keep(step.join(seen, ["s", "id"], "left_anti"), "level")
         if step.isEmpty():
+            discard(step)
             break
         levels.append(step)
         seen = seen.union(step.select("s", "id"))
-    delta = levels[-1].withColumn("delta", F.lit(0.0))
-    parts = []
+    deltas = [levels[-1].withColumn("delta", F.lit(0.0))]
     for level in reversed(levels[:-1]):
-        lower = delta.select("s", F.col("id").alias("b"), ((1 + F.col("delta")) / F.col("sigma")).alias("share"))
+        lower = deltas[-1].select("s", F.col("id").alias("b"), ((1 + F.col("delta")) / F.col("sigma")).alias("share"))
         got = arcs.join(lower, "b").groupBy("s", F.col("a").alias("id")).agg(F.sum("share").alias("got"))
-        delta = keep(level.join(got, ["s", "id"], "left").withColumn("delta", F.col("sigma") * F.coalesce("got", F.lit(0.0))).drop("got"), "delta")
-        parts.append(delta.where("s <> id").select("id", "delta"))
-    score = ids.select("id", F.lit(0.0).alias("delta"))
-    for p in parts:
-        score = score.union(p)
-    return score.groupBy("id").agg((F.sum("delta") * (n / max(used, 1))).alias("score"))
+        deltas.append(keep(level.join(got, ["s", "id"], "left").withColumn("delta", F.col("sigma") * F.coalesce("got", F.lit(0.0))).drop("got"), "delta"))
+    out = reduce(DataFrame.union, [d.where("s <> id").select("id", "delta") for d in deltas])
+    out = keep(out.groupBy("id").agg(F.sum("delta").alias("delta")), "score")
+    discard(*levels, *deltas)
+    return out
 
 
 def cohesion(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from loomline.operators import activity, history, resolver, selection, sessions, views
+from loomline.operators import activity, history, metrics, resolver, selection, sessions, views
 from loomline.plans import catalog
 from loomline.sources import archive, python_code
 from loomline.sources import relational as src
@@ -45,6 +45,47 @@ def test_overrides_in_lists(spark):
     assert sorted(tuple(r) for r in out.collect()) == want
 
 
+def _shares_of_paths(ids, arcs):
+    """Betweenness by brute force, a walk for each source."""
+    ahead, score = {}, dict.fromkeys(ids, 0.0)
+    for a, b in arcs:
+        ahead.setdefault(a, []).append(b)
+    for s in ids:
+        paths, depth, before, order = {s: 1}, {s: 0}, {}, [s]
+        for v in order:
+            for w in ahead.get(v, ()):
+                if w not in depth:
+                    depth[w], paths[w] = depth[v] + 1, 0
+                    order.append(w)
+                if depth[w] == depth[v] + 1:
+                    paths[w] += paths[v]
+                    before.setdefault(w, []).append(v)
+        delta = dict.fromkeys(order, 0.0)
+        for w in reversed(order[1:]):
+            for v in before[w]:
+                delta[v] += paths[v] / paths[w] * (1 + delta[w])
+            score[w] += delta[w]
+    return score
+
+
+def test_betweenness_takes_every_source(spark):
+    rng = random.Random(6)
+    left, inner, right = ([f"{c}{i}" for i in range(n)] for c, n in (("l", 140), ("m", 12), ("r", 140)))
+    ids = [*left, *inner, *right]
+    arcs = {(a, rng.choice(inner)) for a in left for _ in range(2)} | {(rng.choice(inner), b) for b in right for _ in range(2)} | {("m0", "l0"), ("m1", "m2"), ("r3", "r3")}
+    want = _shares_of_paths(ids, [(a, b) for a, b in sorted(arcs) if a != b])
+    pairs, nodes = spark.createDataFrame(sorted(arcs), "a string, b string"), spark.createDataFrame([(i,) for i in ids], "id string")
+    assert {r.id: round(r.score, 6) for r in metrics.betweenness(pairs, nodes).collect()} == {i: round(v, 6) for i, v in want.items()}
+
+
+def test_betweenness_in_runs_of_sources(spark):
+    ids = list("abcdefg")
+    arcs = [("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "e"), ("e", "a"), ("f", "d")]
+    pairs, nodes = spark.createDataFrame(arcs, "a string, b string"), spark.createDataFrame([(i,) for i in ids], "id string")
+    assert {r.id: round(r.score, 6) for r in metrics.betweenness(pairs, nodes, at_once=3).collect()} == _shares_of_paths(ids, arcs)
+    assert metrics.betweenness(pairs.limit(0), nodes.limit(0)).count() == 0
+
+
 def test_permissions_look_ahead_in_frames_that_grow(spark):
     rows = [(1, "permission.requested", 1), (2, "permission.requested", 1), (3, "tool.started", 2), (4, "permission.completed", 1), (5, "permission.requested", 2)]
     events = spark.createDataFrame([(s, "s", t, c) for s, t, c in rows], "seq long, session string, type string, tool_call long").withColumns(
