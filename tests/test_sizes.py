@@ -45,6 +45,14 @@ def test_overrides_in_lists(spark):
     assert sorted(tuple(r) for r in out.collect()) == want
 
 
+def test_overrides_are_dealt_by_the_pairs_that_come_out(spark):
+    nodes = [(f"{ns}{i}", "var", name, ns) for ns in "ab" for i, name in enumerate(["x"] * 40 + ["y", "z"])]
+    edges = spark.createDataFrame([("requires", "a0", "b1"), ("requires", "a2", "b0"), ("mentions", "b0", "a0")], "kind string, source string, target string")
+    out = selection.overrides(edges, spark.createDataFrame(nodes, "id string, kind string, label string, namespace string"), task_pairs=100)
+    assert out.rdd.getNumPartitions() == 17
+    assert sorted(tuple(r) for r in out.collect()) == sorted((c, p, n) for c, _, n, a in nodes for p, _, m, b in nodes if n == m and (a, b) == ("a", "b"))
+
+
 def _shares_of_paths(ids, arcs):
     """Betweenness by brute force, a walk for each source."""
     ahead, score = {}, dict.fromkeys(ids, 0.0)
